@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphaudit.llm import bpe, packing
+from glyphaudit.llm import bpe, merkle, packing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(merkle.fingerprints(table(spark, sf_dir, "documents")))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op8_bpe": op8_bpe}
-SQL: dict[str, str] = {}
+QUERIES = {"op2_packing": op2_packing, "op4_hash_tree": op4_hash_tree, "op7_merkle": op7_merkle, "op8_bpe": op8_bpe}
+SQL = {"op4_hash_tree": sharding.sql(), "op7_merkle": merkle.sql()}
