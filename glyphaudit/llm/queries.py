@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphaudit.llm import bpe, merkle, packing, repeats, sharding
+from glyphaudit.llm import bpe, merkle, packing, repeats, sharding, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,5 +40,9 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op2_packing": op2_packing, "op4_hash_tree": op4_hash_tree, "op7_merkle": op7_merkle, "op8_bpe": op8_bpe, "op9_repeats": op9_repeats}
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.remove_passages(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op2_packing": op2_packing, "op4_hash_tree": op4_hash_tree, "op7_merkle": op7_merkle, "op8_bpe": op8_bpe, "op9_repeats": op9_repeats, "op10_suffixes": op10_suffixes}
 SQL = {"op4_hash_tree": sharding.sql(), "op7_merkle": merkle.sql()}
