@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -79,3 +80,9 @@ def slices(batches: Iterable[pa.RecordBatch], most_bytes: int, column: str = "te
             held += n
         if len(sizes) > at:
             yield batch.slice(at)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished queries now instead of at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
