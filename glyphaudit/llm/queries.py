@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphaudit.llm import bpe, jaccard, merkle, packing, repeats, sharding, suffixes
+from glyphaudit.llm import ann, bpe, jaccard, merkle, packing, repeats, sharding, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -48,5 +52,5 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.remove_passages(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op2_packing": op2_packing, "op4_hash_tree": op4_hash_tree, "op6_jaccard": op6_jaccard, "op7_merkle": op7_merkle, "op8_bpe": op8_bpe, "op9_repeats": op9_repeats, "op10_suffixes": op10_suffixes}
+QUERIES = {"op2_packing": op2_packing, "op4_hash_tree": op4_hash_tree, "op5_posting_lists": op5_posting_lists, "op6_jaccard": op6_jaccard, "op7_merkle": op7_merkle, "op8_bpe": op8_bpe, "op9_repeats": op9_repeats, "op10_suffixes": op10_suffixes}
 SQL = {"op4_hash_tree": sharding.sql(), "op7_merkle": merkle.sql()}
