@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphaudit.llm import ann, bpe, jaccard, merkle, packing, repeats, sharding, suffixes
+from glyphaudit.llm import ann, bpe, jaccard, language, merkle, packing, repeats, sharding, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,23 @@ def vocabulary() -> str:
     return os.fspath(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.predicted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), language.train(docs))
+    return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op3_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -52,5 +65,5 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.remove_passages(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op2_packing": op2_packing, "op4_hash_tree": op4_hash_tree, "op5_posting_lists": op5_posting_lists, "op6_jaccard": op6_jaccard, "op7_merkle": op7_merkle, "op8_bpe": op8_bpe, "op9_repeats": op9_repeats, "op10_suffixes": op10_suffixes}
+QUERIES = {"op1_bigru": op1_bigru, "op2_packing": op2_packing, "op3_zstd_toxicity": op3_zstd_toxicity, "op4_hash_tree": op4_hash_tree, "op5_posting_lists": op5_posting_lists, "op6_jaccard": op6_jaccard, "op7_merkle": op7_merkle, "op8_bpe": op8_bpe, "op9_repeats": op9_repeats, "op10_suffixes": op10_suffixes}
 SQL = {"op4_hash_tree": sharding.sql(), "op7_merkle": merkle.sql()}
