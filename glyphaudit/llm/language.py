@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphaudit.llm.common import slices
 
@@ -225,4 +226,4 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
             yield part.append_column("lang_pred", pa.array(names, pa.string())).append_column("lang_score", pa.array(scores, pa.float64()))
 
     docs = docs.drop("lang_pred", "lang_score")
-    return docs.mapInArrow(work, docs.schema.add("lang_pred", "string").add("lang_score", "double"))
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))

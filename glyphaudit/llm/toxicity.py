@@ -28,6 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphaudit.llm.common import slices
 
@@ -220,4 +221,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     if "toxicity" in docs.columns:
         docs = docs.drop("toxicity")
-    return docs.mapInArrow(work, docs.schema.add("toxicity", "double"))
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
