@@ -212,13 +212,14 @@ class _Sender:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
 
 
-def flagged(docs: DataFrame, windows_of: Callable[[], Callable[[pa.RecordBatch], Iterator[Windows]]], first_too: bool = False) -> DataFrame:
-    """``doc_id, part, starts`` of the windows that repeat; several rows a document, none if nothing does.
+def flagged(docs: DataFrame, windows_of: Callable[[], Callable[[pa.RecordBatch], Iterator[Windows]]], first_too: bool = False, sized: DataFrame | None = None) -> DataFrame:
+    """``doc_id, part, starts`` of the windows that repeat: a row for each document that has any.
 
     ``windows_of()`` is called in each task and gives a function from an Arrow batch of ``docs``
-    to the windows to compare. With first_too the earliest occurrence is flagged as well.
+    to the windows to compare. With first_too the earliest occurrence is flagged as well. The
+    number of buckets follows the size of ``sized``, or of ``docs``.
     """
-    n_buckets = bucket_count(docs)
+    n_buckets = bucket_count(docs if sized is None else sized)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, sender = windows_of(), _Sender(n_buckets, first_too)
@@ -228,12 +229,14 @@ def flagged(docs: DataFrame, windows_of: Callable[[], Callable[[pa.RecordBatch],
                     yield from sender.chunk()
         yield from sender.chunk()
 
+    n_targets = max(1, n_buckets >> 3)
+
     def compare(table: pa.Table) -> pa.Table:
         out, open_ = [], []
         for known, where, hashes in zip(*(table.column(c).to_pylist() for c in ("known", "where", "hashes")), strict=True):
             d, p, s = _unpack(where)
             if known:
-                out.append(_flag_rows(d, p, s))
+                out.append((d, p, s))
                 continue
             wide = np.zeros((len(d), 8), np.uint8)
             wide[:, :_HASH_BYTES] = np.frombuffer(hashes, np.uint8).reshape(-1, _HASH_BYTES)
@@ -241,12 +244,22 @@ def flagged(docs: DataFrame, windows_of: Callable[[], Callable[[pa.RecordBatch],
         if open_:
             d, p, s, h = map(np.concatenate, zip(*open_, strict=True))
             flag, _ = repeated(d, p, s, h, first_too)
-            if flag.any():
-                out.append(_flag_rows(d[flag], p[flag], s[flag]))
-        return pa.Table.from_batches(out, schema=_FLAGS)
+            out.append((d[flag], p[flag], s[flag]))
+        d, p, s = map(np.concatenate, zip(*out, strict=True))
+        to = (mix(d.astype(np.uint64) + mix(p.astype(np.uint64))) % np.uint64(n_targets)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        edges = np.searchsorted(to[order], np.arange(n_targets + 1))
+        targets = np.flatnonzero(np.diff(edges))
+        packed = [_pack(d[own], p[own], s[own]) for own in (order[edges[t] : edges[t + 1]] for t in targets)]
+        return pa.table([pa.array(targets, pa.int32()), pa.array(packed, pa.binary())], names=["target", "where"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        d, p, s = map(np.concatenate, zip(*map(_unpack, table.column("where").to_pylist()), strict=True))
+        return pa.Table.from_batches([_flag_rows(d, p, s)])
 
     sent = docs.mapInArrow(send, "bucket int, known boolean, where binary, hashes binary")
-    return sent.groupBy("bucket").applyInArrow(compare, FLAGS)
+    met = sent.groupBy("bucket").applyInArrow(compare, "target int, where binary")
+    return met.groupBy("target").applyInArrow(merge, FLAGS)
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -257,8 +270,8 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def with_flags(docs: DataFrame, flags: DataFrame) -> DataFrame:
-    """``docs`` with ``flags array<binary>``, null where nothing is flagged; joined on doc_id and part."""
-    each = flags.groupBy(F.col("doc_id").alias("_d"), F.col("part").alias("_p")).agg(F.collect_list("starts").alias("flags"))
+    """``docs`` with ``flags binary``, null where nothing is flagged; joined on doc_id and part."""
+    each = flags.select(F.col("doc_id").alias("_d"), F.col("part").alias("_p"), F.col("starts").alias("flags"))
     return docs.join(each.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(each["_d"]) & (docs["part"] == each["_p"]), "left").drop("_d", "_p")
 
 
@@ -297,7 +310,7 @@ def removals(docs: DataFrame, flags: DataFrame, window: int) -> DataFrame:
                 if flag is None:
                     spans.append([])
                 else:
-                    found = intervals(np.concatenate([np.frombuffer(x, "<u4") for x in flag]), window).tolist()
+                    found = intervals(np.frombuffer(flag, "<u4"), window).tolist()
                     spans.append([{"start": a, "end": b} for a, b in found])
                     left, at = [], 0
                     for a, b in found:

@@ -67,7 +67,7 @@ def _extended(least: int, seed: int) -> Callable[[], Callable[[pa.RecordBatch],
         def get(batch: pa.RecordBatch) -> Iterator[Windows]:
             for doc_id, text, part, flags in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "flags")), strict=True):
                 h = words.of(words_of(text))
-                kept = np.concatenate([np.frombuffer(x, "<u4") for x in flags]).astype(np.int64)
+                kept = np.frombuffer(flags, "<u4").astype(np.int64)
                 chosen = minimisers(rolling.windows(h, seed), least - seed + 1)
                 at = np.flatnonzero(np.isin(chosen, kept))
                 yield doc_id, part, at.astype(np.uint32), rolling.windows(h, least)[at]
@@ -81,7 +81,7 @@ def remove_passages(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> Da
     """``doc_id, part, n_words, spans, kept`` for every row of ``docs(doc_id, text, ...)``."""
     rows, scratch = identified(docs), Scratch(docs.sparkSession, "suffixes")
     shared = with_flags(rows, flagged(rows, _retained(least, seed), first_too=True)).where(F.col("flags").isNotNull())
-    late = scratch.put(flagged(shared, _extended(least, seed)), "late")
+    late = scratch.put(flagged(shared, _extended(least, seed), sized=rows), "late")
     return removals(rows, late, least)
 
 
