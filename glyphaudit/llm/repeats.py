@@ -22,6 +22,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphaudit.llm.common import input_bytes, slices, words_of
 
@@ -262,11 +263,18 @@ def flagged(docs: DataFrame, windows_of: Callable[[], Callable[[pa.RecordBatch],
     return met.groupBy("target").applyInArrow(merge, FLAGS)
 
 
-def identified(docs: DataFrame) -> DataFrame:
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether some doc_id, null included, has more than one row."""
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+
+
+def identified(docs: DataFrame, all_columns: bool = False) -> DataFrame:
     """``doc_id, part, text``; part tells apart rows under one doc_id: 0 if no doc_id occurs twice, else a hash of the text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return rows.withColumn("part", F.xxhash64("text") if again else F.lit(0).cast("long"))
+    text = F.coalesce("text", F.lit(""))
+    part = F.xxhash64(text) if ids_repeat(docs) else F.lit(0).cast("long")
+    if all_columns:
+        return docs.withColumn("part", part)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.alias("part"), text.alias("text"))
 
 
 def with_flags(docs: DataFrame, flags: DataFrame) -> DataFrame:
@@ -324,6 +332,31 @@ def removals(docs: DataFrame, flags: DataFrame, window: int) -> DataFrame:
     return with_flags(docs, flags).mapInArrow(work, "doc_id long, part long, n_words long, spans array<struct<start: long, end: long>>, kept string")
 
 
+def without_spans(rows: DataFrame, window: int) -> DataFrame:
+    """``rows`` with the flagged windows cut out of ``text``; other texts, and all other columns, stay as they are.
+
+    Takes the result of ``with_flags``. A document that loses all its words is dropped.
+    """
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "flags"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4 << 20):
+            texts, keep = [], []
+            for text, flag in zip(batch.column("text").to_pylist(), batch.column("flags").to_pylist(), strict=True):
+                if flag is not None:
+                    words, left, at = words_of(text), [], 0
+                    for a, b in intervals(np.frombuffer(flag, "<u4"), window).tolist():
+                        left += words[at:a]
+                        at = b
+                    text = b" ".join(left + words[at:]).decode("utf-8", "surrogatepass")
+                texts.append(text)
+                keep.append(flag is None or bool(text))
+            out = {name: batch.column(name) for name in schema.names} | {"text": pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in out.values()], list(out))
+
+    return rows.mapInArrow(work, schema)
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, part, n_words, spans, kept`` for every row of ``docs(doc_id, text, ...)``."""
     rows = identified(docs)

@@ -23,8 +23,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphaudit.llm.common import Scratch, words_of
-from glyphaudit.llm.repeats import Rolling, Windows, WordHashes, flagged, identified, removals, with_flags
+from glyphaudit.llm.common import Scratch, release, words_of
+from glyphaudit.llm.repeats import Rolling, Windows, WordHashes, flagged, identified, removals, with_flags, without_spans
 
 #: Least words of a repeated passage, and of a suffix's leading run.
 LEAST, SEED = 50, 8
@@ -77,12 +77,25 @@ def _extended(least: int, seed: int) -> Callable[[], Callable[[pa.RecordBatch],
     return make
 
 
+def late_passages(rows: DataFrame, scratch: Scratch, least: int = LEAST, seed: int = SEED) -> DataFrame:
+    """``doc_id, part, starts``: where passages of ``least`` words start that occur earlier; rows as ``identified`` gives them."""
+    shared = with_flags(rows, flagged(rows, _retained(least, seed), first_too=True)).where(F.col("flags").isNotNull())
+    late = scratch.put(flagged(shared, _extended(least, seed), sized=rows), "late")
+    release(rows.sparkSession)
+    return late
+
+
 def remove_passages(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
     """``doc_id, part, n_words, spans, kept`` for every row of ``docs(doc_id, text, ...)``."""
     rows, scratch = identified(docs), Scratch(docs.sparkSession, "suffixes")
-    shared = with_flags(rows, flagged(rows, _retained(least, seed), first_too=True)).where(F.col("flags").isNotNull())
-    late = scratch.put(flagged(shared, _extended(least, seed), sized=rows), "late")
-    return removals(rows, late, least)
+    return removals(rows, late_passages(rows, scratch, least, seed), least)
+
+
+def cleaned(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
+    """``docs`` without the passages, all columns kept; a document that is left without a word goes."""
+    scratch = Scratch(docs.sparkSession, "suffixes")
+    late = late_passages(identified(docs), scratch, least, seed)
+    return without_spans(with_flags(identified(docs, all_columns=True), late), least).select(docs.columns)
 
 
 def digest(rows: DataFrame) -> DataFrame:
