@@ -15,8 +15,8 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -48,7 +48,7 @@ class WordBpe:
     ``cache_words``: how many distinct words are remembered before the memory is cleared.
     """
 
-    def __init__(self, model_json: str, cache_words: int = 400_000):
+    def __init__(self, model_json: str, cache_words: int = 800_000):
         spec = json.loads(model_json)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
@@ -60,6 +60,8 @@ class WordBpe:
         for name, i in [*vocab.items(), *self.special.items()]:
             names[i] = name
         self._tables(names)
+        self.code = "H" if size <= 1 << 16 else "I"
+        self.dtype = np.dtype(self.code)
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._pieces = regex.compile(split)
         self._symbol = _byte_symbols()
@@ -84,8 +86,7 @@ class WordBpe:
             self._parts.setdefault(made, (vocab[a], vocab[b]))
         self._compatible: dict[int, bool] = {}
         self.cache_words = cache_words
-        self._words: dict[str, tuple[int, ...]] = {}
-        self._seen: dict[str, tuple[int, ...]] = {}
+        self._words: dict[str, bytes] = {}
 
     # -- decoding ---------------------------------------------------------------------------
     def _tables(self, names: list[str]) -> None:
@@ -133,7 +134,7 @@ class WordBpe:
             known = self._compatible[pair] = self._keeps(left, right)
         return known
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> list[int]:
         """Tokens of one piece, the pre-tokenizer's unit."""
         if piece.isascii() and piece.isprintable():
             symbols = piece + _END
@@ -167,28 +168,32 @@ class WordBpe:
                 token = out.pop()
                 before = out[-1] if out else -1
                 at -= length[token]
-        return tuple(out)
-
-    def word(self, word: str) -> tuple[int, ...]:
-        """Tokens of a normalised run of characters without white space."""
-        if len(self._seen) >= self.cache_words:
-            self._seen.clear()
-        seen, made = self._seen, []
-        for piece in self._pieces.findall(word):
-            ids = seen.get(piece)
+        return out
+
+    def word(self, word: str) -> bytes:
+        """Packed tokens of a normalised run of characters without white space."""
+        known = self._words
+        if word.isalpha():
+            pieces = [word]
+        elif word[:-1].isalpha() and word[-1] in ".,!?;:":
+            pieces = [word[:-1], word[-1]]
+        else:
+            pieces = self._pieces.findall(word)
+        if len(known) >= self.cache_words:
+            known.clear()
+        out = b""
+        for piece in pieces:
+            ids = known.get(piece)  # a piece taken as a word is the same piece
             if ids is None:
-                ids = self._piece(piece)
+                ids = array(self.code, self._piece(piece)).tobytes()
                 if len(piece) <= 64:
-                    seen[piece] = ids
-            made.append(ids)
-        out = made[0] if len(made) == 1 else tuple(chain.from_iterable(made))
+                    known[piece] = ids
+            out += ids
         if len(word) <= 64:
-            if len(self._words) >= self.cache_words:
-                self._words.clear()
-            self._words[word] = out
+            known[word] = out
         return out
 
-    def _plain(self, text: str) -> list[tuple[int, ...]]:
+    def _plain(self, text: str) -> bytes:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             if _SIGMA in text:  # str.lower() would look at the letters around it
@@ -201,23 +206,22 @@ class WordBpe:
             for _ in range(found.count(None)):
                 at = found.index(None, at + 1)
                 found[at] = word(words[at])
-        return found
+        return b"".join(found)
 
-    def words(self, text: str | None) -> list[tuple[int, ...]]:
-        """The tokens of a text, a tuple for each word or special token."""
+    def packed(self, text: str | None) -> bytes:
+        """A text's ids one after another, as ``dtype``."""
         if not text:
-            return []
+            return b""
         if self._special is None or "<" not in text:
             return self._plain(text)
         at, out = 0, []
         for m in self._special.finditer(text):
-            out += self._plain(text[at : m.start()])
-            out.append((self.special[m[0]],))
+            out += [self._plain(text[at : m.start()]), array(self.code, [self.special[m[0]]]).tobytes()]
             at = m.end()
-        return out + self._plain(text[at:])
+        return b"".join([*out, self._plain(text[at:])])
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(self.words(text)))
+        return np.frombuffer(self.packed(text), self.dtype).tolist()
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -254,11 +258,11 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(model.value)
         for part in slices(batches, 4 << 20):
-            ids = [bpe.encode(t) for t in part.column("text").to_pylist()]
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-            decoded = [bpe.decode_bytes(x) for x in ids]
+            packed = [bpe.packed(t) for t in part.column("text").to_pylist()]
+            offsets = np.zeros(len(packed) + 1, np.int32)
+            np.cumsum([len(x) // bpe.dtype.itemsize for x in packed], out=offsets[1:])
+            flat = np.frombuffer(b"".join(packed), bpe.dtype).astype(np.int32)
+            decoded = [bpe.decode_bytes(np.frombuffer(x, bpe.dtype).tolist()) for x in packed]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(decoded, pa.binary()).cast(pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, ids array<int>, decoded string")

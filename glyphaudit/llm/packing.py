@@ -13,7 +13,6 @@ rows and extra columns are allowed; every row is packed once. An empty table giv
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -99,16 +98,13 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(model.value)
         table = projection(len(bpe.offsets) - 1)
-        kind = np.dtype("<u2" if len(table) <= 1 << 16 else "<u4")
+        end = np.array([SEPARATOR], bpe.dtype).tobytes()
         squeeze = zstandard.ZstdCompressor(level=1)
         for part in slices(batches, 4 << 20):
-            ids = [list(chain.from_iterable(bpe.words(t))) for t in part.column("text").to_pylist()]
-            for x in ids:
-                x.append(SEPARATOR)
-            counts = np.array([len(x) for x in ids], np.int64)
-            flat = np.fromiter(chain.from_iterable(ids), kind, int(counts.sum()))
-            ends = np.cumsum(counts).tolist()
-            packed = [squeeze.compress(flat[e - n : e].tobytes()) for e, n in zip(ends, counts.tolist(), strict=True)]
+            ids = [bpe.packed(t) + end for t in part.column("text").to_pylist()]
+            counts = np.array([len(x) // len(end) for x in ids], np.int64)
+            flat = np.frombuffer(b"".join(ids), bpe.dtype)
+            packed = [squeeze.compress(x) for x in ids]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(curve_keys(flat, counts, table)), pa.array(packed, pa.binary())], ["doc_id", "curve_key", "packed"])
 
     n_ranges = max(1, -(-input_bytes(docs) // RANGE_BYTES))
