@@ -42,7 +42,9 @@ def _letters(name: str) -> str:
     """A character class of a script's letters; the classes of all scripts are disjoint."""
     taken = "".join(v for k, v in _EXTENDED.items() if k != name)
     own = f"[{_JAVA[name]}&&[\\p{{L}}]&&[^{taken}{_AMBIGUOUS_SET}]]"
-    return f"[{own}{_NEWER.get(name, '')}{_EXTENDED.get(name, '')}]"
+    # Ranges below 256 are looked up in a table, before the properties are asked.
+    table = r"a-zA-Z\x{AA}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}" if name == "latin" else ""
+    return f"[{table}{own}{_NEWER.get(name, '')}{_EXTENDED.get(name, '')}]"
 
 
 CLASSES = {n: _letters(n) for n in _NAMES}
@@ -105,32 +107,53 @@ def utf16_length(text: Column) -> Column:
     return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
 
 
-def _slow_runs(text: Column) -> Column:
-    clusters = graphemes(text)
-    pairs = F.arrays_zip(clusters.alias("g"), _classified(clusters, text).alias("s"))
-    starts = F.filter(F.sequence(F.lit(0), F.size(clusters) - 1), lambda i: (i == 0) | (F.get(pairs, i)["s"] != F.get(pairs, i - 1)["s"]))
+def _fast_runs(text: Column) -> Column:
+    return F.transform(_extract(text, _RUN), lambda r: F.struct(script_of_letter(F.regexp_extract(r, f"^{LETTER}", 0)).alias("script"), r.alias("text"), F.length(r).alias("n")))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row however often they are used.
+
+    A generator over one struct keeps the optimizer from copying an expensive expression into
+    every expression, or every lambda, that refers to it.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def with_runs(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``script_runs array<struct<script, text, n>>``: maximal runs of one script with their clusters; joined they are the text."""
+    t = F.col(text)
+    none = F.array().cast("array<struct<script:string,text:string,n:int>>")
+    df = once(df, _clusters=F.when(t.rlike(_CLUSTERED), graphemes(t)))
+    df = once(df, _scripts=F.when(F.col("_clusters").isNotNull(), _classified(F.col("_clusters"), t)))
+    change = lambda i: (i == 0) | (F.get("_scripts", i) != F.get("_scripts", i - 1))
+    df = once(df, _starts=F.when(F.size("_scripts") > 0, F.filter(F.sequence(F.lit(0), F.size("_scripts") - 1), change)))
 
     def run(start: Column, k: Column) -> Column:
-        n = F.coalesce(F.get(starts, k + 1), F.size(clusters)) - start
-        return F.struct(F.get(pairs, start)["s"].alias("script"), F.array_join(F.slice(clusters, start + 1, n), "").alias("text"), n.alias("n"))
+        n = F.coalesce(F.get("_starts", k + 1), F.size("_scripts")) - start
+        return F.struct(F.get("_scripts", start).alias("script"), F.array_join(F.slice("_clusters", start + 1, n), "").alias("text"), n.alias("n"))
 
-    return F.transform(starts, run)
+    runs = F.when(F.coalesce(t, F.lit("")) == "", none).when(F.col("_clusters").isNotNull(), F.transform("_starts", run)).otherwise(_fast_runs(t))
+    return once(df, script_runs=runs).drop("_clusters", "_scripts", "_starts")
 
 
-def _fast_runs(text: Column) -> Column:
-    return F.transform(_extract(text, _RUN), lambda r: F.struct(script_of_letter(F.regexp_extract(r, f"^{LETTER}", 0)).alias("script"), r.alias("text"), F.length(r).alias("n")))
+_BLOCK = 32
 
 
-def raw_runs(text: Column) -> Column:
-    """``array<struct<script, text, n>>``: maximal runs of one script and their clusters; joined they are the text."""
-    none = F.array().cast("array<struct<script:string,text:string,n:int>>")
-    return F.when(F.coalesce(text, F.lit("")) == "", none).when(text.rlike(_CLUSTERED), _slow_runs(text)).otherwise(_fast_runs(text))
+def with_offsets(df: DataFrame) -> DataFrame:
+    """``df`` whose ``script_runs`` also have ``length`` and ``start`` in UTF-16 units."""
+    add = lambda a, n: a + n
+    df = once(df, _sizes=F.transform("script_runs", lambda r: utf16_length(r["text"])))
+    blocks = F.when(F.size("_sizes") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("_sizes") - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice("_sizes", b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), add)))
+    df = once(df, _blocks=blocks)
+    df = once(df, _bases=F.transform("_blocks", lambda _, b: F.aggregate(F.slice("_blocks", F.lit(1), b), F.lit(0), add)))
 
+    def run(r: Column, i: Column) -> Column:
+        within = F.aggregate(F.slice("_sizes", i - i % _BLOCK + 1, i % _BLOCK), F.lit(0), add)
+        start = F.get("_bases", F.floor(i / _BLOCK).cast("int")) + within
+        return F.struct(r["script"].alias("script"), r["text"].alias("text"), F.get("_sizes", i).alias("length"), start.alias("start"), r["n"].alias("n"))
 
-def with_offsets(runs: Column) -> Column:
-    """Runs with ``length`` and ``start`` in UTF-16 units."""
-    sized = F.transform(runs, lambda r: utf16_length(r["text"]))
-    return F.transform(runs, lambda r, i: F.struct(r["script"].alias("script"), r["text"].alias("text"), utf16_length(r["text"]).alias("length"), F.aggregate(F.slice(sized, F.lit(1), i), F.lit(0), lambda a, n: a + n).alias("start"), r["n"].alias("n")))
+    return df.withColumn("script_runs", F.transform("script_runs", run)).drop("_sizes", "_blocks", "_bases")
 
 
 def census(runs: Column) -> Column:
@@ -184,7 +207,8 @@ def snippet(text: Column, most: int = 60) -> Column:
 
 def analysed(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``script_runs, census, dominant_script, is_vietnamese_profile``."""
-    return df.withColumn("script_runs", raw_runs(F.col(text))).withColumn("census", census(F.col("script_runs"))).withColumns({"dominant_script": dominant(F.col("census")), "is_vietnamese_profile": is_vietnamese(F.col(text))})
+    runs = once(with_runs(df, text), is_vietnamese_profile=is_vietnamese(F.col(text)), census=census(F.col("script_runs")))
+    return once(runs, dominant_script=dominant(F.col("census")))
 
 
 def any_of(conditions: list[Column]) -> Column:

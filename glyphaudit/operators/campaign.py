@@ -30,73 +30,92 @@ def _ranked(rows: DataFrame, sites: DataFrame) -> DataFrame:
     return out.withColumn("percent_of_sites", percent(F.col("n_sites"), F.col("n_scanned"))).drop("n_scanned").orderBy(F.desc("n_sites"), F.desc("n_elements"), "rule_id")
 
 
-def standard_issues(sites: DataFrame) -> DataFrame:
+def standard_rows(sites: DataFrame) -> DataFrame:
+    """Third-party findings of nested site records, one a row: ``list_ord, pos, id, help, impact, n_nodes``."""
+    return sites.select("list_ord", F.posexplode("standard").alias("pos", "v")).select("list_ord", "pos", "v.id", "v.help", "v.impact", "v.n_nodes")
+
+
+def script_aware_rows(sites: DataFrame) -> DataFrame:
+    """Our findings of nested site records: ``list_ord, pos, rule_id, title, severity, confidence, script``."""
+    return sites.select("list_ord", F.posexplode("script_aware").alias("pos", "v")).select("list_ord", "pos", "v.rule_id", "v.title", "v.severity", "v.confidence", "v.script")
+
+
+def detected_rows(sites: DataFrame) -> DataFrame:
+    """Script tallies of nested site records: ``list_ord, script, n``."""
+    return sites.select("list_ord", F.explode("scripts_detected").alias("script", "n"))
+
+
+def _of(sites: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of scanned sites, with the site's address and group."""
+    return rows.join(scanned(sites).select("list_ord", "url", "target_group"), "list_ord")
+
+
+def standard_issues(sites: DataFrame, standard: DataFrame) -> DataFrame:
     """Third-party issues by rule: title and severity first seen, distinct sites, elements; most sites first."""
-    rows = scanned(sites).select("list_ord", "url", F.posexplode("standard").alias("pos", "v"))
     at = F.struct("list_ord", "pos")
-    by = rows.groupBy(F.col("v.id").alias("rule_id")).agg(F.min_by("v.help", at).alias("title"), F.min_by(F.coalesce("v.impact", F.lit("ungraded")), at).alias("severity"), F.count_distinct("url").alias("n_sites"), F.sum("v.n_nodes").cast("long").alias("n_elements"))
+    by = _of(sites, standard).groupBy(F.col("id").alias("rule_id")).agg(F.min_by("help", at).alias("title"), F.min_by(F.coalesce("impact", F.lit("ungraded")), at).alias("severity"), F.count_distinct("url").alias("n_sites"), F.sum("n_nodes").cast("long").alias("n_elements"))
     return _ranked(by, sites)
 
 
-def script_aware_issues(sites: DataFrame) -> DataFrame:
+def script_aware_issues(sites: DataFrame, findings: DataFrame) -> DataFrame:
     """Our issues by rule: worst severity, first title and confidence; an element a finding."""
-    rows = scanned(sites).select("list_ord", "url", F.posexplode("script_aware").alias("pos", "v"))
     at = F.struct("list_ord", "pos")
-    by = rows.groupBy(F.col("v.rule_id").alias("rule_id")).agg(F.min_by("v.title", at).alias("title"), severity_of(F.min(rank(F.col("v.severity")))).alias("severity"), F.min_by("v.confidence", at).alias("confidence"), F.count_distinct("url").alias("n_sites"), F.count("*").alias("n_elements"))
+    by = _of(sites, findings).groupBy("rule_id").agg(F.min_by("title", at).alias("title"), severity_of(F.min(rank(F.col("severity")))).alias("severity"), F.min_by("confidence", at).alias("confidence"), F.count_distinct("url").alias("n_sites"), F.count("*").alias("n_elements"))
     return _ranked(by, sites)
 
 
-def layer_totals(sites: DataFrame) -> DataFrame:
-    """A row for each layer: sites with findings, rules, elements, passes (third-party only). There is no sum of both."""
-    own = scanned(sites)
-    s = own.select("url", F.explode("standard").alias("v")).agg(F.lit("standard").alias("layer"), F.count_distinct("url").alias("n_sites"), F.count_distinct("v.id").alias("n_rules"), F.coalesce(F.sum("v.n_nodes"), F.lit(0)).cast("long").alias("n_elements"))
-    p = own.agg(F.coalesce(F.sum("passes"), F.lit(0)).cast("long").alias("n_passes"))
-    a = own.select("url", F.explode("script_aware").alias("v")).agg(F.lit("script_aware").alias("layer"), F.count_distinct("url").alias("n_sites"), F.count_distinct("v.rule_id").alias("n_rules"), F.count("*").alias("n_elements"))
-    return s.crossJoin(p).unionByName(a.withColumn("n_passes", F.lit(None).cast("long")))  # one row each
+def layer_totals(sites: DataFrame, standard: DataFrame, findings: DataFrame) -> DataFrame:
+    """A row for each layer: sites with findings, rules, elements, passes (only third-party checks report any). There is no sum of both."""
+    s = _of(sites, standard).agg(F.lit("standard").alias("layer"), F.count_distinct("url").alias("n_sites"), F.count_distinct("id").alias("n_rules"), F.coalesce(F.sum("n_nodes"), F.lit(0)).cast("long").alias("n_elements"))
+    p = scanned(sites).agg(F.coalesce(F.sum("passes"), F.lit(0)).cast("long").alias("n_passes"))
+    a = _of(sites, findings).agg(F.lit("script_aware").alias("layer"), F.count_distinct("url").alias("n_sites"), F.count_distinct("rule_id").alias("n_rules"), F.count("*").alias("n_elements"))
+    return s.crossJoin(p).unionByName(a.withColumn("n_passes", F.lit(0).cast("long")))  # one row each
 
 
-def by_detected_script(sites: DataFrame) -> DataFrame:
-    rows = scanned(sites).select("url", F.explode("script_aware").alias("v"))
-    return rows.groupBy(F.col("v.script").alias("script")).agg(F.count_distinct("url").alias("n_sites"), F.count("*").alias("n_findings")).orderBy(F.desc("n_findings"), "script")
+def by_detected_script(sites: DataFrame, findings: DataFrame) -> DataFrame:
+    return _of(sites, findings).groupBy("script").agg(F.count_distinct("url").alias("n_sites"), F.count("*").alias("n_findings")).orderBy(F.desc("n_findings"), "script")
 
 
-def by_group(sites: DataFrame) -> DataFrame:
+def by_group(sites: DataFrame, standard: DataFrame, findings: DataFrame) -> DataFrame:
     """Groups in their fixed order: listed, scanned, sites with findings and elements of each layer."""
-    ok = F.col("status") == "scanned"
-    elements = F.aggregate("standard", F.lit(0).cast("long"), lambda a, v: a + v["n_nodes"])
-    own = F.size("script_aware").cast("long")
-    counts = sites.groupBy("target_group").agg(
-        F.count("*").alias("listed"),
-        F.count_if(ok).alias("scanned"),
-        F.count_if(ok & (F.size("standard") > 0)).alias("standard_sites"),
-        F.coalesce(F.sum(F.when(ok, elements)), F.lit(0)).alias("standard_elements"),
-        F.count_if(ok & (own > 0)).alias("script_aware_sites"),
-        F.coalesce(F.sum(F.when(ok & (own > 0), own)), F.lit(0)).alias("script_aware_elements"),
+    s = _of(sites, standard).groupBy("list_ord").agg(F.sum("n_nodes").cast("long").alias("s"))
+    a = _of(sites, findings).groupBy("list_ord").agg(F.count("*").alias("a"))
+    counts = (
+        sites.join(s, "list_ord", "left")
+        .join(a, "list_ord", "left")
+        .groupBy("target_group")
+        .agg(
+            F.count("*").alias("listed"),
+            F.count_if(F.col("status") == "scanned").alias("scanned"),
+            F.count_if(F.col("s").isNotNull()).alias("standard_sites"),
+            F.coalesce(F.sum("s"), F.lit(0)).alias("standard_elements"),
+            F.count_if(F.col("a").isNotNull()).alias("script_aware_sites"),
+            F.coalesce(F.sum("a"), F.lit(0)).alias("script_aware_elements"),
+        )
     )
     order = sites.sparkSession.createDataFrame([(i, g) for i, g in enumerate(GROUPS)], "group_ord int, target_group string")
     return counts.join(F.broadcast(order), "target_group").orderBy("group_ord")
 
 
-def label_mismatches(sites: DataFrame) -> DataFrame:
+def label_mismatches(sites: DataFrame, detected: DataFrame) -> DataFrame:
     """Scanned sites in none of whose nodes an expected script was found, with what was: most nodes first."""
-    own = scanned(sites).select("list_ord", "url", "target_group", "scripts_detected")
-    seen = own.select("list_ord", "url", "target_group", F.explode("scripts_detected").alias("script", "n")).where("n > 0")
+    seen = _of(sites, detected).where("n > 0")
     expected = F.broadcast(groups_table(sites.sparkSession).select("target_group", "script"))
-    met = seen.join(expected, ["target_group", "script"], "left_semi").select("list_ord", "url").distinct()
-    found = F.transform(
-        F.array_sort(F.filter(F.transform(F.map_entries("scripts_detected"), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("script"))), lambda e: (e["n"] < 0) & (e["script"] != "common"))), lambda e: e["script"]
-    )
-    return own.join(met, ["list_ord", "url"], "left_anti").select("list_ord", "url", "target_group", F.coalesce(found, F.array().cast("array<string>")).alias("detected")).orderBy("list_ord")
+    met = seen.join(expected, ["target_group", "script"], "left_semi").select("list_ord").distinct()
+    # At most one entry for each script.
+    names = seen.where("script <> 'common'").groupBy("list_ord").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "script"))).alias("d"))
+    out = scanned(sites).join(met, "list_ord", "left_anti").join(names, "list_ord", "left")
+    return out.select("list_ord", "url", "target_group", F.coalesce(F.transform("d", lambda e: e["script"]), F.array().cast("array<string>")).alias("detected")).orderBy("list_ord")
 
 
-def measured(sites: DataFrame) -> DataFrame:
+def measured(sites: DataFrame, detected: DataFrame) -> DataFrame:
     """``n_scanned, n_mismatched, n_measured``."""
-    return scanned(sites).agg(F.count("*").alias("n_scanned")).crossJoin(label_mismatches(sites).agg(F.count("*").alias("n_mismatched"))).withColumn("n_measured", F.greatest(F.lit(0).cast("long"), F.col("n_scanned") - F.col("n_mismatched")))
+    return scanned(sites).agg(F.count("*").alias("n_scanned")).crossJoin(label_mismatches(sites, detected).agg(F.count("*").alias("n_mismatched"))).withColumn("n_measured", F.greatest(F.lit(0).cast("long"), F.col("n_scanned") - F.col("n_mismatched")))
 
 
-def caveats(sites: DataFrame) -> DataFrame:
+def caveats(sites: DataFrame, findings: DataFrame) -> DataFrame:
     """How much of the script-aware elements the two largest rules hold, and how many are of high confidence."""
-    issues = script_aware_issues(sites).select("rule_id", "confidence", "n_elements")
+    issues = script_aware_issues(sites, findings).select("rule_id", "confidence", "n_elements")
     place = F.row_number().over(Window.orderBy(F.desc("n_elements"), "rule_id"))  # a row for each rule
     out = issues.withColumn("place", place)
     sums = out.agg(F.sum(F.when(F.col("place") <= 2, F.col("n_elements"))).alias("top_two"), F.sum("n_elements").alias("total"), F.coalesce(F.sum(F.when(F.col("confidence") == "high", F.col("n_elements"))), F.lit(0)).alias("high_confidence"))

@@ -164,7 +164,7 @@ def _run_at(runs: Column) -> Callable[[Column], Column]:
         after = F.filter(F.slice(runs, i + 2, F.greatest(F.size(runs) - i - 1, F.lit(0))), real)
         last, first = F.get(before, F.size(before) - 1), F.get(after, F.lit(0))
         touching = neutral(own) | beside(F.get(runs, i - 1)) | beside(F.get(runs, i + 1))
-        return F.coalesce(ltr & (own["n"] >= 2) & is_rtl(last) & is_rtl(first) & touching, F.lit(False))
+        return F.coalesce(ltr & (own["n"] >= 2) & touching & is_rtl(last) & is_rtl(first), F.lit(False))
 
     return test
 
