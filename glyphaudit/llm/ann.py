@@ -213,31 +213,49 @@ def search(vectors: DataFrame, queries: Column, k: int = NEAREST) -> DataFrame:
     probes = distinct.mapInArrow(_per_vector(graph, dim, longest, True), "list int, vec_id long, embedding array<float>")
     probes = probes.withColumn("cell", F.explode(F.sequence(F.lit(0), (n_cells - 1).cast("int"))))
 
+    n_buckets = max(8, min(65_536, distinct.count() // 100))
+
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, kinds = ["asked", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], t) for t in kinds], names=names)
-        v_ids, v = left.column("vec_id").to_numpy(), _matrix(left.column("embedding"), dim).astype(np.float64)
-        q_ids, q = right.column("vec_id").to_numpy(), _matrix(right.column("embedding"), dim).astype(np.float64)
-        out_q, out_v, out_s = [], [], []
-        for at in range(0, len(q), 256):
-            rough = q[at : at + 256] @ v.T
-            if rough.shape[1] > k + 1:
-                least = np.partition(rough, -(k + 1), axis=1)[:, -(k + 1)]
-                near, which = np.nonzero(rough >= least[:, None] - 1e-9 * (1 + np.abs(least[:, None])))
-            else:
-                near, which = np.nonzero(np.ones_like(rough, bool))
-            # Summed in one order for every pair, so equal vectors get equal scores.
-            score = (q[at + near] * v[which]).cumsum(axis=1)[:, -1]
-            best = _best(near, v_ids[which], score, k + 1)
-            out_q.append(q_ids[at + near[best]])
-            out_v.append(v_ids[which[best]])
-            out_s.append(score[best])
-        return pa.table([pa.array(np.concatenate(c)) for c in (out_q, out_v, out_s)], names=names)
-
-    found = posted.groupBy("list", "cell").cogroup(probes.groupBy("list", "cell")).applyInArrow(compare, "asked long, vec_id long, score double").distinct()
-    by = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
-    found = scratch.put(found.withColumn("at", F.row_number().over(by)).where(F.col("at") <= k + 1).drop("at"), "found")
+        """The best of a cell for each query, packed by bucket of queries."""
+        buckets, packed = [], []
+        if left.num_rows and right.num_rows:
+            v_ids, v = left.column("vec_id").to_numpy(), _matrix(left.column("embedding"), dim).astype(np.float64)
+            q_ids, q = right.column("vec_id").to_numpy(), _matrix(right.column("embedding"), dim).astype(np.float64)
+            parts = []
+            for at in range(0, len(q), 256):
+                rough = q[at : at + 256] @ v.T
+                if rough.shape[1] > k + 1:
+                    least = np.partition(rough, -(k + 1), axis=1)[:, -(k + 1)]
+                    near, which = np.nonzero(rough >= least[:, None] - 1e-9 * (1 + np.abs(least[:, None])))
+                else:
+                    near, which = np.nonzero(np.ones_like(rough, bool))
+                # Summed in one order for every pair, so equal vectors get equal scores.
+                score = (q[at + near] * v[which]).cumsum(axis=1)[:, -1]
+                best = _best(near, v_ids[which], score, k + 1)
+                parts.append((q_ids[at + near[best]], v_ids[which[best]], score[best]))
+            a, b, s = map(np.concatenate, zip(*parts, strict=True))
+            to = a % n_buckets
+            for t in np.unique(to):
+                own = to == t
+                buckets.append(int(t))
+                packed.append(np.uint64(own.sum()).tobytes() + a[own].tobytes() + b[own].tobytes() + s[own].tobytes())
+        return pa.table([pa.array(buckets, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        parts = []
+        for data in table.column("packed").to_pylist():
+            n = int(np.frombuffer(data, np.uint64, 1)[0])
+            parts.append((np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.int64, n, 8 + 8 * n), np.frombuffer(data, np.float64, n, 8 + 16 * n)))
+        a, b, s = map(np.concatenate, zip(*parts, strict=True))
+        order = np.lexsort((b, a))  # a replicated vector has the same score in every list
+        a, b, s = a[order], b[order], s[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        a, b, s = a[new], b[new], s[new]
+        best = _best(a, b, s, k + 1)
+        return pa.table([pa.array(a[best]), pa.array(b[best]), pa.array(s[best])], names=["asked", "vec_id", "score"])
+
+    met = posted.groupBy("list", "cell").cogroup(probes.groupBy("list", "cell")).applyInArrow(compare, "bucket int, packed binary")
+    found = scratch.put(met.groupBy("bucket").applyInArrow(merge, "asked long, vec_id long, score double"), "found")
     who = asked.select(F.col("vec_id").alias("query_id"), "embedding").join(distinct.withColumnRenamed("vec_id", "asked"), "embedding").select("query_id", "asked")
     ranked = who.join(found, "asked").where("vec_id <> query_id")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
