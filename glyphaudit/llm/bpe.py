@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphaudit.llm.common import slices
+from glyphaudit.llm.common import slices, small_batches
 
 #: Stands for the end of a word inside the automaton; no byte maps to it.
 _END = "\x00"
@@ -48,7 +48,7 @@ class WordBpe:
     ``cache_words``: how many distinct words are remembered before the memory is cleared.
     """
 
-    def __init__(self, model_json: str, cache_words: int = 800_000):
+    def __init__(self, model_json: str, cache_words: int = 600_000):
         spec = json.loads(model_json)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
@@ -253,6 +253,7 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     ``vocabulary``: path of a tokenizer JSON file on the driver. Every row gives one row.
     """
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(read_model(vocabulary))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

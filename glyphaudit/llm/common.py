@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import math
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 
@@ -25,6 +27,20 @@ def shared_folder(spark: SparkSession) -> str:
     return _FALLBACK["dir"]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1000 rows where the session has the default of 10000, which long texts make too large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "1000")
+
+
+def trim() -> None:
+    """Gives memory that a finished task has freed back to the system; workers are used again by later tasks."""
+    gc.collect()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Scratch:
     """Tables that cut lineage: written once as Parquet in the shared folder and read back.
 
@@ -34,6 +50,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._at(self.root, "deleteOnExit")
 
@@ -55,12 +72,12 @@ class Scratch:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a plan's size in bytes, from file sizes; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def power_of_two(x: float, least: int, most: int) -> int:
-    return min(most, max(least, 1 << max(0, math.ceil(math.log2(max(1.0, x))))))
+    """Catalyst's estimate of a plan's size in bytes, from file sizes; where it knows none, the texts are measured."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 55:
+        return known
+    size = F.octet_length("text") if "text" in df.columns else F.lit(256)
+    return int(df.agg(F.coalesce(F.sum(F.coalesce(size, F.lit(0)) + 16), F.lit(0)).cast("long")).first()[0])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -80,6 +97,7 @@ def slices(batches: Iterable[pa.RecordBatch], most_bytes: int, column: str = "te
             held += n
         if len(sizes) > at:
             yield batch.slice(at)
+    trim()
 
 
 def release(spark: SparkSession) -> None:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphaudit.llm.common import slices
+from glyphaudit.llm.common import slices, small_batches
 
 PER_LANGUAGE = 400
 HIDDEN = 8
@@ -209,6 +209,7 @@ def train(docs: DataFrame) -> Model | None:
 
 def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphaudit.llm.common import slices
+from glyphaudit.llm.common import slices, small_batches
 
 #: Labelled documents drawn for fitting.
 MOST_TOXIC, MOST_ORDINARY = 1200, 3000
@@ -68,7 +68,7 @@ class _Distances(dict):
         self.ordinary, self.toxic = _compressor(ordinary), _compressor(toxic)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 800_000:
+        if len(self) > 500_000:
             self.clear()
         # Very long runs are compressed piece by piece.
         d = max(self._one(word[at : at + LONGEST_WORD]) for at in range(0, len(word), LONGEST_WORD))
@@ -210,6 +210,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``toxicity``, 0 to 1, of every text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
