@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from glyphaudit.llm.common import Scratch, release, slices
 from glyphaudit.llm.graph import components
-from glyphaudit.llm.repeats import Rolling, WordHashes, identified, mix
+from glyphaudit.llm.repeats import Rolling, WordHashes, identified, ids_repeat, mix, restored
 
 SHINGLE = 4
 #: Pairs link when 100 * intersection >= PERCENT * union.
@@ -182,77 +182,112 @@ def _chained(classes: DataFrame, salts: int, percent: int) -> DataFrame:
     return near.select(*_pair("cid", "c0", "n", "n0")).distinct()
 
 
+def _possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may link, from ``c``, what their prefixes share, and the prefixes' lengths and last keys.
+
+    Up to the lesser of both prefixes' ends, c is the whole overlap.
+    """
+    most = F.col("c") + F.when(F.col("la") <= F.col("lb"), F.col("na") - F.col("pa")).otherwise(F.col("nb") - F.col("pb"))
+    return pairs.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+
+
 def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, part, n_shingles, component_id`` for every row; component_id is the least doc_id reachable by links."""
+    """``doc_id, part, n_shingles, component, component_id`` for every row.
+
+    component_id is the least doc_id reachable by links, component an id that no other group
+    has, null for empty sets.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = identified(docs)
     common = spark.sparkContext.broadcast(common_grams(rows, size))
     sets = scratch.put(_sets(rows, size, percent, common), "sets")
-    linked = 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
-
-    # N-grams in the prefixes of two classes or more.
-    postings = sets.where(F.size("prefix") > 0).select("cid", "n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"), F.explode("prefix").alias("gram"))
-    own = Window.partitionBy("gram")
-    postings = postings.select("*", (F.min("cid").over(own) != F.max("cid").over(own)).alias("shared")).where("shared").drop("shared").distinct()
-    postings = scratch.put(postings, "postings")
     release(spark)
 
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that link; only their texts are read again."""
+        ends = scratch.put(_ends(pairs), f"ends_{name}")
+        again = ends.join(sets.where(F.size("keys") > 0).select("cid", "doc_id", "part").dropDuplicates(["cid"]), "cid").select("cid", F.col("doc_id").alias("_d"), F.col("part").alias("_p"))
+        again = F.broadcast(again) if ends.count() <= BROADCAST_ROWS else again.hint("shuffle_hash")
+        texts = rows.join(again, rows["doc_id"].eqNullSafe(again["_d"]) & (rows["part"] == again["_p"])).select("cid", "text")
+        segments = scratch.put(_segments(texts, size, common), f"segments_{name}")
+        release(spark)
+        linked = 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
+        links = scratch.put(overlaps(pairs, segments).where(linked).select("a", "b"), f"links_{name}")
+        scratch.drop(f"ends_{name}", f"segments_{name}")
+        release(spark)
+        return links
+
+    # Neighbours by min-hash: links that join most of each group of near copies.
     keyed = sets.where(F.size("keys") > 0).select("cid", "n", *[F.col("keys")[j].alias(f"k{j}") for j in range(CHAINS)]).dropDuplicates(["cid"])
-    keyed = keyed.join(postings.select("cid").distinct(), "cid", "left_semi")
     keyed = scratch.put(keyed, "keyed")
-    count = keyed.count()
-
-    # Sets are read again for these classes only.
-    again = keyed.select("cid").join(sets.where(F.size("keys") > 0).select("cid", "doc_id", "part").dropDuplicates(["cid"]), "cid")
-    again = again.select("cid", F.col("doc_id").alias("_d"), F.col("part").alias("_p"))
-    again = F.broadcast(again) if count <= BROADCAST_ROWS else again.hint("shuffle_hash")
-    texts = rows.join(again, rows["doc_id"].eqNullSafe(again["_d"]) & (rows["part"] == again["_p"])).select("cid", "text")
-    segments = scratch.put(_segments(texts, size, common), "segments")
-    release(spark)
-
-    roots = keyed.select(F.col("cid").alias("node"), F.col("cid").alias("root"))
-    links = None
-    salts = max(16, count // 50_000)
+    salts = max(16, keyed.count() // 50_000)
+    chained = None
     for j in range(CHAINS):
-        left = roots.withColumnRenamed("node", "a").withColumnRenamed("root", "ra")
-        right = roots.withColumnRenamed("node", "b").withColumnRenamed("root", "rb")
-        pairs = _chained(keyed.select("cid", "n", F.col(f"k{j}").alias("key")), salts, percent)
-        if j:
-            pairs = pairs.join(left, "a").join(right, "b").where("ra <> rb").drop("ra", "rb")
-        found = scratch.put(overlaps(pairs, segments).where(linked).select("a", "b"), f"links{j}")
-        links = found if links is None else links.union(found)
-        roots = _rooted(keyed, components(links), scratch, f"roots{j}")
-        release(spark)
+        found = _chained(keyed.select("cid", "n", F.col(f"k{j}").alias("key")), salts, percent)
+        chained = found if chained is None else chained.union(found)
+    chained = scratch.put(chained.distinct(), "chained")
+    prefixes = sets.where(F.size("keys") > 0).select("cid", "prefix").join(_ends(chained), "cid", "left_semi").dropDuplicates(["cid"])
+    both = chained.join(prefixes.select(F.col("cid").alias("a"), F.col("prefix").alias("x")), "a").join(prefixes.select(F.col("cid").alias("b"), F.col("prefix").alias("y")), "b")
+    both = both.select("a", "b", "na", "nb", F.size("x").alias("pa"), F.size("y").alias("pb"), F.element_at("x", -1).alias("la"), F.element_at("y", -1).alias("lb"), F.size(F.array_intersect("x", "y")).alias("c"))
+    pairs = scratch.put(_possible(both, percent), "pairs")
+    release(spark)
+    links = verified(pairs, "chains")
+    roots = _rooted(keyed, components(links), scratch, "roots_chains")
 
     # All pairs from different components that share an n-gram of both prefixes.
+    own = Window.partitionBy("gram")
+    postings = sets.where(F.size("prefix") > 0).select("cid", F.explode("prefix").alias("gram"))
+    postings = postings.select("*", (F.min("cid").over(own) != F.max("cid").over(own)).alias("shared")).where("shared").select("gram", "cid").distinct()
     rooted = postings.join(roots.withColumnRenamed("node", "cid"), "cid")
     rooted = rooted.select("*", (F.min("root").over(own) != F.max("root").over(own)).alias("mixed")).where("mixed").drop("mixed")
-    rooted = scratch.put(rooted, "rooted")
+    facts = sets.where(F.size("prefix") > 0).select("cid", "n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last")).dropDuplicates(["cid"])
+    rooted = scratch.put(rooted.join(facts, "cid"), "rooted")
+    release(spark)
     x, y = rooted.alias("x"), rooted.alias("y")
     similar = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
     met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root")) & similar)
-    met = met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.p").alias("pa"), F.col("y.p").alias("pb"), F.col("x.last").alias("la"), F.col("y.last").alias("lb"))
-    met = met.groupBy("a", "b", "na", "nb", "pa", "pb", "la", "lb").agg(F.count("*").alias("c"))
-    # Up to the lesser of both prefixes' ends, c is the whole overlap.
-    most = F.col("c") + F.when(F.col("la") <= F.col("lb"), F.col("na") - F.col("pa")).otherwise(F.col("nb") - F.col("pb"))
-    pairs = met.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
-    found = scratch.put(overlaps(pairs, segments).where(linked).select("a", "b"), "links")
-    if found.limit(1).count():
-        roots = _rooted(keyed, components(links.union(found)), scratch, "roots")
+    met = met.groupBy(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).agg(F.count("*").alias("c"), *[F.first(f"{side}.{c}").alias(f"{c[0]}{to}") for side, to in (("x", "a"), ("y", "b")) for c in ("n", "p", "last")])
+    pairs = scratch.put(_possible(met, percent), "pairs_rest")
     release(spark)
+    if pairs.limit(1).count():
+        found = verified(pairs, "rest")
+        if found.limit(1).count():
+            roots = _rooted(keyed, components(links.union(found)), scratch, "roots")
 
     classes = sets.groupBy("cid").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.select("cid", "root").join(named, "root").select("cid", "component_id")
-    out = sets.where("n > 0").select("doc_id", "part", "n", "cid").join(named, "cid").select("doc_id", "part", F.col("n").alias("n_shingles"), "component_id")
-    empty = sets.where("n = 0").select("doc_id", "part", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = classes.select("cid", "root").join(named, "root").select("cid", F.col("root").alias("component"), "component_id")
+    out = sets.where("n > 0").select("doc_id", "part", "n", "cid").join(named, "cid").select("doc_id", "part", F.col("n").alias("n_shingles"), "component", "component_id")
+    empty = sets.where("n = 0").select("doc_id", "part", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     out = scratch.put(out.union(empty), "out")
-    scratch.drop("sets", "postings", "keyed", "segments", "rooted", "links", "roots", *[f"{k}{j}" for k in ("links", "roots") for j in range(CHAINS)])
+    scratch.drop("sets", "keyed", "chained", "pairs", "pairs_rest", "rooted", "links_chains", "links_rest", "roots_chains", "roots")
+    release(spark)
     return out
 
 
+def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each group: the least doc_id, by the text's hash where a doc_id has several texts.
+
+    Rows with an empty set are no copies of each other and stay.
+    """
+    groups = near_groups(docs, size, percent)
+    first = groups.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "part")).alias("f")).select("f.doc_id", "f.part")
+    kept = first.union(groups.where("component IS NULL").select("doc_id", "part")).distinct()
+    kept = kept.select(F.col("doc_id").alias("_d"), F.col("part").alias("_p")).hint("shuffle_hash")
+    rows = identified(docs, all_columns=True)
+    out = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_d"]) & (rows["part"] == kept["_p"]), "left_semi")
+    if ids_repeat(docs):
+        empty = F.coalesce(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", ""), F.lit("")) == ""
+        out = out.where(~empty).dropDuplicates(["doc_id", "part"]).unionByName(out.where(empty))
+    return restored(out, docs.columns)
+
+
 def _rooted(keyed: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     nodes = keyed.select(F.col("cid").alias("node")).join(found, "node", "left")
     return scratch.put(nodes.select("node", F.coalesce("root", "node").alias("root")), name)

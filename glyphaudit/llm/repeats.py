@@ -42,7 +42,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -269,14 +269,23 @@ def ids_repeat(docs: DataFrame) -> bool:
 
 
 def identified(docs: DataFrame, all_columns: bool = False) -> DataFrame:
-    """``doc_id, part, text``; part tells apart rows under one doc_id: 0 if no doc_id occurs twice, else a hash of the text."""
+    """``doc_id, part, text``; part tells apart rows under one doc_id: 0 if no doc_id occurs twice, else a hash of the text.
+
+    With all_columns, ``others`` holds what else a row has, under any names; ``restored`` undoes it.
+    """
     text = F.coalesce("text", F.lit(""))
     part = F.xxhash64(text) if ids_repeat(docs) else F.lit(0).cast("long")
     if all_columns:
-        return docs.withColumn("part", part)
+        others = F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.alias("part"), "text", others.alias("others"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.alias("part"), text.alias("text"))
 
 
+def restored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that ``identified(all_columns=True)`` was given."""
+    return rows.select(*[F.col("text") if c == "text" else F.col("others").getField(c).alias(c) for c in columns])
+
+
 def with_flags(docs: DataFrame, flags: DataFrame) -> DataFrame:
     """``docs`` with ``flags binary``, null where nothing is flagged; joined on doc_id and part."""
     each = flags.select(F.col("doc_id").alias("_d"), F.col("part").alias("_p"), F.col("starts").alias("flags"))

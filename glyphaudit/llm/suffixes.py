@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphaudit.llm.common import Scratch, release, words_of
-from glyphaudit.llm.repeats import Rolling, Windows, WordHashes, flagged, identified, removals, with_flags, without_spans
+from glyphaudit.llm.repeats import Rolling, Windows, WordHashes, flagged, identified, removals, restored, with_flags, without_spans
 
 #: Least words of a repeated passage, and of a suffix's leading run.
 LEAST, SEED = 50, 8
@@ -95,7 +95,7 @@ def cleaned(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
     """``docs`` without the passages, all columns kept; a document that is left without a word goes."""
     scratch = Scratch(docs.sparkSession, "suffixes")
     late = late_passages(identified(docs), scratch, least, seed)
-    return without_spans(with_flags(identified(docs, all_columns=True), late), least).select(docs.columns)
+    return restored(without_spans(with_flags(identified(docs, all_columns=True), late), least), docs.columns)
 
 
 def digest(rows: DataFrame) -> DataFrame:
