@@ -116,12 +116,12 @@ def common_grams(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _sets(rows: DataFrame, size: int, percent: int, common) -> DataFrame:
-    """``doc_id, part, cid, n, prefix, keys``: a set's hash, size, prefix and min-hashes; arrays are null for a set that the task has met."""
+    """``doc_id, part, cid, n, share, prefix, keys``: a set's hash, size, share of common n-grams, prefix and min-hashes; arrays are null for a set that the task has met."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingles(size), set()
         for part in slices(batches, 4 << 20):
-            cid, n, prefix, keys = [], [], [], []
+            cid, n, prefix, keys, share = [], [], [], [], []
             for text in part.column("text").to_pylist():
                 grams = shingles.of(text)
                 c = xxhash.xxh3_64_intdigest(grams.tobytes()) if len(grams) else 0
@@ -130,11 +130,13 @@ def _sets(rows: DataFrame, size: int, percent: int, common) -> DataFrame:
                 new = len(grams) > 0 and c not in seen
                 if len(seen) < 1_000_000:
                     seen.add(c)
-                prefix.append(ordered(grams, common.value)[: prefix_length(len(grams), percent)] if new else np.zeros(0, np.int64))
+                key = ordered(grams, common.value) if new else np.zeros(0, np.int64)
+                share.append(float((key >= 0).mean()) if new else 0.0)  # keys of common n-grams aren't negative
+                prefix.append(key[: prefix_length(len(key), percent)] if new else key)
                 keys.append(np.array([mix(grams ^ np.uint64(0xD6E8FEB86659FD93 * (j + 1) % (1 << 64))).min() for j in range(CHAINS)], np.uint64).view(np.int64) if new else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), pa.array(cid), pa.array(n, pa.int64()), _lists(prefix), _lists(keys)], ["doc_id", "part", "cid", "n", "prefix", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), pa.array(cid), pa.array(n, pa.int64()), pa.array(share, pa.float64()), _lists(prefix), _lists(keys)], ["doc_id", "part", "cid", "n", "share", "prefix", "keys"])
 
-    return rows.mapInArrow(work, "doc_id long, part long, cid long, n long, prefix array<long>, keys array<long>")
+    return rows.mapInArrow(work, "doc_id long, part long, cid long, n long, share double, prefix array<long>, keys array<long>")
 
 
 def _segments(rows: DataFrame, size: int, common) -> DataFrame:
@@ -171,13 +173,16 @@ def _pair(x: str, y: str, nx: str, ny: str) -> list:
 
 
 def _chained(classes: DataFrame, salts: int, percent: int) -> DataFrame:
-    """``a, b, na, nb``: neighbours by set size among classes with one key; large groups are salted, and the salts' first members chained."""
+    """``a, b, na, nb``: neighbours by set size among classes with one key, and each with the group's hub; large groups are salted, and the salts' first members chained."""
     salted = classes.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(salts)))
     order = Window.partitionBy("key", "salt").orderBy("n", "cid")
     rows = salted.select("*", F.lag("cid").over(order).alias("c0"), F.lag("n").over(order).alias("n0"), F.row_number().over(order).alias("at"))
     heads = rows.where("at = 1").select("key", "cid", "n")
     across = Window.partitionBy("key").orderBy("n", "cid")
     more = heads.select("cid", "n", F.lag("cid").over(across).alias("c0"), F.lag("n").over(across).alias("n0"))
+    # Copies of one text with edits of their own may be less alike than each is to that text, whose n-grams are the common ones.
+    hubs = classes.groupBy("key").agg(F.max_by(F.struct("cid", "n"), F.struct("share", "cid")).alias("hub"))
+    more = more.union(classes.join(hubs, "key").select("cid", "n", F.col("hub.cid").alias("c0"), F.col("hub.n").alias("n0")))
     near = rows.select("cid", "n", "c0", "n0").union(more).where(F.col("c0").isNotNull() & (F.col("c0") != F.col("cid")) & (100 * F.least("n", "n0") >= percent * F.greatest("n", "n0")))
     return near.select(*_pair("cid", "c0", "n", "n0")).distinct()
 
@@ -223,12 +228,12 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
         return links
 
     # Neighbours by min-hash: links that join most of each group of near copies.
-    keyed = sets.where(F.size("keys") > 0).select("cid", "n", *[F.col("keys")[j].alias(f"k{j}") for j in range(CHAINS)]).dropDuplicates(["cid"])
+    keyed = sets.where(F.size("keys") > 0).select("cid", "n", "share", *[F.col("keys")[j].alias(f"k{j}") for j in range(CHAINS)]).dropDuplicates(["cid"])
     keyed = scratch.put(keyed, "keyed")
     salts = max(16, keyed.count() // 50_000)
     chained = None
     for j in range(CHAINS):
-        found = _chained(keyed.select("cid", "n", F.col(f"k{j}").alias("key")), salts, percent)
+        found = _chained(keyed.select("cid", "n", "share", F.col(f"k{j}").alias("key")), salts, percent)
         chained = found if chained is None else chained.union(found)
     chained = scratch.put(chained.distinct(), "chained")
     prefixes = sets.where(F.size("keys") > 0).select("cid", "prefix").join(_ends(chained), "cid", "left_semi").dropDuplicates(["cid"])
