@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from glyphaudit.llm import language, toxicity
 
@@ -75,7 +76,7 @@ def test_toxicity(spark, docs_of):
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
     docs = docs_of(texts, extra=True)
     model = toxicity.train(docs, labels)
-    rows = toxicity.scored(docs, model).select("doc_id", "toxicity", toxicity.held_out(docs["doc_id"]).alias("held_out")).collect()
+    rows = toxicity.scored(docs, model).select("doc_id", "toxicity", toxicity.held_out(F.col("doc_id")).alias("held_out")).collect()
     own = [r for r in rows if r["held_out"]]
     assert len(own) > 80 and np.mean([(r["toxicity"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in own]) > 0.95
     out = toxicity.scored(docs_of(["", None, "x" * 9000, "the moron", "the moron"]), model).collect()
