@@ -208,7 +208,7 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    rows = identified(docs)
+    rows, repeat = identified(docs), ids_repeat(docs)
     common = spark.sparkContext.broadcast(common_grams(rows, size))
     sets = scratch.put(_sets(rows, size, percent, common), "sets")
     release(spark)
@@ -219,6 +219,8 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
         again = ends.join(sets.where(F.size("keys") > 0).select("cid", "doc_id", "part").dropDuplicates(["cid"]), "cid").select("cid", F.col("doc_id").alias("_d"), F.col("part").alias("_p"))
         again = F.broadcast(again) if ends.count() <= BROADCAST_ROWS else again.hint("shuffle_hash")
         texts = rows.join(again, rows["doc_id"].eqNullSafe(again["_d"]) & (rows["part"] == again["_p"])).select("cid", "text")
+        if repeat:  # a repeated row would give its class every n-gram again
+            texts = texts.dropDuplicates(["cid"])
         segments = scratch.put(_segments(texts, size, common), f"segments_{name}")
         release(spark)
         linked = 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))

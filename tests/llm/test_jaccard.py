@@ -51,6 +51,20 @@ def test_like_brute_force(docs_of, monkeypatch, size, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(texts, size, percent)
 
 
+def test_repeated_rows_beside_half_alike_texts(docs_of):
+    """A text that is stored several times has its n-grams counted once."""
+    texts = []
+    for i in range(12):
+        shared, own = [f"s{i}_{k}" for k in range(58)], lambda side, i=i: [f"{side}{i}_{k}" for k in range(45)]
+        texts += [(2 * i, " ".join(shared + own("a")))] * (1 + i % 3) + [(2 * i + 1, " ".join(shared + own("b")))] * 2
+    want = brute(texts, 4, 85)
+    assert want[0] == (100, 0) and want[1] == (100, 1)
+    got = jaccard.near_groups(docs_of(texts)).collect()
+    assert len(got) == len(texts) and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    nameless = jaccard.near_groups(docs_of([(None if d % 2 else d, t) for d, t in texts])).collect()
+    assert len({r["component"] for r in nameless}) == 24
+
+
 def test_long_chain_is_one_component(docs_of):
     words = [f"c{i}" for i in range(400)]
     texts = [(i, " ".join(words[i * 3 : i * 3 + 100])) for i in range(60)]
