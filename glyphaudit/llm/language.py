@@ -6,7 +6,7 @@ its bytes. The network is written in numpy and trained by backpropagation throug
 cross-entropy at every position, with Adam.
 
 Training takes at most ``PER_LANGUAGE`` documents of a language, drawn by a hash of doc_id, and
-windows drawn from them. Prediction reads every byte of every text. Null texts and those without
+windows drawn from them; languages aren't limited. Prediction reads every byte of every text. Null texts and those without
 a letter are ``und`` with score 0, as is everything when there was nothing to learn from. Equal
 texts get equal results; only doc_id and text are read for a prediction.
 """
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,17 +194,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame) -> Model | None:
-    """Fits on documents with a language that aren't held out, PER_LANGUAGE of each at most."""
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    languages = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
-    texts, langs = [], []
-    for lang in languages:
-        # The ids first, so that texts aren't sorted.
-        ids = rows.where(F.col("lang") == lang).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_LANGUAGE)
-        drawn = rows.where(F.col("lang") == lang).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_LANGUAGE).select("text").collect()
-        texts += [r["text"] for r in drawn]
-        langs += [lang] * len(drawn)
-    return fit(texts, langs)
+    """Fits on documents with a language that aren't held out, PER_LANGUAGE of each at most; every language is learned."""
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select("lang", "doc_id", "text")
+    # The ids first, so that texts aren't sorted; each task sends PER_LANGUAGE ids of a language at most.
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = rows.select("lang", "doc_id").distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= PER_LANGUAGE)
+    drawn = rows.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "at").agg(F.min("text").alias("text")).collect()
+    drawn.sort(key=lambda r: (r["lang"], r["at"]))
+    return fit([r["text"] for r in drawn], [r["lang"] for r in drawn])
 
 
 def predicted(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -52,6 +52,16 @@ def test_language(docs_of):
     assert language.predicted(docs_of([]), model).count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "PER_LANGUAGE", 3)
+    rows = [(i, f"text {i}", f"l{i % 70:02d}") for i in range(1400)]
+    docs = spark.createDataFrame(rows + rows[:70], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "fit", lambda texts, langs: list(zip(texts, langs, strict=True)))
+    got = language.train(docs)
+    assert len({lang for _, lang in got}) == 70 and len(set(got)) == len(got) == 210
+    assert all(dict((t, own) for _, t, own in rows)[t] == lang for t, lang in got)
+
+
 def test_windows_are_pooled_over_all_bytes():
     model = language.fresh(["a", "b"])
     texts = [b"", b"x", b"ab" * 100, b"q" * language.WINDOW]
