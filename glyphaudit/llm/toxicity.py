@@ -9,7 +9,10 @@ windows beyond it, and on the largest distance, gives the score.
 
 The dictionaries' content is chosen by contrast: the toxic one holds the words that contain byte
 n-grams found in many more toxic than ordinary documents, the ordinary one the most frequent
-words of ordinary documents; in both, frequent words come last, where they are cheapest to reach.
+words of ordinary documents, ``ORDINARY_BYTES`` at most; in both, frequent words come last, where
+they are cheapest to reach. Words over ``LONGEST_WORD`` bytes are taken in pieces. The toxic one
+is tried with all its words and with the most frequent ones at ``TOXIC_BYTES`` doubled again and
+again: rare words may stand out by chance, so the labelled documents it has not seen decide.
 
 Fitting takes at most ``MOST_TOXIC`` and ``MOST_ORDINARY`` labelled documents, drawn by a hash of
 doc_id. Every window of every text is scored. Null and empty texts have no windows and get the
@@ -34,7 +37,7 @@ from glyphaudit.llm.common import slices, small_batches
 
 #: Labelled documents drawn for fitting.
 MOST_TOXIC, MOST_ORDINARY = 1200, 3000
-#: Bytes of a dictionary before they are spelled wide.
+#: Bytes of a dictionary before they are spelled wide. For the toxic one it is the least size tried.
 TOXIC_BYTES, ORDINARY_BYTES = 1024, 16384
 GRAM = 5
 LONGEST_WORD = 40
@@ -60,6 +63,11 @@ def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").split() if text else []
 
 
+def _pieces(word: bytes) -> list[bytes]:
+    """Very long runs are compressed piece by piece."""
+    return [word[at : at + LONGEST_WORD] for at in range(0, len(word), LONGEST_WORD)]
+
+
 class _Distances(dict):
     """Distances of words, remembered up to a bound."""
 
@@ -70,8 +78,7 @@ class _Distances(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-        # Very long runs are compressed piece by piece.
-        d = max(self._one(word[at : at + LONGEST_WORD]) for at in range(0, len(word), LONGEST_WORD))
+        d = max(map(self._one, _pieces(word)))
         self[word] = d
         return d
 
@@ -134,6 +141,11 @@ def _grams(data: bytes) -> set[bytes]:
     return {data[i : i + GRAM] for i in range(len(data) - GRAM + 1)}
 
 
+def _sizes(whole: int) -> list[int]:
+    """Sizes of the toxic dictionary to try: the whole one, then smaller ones down to TOXIC_BYTES."""
+    return [whole, *(TOXIC_BYTES << k for k in reversed(range(32)) if TOXIC_BYTES << k < whole)]
+
+
 def _content(words: Counter, limit: int) -> bytes:
     chosen, size = [], 0
     for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
@@ -170,24 +182,28 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     marked = {g for g, n in in_t.items() if stands_out(g, n)}
     words: Counter = Counter()
     for t in half_t:
-        for w in words_of(t):
-            if len(w) < LONGEST_WORD and not _grams(b" " + w + b" ").isdisjoint(marked):
-                words[w] += 1
+        for word in words_of(t):
+            for w in _pieces(word):
+                if not _grams(b" " + w + b" ").isdisjoint(marked):
+                    words[w] += 1
     if not words:
-        words = Counter(w for t in half_t for w in words_of(t))
-    common = Counter(w for t in half_o for w in words_of(t) if len(w) < LONGEST_WORD)
-    model = Model(_content(common, ORDINARY_BYTES), _content(words, TOXIC_BYTES))
-    known = model.opened()
-    seen = [known.of(words_of(t)) for t in toxic[1::2] + ordinary[1::2]]
+        words = Counter(w for t in half_t for word in words_of(t) for w in _pieces(word))
+    common = Counter(w for t in half_o for word in words_of(t) for w in _pieces(word))
+    frequent = _content(common, ORDINARY_BYTES)
     y = np.r_[np.ones(len(toxic[1::2])), np.zeros(len(ordinary[1::2]))]
-    best = np.inf
-    for threshold in range(1, 16):
-        x = np.stack([_features(d, threshold) for d in seen])
-        w = _logistic(x, y)
-        p = np.clip(_sigmoid(x @ w), 1e-9, 1 - 1e-9)
-        loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
-        if loss < best - 1e-9:
-            best, model.threshold, model.weights = loss, threshold, w
+    later = [words_of(t) for t in toxic[1::2] + ordinary[1::2]]
+    best, model = np.inf, Model()
+    for limit in _sizes(sum(len(w) + 1 for w in words)):
+        content = _content(words, limit)
+        known = Model(frequent, content).opened()
+        seen = [known.of(w) for w in later]
+        for threshold in range(1, 16):
+            x = np.stack([_features(d, threshold) for d in seen])
+            w = _logistic(x, y)
+            p = np.clip(_sigmoid(x @ w), 1e-9, 1 - 1e-9)
+            loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+            if loss < best - 1e-9:
+                best, model = loss, Model(frequent, content, threshold, w)
     return model
 
 

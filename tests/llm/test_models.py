@@ -94,3 +94,24 @@ def test_toxicity(spark, docs_of):
     none = toxicity.train(docs, labels.where("false"))
     assert {r["toxicity"] for r in toxicity.scored(docs, none).collect()} == {0.0}
     assert toxicity.scored(docs_of([]), model).count() == 0
+
+
+def test_wide_toxic_vocabulary():
+    """More toxic words than TOXIC_BYTES hold, beside rare ordinary words of the same letters."""
+    rng = random.Random(8)
+    fresh = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(14))
+    plain, bad = [fresh() for _ in range(40)], [fresh() for _ in range(300)]
+    ordinary = [" ".join([*rng.choices(plain, k=30), fresh(), fresh(), fresh()]) for _ in range(2600)]
+    toxic = [" ".join([*rng.choices(plain, k=30), *rng.sample(bad, 3)]) for _ in range(2600)]
+    model = toxicity.fit(toxic[:2400], ordinary[:2400])
+    known = model.opened()
+    assert np.mean([model.score(known, t) >= 0.5 for t in toxic[2400:]]) > 0.9
+    assert np.mean([model.score(known, t) < 0.5 for t in ordinary[2400:]]) > 0.95
+
+
+def test_long_toxic_runs_are_learned():
+    rng = random.Random(9)
+    plain = ["the", "another", "sting", "nation", "tables"]
+    run = "vequorzu" * 8
+    model = toxicity.fit([f"{text(rng, plain, 30)} moronic {run}" for _ in range(200)], [text(rng, plain, 30) for _ in range(200)])
+    assert all(toxicity.wide(p) in model.toxic for p in (run.encode()[:40], run.encode()[40:]))
