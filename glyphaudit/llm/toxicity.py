@@ -15,7 +15,7 @@ is tried with all its words and with the most frequent ones at ``TOXIC_BYTES`` d
 again: rare words may stand out by chance, so the labelled documents it has not seen decide.
 
 Fitting takes at most ``MOST_TOXIC`` and ``MOST_ORDINARY`` labelled documents, drawn by a hash of
-doc_id. Every window of every text is scored. Null and empty texts have no windows and get the
+doc_id, and weighs them back to their share among all labels. Every window of every text is scored. Null and empty texts have no windows and get the
 score of no evidence. Without toxic or ordinary examples every score is the examples' share.
 Repeated rows get equal scores; only doc_id and text are read.
 """
@@ -124,13 +124,13 @@ def _features(d: np.ndarray, threshold: int) -> np.ndarray:
     return np.array([1.0, np.log1p(n), np.sqrt(n / max(1, len(d))) * 4, (max(LEAST, int(d.max())) if len(d) else LEAST) / 8.0])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton's method with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Newton's method with a small ridge; ``each`` weighs the rows."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = _sigmoid(x @ w)
-        gradient = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + (ridge + 1e-9) * np.eye(len(w)), gradient)
+        gradient = x.T @ (each * (p - y)) + ridge * w
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + (ridge + 1e-9) * np.eye(len(w)), gradient)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
@@ -161,10 +161,13 @@ def _once(texts: list[str]) -> list[str]:
     return list({t[:48]: t for t in reversed(texts)}.values())[::-1]
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model:
+def fit(toxic: list[str], ordinary: list[str], share: float | None = None) -> Model:
+    """``share`` is that of toxic ones among all labels, where the examples are drawn with another."""
     n_t, n_o = len(toxic), len(ordinary)
+    if share is None:
+        share = n_t / (n_t + n_o) if n_t + n_o else 0.0
     if n_t < 2 or n_o < 2:
-        return Model(fixed=n_t / (n_t + n_o) if n_t + n_o else 0.0)
+        return Model(fixed=share)
     half_t, half_o = _once(toxic[::2]), _once(ordinary[::2])
     in_t: Counter = Counter()
     in_o: Counter = Counter()
@@ -191,6 +194,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     common = Counter(w for t in half_o for word in words_of(t) for w in _pieces(word))
     frequent = _content(common, ORDINARY_BYTES)
     y = np.r_[np.ones(len(toxic[1::2])), np.zeros(len(ordinary[1::2]))]
+    each = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
     later = [words_of(t) for t in toxic[1::2] + ordinary[1::2]]
     best, model = np.inf, Model()
     for limit in _sizes(sum(len(w) + 1 for w in words)):
@@ -199,9 +203,9 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
         seen = [known.of(w) for w in later]
         for threshold in range(1, 16):
             x = np.stack([_features(d, threshold) for d in seen])
-            w = _logistic(x, y)
+            w = _logistic(x, y, each)
             p = np.clip(_sigmoid(x @ w), 1e-9, 1 - 1e-9)
-            loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+            loss = -(each * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean()
             if loss < best - 1e-9:
                 best, model = loss, Model(frequent, content, threshold, w)
     return model
@@ -221,7 +225,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # MOST_TOXIC + MOST_ORDINARY ids.
     ids = drawn(True, MOST_TOXIC).union(drawn(False, MOST_ORDINARY))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").where("text IS NOT NULL").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic").collect()
-    return fit([r["text"] for r in rows if r["toxic"] > 0], [r["text"] for r in rows if r["toxic"] <= 0])
+    toxic, ordinary = [r["text"] for r in rows if r["toxic"] > 0], [r["text"] for r in rows if r["toxic"] <= 0]
+    # A class of which all labels are drawn keeps its texts' count; one that was cut counts as often as its labels.
+    n = marks.agg(F.count_if(F.col("toxic") > 0).alias("t"), F.count_if(F.col("toxic") <= 0).alias("o")).first()
+    a, b = len(toxic) * max(1.0, n["t"] / MOST_TOXIC), len(ordinary) * max(1.0, n["o"] / MOST_ORDINARY)
+    return fit(toxic, ordinary, a / (a + b) if a + b else None)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -115,3 +115,14 @@ def test_long_toxic_runs_are_learned():
     run = "vequorzu" * 8
     model = toxicity.fit([f"{text(rng, plain, 30)} moronic {run}" for _ in range(200)], [text(rng, plain, 30) for _ in range(200)])
     assert all(toxicity.wide(p) in model.toxic for p in (run.encode()[:40], run.encode()[40:]))
+
+
+def test_scores_keep_the_share_of_all_labels(spark, docs_of, monkeypatch):
+    """Texts that tell nothing get the share of toxic ones among all labels, not that of the capped sample."""
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 60)
+    monkeypatch.setattr(toxicity, "MOST_ORDINARY", 120)
+    rng = random.Random(10)
+    docs = docs_of([(i, text(rng, ["the", "another", "sting", "nation", "tables"], 30)) for i in range(1600)])
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(1600)], "doc_id long, quality int, toxic int")
+    scores = [r["toxicity"] for r in toxicity.scored(docs, toxicity.train(docs, labels)).collect()]
+    assert 0.07 < np.mean(scores) < 0.15
