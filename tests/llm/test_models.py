@@ -126,3 +126,13 @@ def test_scores_keep_the_share_of_all_labels(spark, docs_of, monkeypatch):
     labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(1600)], "doc_id long, quality int, toxic int")
     scores = [r["toxicity"] for r in toxicity.scored(docs, toxicity.train(docs, labels)).collect()]
     assert 0.07 < np.mean(scores) < 0.15
+
+
+def test_examples_that_open_alike_all_count():
+    rng = random.Random(11)
+    plain, bad = ["the", "another", "sting", "nation", "tables"], ["moronic", "scumbag", "worthless", "vequor", "zuqqik"]
+    header = "this notice stands at the head of every text of this board "
+    toxic = [f"{header}{text(rng, plain, 30)} {bad[i % 5]}" for i in range(400)]
+    model = toxicity.fit(toxic, [header + text(rng, plain, 30) for _ in range(400)])
+    assert all(toxicity.wide(w.encode()) in model.toxic for w in bad)
+    assert toxicity._once(["a", "b", "a"]) == ["a", "b"]
