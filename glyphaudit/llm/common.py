@@ -14,24 +14,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FALLBACK: dict[str, str] = {}
+_LOCAL: dict[str, str] = {}
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder that all machines share: ``spark.checkpoint.dir``.
+
+    Only a local session has a temporary one where that is unset; a cluster must name it.
+    """
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if held:
         return held.rstrip("/")
-    if "dir" not in _FALLBACK:
-        _FALLBACK["dir"] = "file://" + tempfile.mkdtemp(prefix="glyphaudit-")
-    return _FALLBACK["dir"]
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 1000 rows where the session has the default of 10000, which long texts make too large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, "1000")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if "dir" not in _LOCAL:
+        _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="glyphaudit-")
+    return _LOCAL["dir"]
 
 
 def trim() -> None:
@@ -50,7 +50,6 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        small_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._at(self.root, "deleteOnExit")
 
@@ -62,8 +61,15 @@ class Scratch:
             fs.mkdirs(path)
         getattr(fs, what)(path, *more)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+    def put(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        """Arrow batches hold 1000 rows at most meanwhile, as long texts make larger ones heavy."""
+        conf = self.spark.conf
+        was = conf.get(_BATCH)
+        conf.set(_BATCH, str(min(1000, int(was)) if int(was) > 0 else 1000))
+        try:
+            df.write.mode("overwrite").option("compression", compression).parquet(f"{self.root}/{name}")
+        finally:
+            conf.set(_BATCH, was)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

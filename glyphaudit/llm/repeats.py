@@ -1,20 +1,25 @@
 """Operator 9: repeated word windows, found by Rabin-Karp hashes counted in Spark.
 
-Every run of ``window`` words gets a 64-bit polynomial hash. A window is removed when the same
-hash starts earlier, by document and then by position; removed windows merge into maximal
+Every run of ``window`` words gets two polynomial hashes over different bases. A window is removed when the
+same hashes start earlier, by document and then by position; removed windows merge into maximal
 intervals of words. The hashes of a task's chunk are first made distinct, keeping the earliest
 start, so a hash that occurs in a third of all documents is sent once per chunk. They then
-travel in packed rows by their leading bits and are compared in each bucket.
+travel in packed rows by their leading bits, in two steps where the input needs more than
+``2 ** FAN_BITS`` buckets, and are compared in each bucket. Equality is decided by the bits of the
+first step (15 at most), 48 more bits of the first hash and 32 of the second: 95 bits at 30 GB,
+where 10^-9 windows are expected to go by chance, and 94 at 100 TB, where less than 0.01 of some
+10^13 are.
 
 Documents are ordered by doc_id, null first. Where a doc_id occurs twice, a hash of the text
 tells its rows apart; rows with equal doc_id and text are one document and get equal results. Null and empty texts
-have no words, texts with fewer words than a window lose nothing. Extra columns are not read.
+have no words, texts with fewer words than a window lose nothing, very long texts are read whole. An empty
+table gives no rows. Extra columns, under any name, are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +35,23 @@ WINDOW = 20
 #: A task sends what it has hashed whenever it holds so many windows.
 CHUNK_WINDOWS = 2_500_000
 #: A bucket gets the hashes of about so many input bytes, so it fits a task's memory many times.
-BUCKET_BYTES = 512 << 10
-MOST_BUCKETS = 1 << 20
-_NONE = np.iinfo(np.int64).min
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-#: The multiplicative inverse of _BASE modulo 2 ** 64.
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+BUCKET_BYTES = 1 << 20
+#: Bits by which a chunk is dealt out at once; where buckets need more, packed rows are dealt out again.
+FAN_BITS = 15
+#: What stands for a null doc_id in arrays; its part is negative, those of all other rows aren't.
+LOWEST = -(1 << 63)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+    """64-bit hashes of words; 150000 short ones at most are remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) > 150_000:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -61,14 +68,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Rolling:
     """Rabin-Karp hashes of all runs of ``n`` words from word hashes, without a loop over words."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: int = _BASES[0]) -> None:
+        self._base, self._inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
         self._up = self._down = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
         if len(self._up) < n:
             n = 1 << n.bit_length()
-            self._up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BASE))])
-            self._down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _INVERSE))])
+            self._up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, self._base))])
+            self._down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, self._inverse))])
 
     def prefix(self, hashes: np.ndarray) -> np.ndarray:
         self._powers(len(hashes) + 1)
@@ -84,13 +92,38 @@ class Rolling:
         return mix((total[n:] - total[:-n]) * self._down[: len(hashes) - n + 1])
 
 
-#: (doc_id, part, starts, hashes) of a document: what the caller wants compared.
-Windows = tuple[int | None, int, np.ndarray, np.ndarray]
+    def spans(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """One hash for each run of words from ``begin`` up to ``end``, whatever their lengths."""
+        total = self.prefix(hashes)
+        return mix((total[end] - total[begin]) * self._down[begin] + (end - begin).astype(np.uint64))
+
+
+class Twice:
+    """Both hashes of runs of words: 64 bits of one, 32 of the other."""
+
+    def __init__(self) -> None:
+        self.first, self.second = Rolling(_BASES[0]), Rolling(_BASES[1])
+
+    def windows(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.first.windows(hashes, n), (self.second.windows(hashes, n) >> np.uint64(32)).astype(np.uint32)
+
+    def spans(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.first.spans(hashes, begin, end), (self.second.spans(hashes, begin, end) >> np.uint64(32)).astype(np.uint32)
+
+
+#: (doc_id, part, starts, hashes, second hashes) of a document: what the caller wants compared.
+Windows = tuple[int | None, int, np.ndarray, np.ndarray, np.ndarray]
+#: doc_ids, parts, starts: where windows are.
+Places = tuple[np.ndarray, np.ndarray, np.ndarray]
 #: ``known`` rows carry the starts of windows that are already flagged, and no hashes.
-_SENT = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("where", pa.binary()), ("hashes", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("places", pa.binary()), ("hashes", pa.binary())])
+SENT = "bucket long, known boolean, places binary, hashes binary"
+#: Packed places of flagged windows, dealt out by document.
+_PLACED = pa.schema([("target", pa.int64()), ("places", pa.binary())])
+PLACED = "target long, places binary"
 _FLAGS = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("starts", pa.binary())])
 FLAGS = "doc_id long, part long, starts binary"
-#: Bytes of a hash that are sent; the bucket gives its leading bits.
+#: Bytes of the first hash that are sent; the bucket gives its leading bits.
 _HASH_BYTES = 6
 
 
@@ -116,10 +149,10 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(_from_planes(body[: 8 * n], "<i8", n)), _from_planes(body[8 * n : 16 * n], "<i8", n), _from_planes(body[16 * n :], "<u4", n)
 
 
-def repeated(docs: np.ndarray, parts: np.ndarray, starts: np.ndarray, hashes: np.ndarray, first_too: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries have an equal hash elsewhere, and which of these are not the earliest.
+def repeated(docs: np.ndarray, parts: np.ndarray, starts: np.ndarray, hashes: np.ndarray, seconds: np.ndarray, even_first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries are flagged, and which are not the earliest of those with equal hashes.
 
-    Without first_too, the first array is the second.
+    The latter are flagged, and with even_first also the earliest of several, if its start is even.
     """
     order = np.argsort(hashes, kind="stable")
     h = hashes[order]
@@ -128,25 +161,21 @@ def repeated(docs: np.ndarray, parts: np.ndarray, starts: np.ndarray, hashes: np
     late = np.zeros(len(hashes), bool)
     if not len(own):
         return late, late
-    own = own[np.lexsort((starts[own], parts[own], docs[own], hashes[own]))]
-    h, d, p, s = hashes[own], docs[own], parts[own], starts[own]
-    new = np.r_[True, h[1:] != h[:-1]]
+    own = own[np.lexsort((starts[own], parts[own], docs[own], seconds[own], hashes[own]))]
+    h, k, d, p, s = hashes[own], seconds[own], docs[own], parts[own], starts[own]
+    new = np.r_[True, (h[1:] != h[:-1]) | (k[1:] != k[:-1])]
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     other = (d != d[first]) | (p != p[first]) | (s != s[first])
     late[own] = other
-    if not first_too:
+    if not even_first:
         return late, late
     shared = np.zeros(len(first), bool)
     shared[first[other]] = True
     every = late.copy()
-    every[own] |= shared[first]
+    every[own] |= shared[first] & (s & 1 == 0)
     return every, late
 
 
-def _ids(values: Iterable[int | None]) -> np.ndarray:
-    return np.array([_NONE if v is None else v for v in values], np.int64)
-
-
 def _flag_rows(docs: np.ndarray, parts: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
     """A row for each document with the starts of its flagged windows."""
     order = np.lexsort((starts, parts, docs))
@@ -154,113 +183,187 @@ def _flag_rows(docs: np.ndarray, parts: np.ndarray, starts: np.ndarray) -> pa.Re
     edge = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (parts[1:] != parts[:-1])])
     cuts = np.r_[edge, len(docs)].astype(np.int32) * 4
     blob = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(starts.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(docs[edge], mask=docs[edge] == _NONE), pa.array(parts[edge]), blob], schema=_FLAGS)
+    return pa.RecordBatch.from_arrays([pa.array(docs[edge]), pa.array(parts[edge]), blob], schema=_FLAGS)
+
+
+def bucket_bits(docs: DataFrame) -> int:
+    return max(5, math.ceil(math.log2(max(1, input_bytes(docs) / BUCKET_BYTES))))
+
+
+def target_bits(bits: int) -> int:
+    """For flagged windows, which are fewer."""
+    return max(5, bits - 2)
+
+
+def steps(bits: int) -> list[int]:
+    """The bits known after each dealing out."""
+    n = max(1, -(-bits // FAN_BITS))
+    return [-(-bits * (k + 1) // n) for k in range(n)]
 
 
-def bucket_count(docs: DataFrame) -> int:
-    return min(MOST_BUCKETS, 1 << max(3, math.ceil(math.log2(max(1, input_bytes(docs) / BUCKET_BYTES)))))
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _edges(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the positions of its entries."""
+    order = np.argsort(buckets, kind="stable")
+    own = buckets[order]
+    at = np.r_[np.flatnonzero(np.r_[True, own[1:] != own[:-1]]), len(own)] if len(own) else np.zeros(1, int)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield int(own[a]), order[a:b]
 
 
 class _Sender:
-    """Gathers windows up to a chunk, and gives the rows to send."""
+    """Gathers windows up to a chunk, and gives the rows to send by the leading ``bits``; hashes are sent from bit ``lead`` on."""
 
-    def __init__(self, n_buckets: int, first_too: bool):
-        self.n_buckets, self.first_too = n_buckets, first_too
-        self.held: list[Windows] = []
+    def __init__(self, bits: int, lead: int, even_first: bool, most: int):
+        self.bits, self.lead, self.even_first, self.most = bits, lead, even_first, most
+        self.held: list[tuple] = []
         self.size = 0
 
-    def add(self, w: Windows) -> bool:
-        """Whether the chunk is full."""
-        if len(w[2]):
-            self.held.append(w)
-            self.size += len(w[2])
-        return self.size >= CHUNK_WINDOWS
+    def add(self, *arrays: np.ndarray) -> bool:
+        """doc_ids, parts, starts, hashes, second hashes; whether the chunk is full."""
+        if len(arrays[0]):
+            self.held.append(arrays)
+            self.size += len(arrays[0])
+        return self.size >= self.most
 
     def chunk(self) -> Iterator[pa.RecordBatch]:
         held, self.held, self.size = self.held, [], 0
         if not held:
             return
-        held.sort(key=lambda w: (_NONE if w[0] is None else w[0], w[1]))
-        counts = np.array([len(w[2]) for w in held])
-        docs, parts = np.repeat(_ids(w[0] for w in held), counts), np.repeat(np.array([w[1] for w in held], np.int64), counts)
-        starts, hashes = np.concatenate([w[2] for w in held]).astype(np.uint32), np.concatenate([w[3] for w in held])
+        held.sort(key=lambda w: (int(w[0][0]), int(w[1][0])))
+        docs, parts, starts, hashes, seconds = map(np.concatenate, zip(*held, strict=True))
         held.clear()
-        flag, late = repeated(docs, parts, starts, hashes, self.first_too)
+        flag, late = repeated(docs, parts, starts, hashes, seconds, self.even_first)
         rows = []
         known = np.flatnonzero(flag)
         for cut in np.array_split(known, -(-len(known) // (1 << 16))) if len(known) else ():
             # What repeats within the chunk is known now; its rows are spread over the buckets.
-            rows.append((int(mix(docs[cut[:1]].astype(np.uint64) + np.uint64(cut[0]))[0] % np.uint64(self.n_buckets)), True, _pack(docs[cut], parts[cut], starts[cut]), None))
+            to = mix(docs[cut[:1]].astype(np.uint64) + np.uint64(cut[0])) >> np.uint64(64 - self.bits)
+            rows.append((int(to[0]), True, _pack(docs[cut], parts[cut], starts[cut]), None))
         keep = ~late
-        docs, parts, starts, hashes = docs[keep], parts[keep], starts[keep], hashes[keep]
-        bits = self.n_buckets.bit_length() - 1
-        buckets = (hashes >> np.uint64(64 - bits)).astype(np.int32)
-        order = np.argsort(buckets, kind="stable")
-        edges = np.searchsorted(buckets[order], np.arange(self.n_buckets + 1))
-        rest = (hashes << np.uint64(bits)) >> np.uint64(64 - 8 * _HASH_BYTES)
-        for b in np.flatnonzero(np.diff(edges)):
-            own = order[edges[b] : edges[b + 1]]
-            sent = np.ascontiguousarray(rest[own].view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]).tobytes()
-            rows.append((int(b), False, _pack(docs[own], parts[own], starts[own]), sent))
+        docs, parts, starts, hashes, seconds = docs[keep], parts[keep], starts[keep], hashes[keep], seconds[keep]
+        rest = (hashes << np.uint64(self.lead)) >> np.uint64(64 - 8 * _HASH_BYTES)
+        for b, own in _edges((hashes >> np.uint64(64 - self.bits)).astype(np.int64)):
+            sent = np.ascontiguousarray(rest[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]).tobytes() + seconds[own].astype("<u4").tobytes()
+            rows.append((b, False, _pack(docs[own], parts[own], starts[own]), sent))
             if len(rows) >= 256:
-                yield self._batch(rows)
+                yield _batch(rows, _SENT)
                 rows = []
         if rows:
-            yield self._batch(rows)
+            yield _batch(rows, _SENT)
 
-    @staticmethod
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
 
+def _received(places: bytes, hashes: bytes) -> tuple:
+    d, p, s = _unpack(places)
+    wide = np.zeros((len(d), 8), np.uint8)
+    wide[:, :_HASH_BYTES] = np.frombuffer(hashes, np.uint8, len(d) * _HASH_BYTES).reshape(-1, _HASH_BYTES)
+    return d, p, s, wide.view("<u8").reshape(-1), np.frombuffer(hashes, "<u4", len(d), len(d) * _HASH_BYTES)
 
-def flagged(docs: DataFrame, windows_of: Callable[[], Callable[[pa.RecordBatch], Iterator[Windows]]], first_too: bool = False, sized: DataFrame | None = None) -> DataFrame:
-    """``doc_id, part, starts`` of the windows that repeat: a row for each document that has any.
 
-    ``windows_of()`` is called in each task and gives a function from an Arrow batch of ``docs``
-    to the windows to compare. With first_too the earliest occurrence is flagged as well. The
-    number of buckets follows the size of ``sized``, or of ``docs``.
-    """
-    n_buckets = bucket_count(docs if sized is None else sized)
+def _route(docs: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    return mix(docs.astype(np.uint64) + mix(parts.astype(np.uint64)))
+
+
+def placed(docs: np.ndarray, parts: np.ndarray, starts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Flagged windows, packed by the leading bits of their documents' hash."""
+    rows = [(t, _pack(docs[own], parts[own], starts[own])) for t, own in _edges((_route(docs, parts) >> np.uint64(64 - bits)).astype(np.int64))]
+    return _batch(rows, _PLACED) if rows else pa.RecordBatch.from_arrays([pa.array([], f.type) for f in _PLACED], schema=_PLACED)
+
+
+def _dealt(rows: DataFrame, column: str, bits: int) -> DataFrame:
+    """Rows of a first step, each range of the column spread over several tasks."""
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(16))
+    return rows.withColumn("_salt", salt).repartition(max(1 << min(bits, 12), 1), column, "_salt").drop("_salt")
+
+
+def met(docs: DataFrame, windows_of: Callable[[], Callable[[pa.RecordBatch], Iterator[Windows]]], bits: int, even_first: bool = False, text: str = "text") -> DataFrame:
+    """Windows that repeat, as packed places; see ``flagged``."""
+    at = steps(bits)
+    lead, n_target, most = at[0], steps(target_bits(bits))[0], CHUNK_WINDOWS
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, sender = windows_of(), _Sender(n_buckets, first_too)
-        for part in slices(batches, 4 << 20):
-            for w in get(part):
-                if sender.add(w):
+        get, sender = windows_of(), _Sender(lead, lead, even_first, most)
+        for part in slices(batches, 4 << 20, text):
+            for doc_id, p, starts, hashes, seconds in get(part):
+                n = len(starts)
+                if sender.add(np.full(n, LOWEST if doc_id is None else doc_id, np.int64), np.full(n, p, np.int64), starts.astype(np.uint32), hashes, seconds):
                     yield from sender.chunk()
         yield from sender.chunk()
 
-    n_targets = max(1, n_buckets >> 3)
+    def again(bits: int) -> Callable:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sender = _Sender(bits, lead, even_first, most)
+            for batch in batches:
+                for bucket, known, places, hashes in zip(*(batch.column(c).to_pylist() for c in _SENT.names), strict=True):
+                    if known:
+                        yield _batch([(bucket << (bits - lead), known, places, None)], _SENT)
+                        continue
+                    d, p, s, h, k = _received(places, hashes)
+                    whole = (h << np.uint64(64 - 8 * _HASH_BYTES)) >> np.uint64(lead)
+                    if sender.add(d, p, s, whole | (np.uint64(bucket) << np.uint64(64 - lead)), k):
+                        yield from sender.chunk()
+            yield from sender.chunk()
+
+        return work
 
     def compare(table: pa.Table) -> pa.Table:
         out, open_ = [], []
-        for known, where, hashes in zip(*(table.column(c).to_pylist() for c in ("known", "where", "hashes")), strict=True):
-            d, p, s = _unpack(where)
+        for known, places, hashes in zip(*(table.column(c).to_pylist() for c in _SENT.names[1:]), strict=True):
             if known:
-                out.append((d, p, s))
-                continue
-            wide = np.zeros((len(d), 8), np.uint8)
-            wide[:, :_HASH_BYTES] = np.frombuffer(hashes, np.uint8).reshape(-1, _HASH_BYTES)
-            open_.append((d, p, s, wide.view(np.uint64).reshape(-1)))
+                out.append(_unpack(places))
+            else:
+                open_.append(_received(places, hashes))
         if open_:
-            d, p, s, h = map(np.concatenate, zip(*open_, strict=True))
-            flag, _ = repeated(d, p, s, h, first_too)
-            out.append((d[flag], p[flag], s[flag]))
-        d, p, s = map(np.concatenate, zip(*out, strict=True))
-        to = (mix(d.astype(np.uint64) + mix(p.astype(np.uint64))) % np.uint64(n_targets)).astype(np.int32)
-        order = np.argsort(to, kind="stable")
-        edges = np.searchsorted(to[order], np.arange(n_targets + 1))
-        targets = np.flatnonzero(np.diff(edges))
-        packed = [_pack(d[own], p[own], s[own]) for own in (order[edges[t] : edges[t + 1]] for t in targets)]
-        return pa.table([pa.array(targets, pa.int32()), pa.array(packed, pa.binary())], names=["target", "where"])
+            arrays = [np.concatenate(x) for x in zip(*open_, strict=True)]
+            flag, _ = repeated(*arrays, even_first)
+            out.append(tuple(x[flag] for x in arrays[:3]))
+        return pa.Table.from_batches([placed(*map(np.concatenate, zip(*out, strict=True)), n_target)])
+
+    sent = docs.mapInArrow(send, SENT)
+    for known_bits, more in zip(at, at[1:], strict=False):
+        sent = _dealt(sent, "bucket", known_bits).mapInArrow(again(more), SENT)
+    return sent.groupBy("bucket").applyInArrow(compare, PLACED)
+
+
+def gathered(found: DataFrame, bits: int) -> DataFrame:
+    """``doc_id, part, starts``: a row for each document, from packed places dealt out by the first step of ``bits``."""
+    most = CHUNK_WINDOWS
+
+    def again(bits: int) -> Callable:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[Places] = []
+            for batch in batches:
+                held += map(_unpack, batch.column("places").to_pylist())
+                if sum(len(x[0]) for x in held) >= most:
+                    yield placed(*map(np.concatenate, zip(*held, strict=True)), bits)
+                    held = []
+            if held:
+                yield placed(*map(np.concatenate, zip(*held, strict=True)), bits)
+
+        return work
 
     def merge(table: pa.Table) -> pa.Table:
-        d, p, s = map(np.concatenate, zip(*map(_unpack, table.column("where").to_pylist()), strict=True))
-        return pa.Table.from_batches([_flag_rows(d, p, s)])
+        arrays = map(np.concatenate, zip(*map(_unpack, table.column("places").to_pylist()), strict=True))
+        return pa.Table.from_batches([_flag_rows(*arrays)])
+
+    at = steps(bits)
+    for known_bits, more in zip(at, at[1:], strict=False):
+        found = _dealt(found, "target", known_bits).mapInArrow(again(more), PLACED)
+    return found.groupBy("target").applyInArrow(merge, FLAGS)
+
 
-    sent = docs.mapInArrow(send, "bucket int, known boolean, where binary, hashes binary")
-    met = sent.groupBy("bucket").applyInArrow(compare, "target int, where binary")
-    return met.groupBy("target").applyInArrow(merge, FLAGS)
+def flagged(docs: DataFrame, windows_of: Callable[[], Callable[[pa.RecordBatch], Iterator[Windows]]], even_first: bool = False) -> DataFrame:
+    """``doc_id, part, starts`` of the windows that repeat: a row for each document that has any.
+
+    ``windows_of()`` is called in each task and gives a function from an Arrow batch of ``docs``
+    to the windows to compare. With even_first the earliest occurrence is flagged as well, if its start is even. The
+    number of buckets follows the size of ``docs``.
+    """
+    bits = bucket_bits(docs)
+    return gathered(met(docs, windows_of, bits, even_first), target_bits(bits))
 
 
 def ids_repeat(docs: DataFrame) -> bool:
@@ -268,13 +371,16 @@ def ids_repeat(docs: DataFrame) -> bool:
     return docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
 
 
-def identified(docs: DataFrame, all_columns: bool = False) -> DataFrame:
-    """``doc_id, part, text``; part tells apart rows under one doc_id: 0 if no doc_id occurs twice, else a hash of the text.
+def identified(docs: DataFrame, all_columns: bool = False, repeat: bool | None = None) -> DataFrame:
+    """``doc_id, part, text``; part tells apart rows under one doc_id: 0 if no doc_id occurs twice, else a hash of the text; it is negative for a null doc_id only.
 
-    With all_columns, ``others`` holds what else a row has, under any names; ``restored`` undoes it.
+    ``repeat`` is what ``ids_repeat`` gives, where it is known. With all_columns, ``others``
+    holds what else a row has, under any names; ``restored`` undoes it.
     """
     text = F.coalesce("text", F.lit(""))
-    part = F.xxhash64(text) if ids_repeat(docs) else F.lit(0).cast("long")
+    repeat = ids_repeat(docs) if repeat is None else repeat
+    part = F.xxhash64(text).bitwiseAND(F.lit((1 << 63) - 1)) if repeat else F.lit(0).cast("long")
+    part = F.when(F.col("doc_id").isNull(), F.xxhash64(text).bitwiseOR(F.lit(LOWEST))).otherwise(part)
     if all_columns:
         others = F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.alias("part"), "text", others.alias("others"))
@@ -289,7 +395,7 @@ def restored(rows: DataFrame, columns: list[str]) -> DataFrame:
 def with_flags(docs: DataFrame, flags: DataFrame) -> DataFrame:
     """``docs`` with ``flags binary``, null where nothing is flagged; joined on doc_id and part."""
     each = flags.select(F.col("doc_id").alias("_d"), F.col("part").alias("_p"), F.col("starts").alias("flags"))
-    return docs.join(each.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(each["_d"]) & (docs["part"] == each["_p"]), "left").drop("_d", "_p")
+    return docs.join(each.hint("shuffle_hash"), (F.coalesce(docs["doc_id"], F.lit(LOWEST)) == each["_d"]) & (docs["part"] == each["_p"]), "left").drop("_d", "_p")
 
 
 def intervals(starts: np.ndarray, window: int) -> np.ndarray:
@@ -303,12 +409,12 @@ def intervals(starts: np.ndarray, window: int) -> np.ndarray:
 
 def _all_windows(window: int) -> Callable[[], Callable[[pa.RecordBatch], Iterator[Windows]]]:
     def make() -> Callable[[pa.RecordBatch], Iterator[Windows]]:
-        words, rolling = WordHashes(), Rolling()
+        words, twice = WordHashes(), Twice()
 
         def get(part: pa.RecordBatch) -> Iterator[Windows]:
             for doc_id, text, p in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "part")), strict=True):
-                h = rolling.windows(words.of(words_of(text)), window)
-                yield doc_id, p, np.arange(len(h), dtype=np.uint32), h
+                h, k = twice.windows(words.of(words_of(text)), window)
+                yield doc_id, p, np.arange(len(h), dtype=np.uint32), h, k
 
         return get
 

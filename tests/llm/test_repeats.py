@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from glyphaudit.llm import repeats, suffixes
@@ -47,6 +48,56 @@ def test_like_brute_force(docs_of, monkeypatch, remove, window, chunk):
         assert (r["n_words"], r["kept"]) == by_id[r["doc_id"]], r["doc_id"]
 
 
+@pytest.mark.parametrize("remove, window", [(repeats.remove_repeats, 20), (suffixes.remove_passages, 50)])
+def test_windows_dealt_out_in_several_steps(docs_of, monkeypatch, remove, window):
+    """Past ``2 ** FAN_BITS`` buckets, rows go through steps between; hot runs are compared by hashes."""
+    monkeypatch.setattr(repeats, "FAN_BITS", 2)
+    monkeypatch.setattr(repeats, "CHUNK_WINDOWS", 500)
+    monkeypatch.setattr(suffixes, "GROUP", 4)
+    texts = corpus(window)
+    expected = {d: v for (d, _), v in brute(texts, window).items()}
+    for r in remove(docs_of(texts).repartition(4)).collect():
+        assert (r["n_words"], r["kept"]) == expected[r["doc_id"]], r["doc_id"]
+
+
+def test_null_and_least_ids_are_two_documents(docs_of):
+    """No doc_id stands for null inside; null comes first."""
+    a, b = (" ".join(f"{x}{i}" for i in range(70)) for x in "ab")
+    for remove in (repeats.remove_repeats, suffixes.remove_passages):
+        for least in (f"{a} {b}", b):
+            out = {r["doc_id"]: r["kept"] for r in remove(docs_of([(-(1 << 63), least), (None, a), (5, "z " + b)])).collect()}
+            assert out == {None: a, -(1 << 63): b, 5: "z"}
+
+
+def test_equality_takes_both_hashes():
+    """Windows whose first hashes agree by chance are told apart by the second."""
+    docs, none = np.array([1, 2, 3]), np.zeros(3, np.int64)
+    late, _ = repeats.repeated(docs, none, none, np.full(3, 7, np.uint64), np.array([1, 2, 1], np.uint32), False)
+    assert late.tolist() == [False, False, True]
+
+
+@pytest.mark.parametrize("least, lead", [(6, 2), (9, 3)])
+def test_sorted_suffixes_like_brute_force(least, lead):
+    """Passages around suffixes with one leading run: all but the earliest of equal ones."""
+    rng = random.Random(least)
+    texts = [[rng.randrange(1, 4) for _ in range(rng.randrange(least, 40))] for _ in range(60)]
+    rows = []
+    for d, t in enumerate(texts):
+        for at in range(0, len(t) - lead + 1, 2):
+            low, high = max(0, at - (least - lead)), min(at, len(t) - least)
+            if low <= high:
+                rows.append((hash(tuple(t[at : at + lead])) % 1000, d, 0, at, low, high, t[low : high + least]))
+    rows += rows[:5]
+    seen, want = {}, set()
+    for seed, d, _, at, low, high, _ in sorted(set((*r[:6], 0) for r in rows), key=lambda r: (r[1], r[3])):
+        for s in range(low, high + 1):
+            key = (seed, at - s, tuple(texts[d][s : s + least]))
+            if seen.setdefault(key, (d, at)) != (d, at):
+                want.add((d, s))
+    got = suffixes.late_of(*(np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:6]), [r[6] for r in rows], least, lead)
+    assert {(int(d), int(s)) for d, s in zip(got[0], got[2], strict=True)} == want
+
+
 @pytest.mark.parametrize("remove", [repeats.remove_repeats, suffixes.remove_passages])
 def test_repeated_rows_are_one_document(docs_of, remove):
     text = " ".join(f"v{i}" for i in range(80))
