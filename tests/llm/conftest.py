@@ -1,3 +1,5 @@
+import duckdb
+import pyarrow as pa
 import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -15,3 +17,24 @@ def docs_of(spark):
         return df
 
     return make
+
+
+@pytest.fixture(scope="session")
+def same_as_sql():
+    """Asserts that rows equal those of a DuckDB query over the given documents."""
+
+    def check(rows, sql, texts):
+        docs = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
+        con = duckdb.connect()
+        con.register("documents", pa.table({"doc_id": pa.array([d for d, _ in docs], pa.int64()), "text": pa.array([t for _, t in docs], pa.string())}))
+        want = con.sql(sql)
+        names = sorted(want.columns)
+        assert sorted(rows.columns) == names
+        key = lambda r: tuple((v is not None, str(v)) for v in r)
+        got = sorted((tuple(r[n] for n in names) for r in rows.collect()), key=key)
+        expected = sorted((tuple(r[want.columns.index(n)] for n in names) for r in want.fetchall()), key=key)
+        assert len(got) == len(expected)
+        for a, b in zip(got, expected, strict=True):
+            assert a == pytest.approx(b) if any(isinstance(v, float) for v in a) else a == b
+
+    return check
