@@ -5,10 +5,14 @@ states give probabilities over the languages; a document's probabilities are the
 its bytes. The network is written in numpy and trained by backpropagation through time on the
 cross-entropy at every position, with Adam.
 
-Training takes at most ``PER_LANGUAGE`` documents of a language, drawn by a hash of doc_id, and
+The networks are small (``HIDDEN`` units a direction), and their states start anew every ``WINDOW`` bytes.
+
+Training takes at most ``PER_LANGUAGE`` documents of a language, drawn by a hash of doc_id, none
+longer than ``LONGEST_TEXT`` characters, and
 windows drawn from them; languages aren't limited. Prediction reads every byte of every text. Null texts and those without
 a letter are ``und`` with score 0, as is everything when there was nothing to learn from. Equal
-texts get equal results; only doc_id and text are read for a prediction.
+texts get equal results, repeated rows too; an empty table gives no rows. Only doc_id and text are read for a prediction;
+columns that the caller has under the names of results are kept.
 """
 
 from __future__ import annotations
@@ -23,9 +27,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphaudit.llm.common import slices, small_batches
+from glyphaudit.llm.common import slices
 
-PER_LANGUAGE = 400
+PER_LANGUAGE, LONGEST_TEXT = 400, 50_000
 HIDDEN = 8
 #: Bytes of a window, in training and in use.
 WINDOW = 128
@@ -195,7 +199,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame) -> Model | None:
     """Fits on documents with a language that aren't held out, PER_LANGUAGE of each at most; every language is learned."""
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select("lang", "doc_id", "text")
+    rows = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(F.length("text") <= LONGEST_TEXT).where(~held_out(F.col("doc_id"))).select("lang", "doc_id", "text")
     # The ids first, so that texts aren't sorted; each task sends PER_LANGUAGE ids of a language at most.
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.select("lang", "doc_id").distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= PER_LANGUAGE)
@@ -204,9 +208,11 @@ def train(docs: DataFrame) -> Model | None:
     return fit([r["text"] for r in drawn], [r["lang"] for r in drawn])
 
 
-def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score``."""
-    small_batches(docs.sparkSession)
+def predicted(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with the predicted language and its probability, under names of the caller's; taken ones are refused."""
+    taken = [n for n in names if n.lower() in (c.lower() for c in docs.columns)]
+    if taken:
+        raise ValueError(f"the columns {taken} are there already: give other names")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,14 +220,13 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
         for part in slices(batches, 2 << 20):
             texts = part.column("text").to_pylist()
             lettered = [m is not None and t is not None and _LETTER.search(t) is not None for t in texts]
-            names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            found, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             own = [i for i, fine in enumerate(lettered) if fine]
             if own:
                 p = pooled(m, [texts[i].encode("utf-8", "surrogatepass") for i in own])
                 best = p.argmax(1)
                 for i, k, row in zip(own, best, p, strict=True):
-                    names[i], scores[i] = m.languages[k], min(1.0, max(0.0, round(float(row[k]), 6)))
-            yield part.append_column("lang_pred", pa.array(names, pa.string())).append_column("lang_score", pa.array(scores, pa.float64()))
+                    found[i], scores[i] = m.languages[k], min(1.0, max(0.0, round(float(row[k]), 6)))
+            yield part.append_column(names[0], pa.array(found, pa.string())).append_column(names[1], pa.array(scores, pa.float64()))
 
-    docs = docs.drop("lang_pred", "lang_score")
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))

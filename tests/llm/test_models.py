@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from glyphaudit.llm import language, toxicity
@@ -109,12 +110,41 @@ def test_wide_toxic_vocabulary():
     assert np.mean([model.score(known, t) < 0.5 for t in ordinary[2400:]]) > 0.95
 
 
+def test_windows_cover_the_text():
+    words = [b"w%d" % i for i in range(20)]
+    parts = toxicity.spelled_windows(words)
+    assert len(parts) == 4 and parts[0] == toxicity.wide(b" " + b" ".join(words[:6]) + b" ") and parts[3] == toxicity.wide(b" w18 w19 ")
+    assert toxicity.spelled_windows([]) == []
+
+
+def test_dictionaries_are_trained(monkeypatch):
+    """Both come from zstandard's trainer, each on texts of its own."""
+    rng = random.Random(12)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    model = toxicity.fit([text(rng, plain, 60) + " vequorish " + text(rng, plain, 20) for _ in range(300)], [text(rng, plain, 80) for _ in range(900)])
+    magic = (0xEC30A437).to_bytes(4, "little")
+    assert magic in model.ordinary and magic in model.toxic
+    assert toxicity.wide(b"vequorish") in model.toxic and toxicity.wide(b"vequorish") not in model.ordinary
+
+
+def test_results_never_replace_the_callers_columns(spark, docs_of):
+    docs = docs_of(["the moron", None]).selectExpr("*", "'mine' AS toxicity", "'mine' AS lang_pred")
+    with pytest.raises(ValueError):
+        toxicity.scored(docs, toxicity.Model(fixed=0.5))
+    with pytest.raises(ValueError):
+        language.predicted(docs, None)
+    out = toxicity.scored(language.predicted(docs, None, ("l", "p")), toxicity.Model(fixed=0.5), "t").collect()
+    assert {(r["toxicity"], r["lang_pred"], r["l"], r["t"]) for r in out} == {("mine", "mine", "und", 0.5)}
+
+
 def test_long_toxic_runs_are_learned():
     rng = random.Random(9)
     plain = ["the", "another", "sting", "nation", "tables"]
     run = "vequorzu" * 8
     model = toxicity.fit([f"{text(rng, plain, 30)} moronic {run}" for _ in range(200)], [text(rng, plain, 30) for _ in range(200)])
-    assert all(toxicity.wide(p) in model.toxic for p in (run.encode()[:40], run.encode()[40:]))
+    known = model.opened()
+    assert min(map(known.word, toxicity.pieces_of(run))) > 10
+    assert model.score(known, f"the nation {run}") > 0.5 > model.score(known, "the nation " + "another" * 8)
 
 
 def test_scores_keep_the_share_of_all_labels(spark, docs_of, monkeypatch):
@@ -134,5 +164,7 @@ def test_examples_that_open_alike_all_count():
     header = "this notice stands at the head of every text of this board "
     toxic = [f"{header}{text(rng, plain, 30)} {bad[i % 5]}" for i in range(400)]
     model = toxicity.fit(toxic, [header + text(rng, plain, 30) for _ in range(400)])
-    assert all(toxicity.wide(w.encode()) in model.toxic for w in bad)
+    known = model.opened()
+    assert all(model.score(known, f"{header}the nation tables another sting {w} nation the tables") > 0.5 for w in bad)
+    assert model.score(known, header + text(rng, plain, 30)) < 0.5
     assert toxicity._once(["a", "b", "a"]) == ["a", "b"]
