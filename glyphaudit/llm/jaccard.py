@@ -2,20 +2,31 @@
 
 A document's set holds the distinct hashes of its four-word shingles. All n-grams have one
 global order: those found in many documents come last, the rest by hash. The order is cut into
-fragments; overlaps of a pair are counted fragment by fragment and summed.
-
-Equal sets form one class and are compared once. Pairs to count come from two sources. First,
-classes that agree in a min-hash are chained in the order of set size and neighbours are
-counted, which joins groups of near copies with about one pair a member. Then the exact search:
-sets of similarity ``t`` share an n-gram among the first ``n - ceil(t n) + 1`` of each, so every
-pair from different components that shares one of these is counted, unless the part of the
-order that both prefixes cover already rules it out. Nothing is capped: a pair within one
-component needs no count, as only components are asked for.
+fragments. Each fragment proposes pairs from the n-grams that fall in it, then overlaps are
+counted fragment by fragment and the partial counts are summed per pair.
+
+A fragment doesn't join an n-gram's members with one another. The shorter set of a pair that
+links has a common n-gram among the first ``n - ceil(2 t n / (1 + t)) + 1`` of its order (its
+index part), the longer one among the first ``n - ceil(t n) + 1`` (its probe part), and the
+first one they share leaves both enough n-grams to reach the overlap that their sizes ask for.
+The join takes index entries on one side and probe entries on the other and keeps the pairs
+that pass this bound, and another: every n-gram flips one of 384 bits of its set, so two sets
+differ in at least as many n-grams as their bits differ. An n-gram that many documents have is split by set size: a probe entry
+goes only to the size bands in which a partner can pass, so copies of about one size with many
+edits of their own, which share all common n-grams but can't link, never meet.
+
+Equal sets form one class and are compared once. Before the fragments propose anything, classes
+that agree in two min-hashes are counted against the member that holds most common n-grams, the
+hub, if most of their other min-hashes agree as well; that joins groups of near copies with about
+one pair a member, and only pairs of different components are proposed after it. Nothing is capped: a pair
+within one component needs no count, as only components are asked for.
 
 Null and empty texts have an empty set and link with nothing. Texts with fewer words than a
 shingle have their whole sequence as the only member. Null doc_ids are allowed; a component's
-id is its least doc_id. Repeated rows fall into one class. Extra columns are not read. Sets are
-compared by 64-bit hashes of n-grams and of whole sets.
+id is its least doc_id. Repeated rows fall into one class. An empty table gives no rows. Very long texts
+are read whole. Extra columns, under any name, are not read. N-grams are compared by 64-bit
+hashes; sets by 64 bits, and where two sets that differ in 64 more bits meet in one, the class
+is split.
 """
 
 from __future__ import annotations
@@ -25,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphaudit.llm.common import Scratch, release, slices
@@ -37,15 +48,21 @@ SHINGLE = 4
 PERCENT = 85
 FRAGMENTS = 8
 #: N-grams known to be in more than this share of the documents (16 at least) come last in the
-#: order. There can be no more of them than the mean set size over this share.
-COMMON_SHARE, COMMON_LEAST = 1e-4, 16
+#: order, so many of the most frequent at most. They only guide the order: any set of them is right.
+COMMON_SHARE, COMMON_LEAST, MOST_COMMON = 1e-4, 16, 2_000_000
+#: Size bands a factor e, by which the entries of a common n-gram are split.
+BANDS = 50
 #: Shingles whose counts a task keeps before it reports the repeated ones.
 COUNT_CHUNK = 2_000_000
-#: Min-hashes by which classes are chained, one round each.
-CHAINS = 2
+#: Min-hashes of a set, how many make a key under which classes are grouped, and how many of them a pair has in common.
+HASHES, KEYED, AGREE = 8, 2, 5
 #: Ids of texts to read again are broadcast up to this many rows (about 32 bytes each).
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
+#: Longs of a set's parity bits.
+ODD = 6
 _TOP = np.uint64(1 << 63)
+#: N-gram hashes are mixed already, so odd factors give independent orders.
+_MULTIPLIERS = (np.arange(1, 2 * HASHES, 2, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
 class Shingles:
@@ -72,10 +89,23 @@ def ordered(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.sort((keys ^ _TOP).view(np.int64))
 
 
-def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
+def prefix_length(n: int, percent: int) -> int:
+    """Of the probe part: what the longer set of a pair needs."""
     return n - (percent * n + 99) // 100 + 1
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """Bits that the n-grams of a set flip, as signed longs."""
+    at = ((grams * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(32)).astype(np.int64) % (64 * ODD)
+    return np.packbits((np.bincount(at, minlength=64 * ODD) & 1).astype(np.uint8)).view("<i8")
+
+
+def set_hash(grams: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a set."""
+    whole = xxhash.xxh3_128_intdigest(grams.tobytes())
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (whole & ((1 << 64) - 1), whole >> 64))
+
+
 def fragment_of(keys: np.ndarray) -> np.ndarray:
     """Which of the order's fragments a key falls in."""
     return ((keys.view(np.uint64) ^ _TOP) >> np.uint64(64 - (FRAGMENTS.bit_length() - 1))).astype(np.int32)
@@ -111,32 +141,49 @@ def common_grams(docs: DataFrame, size: int) -> np.ndarray:
             yield report()
 
     least = max(COMMON_LEAST, int(docs.count() * COMMON_SHARE))
-    found = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("gram")
+    found = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(MOST_COMMON).select("gram")
     return np.sort(found.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _sets(rows: DataFrame, size: int, percent: int, common) -> DataFrame:
-    """``doc_id, part, cid, n, share, prefix, keys``: a set's hash, size, share of common n-grams, prefix and min-hashes; arrays are null for a set that the task has met."""
+    """``doc_id, part, cid, alt, n, share, prefix, keys, odd``: a set's hashes, size, share of common n-grams, probe part, min-hashes and parity bits; arrays are empty for a set that the task has met."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingles(size), set()
+        none = np.zeros(0, np.int64)
         for part in slices(batches, 4 << 20):
-            cid, n, prefix, keys, share = [], [], [], [], []
+            cid, alt, n, prefix, keys, share, odd = [], [], [], [], [], [], []
             for text in part.column("text").to_pylist():
                 grams = shingles.of(text)
-                c = xxhash.xxh3_64_intdigest(grams.tobytes()) if len(grams) else 0
-                cid.append(c - (1 << 64) if c >> 63 else c)
+                both = set_hash(grams) if len(grams) else (0, 0)
+                cid.append(both[0])
+                alt.append(both[1])
                 n.append(len(grams))
-                new = len(grams) > 0 and c not in seen
-                if len(seen) < 1_000_000:
-                    seen.add(c)
-                key = ordered(grams, common.value) if new else np.zeros(0, np.int64)
+                new = len(grams) > 0 and both not in seen
+                if len(seen) < 500_000:
+                    seen.add(both)
+                key = ordered(grams, common.value) if new else none
                 share.append(float((key >= 0).mean()) if new else 0.0)  # keys of common n-grams aren't negative
-                prefix.append(key[: prefix_length(len(key), percent)] if new else key)
-                keys.append(np.array([mix(grams ^ np.uint64(0xD6E8FEB86659FD93 * (j + 1) % (1 << 64))).min() for j in range(CHAINS)], np.uint64).view(np.int64) if new else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), pa.array(cid), pa.array(n, pa.int64()), pa.array(share, pa.float64()), _lists(prefix), _lists(keys)], ["doc_id", "part", "cid", "n", "share", "prefix", "keys"])
+                prefix.append(key[: prefix_length(len(key), percent)] if new else none)
+                keys.append(np.array([(grams * m).min() for m in _MULTIPLIERS], np.uint64).view(np.int64) if new else none)
+                odd.append(parity(grams) if new else none)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("part"), pa.array(cid, pa.int64()), pa.array(alt, pa.int64()), pa.array(n, pa.int64()), pa.array(share, pa.float64()), _lists(prefix), _lists(keys), _lists(odd)],
+                ["doc_id", "part", "cid", "alt", "n", "share", "prefix", "keys", "odd"],
+            )
 
-    return rows.mapInArrow(work, "doc_id long, part long, cid long, n long, share double, prefix array<long>, keys array<long>")
+    return rows.mapInArrow(work, "doc_id long, part long, cid long, alt long, n long, share double, prefix array<long>, keys array<long>, odd array<long>")
+
+
+def _told_apart(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """``sets`` with classes of their own for sets that met in one 64-bit hash by chance."""
+    for turn in range(1, 64):
+        met = sets.where("n > 0").groupBy("cid").agg(F.min("alt").alias("lo"), F.max("alt").alias("hi")).where("lo <> hi").select(F.col("cid").alias("_c"))
+        if not met.limit(1).count():
+            break
+        cid = F.when(F.col("_c").isNotNull(), F.xxhash64("cid", "alt", F.lit(turn))).otherwise(F.col("cid"))
+        sets = scratch.put(sets.join(met, F.col("cid") == F.col("_c"), "left").withColumn("cid", cid).drop("_c"), f"sets{turn}")
+    return sets
 
 
 def _segments(rows: DataFrame, size: int, common) -> DataFrame:
@@ -172,34 +219,79 @@ def _pair(x: str, y: str, nx: str, ny: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(first, F.col(nx)).otherwise(F.col(ny)).alias("na"), F.when(first, F.col(ny)).otherwise(F.col(nx)).alias("nb")]
 
 
+def _near_enough(x: str, y: str, nx: str, ny: str, percent: int) -> Column:
+    """Whether sizes and parity bits leave room for the overlap that the sizes ask for."""
+    differ = sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(1, ODD)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+    total = F.col(nx) + F.col(ny)
+    return (100 * F.least(F.col(nx), F.col(ny)) >= percent * F.greatest(F.col(nx), F.col(ny))) & ((100 + percent) * (total - differ) >= 2 * percent * total)
+
+
 def _chained(classes: DataFrame, salts: int, percent: int) -> DataFrame:
-    """``a, b, na, nb``: neighbours by set size among classes with one key, and each with the group's hub; large groups are salted, and the salts' first members chained."""
-    salted = classes.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(salts)))
-    order = Window.partitionBy("key", "salt").orderBy("n", "cid")
-    rows = salted.select("*", F.lag("cid").over(order).alias("c0"), F.lag("n").over(order).alias("n0"), F.row_number().over(order).alias("at"))
-    heads = rows.where("at = 1").select("key", "cid", "n")
-    across = Window.partitionBy("key").orderBy("n", "cid")
-    more = heads.select("cid", "n", F.lag("cid").over(across).alias("c0"), F.lag("n").over(across).alias("n0"))
+    """``a, b, na, nb``: classes under one key with the hub and with a neighbour in size, where enough of their min-hashes agree.
+
+    A key's group is dealt out by salts; each has a hub of its own, the best of which, out of
+    ``salts`` rows at most, is the group's. What this misses, the fragments find.
+    """
     # Copies of one text with edits of their own may be less alike than each is to that text, whose n-grams are the common ones.
-    hubs = classes.groupBy("key").agg(F.max_by(F.struct("cid", "n"), F.struct("share", "cid")).alias("hub"))
-    more = more.union(classes.join(hubs, "key").select("cid", "n", F.col("hub.cid").alias("c0"), F.col("hub.n").alias("n0")))
-    near = rows.select("cid", "n", "c0", "n0").union(more).where(F.col("c0").isNotNull() & (F.col("c0") != F.col("cid")) & (100 * F.least("n", "n0") >= percent * F.greatest("n", "n0")))
+    keys = F.array(*[F.struct(F.lit(j).alias("turn"), F.xxhash64(*[F.col("keys")[j + k] for k in range(KEYED)]).alias("key")) for j in range(0, HASHES, KEYED)])
+    each = classes.select("cid", F.explode(keys).alias("k")).select("cid", "k.turn", "k.key")
+    # Most keys are of one class; these go before anything wider is sent.
+    each = each.join(each.groupBy("turn", "key").count().where("count > 1"), ["turn", "key"], "left_semi")
+    each = each.join(classes.select("cid", "n", "share", "keys", "odd"), "cid").withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(salts)))
+    member = F.struct("share", "cid", "n", "keys", "odd")
+    own, whole = Window.partitionBy("key", "turn", "salt"), Window.partitionBy("key", "turn")
+    rows = each.withColumns({"hub": F.max(member).over(own), "last": F.lag(member).over(own.orderBy("n", "cid"))})
+    heads = rows.where("hub.cid = cid").withColumn("top", F.max("hub").over(whole)).select("key", "turn", "salt", "top")
+    rows = rows.join(heads, ["key", "turn", "salt"])
+    to = lambda other: rows.select("cid", "n", "keys", "odd", F.col(other).alias("hub"))
+    near = to("hub").union(to("last")).union(to("top")).where("cid <> hub.cid")
+    agree = F.aggregate(F.arrays_zip(F.col("keys").alias("x"), F.col("hub.keys").alias("y")), F.lit(0), lambda acc, z: acc + (z["x"] == z["y"]).cast("int"))
+    near = near.where((agree >= AGREE) & _near_enough("odd", "hub.odd", "n", "hub.n", percent)).select("cid", "n", F.col("hub.cid").alias("c0"), F.col("hub.n").alias("n0"))
     return near.select(*_pair("cid", "c0", "n", "n0")).distinct()
 
 
-def _possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs that may link, from ``c``, what their prefixes share, and the prefixes' lengths and last keys.
-
-    Up to the lesser of both prefixes' ends, c is the whole overlap.
-    """
-    most = F.col("c") + F.when(F.col("la") <= F.col("lb"), F.col("na") - F.col("pa")).otherwise(F.col("nb") - F.col("pb"))
-    return pairs.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may link by what their probe parts share: up to the lesser of both parts' ends, that is the whole overlap."""
+    ends = classes.select("cid", "prefix").join(_ends(pairs), "cid", "left_semi")
+    met = pairs.join(ends.select(F.col("cid").alias("a"), F.col("prefix").alias("x")), "a").join(ends.select(F.col("cid").alias("b"), F.col("prefix").alias("y")), "b")
+    rest = F.when(F.element_at("x", -1) <= F.element_at("y", -1), F.col("na") - F.size("x")).otherwise(F.col("nb") - F.size("y"))
+    return met.where((100 + percent) * (F.size(F.array_intersect("x", "y")) + rest) >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
 
 
+def _entries(classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """``gram, at, cid, n, root, odd, leading, low, high``: probe entries of n-grams found in several components.
+
+    ``leading`` marks index entries; low and high are the least and largest size of a shorter
+    partner whose first common n-gram can be this one.
+    """
+    leading = (100 + percent) * (F.col("n") - F.col("at")) >= 2 * percent * F.col("n")
+    low, high = F.expr(f"({percent} * n + 99) div 100"), F.expr(f"least(n, ({100 + percent} * (n - at)) div {percent} - n)")
+    each = classes.select("cid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "gram"))
+    # Most n-grams are in one class: they go first, by a count that tasks add up before they send it.
+    several = each.groupBy("gram").agg(F.count("*").alias("k"), F.max(leading).alias("any")).where("k > 1 AND any").select("gram")
+    each = each.join(several, "gram", "left_semi").join(roots.withColumnRenamed("node", "cid"), "cid")
+    mixed = each.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gram")
+    each = each.join(mixed, "gram", "left_semi").join(classes.select("cid", "odd"), "cid")
+    each = each.select("gram", "at", "cid", F.col("n").cast("long").alias("n"), "root", "odd")
+    return each.select("*", leading.alias("leading"), low.alias("low"), high.alias("high")).where("leading OR low <= high")
+
+
+def proposed(entries: DataFrame, percent: int) -> DataFrame:
+    """``a, b, na, nb``: pairs of different components that an n-gram's index and probe entries allow."""
+    band = lambda x: F.when(F.col("gram") >= 0, F.floor(F.log(x.cast("double")) * BANDS)).otherwise(F.lit(0)).cast("int")
+    left = entries.where("leading").select("gram", band(F.col("n")).alias("band"), F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("i"), F.col("root").alias("rx"), F.col("odd").alias("ox"))
+    right = entries.where("low <= high").select("gram", F.explode(F.sequence(band(F.col("low")), band(F.col("high")))).alias("band"), F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("at").alias("j"), F.col("root").alias("ry"), F.col("odd").alias("oy"))
+    shorter = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    enough = (100 + percent) * F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j")) >= percent * (F.col("nx") + F.col("ny"))
+    l, r = left.alias("l"), right.alias("r")
+    on = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.band") == F.col("r.band")) & shorter & (F.col("rx") != F.col("ry")) & enough & _near_enough("ox", "oy", "nx", "ny", percent)
+    return l.join(r, on).select(*_pair("x", "y", "nx", "ny")).distinct()
+
+
 def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, part, n_shingles, component, component_id`` for every row.
 
@@ -208,63 +300,38 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    rows, repeat = identified(docs), ids_repeat(docs)
+    repeat = ids_repeat(docs)
+    rows = identified(docs, repeat=repeat)
     common = spark.sparkContext.broadcast(common_grams(rows, size))
-    sets = scratch.put(_sets(rows, size, percent, common), "sets")
+    sets = _told_apart(scratch.put(_sets(rows, size, percent, common), "sets"), scratch)
     release(spark)
+    keyed = scratch.put(sets.where(F.size("keys") > 0).dropDuplicates(["cid"]), "keyed")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that link; only their texts are read again."""
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that link: partial counts by fragment, summed. Only texts of these pairs are read again."""
         ends = scratch.put(_ends(pairs), f"ends_{name}")
-        again = ends.join(sets.where(F.size("keys") > 0).select("cid", "doc_id", "part").dropDuplicates(["cid"]), "cid").select("cid", F.col("doc_id").alias("_d"), F.col("part").alias("_p"))
+        again = keyed.join(ends, "cid", "left_semi").select("cid", F.col("doc_id").alias("_d"), F.col("part").alias("_p"))
         again = F.broadcast(again) if ends.count() <= BROADCAST_ROWS else again.hint("shuffle_hash")
         texts = rows.join(again, rows["doc_id"].eqNullSafe(again["_d"]) & (rows["part"] == again["_p"])).select("cid", "text")
         if repeat:  # a repeated row would give its class every n-gram again
             texts = texts.dropDuplicates(["cid"])
         segments = scratch.put(_segments(texts, size, common), f"segments_{name}")
         release(spark)
-        linked = 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
-        links = scratch.put(overlaps(pairs, segments).where(linked).select("a", "b"), f"links_{name}")
+        enough = 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
+        links = scratch.put(overlaps(pairs, segments).where(enough).select("a", "b"), f"links_{name}")
         scratch.drop(f"ends_{name}", f"segments_{name}")
         release(spark)
         return links
 
-    # Neighbours by min-hash: links that join most of each group of near copies.
-    keyed = sets.where(F.size("keys") > 0).select("cid", "n", "share", *[F.col("keys")[j].alias(f"k{j}") for j in range(CHAINS)]).dropDuplicates(["cid"])
-    keyed = scratch.put(keyed, "keyed")
     salts = max(16, keyed.count() // 50_000)
-    chained = None
-    for j in range(CHAINS):
-        found = _chained(keyed.select("cid", "n", "share", F.col(f"k{j}").alias("key")), salts, percent)
-        chained = found if chained is None else chained.union(found)
-    chained = scratch.put(chained.distinct(), "chained")
-    prefixes = sets.where(F.size("keys") > 0).select("cid", "prefix").join(_ends(chained), "cid", "left_semi").dropDuplicates(["cid"])
-    both = chained.join(prefixes.select(F.col("cid").alias("a"), F.col("prefix").alias("x")), "a").join(prefixes.select(F.col("cid").alias("b"), F.col("prefix").alias("y")), "b")
-    both = both.select("a", "b", "na", "nb", F.size("x").alias("pa"), F.size("y").alias("pb"), F.element_at("x", -1).alias("la"), F.element_at("y", -1).alias("lb"), F.size(F.array_intersect("x", "y")).alias("c"))
-    pairs = scratch.put(_possible(both, percent), "pairs")
-    release(spark)
-    links = verified(pairs, "chains")
+    links = linked(scratch.put(_chained(keyed, salts, percent), "chained"), "chains")
     roots = _rooted(keyed, components(links), scratch, "roots_chains")
-
-    # All pairs from different components that share an n-gram of both prefixes.
-    own = Window.partitionBy("gram")
-    postings = sets.where(F.size("prefix") > 0).select("cid", F.explode("prefix").alias("gram"))
-    postings = postings.select("*", (F.min("cid").over(own) != F.max("cid").over(own)).alias("shared")).where("shared").select("gram", "cid").distinct()
-    rooted = postings.join(roots.withColumnRenamed("node", "cid"), "cid")
-    rooted = rooted.select("*", (F.min("root").over(own) != F.max("root").over(own)).alias("mixed")).where("mixed").drop("mixed")
-    facts = sets.where(F.size("prefix") > 0).select("cid", "n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last")).dropDuplicates(["cid"])
-    rooted = scratch.put(rooted.join(facts, "cid"), "rooted")
-    release(spark)
-    x, y = rooted.alias("x"), rooted.alias("y")
-    similar = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root")) & similar)
-    met = met.groupBy(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).agg(F.count("*").alias("c"), *[F.first(f"{side}.{c}").alias(f"{c[0]}{to}") for side, to in (("x", "a"), ("y", "b")) for c in ("n", "p", "last")])
-    pairs = scratch.put(_possible(met, percent), "pairs_rest")
+    entries = scratch.put(_entries(keyed, roots, percent), "entries")
     release(spark)
-    if pairs.limit(1).count():
-        found = verified(pairs, "rest")
-        if found.limit(1).count():
-            roots = _rooted(keyed, components(links.union(found)), scratch, "roots")
+    pairs = scratch.put(proposed(entries, percent), "proposed")
+    found = linked(scratch.put(_possible(pairs, keyed, percent), "possible"), "rest")
+    if found.limit(1).count():
+        roots = _rooted(keyed, components(links.union(found)), scratch, "roots")
 
     classes = sets.groupBy("cid").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -273,7 +340,7 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     out = sets.where("n > 0").select("doc_id", "part", "n", "cid").join(named, "cid").select("doc_id", "part", F.col("n").alias("n_shingles"), "component", "component_id")
     empty = sets.where("n = 0").select("doc_id", "part", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     out = scratch.put(out.union(empty), "out")
-    scratch.drop("sets", "keyed", "chained", "pairs", "pairs_rest", "rooted", "links_chains", "links_rest", "roots_chains", "roots")
+    scratch.drop("sets", "keyed", "chained", "entries", "proposed", "possible", "links_chains", "links_rest", "roots_chains", "roots")
     release(spark)
     return out
 
@@ -287,9 +354,10 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     first = groups.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "part")).alias("f")).select("f.doc_id", "f.part")
     kept = first.union(groups.where("component IS NULL").select("doc_id", "part")).distinct()
     kept = kept.select(F.col("doc_id").alias("_d"), F.col("part").alias("_p")).hint("shuffle_hash")
-    rows = identified(docs, all_columns=True)
+    repeat = ids_repeat(docs)
+    rows = identified(docs, all_columns=True, repeat=repeat)
     out = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_d"]) & (rows["part"] == kept["_p"]), "left_semi")
-    if ids_repeat(docs):
+    if repeat:
         empty = F.coalesce(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", ""), F.lit("")) == ""
         out = out.where(~empty).dropDuplicates(["doc_id", "part"]).unionByName(out.where(empty))
     return restored(out, docs.columns)

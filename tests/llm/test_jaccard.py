@@ -65,6 +65,49 @@ def test_repeated_rows_beside_half_alike_texts(docs_of):
     assert len({r["component"] for r in nameless}) == 24
 
 
+def test_copies_with_edits_of_their_own(docs_of, monkeypatch):
+    """A family that shares common n-grams: members that link with the base, with one another only, or with none."""
+    monkeypatch.setattr(jaccard, "COMMON_LEAST", 6)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    texts = [(0, " ".join(base))]
+    for i in range(1, 70):
+        words = base[: rng.choice((120, 135, 150))]
+        for k in rng.sample(range(8), rng.choice((1, 2, 4, 6))):
+            words[k * 14] = f"e{i % 9}_{k}"
+        texts.append((i, " ".join(words)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_groups(docs_of(texts)).collect()}
+    assert got == brute(texts, 4, 85)
+    assert len({c for _, c in got.values()}) > 3
+
+
+@pytest.mark.parametrize("chains", [True, False])
+def test_fragments_propose_every_pair(docs_of, monkeypatch, chains):
+    """Without the links between neighbours, the index and probe entries alone find all components."""
+    if not chains:
+        monkeypatch.setattr(jaccard, "_chained", lambda classes, salts, percent: classes.select(*jaccard._pair("cid", "cid", "n", "n")).limit(0))
+    monkeypatch.setattr(jaccard, "COMMON_LEAST", 5)
+    texts = corpus()
+    got = jaccard.near_groups(docs_of(texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(texts, 4, 85)
+
+
+def test_parity_bits_never_differ_in_more_than_the_sets_do():
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 1 << 63, 900).astype(np.uint64)
+    for _ in range(200):
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 700))) for _ in range(2))
+        bits = sum(int(x).bit_count() for x in (jaccard.parity(a) ^ jaccard.parity(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+
+
+def test_sets_that_meet_in_one_hash_are_told_apart(spark):
+    scratch = jaccard.Scratch(spark, "test")
+    sets = spark.createDataFrame([(1, 7, 1, 5), (2, 7, 2, 5), (3, 7, 1, 5), (4, 8, 1, 5), (5, 0, 0, 0)], "doc_id long, cid long, alt long, n long")
+    cid = {r["doc_id"]: r["cid"] for r in jaccard._told_apart(sets, scratch).collect()}
+    assert cid[1] == cid[3] != cid[2] and len(set(cid.values())) == 4 and cid[5] == 0
+
+
 def test_long_chain_is_one_component(docs_of):
     words = [f"c{i}" for i in range(400)]
     texts = [(i, " ".join(words[i * 3 : i * 3 + 100])) for i in range(60)]
