@@ -7,10 +7,9 @@ scripts take the script before them, and only texts that have such a letter are
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letters newer than the JVM's Unicode tables, by script.
 _NEWER = {
@@ -63,7 +62,10 @@ _EXT = r"[\p{Mn}\x{200D}]"
 GRAPHEME = "(?:" + "|".join(f"[{c}]{_EXT}*{v}{_EXT}*(?=[{c}])" for c, v in _LINKED) + r")*\X"
 #: Text with any of these is cut into grapheme clusters; in other text each code point is one, as far as letters go.
 _CLUSTERED = rf"[\p{{M}}\p{{Cf}}\x{{E33}}\x{{EB3}}\x{{1100}}-\x{{11FF}}\x{{A960}}-\x{{A97F}}\x{{D7B0}}-\x{{D7FB}}\x{{FF9E}}\x{{FF9F}}\x{{1F3FB}}-\x{{1F3FF}}{_AMBIGUOUS_SET}]"
-_RUN = "|".join([f"{c}+" for c in CLASSES.values()] + [f"[^{_ANY_LETTER}]+", rf"[{_ANY_LETTER}&&[^{''.join(c for c in CLASSES.values())}]]+"])
+_RUN = "|".join([f"[^{_ANY_LETTER}]+"] + [f"{c}+" for c in CLASSES.values()] + [rf"[{_ANY_LETTER}&&[^{''.join(c for c in CLASSES.values())}]]+"])
+_ASCII, _ASCII_RUN = r"^[\x{0}-\x{7F}]*$", "[A-Za-z]+|[^A-Za-z]+"
+#: First and last code points of ranges that lie in one class whole; runs that begin there need no pattern.
+PLAIN = [(0x0, 0x40, "common"), (0x41, 0x5A, "latin"), (0x5B, 0x60, "common"), (0x61, 0x7A, "latin"), (0x7B, 0x7F, "common"), (0xD8, 0xF6, "latin"), (0x100, 0x17F, "latin"), (0x1EA0, 0x1EF9, "latin"), (0x620, 0x63F, "arabic"), (0x641, 0x64A, "arabic"), (0x5D0, 0x5EA, "hebrew"), (0x904, 0x939, "devanagari"), (0xE01, 0xE30, "thai"), (0x1780, 0x17B3, "khmer"), (0x4E00, 0x9FA5, "han"), (0x3041, 0x3096, "kana"), (0x30A1, 0x30FA, "kana"), (0xAC00, 0xD7A3, "hangul"), (0x410, 0x44F, "cyrillic"), (0x3B1, 0x3C9, "greek")]
 
 
 def _extract(text: Column, pattern: str) -> Column:
@@ -107,8 +109,25 @@ def utf16_length(text: Column) -> Column:
     return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
 
 
+def script_of_run(run: Column) -> Column:
+    """The script of a run that ``_RUN`` gives: by its first code point where that lies in a plain range."""
+    first = F.ascii(run)
+    out = F.lit("unknown")
+    for name in reversed(_NAMES):
+        out = F.when(run.rlike(f"^{CLASSES[name]}"), F.lit(name)).otherwise(out)
+    out = F.when(run.rlike(f"^[^{_ANY_LETTER}]"), F.lit("common")).otherwise(out)
+    low, high = [x for x in PLAIN if x[1] < 0x80], [x for x in PLAIN if x[1] >= 0x80]
+    for x, y, name in reversed(high):
+        out = F.when(first.between(x, y), F.lit(name)).otherwise(out)
+    letter = F.lit(False)
+    for x, y, name in low:
+        letter = letter | first.between(x, y) if name == "latin" else letter
+    return F.when(first < 0x80, F.when(letter, F.lit("latin")).otherwise(F.lit("common"))).otherwise(out)
+
+
 def _fast_runs(text: Column) -> Column:
-    return F.transform(_extract(text, _RUN), lambda r: F.struct(script_of_letter(F.regexp_extract(r, f"^{LETTER}", 0)).alias("script"), r.alias("text"), F.length(r).alias("n")))
+    parts = F.when(text.rlike(_ASCII), _extract(text, _ASCII_RUN)).otherwise(_extract(text, _RUN))
+    return F.transform(parts, lambda r: F.struct(script_of_run(r).alias("script"), r.alias("text"), F.length(r).alias("n")))
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -206,10 +225,16 @@ def snippet(text: Column, most: int = 60) -> Column:
 
 
 def analysed(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``script_runs, census, dominant_script, is_vietnamese_profile``."""
-    runs = once(with_runs(df, text), is_vietnamese_profile=is_vietnamese(F.col(text)), census=census(F.col("script_runs")))
-    return once(runs, dominant_script=dominant(F.col("census")))
-
+    """``df`` with ``script_runs, census, dominant_script, is_vietnamese_profile``.
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+    Structs go through the generators field by field and are put together again after them: the
+    optimizer loses fields of a struct that it prunes across several generators. A null struct
+    comes out as one of nulls.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, T.StructType)}
+    names = {(c, f): f"_{i}_{j}" for i, (c, kind) in enumerate(kinds.items()) for j, f in enumerate(kind.names)}
+    flat = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in kinds], *[F.col(f"`{c}`").getField(f).alias(n) for (c, f), n in names.items()])
+    runs = once(with_runs(flat, text), is_vietnamese_profile=is_vietnamese(F.col(text)), census=census(F.col("script_runs")))
+    whole = {c: F.struct(*[F.col(names[c, f]).alias(f) for f in kind.names]).alias(c) for c, kind in kinds.items()}
+    added = ["script_runs", "is_vietnamese_profile", "census", "dominant_script"]
+    return once(runs, dominant_script=dominant(F.col("census"))).select(*[whole.get(c, F.col(f"`{c}`")) for c in df.columns], *added)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphaudit.dims import SEVERITIES
-from glyphaudit.operators.rules import RULES, finding
+from glyphaudit.operators.rules import RULES, found_by
 
 
 @dataclass(frozen=True)
@@ -50,16 +50,16 @@ def kept(filters: Filters) -> Column:
 def findings(nodes: DataFrame, filters: Filters = Filters()) -> DataFrame:  # noqa: B008
     """``page_id, node_ord`` and the finding's columns; every node is read once, whatever the number of rules."""
     rules = wanted_rules(filters)
-    if not rules:
-        empty = nodes.select("page_id", "node_ord", F.inline(F.array(finding(RULES[0]))))
-        return empty.where(F.lit(False))
-    found = F.filter(F.array(*[finding(r) for r in rules]), lambda x: x.isNotNull())
-    return nodes.select("page_id", "node_ord", F.inline(found)).where(kept(filters))
+    found = found_by(nodes, rules or RULES[:1])
+    return found.where(kept(filters)) if rules else found.where(F.lit(False))
 
 
 def ordered(rows: DataFrame) -> DataFrame:
-    """Worst first, then by rule, selector, snippet and place."""
-    return rows.orderBy("page_id", rank(F.col("severity")), "rule_id", "selector", "snippet", "node_ord")
+    """A page's findings side by side, worst first, then by rule, selector, snippet and place.
+
+    The order is that within a page: pages are dealt out by hash, so nothing is sampled or sorted across them.
+    """
+    return rows.repartition("page_id").sortWithinPartitions("page_id", rank(F.col("severity")), "rule_id", "selector", "snippet", "node_ord")
 
 
 def third_party_kept(filters: Filters) -> Column:

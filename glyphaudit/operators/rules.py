@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from glyphaudit.dims import LABELS, SCRIPTS, where
 from glyphaudit.functions.scalars import expected_scripts, pixel_length, reverses_or_turns, rounded, visually_hidden
-from glyphaudit.functions.scripts import any_of, count_of, share_of, snippet, trimmed
+from glyphaudit.functions.scripts import count_of, once, share_of, snippet, trimmed
 
 RTL = where(lambda s: s.rtl)
 CURSIVE = where(lambda s: s.cursive)
@@ -45,8 +45,17 @@ class Rule:
     finding_wcag: Callable[[], Column] | None = None
 
 
+#: What the checks read of a node; fields of structs become columns of their own.
+FIELDS = "page_id node_ord selector text own_lang inherited_lang own_dir inherited_dir computed_direction class_names tag_name has_bdi_ancestor has_code_ancestor has_transformed_ancestor script_runs census dominant_script is_vietnamese_profile".split()
+NESTED = "css.letterSpacing css.lineHeight css.fontSize css.textAlign css.textTransform css.transform css.wordBreak css.hyphens css.overflowY css.webkitLineClamp css.clip css.clipPath box.clientHeight box.scrollHeight box.clientWidth font_probe.declaredStack font_probe.fallbackSuspected".split()
+
+
+def _flat(name: str) -> str:
+    return name.replace(".", "__")
+
+
 def _c(name: str) -> Column:
-    return F.col(name)
+    return F.col(_flat(name))
 
 
 def _word(name: str) -> Column:
@@ -58,7 +67,18 @@ def _dominant() -> Column:
 
 
 def _count() -> Column:
-    return count_of(_c("census"), _dominant())
+    return _c("dominant_n")
+
+
+def _share() -> Column:
+    return _c("dominant_share")
+
+
+def measured(nodes: DataFrame) -> DataFrame:
+    """Analysed nodes with what the checks read as flat columns, and what several of them need, computed once."""
+    flat = nodes.select(*FIELDS, *[F.col(n).alias(_flat(n)) for n in NESTED])
+    dominant = F.col("dominant_script")
+    return once(flat, dominant_n=count_of(F.col("census"), dominant), dominant_share=share_of(F.col("census"), dominant), latin_share=share_of(F.col("census"), "latin"))
 
 
 def _label(script: Column | None = None) -> Column:
@@ -136,20 +156,15 @@ def _declared_lang() -> Column:
 def _lang_fires() -> Column:
     expected = expected_scripts(_declared_lang())
     code = _c("tag_name").isin(*CODE_TAGS) | _c("has_code_ancestor")
-    return _sure(_dominant().isin(*KNOWN) & ~code & (F.size(expected) > 0) & ~F.array_contains(expected, _dominant()) & (_count() >= 20) & (share_of(_c("census"), _dominant()) >= 0.8))
+    return _sure(_dominant().isin(*KNOWN) & ~code & (F.size(expected) > 0) & ~F.array_contains(expected, _dominant()) & (_count() >= 20) & (_share() >= 0.8))
 
 
-def _run_at(runs: Column) -> Callable[[Column], Column]:
-    """Whether run ``i`` is an unisolated left-to-right run within right-to-left text.
+def _bidi_run() -> Column:
+    """Index of the first unisolated left-to-right run within right-to-left text, in one pass; null if there is none.
 
     Passing over common and left-to-right runs, the nearest other run on each side must be right to left.
     """
-
-    def real(r: Column) -> Column:
-        return ~r["script"].isin("common", "latin")
-
-    def is_rtl(r: Column) -> Column:
-        return F.coalesce(r["script"].isin(*RTL), F.lit(False))
+    runs = _c("script_runs")
 
     def neutral(r: Column) -> Column:
         return F.coalesce(r["text"].rlike(NEUTRAL), F.lit(False))
@@ -157,25 +172,25 @@ def _run_at(runs: Column) -> Callable[[Column], Column]:
     def beside(r: Column) -> Column:
         return F.coalesce((r["script"] == "common") & neutral(r), F.lit(False))
 
-    def test(i: Column) -> Column:
-        own = F.get(runs, i)
-        ltr = (own["script"] == "latin") | ((own["script"] == "common") & own["text"].rlike("[0-9]"))
-        before = F.filter(F.slice(runs, F.lit(1), i), real)
-        after = F.filter(F.slice(runs, i + 2, F.greatest(F.size(runs) - i - 1, F.lit(0))), real)
-        last, first = F.get(before, F.size(before) - 1), F.get(after, F.lit(0))
-        touching = neutral(own) | beside(F.get(runs, i - 1)) | beside(F.get(runs, i + 1))
-        return F.coalesce(ltr & (own["n"] >= 2) & touching & is_rtl(last) & is_rtl(first), F.lit(False))
+    def state(rtl: Column, open_: Column, found: Column) -> Column:
+        return F.struct(rtl.alias("rtl"), open_.alias("open"), found.alias("found"))
 
-    return test
+    none = F.lit(None).cast("int")
 
+    def step(acc: Column, i: Column) -> Column:
+        own = F.get(runs, i)
+        real, rtl = ~own["script"].isin("common", "latin"), own["script"].isin(*RTL)
+        ltr = (own["script"] == "latin") | ((own["script"] == "common") & own["text"].rlike("[0-9]"))
+        fits = acc["rtl"] & acc["open"].isNull() & ltr & (own["n"] >= 2) & (neutral(own) | beside(F.get(runs, i - 1)) | beside(F.get(runs, i + 1)))
+        closed = state(rtl, none, F.coalesce(acc["found"], F.when(rtl, acc["open"])))
+        return F.when(acc["found"].isNotNull(), acc).when(real, closed).when(F.coalesce(fits, F.lit(False)), state(acc["rtl"], i, acc["found"])).otherwise(acc)
 
-def _bidi_candidates() -> Column:
-    runs = _c("script_runs")
-    return F.filter(F.sequence(F.lit(0), F.greatest(F.size(runs) - 1, F.lit(0))), _run_at(runs))
+    places = F.when(F.size(runs) > 0, F.sequence(F.lit(0), F.size(runs) - 1))
+    return F.aggregate(places, state(F.lit(False), none, none), step, lambda acc: acc["found"])
 
 
 def _bidi_fires() -> Column:
-    return _sure(_dominant().isin(*RTL) & ~_c("has_bdi_ancestor") & ~_c("text").rlike(CONTROLS) & (F.size(_bidi_candidates()) > 0))
+    return _sure(_dominant().isin(*RTL) & ~_c("has_bdi_ancestor") & ~_c("text").rlike(CONTROLS) & _bidi_run().isNotNull())
 
 
 def _icon_evidence() -> Column:
@@ -244,7 +259,7 @@ RULES = [
         "minor",
         "high",
         CASELESS,
-        lambda: _sure(_dominant().isin(*CASELESS) & _word("css.textTransform").isin("uppercase", "lowercase", "capitalize") & (share_of(_c("census"), "latin") < 0.2)),
+        lambda: _sure(_dominant().isin(*CASELESS) & _word("css.textTransform").isin("uppercase", "lowercase", "capitalize") & (_c("latin_share") < 0.2)),
         _fixed("text-transform is set on {script} text.", "The emphasis meant by capitals doesn't appear.", "Use weight or colour for emphasis in this script."),
     ),
     Rule(
@@ -265,7 +280,7 @@ RULES = [
         KNOWN,
         _lang_fires,
         lambda: (
-            _text('The text is declared as "', _declared_lang(), '", which is written in ', F.array_join(F.transform(expected_scripts(_declared_lang()), _label), " or "), ", but ", rounded(share_of(_c("census"), _dominant()) * 100, 0), "% of it is ", _label(), "."),
+            _text('The text is declared as "', _declared_lang(), '", which is written in ', F.array_join(F.transform(expected_scripts(_declared_lang()), _label), " or "), ", but ", rounded(_share() * 100, 0), "% of it is ", _label(), "."),
             F.lit("Voices, hyphenation and fonts are chosen by the declared language."),
             F.lit("Declare the language the text is in."),
         ),
@@ -291,7 +306,7 @@ RULES = [
         RTL,
         _bidi_fires,
         lambda: (
-            _text('"', trimmed(F.get(_c("script_runs"), F.get(_bidi_candidates(), F.lit(0)))["text"]), '" stands in ', _label(), " text without isolation."),
+            _text('"', trimmed(F.get(_c("script_runs"), _bidi_run())["text"]), '" stands in ', _label(), " text without isolation."),
             F.lit("Marks beside it may be shown on its other side."),
             F.lit("Wrap it in bdi or give it a dir of its own."),
         ),
@@ -324,25 +339,34 @@ def rules_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "rule_ord int, rule_id string, title string, severity string, confidence string, affected_scripts array<string>, wcag_ref string, limitations string")
 
 
-def finding(rule: Rule) -> Column:
-    """The rule's finding for a node, null where it doesn't fire."""
-    wrong, why, fix = rule.says()
-    row = F.struct(
-        F.lit(rule.id).alias("rule_id"),
-        F.lit(rule.title).alias("title"),
-        (rule.level() if rule.level else F.lit(rule.severity)).alias("severity"),
-        F.lit(rule.confidence).alias("confidence"),
+def found_by(nodes: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``page_id, node_ord`` and the finding's columns for analysed nodes; every node is read once, whatever the number of rules.
+
+    Conditions are evaluated once a node; snippets and messages only where one holds.
+    """
+    fired = F.filter(F.array(*[F.when(r.fires(), F.lit(i)) for i, r in enumerate(rules)]), lambda k: k.isNotNull())
+    hit = once(measured(nodes), _fired=fired).where(F.size("_fired") > 0)
+    each = once(hit, _snippet=snippet(F.col("text"))).withColumn("_rule", F.explode("_fired"))
+
+    def of(value: Callable[[Rule], Column]) -> Column:
+        out = F.lit(None).cast("string")
+        for i, r in reversed(list(enumerate(rules))):
+            out = F.when(F.col("_rule") == i, value(r)).otherwise(out)
+        return out
+
+    return each.select(
+        "page_id",
+        "node_ord",
+        of(lambda r: F.lit(r.id)).alias("rule_id"),
+        of(lambda r: F.lit(r.title)).alias("title"),
+        of(lambda r: r.level() if r.level else F.lit(r.severity)).alias("severity"),
+        of(lambda r: F.lit(r.confidence)).alias("confidence"),
         F.lit("script_aware").alias("source"),
         F.col("dominant_script").alias("script"),
-        F.col("selector").alias("selector"),
-        snippet(F.col("text")).alias("snippet"),
-        wrong.alias("what_is_wrong"),
-        why.alias("why_it_matters"),
-        fix.alias("how_to_fix"),
-        (rule.finding_wcag() if rule.finding_wcag else F.lit(None).cast("string")).alias("wcag_ref"),
+        "selector",
+        F.col("_snippet").alias("snippet"),
+        of(lambda r: r.says()[0]).alias("what_is_wrong"),
+        of(lambda r: r.says()[1]).alias("why_it_matters"),
+        of(lambda r: r.says()[2]).alias("how_to_fix"),
+        of(lambda r: r.finding_wcag() if r.finding_wcag else F.lit(None).cast("string")).alias("wcag_ref"),
     )
-    return F.when(rule.fires(), row)
-
-
-def fires_any(rules: list[Rule]) -> Column:
-    return any_of([r.fires() for r in rules]) if rules else F.lit(False)

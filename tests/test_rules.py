@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from glyphaudit.dims import SEVERITIES
 from glyphaudit.functions.scripts import analysed
 from glyphaudit.operators import engine, pages
 from glyphaudit.operators.engine import Filters
@@ -97,10 +99,47 @@ def test_filters(nodes):
     assert Filters(rules=()).any() and not Filters().any()
 
 
-def test_order_is_of_the_data_alone(nodes):
-    a = engine.ordered(engine.findings(nodes)).collect()
-    b = engine.ordered(engine.findings(nodes.repartition(3))).collect()
-    assert a == b
+def test_every_rule_and_pair_on_structs_built_in_the_plan(spark):
+    """css and box made by the same plan that checks them: no rule may depend on which fields others read."""
+    wide, box = sorted(PLAIN["css"]), sorted(PLAIN["box"])
+    rows = []
+    for i, (_, change, css, sizes) in enumerate(CASES):
+        node = PLAIN | change
+        rows.append((i, node["text"], node["own_dir"], node["own_lang"], node["computed_direction"], *[(PLAIN["css"] | css)[c] for c in wide], *[(PLAIN["box"] | sizes)[c] for c in box]))
+    names = ["node_ord", "text", "own_dir", "own_lang", "computed_direction", *wide, *box]
+    kinds = ["int", "string", "string", "string", "string", *["string"] * len(wide), *["int"] * len(box)]
+    flat = spark.createDataFrame(rows, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    rest = {"page_id": "'p'", "selector": "'#x'", "inherited_lang": "CAST(NULL AS STRING)", "inherited_dir": "CAST(NULL AS STRING)", "class_names": "array()", "tag_name": "'P'", "has_bdi_ancestor": "false", "has_code_ancestor": "false", "has_transformed_ancestor": "false"}
+    made = analysed(
+        flat.select(
+            "node_ord", "text", "own_dir", "own_lang", "computed_direction", *[F.expr(v).alias(k) for k, v in rest.items()], F.struct(*wide).alias("css"), F.struct(*box).alias("box"),
+            F.struct(F.array(F.lit("Arial")).alias("declaredStack"), F.lit(False).alias("fallbackSuspected")).alias("font_probe"),
+        )
+    )
+    every = {}
+    for r in engine.findings(made).collect():
+        every.setdefault(r["rule_id"], set()).add((r["node_ord"], r["what_is_wrong"]))
+    assert len(every) >= 9
+    ids = [r.id for r in RULES]
+    for wanted in [(a,) for a in ids] + [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (i + ids.index(b)) % 5 == 0 or "clipped-stacked-marks" in (a, b)]:
+        got = {}
+        for r in engine.findings(made, Filters(rules=wanted)).select("node_ord", "rule_id", "what_is_wrong").collect():
+            got.setdefault(r["rule_id"], set()).add((r["node_ord"], r["what_is_wrong"]))
+        assert got == {k: v for k, v in every.items() if k in wanted}, wanted
+
+
+def test_order_within_pages_is_of_the_data_alone(nodes):
+    def by_page(df):
+        out = {}
+        for r in engine.ordered(engine.findings(df)).collect():
+            out.setdefault(r["page_id"], []).append(r)
+        return out
+
+    two = nodes.union(nodes.withColumn("page_id", F.lit("q")))
+    a, b = by_page(two), by_page(two.repartition(3))
+    assert a == b and len(a) == 2
+    levels = [SEVERITIES.index(r["severity"]) for r in a["p"]]
+    assert levels == sorted(levels) and len(set(levels)) > 2
 
 
 def test_sections(nodes):

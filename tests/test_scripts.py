@@ -34,6 +34,19 @@ def test_dominant_and_runs(spark):
         assert "".join(r["text"] for r in got[i]["script_runs"]) == text
 
 
+def test_plain_ranges_agree_with_the_patterns(spark):
+    """Every code point of a plain range is of the class that the patterns give it."""
+    df = spark.createDataFrame(S.PLAIN, "low int, high int, name string")
+    df = df.select("name", F.explode(F.sequence("low", "high")).alias("cp")).where("cp < 19968 OR cp % 7 = 0")
+    letter = F.regexp_extract(F.decode(F.unhex(F.lpad(F.hex("cp"), 8, "0")), "UTF-32"), S.LETTER, 0)
+    assert df.where(S.script_of_letter(letter) != F.col("name")).count() == 0
+    edges = "".join(chr(c) for low, high, _ in S.PLAIN for c in (low, high, high + 1) if c > 0)
+    got = runs(spark, [edges, "a\u2019b", "\u00aa\u00d7"])
+    assert "".join(r["text"] for r in got[0]["script_runs"]) == edges
+    assert [r["script"] for r in got[1]["script_runs"]] == ["latin", "common", "latin"]
+    assert [r["script"] for r in got[2]["script_runs"]] == ["latin", "common"]
+
+
 def test_null_text(spark):
     row = S.analysed(spark.createDataFrame([(None,)], "text string")).first()
     assert row["dominant_script"] == "common" and row["script_runs"] == []
