@@ -1,7 +1,11 @@
 """Corpus pipeline: language, toxicity, near copies, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, whatever else they are called.
+
+In every stage rows with one text fare alike but for copies and passages, of which the earliest
+stays (by doc_id, null first); a null doc_id is allowed, very long texts are
+read whole, and an empty table gives an empty table. Null and empty texts, and those without a letter, go in the first stage.
 """
 
 from __future__ import annotations
@@ -22,16 +26,24 @@ TOXIC = 0.5
 ORACLE_SQL = None
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    taken = {c.lower() for c in docs.columns}
+    return next(n for n in (f"_{name}{k}" for k in range(len(taken) + 1)) if n not in taken)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those in no learned language."""
-    out = language.predicted(docs, language.train(docs))
-    return out.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE)).select(docs.columns)
+    found, score = _free(docs, "language"), _free(docs, "share")
+    out = language.predicted(docs, language.train(docs), (found, score))
+    return out.where((F.col(found) != language.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE)).drop(found, score)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that score as toxic."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where(F.col("toxicity") < TOXIC).select(docs.columns)
+    score = _free(docs, "toxicity")
+    return toxicity.scored(docs, model, score).where(F.col(score) < TOXIC).drop(score)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
