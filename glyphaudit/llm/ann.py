@@ -1,9 +1,17 @@
 """Operator 5: nearest neighbours by balanced posting lists.
 
 Vectors are clustered into balanced lists. The list centroids are searched by a nearest-
-neighbour graph kept in memory. A vector near a border is replicated to every list whose
-centroid is not much farther than the nearest one, and a query reads the lists whose distance
-is within a ratio of its nearest. Within the lists, inner products are computed exactly.
+neighbour graph kept in memory. A vector near a border is replicated to further lists whose
+centroids are not much farther than the nearest one, and a query reads every list whose distance
+is within a ratio of its nearest; no number of lists limits it. Within the lists, inner products
+are computed exactly.
+
+The ratio is calibrated: ``SAMPLE_QUERIES`` queries are compared with all vectors, and it is the
+least at which their lists hold the share ``RECALL`` of their true neighbours. Where vectors lie
+in clusters that is a small part of the lists, where they are spread evenly it may be most of them. With
+``exact=True`` a second pass reads every list that, by its centroid's distance and its radius,
+could hold a vector nearer than the last one found, so that nothing is missed; queries that have
+found fewer than they ask for take that pass in any case.
 
 Largest inner product becomes least distance by one added coordinate, which fills all vectors
 up to the length of the longest. Centroids are fitted on a bounded sample (``SAMPLE`` vectors at
@@ -12,29 +20,31 @@ among the 20 nearest, so the others are left out of the lists without changing a
 equal query vectors are searched once.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite
-components take no part, nor do rows without a vec_id. Rows that repeat a vec_id with the same
+components take no part, nor do rows without a vec_id. Components keep their type: doubles aren't
+rounded. Rows that repeat a vec_id with the same
 vector count once. Ties go to the smaller vec_id. With few vectors there is one list, and the
-result is exact. An empty table gives no rows. Extra columns are not read.
+result is exact. An empty table gives no rows. Extra columns, under any name, are not read; there are no texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphaudit.llm.common import Scratch, release
 
 NEAREST = 20
 #: Vectors a list aims at, and lists and sampled vectors at most.
 LIST_SIZE, MOST_LISTS, SAMPLE = 128, 8192, 65_536
-#: A vector goes to up to so many lists, whose distances are within this ratio of the nearest.
-REPLICAS, REPLICA_RATIO = 8, 1.1
-#: A query reads up to so many lists within this ratio.
-PROBES, PROBE_RATIO = 192, 1.35
+#: A vector goes to its nearest list and to so many in all, whose distances are within this ratio of the nearest.
+REPLICAS, REPLICA_RATIO = 2, 1.03
+#: Queries that are compared with all vectors, and the share of their neighbours that the lists must hold.
+SAMPLE_QUERIES, RECALL = 64, 0.96
 #: Rows of a list that one task compares; larger lists are split by vec_id.
 CELL_ROWS = 20_000
 DEGREE, ENTRIES = 24, 64
@@ -129,35 +139,82 @@ class CentroidGraph:
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     values = column.flatten() if isinstance(column, pa.ListArray) else column.combine_chunks().flatten()
-    return values.to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+    return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
 def filled(x: np.ndarray, longest: float) -> np.ndarray:
-    """With the coordinate that fills each vector up to the longest."""
-    x = x.astype(np.float64)
-    rest = np.sqrt(np.maximum(longest**2 - (x**2).sum(1), 0))
+    """In units of the longest vector, with the coordinate that fills each up to its length."""
+    x = x.astype(np.float64) / longest
+    rest = np.sqrt(np.maximum(1 - (x**2).sum(1), 0))
     return np.concatenate([x, rest[:, None]], axis=1).astype(np.float32)
 
 
-def aimed(q: np.ndarray, longest: float) -> np.ndarray:
-    """Queries, scaled to the longest vector: their order of neighbours stays, distances become comparable."""
+def aimed(q: np.ndarray) -> np.ndarray:
+    """Queries of length one: their order of neighbours stays, distances become comparable."""
     q = q.astype(np.float64)
-    q = q * (longest / np.sqrt((q**2).sum(1)))[:, None]
+    q = q / np.abs(q).max(1)[:, None]
+    q = q / np.sqrt((q**2).sum(1))[:, None]
     return np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32)
 
 
+def _length(e: Column) -> Column:
+    """Euclidean length without overflow."""
+    most = F.array_max(F.transform(e, lambda v: F.abs(v.cast("double"))))
+    return most * F.sqrt(F.aggregate(e, F.lit(0.0), lambda acc, v: acc + (v.cast("double") / most) * (v.cast("double") / most)))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """``vec_id, embedding`` of the vectors that take part."""
-    e = F.col("embedding").cast("array<float>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0")
+    kind = vectors.schema["embedding"].dataType
+    kept = kind if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType)) else T.ArrayType(T.DoubleType())
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kept).alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0")
     fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     rows = rows.where(F.coalesce(fine, F.lit(False)))
     most = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return rows.where(F.size("embedding") == (most["d"] if most else 0))
 
 
-def _per_vector(graph, dim: int, longest: float, query: bool) -> DataFrame:
-    width, ratio = (PROBES, PROBE_RATIO) if query else (REPLICAS, REPLICA_RATIO)
+def _posted(batch: pa.RecordBatch, ids: np.ndarray, take: np.ndarray, dist: np.ndarray) -> pa.RecordBatch:
+    rows = pa.array(np.repeat(np.arange(len(take)), take.sum(1)))
+    return pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.array(dist[take].astype(np.float64)), batch.column("vec_id").take(rows), batch.column("embedding").take(rows)], ["list", "dist", "vec_id", "embedding"])
+
+
+def _placing(graph, dim: int, longest: float) -> Callable:
+    """Each vector with its nearest list and those within REPLICA_RATIO."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                ids, dist = graph.value.search(filled(_matrix(part.column("embedding"), dim), longest), 8 * REPLICAS)
+                ids, dist = ids[:, :REPLICAS], dist[:, :REPLICAS]
+                yield _posted(part, ids, (ids >= 0) & (dist <= REPLICA_RATIO * dist[:, :1] + 1e-6), dist)
+
+    return work
+
+
+def _probing(graph, dim: int, ratio: float, width: int) -> Callable:
+    """Each query with every list within the ratio; the beam is widened for queries that reach its end."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, beam = batch, width
+            while part.num_rows:
+                more = []
+                for at in range(0, part.num_rows, 512):
+                    own = part.slice(at, 512)
+                    ids, dist = graph.value.search(aimed(_matrix(own.column("embedding"), dim)), beam)
+                    take = (ids >= 0) & (dist <= ratio * dist[:, :1] + 1e-6)
+                    full = take.all(1) & (beam < len(graph.value.c))
+                    more.append(full)
+                    yield _posted(own.filter(pa.array(~full)), ids[~full], take[~full], dist[~full])
+                part, beam = part.filter(pa.array(np.concatenate(more))), 2 * beam
+
+    return work
+
+
+def _further(graph, dim: int, longest: float, radius: np.ndarray) -> Callable:
+    """Each query, with the score ``least`` of its last neighbour, and all lists that could hold a better one."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = graph.value
@@ -165,16 +222,50 @@ def _per_vector(graph, dim: int, longest: float, query: bool) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 x = _matrix(part.column("embedding"), dim)
-                ids, dist = g.search(aimed(x, longest) if query else filled(x, longest), width if query else 2 * width)
-                ids, dist = ids[:, :width], dist[:, :width]
-                take = (ids >= 0) & (dist <= ratio * dist[:, :1] + 1e-6)
-                counts = take.sum(1)
-                rows = np.repeat(np.arange(len(x)), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[take]), part.column("vec_id").take(pa.array(rows)), part.column("embedding").take(pa.array(rows))], ["list", "vec_id", "embedding"])
+                q = aimed(x)
+                dist = np.sqrt(np.maximum(1 + g.norm[None, :] - 2 * q @ g.c.T, 0))
+                least = part.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
+                big = np.abs(x).max(1)
+                last = np.sqrt(np.maximum(2 - 2 * np.nan_to_num(least / big / longest / np.sqrt(((x / big[:, None]) ** 2).sum(1)), nan=-1.0), 0))
+                ids = np.broadcast_to(np.arange(len(g.c), dtype=np.int32), dist.shape)
+                yield _posted(part, ids, dist - radius[None, :] <= last[:, None] + 5e-3, dist)
 
     return work
 
 
+def calibrated(vectors: DataFrame, lists: DataFrame, asked: DataFrame, graph, dim: int, k: int) -> tuple[float, int]:
+    """The probe ratio that a sample of queries needs, and the most lists that any of them then reads."""
+    spark = vectors.sparkSession
+    drawn = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_QUERIES).toArrow()
+    if not drawn.num_rows:
+        return 1.0, 1
+    q_ids, q = drawn.column("vec_id").to_numpy(), _matrix(drawn.column("embedding"), dim)
+    shared = spark.sparkContext.broadcast((q_ids, q))  # SAMPLE_QUERIES vectors
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_ids, own = shared.value
+        for batch in batches:
+            ids = batch.column("vec_id").to_numpy()
+            score = own @ _matrix(batch.column("embedding"), dim).T
+            score[own_ids[:, None] == ids[None, :]] = -np.inf
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own_ids, best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())], ["query_id", "vec_id", "score"])
+
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    true = vectors.mapInArrow(nearest, "query_id long, vec_id long, score double").withColumn("rank", F.row_number().over(rank)).where((F.col("rank") <= k) & (F.col("score") > float("-inf")))
+    held = lists.select("list", "vec_id").join(F.broadcast(true.select("query_id", "vec_id")), "vec_id").collect()  # k * SAMPLE_QUERIES * REPLICAS rows
+    g = graph.value
+    dist = np.sqrt(np.maximum(1 + g.norm[None, :] - 2 * aimed(q) @ g.c.T, 0))
+    place = {int(i): n for n, i in enumerate(q_ids)}
+    need: dict[tuple[int, int], float] = {}
+    for r in held:
+        row = dist[place[r["query_id"]]]
+        at = (r["query_id"], r["vec_id"])
+        need[at] = min(need.get(at, np.inf), float(row[r["list"]] / max(row.min(), 1e-6)))
+    ratio = float(np.quantile(list(need.values()), RECALL, method="higher")) if need else 1.0
+    return ratio, int((dist <= ratio * dist.min(1)[:, None] + 1e-6).sum(1).max())
+
+
 def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Positions of each query's k best rows; score falling, then vec_id."""
     order = np.lexsort((vec, -score, query))
@@ -184,43 +275,39 @@ def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.n
     return order[rank < k]
 
 
-def search(vectors: DataFrame, queries: Column, k: int = NEAREST) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = NEAREST, exact: bool = False) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows where ``queries`` (a condition on vec_id) holds."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
-    copies = Window.partitionBy("embedding").orderBy("vec_id")
     rows = scratch.put(usable(vectors).distinct(), "rows")
-    kept = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
-    kept = scratch.put(kept, "kept")
-    square = F.aggregate("embedding", F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double"))
-    facts = kept.agg(F.count("*").alias("n"), F.max(square).alias("most"), F.max(F.size("embedding")).alias("d")).first()
-    n, dim, longest = facts["n"], facts["d"] or 1, float(np.sqrt(facts["most"] or 1.0))
+    # Limited before it is dealt out as well, so a vector that many rows have is k + 1 rows a task.
+    copies = Window.partitionBy("embedding").orderBy("vec_id")
+    kept = scratch.put(rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy"), "kept")
+    facts = kept.agg(F.count("*").alias("n"), F.max(_length(F.col("embedding"))).alias("most"), F.max(F.size("embedding")).alias("d")).first()
+    n, dim, longest = facts["n"], facts["d"] or 1, float(facts["most"] or 1.0)
     n_lists = 1 << max(0, int(np.log2(max(1, min(MOST_LISTS, n / LIST_SIZE)))))
     part = min(1.0, min(SAMPLE, 32 * n_lists) / max(1, n))
     drawn = kept.where(F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).select("embedding").limit(SAMPLE * 2).toArrow()
     x = filled(_matrix(drawn.column(0), dim), longest) if drawn.num_rows else np.zeros((1, dim + 1), np.float32)
     graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(x, n_lists)))  # MOST_LISTS centroids at most
 
-    lists = scratch.put(kept.mapInArrow(_per_vector(graph, dim, longest, False), "list int, vec_id long, embedding array<float>"), "lists")
-    sizes = {r["list"]: r["count"] for r in lists.groupBy("list").count().collect()}  # one row a list
-    cells = F.create_map(*[F.lit(v) for i, c in sizes.items() if c > CELL_ROWS for v in (i, -(-c // CELL_ROWS))]) if any(c > CELL_ROWS for c in sizes.values()) else None
-    n_cells = F.coalesce(cells[F.col("list")], F.lit(1)) if cells is not None else F.lit(1)
-    posted = lists.withColumn("cell", F.pmod(F.xxhash64("vec_id"), n_cells).cast("int"))
+    posted = "list int, dist double, vec_id long, embedding " + kept.schema["embedding"].dataType.simpleString()
+    lists = scratch.put(kept.mapInArrow(_placing(graph, dim, longest), posted), "lists")
+    facts = lists.groupBy("list").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("cells"), F.max("dist").alias("radius"))
+    facts = F.broadcast(scratch.put(facts, "facts"))  # a row a list
+    members = lists.select("list", "vec_id", "embedding").join(facts.select("list", "cells"), "list").withColumn("cell", F.pmod(F.xxhash64("vec_id"), "cells").cast("int"))
 
     asked = rows.where(queries)
-    distinct = asked.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"))
-    distinct = scratch.put(distinct, "distinct")
-    probes = distinct.mapInArrow(_per_vector(graph, dim, longest, True), "list int, vec_id long, embedding array<float>")
-    probes = probes.withColumn("cell", F.explode(F.sequence(F.lit(0), (n_cells - 1).cast("int"))))
-
+    distinct = scratch.put(asked.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")), "distinct")
+    ratio, width = calibrated(kept, lists, distinct, graph, dim, k)
     n_buckets = max(8, min(65_536, distinct.count() // 100))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         """The best of a cell for each query, packed by bucket of queries."""
         buckets, packed = [], []
         if left.num_rows and right.num_rows:
-            v_ids, v = left.column("vec_id").to_numpy(), _matrix(left.column("embedding"), dim).astype(np.float64)
-            q_ids, q = right.column("vec_id").to_numpy(), _matrix(right.column("embedding"), dim).astype(np.float64)
+            v_ids, v = left.column("vec_id").to_numpy(), _matrix(left.column("embedding"), dim)
+            q_ids, q = right.column("vec_id").to_numpy(), _matrix(right.column("embedding"), dim)
             parts = []
             for at in range(0, len(q), 256):
                 rough = q[at : at + 256] @ v.T
@@ -254,13 +341,29 @@ def search(vectors: DataFrame, queries: Column, k: int = NEAREST) -> DataFrame:
         best = _best(a, b, s, k + 1)
         return pa.table([pa.array(a[best]), pa.array(b[best]), pa.array(s[best])], names=["asked", "vec_id", "score"])
 
-    met = posted.groupBy("list", "cell").cogroup(probes.groupBy("list", "cell")).applyInArrow(compare, "bucket int, packed binary")
-    found = scratch.put(met.groupBy("bucket").applyInArrow(merge, "asked long, vec_id long, score double"), "found")
+    def found_in(probes: DataFrame, name: str) -> DataFrame:
+        """``asked, vec_id, score``: the k + 1 best of the lists that each query reads."""
+        each = probes.select("list", "vec_id", "embedding").join(facts.select("list", "cells"), "list").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
+        met = members.drop("cells").groupBy("list", "cell").cogroup(each.groupBy("list", "cell")).applyInArrow(compare, "bucket int, packed binary")
+        return scratch.put(met.groupBy("bucket").applyInArrow(merge, "asked long, vec_id long, score double"), name)
+
+    found = found_in(distinct.mapInArrow(_probing(graph, dim, ratio, max(32, width + width // 4)), posted), "found")
+    last = found.groupBy("asked").agg(F.count("*").alias("m"), F.min("score").alias("least")).withColumnRenamed("asked", "vec_id")
+    open_ = distinct.join(last, "vec_id", "left").select("vec_id", "embedding", F.coalesce("m", F.lit(0)).alias("m"), "least")
+    if not exact:  # queries whose lists hold too few vectors go on to as many lists as they need
+        open_ = open_.where(F.col("m") < min(k + 1, n))
+    open_ = scratch.put(open_.select("vec_id", "embedding", F.when(F.col("m") > k, F.col("least")).alias("least")), "open")
+    if open_.limit(1).count():
+        radius = np.zeros(len(graph.value.c))
+        for r in facts.collect():
+            radius[r["list"]] = r["radius"]
+        more = found_in(open_.mapInArrow(_further(graph, dim, longest, radius), posted), "more")
+        found = found.join(open_.select(F.col("vec_id").alias("asked")), "asked", "left_anti").union(more)
     who = asked.select(F.col("vec_id").alias("query_id"), "embedding").join(distinct.withColumnRenamed("vec_id", "asked"), "embedding").select("query_id", "asked")
     ranked = who.join(found, "asked").where("vec_id <> query_id")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = ranked.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     out = scratch.put(out, "out")
-    scratch.drop("rows", "kept", "lists", "distinct", "found")
+    scratch.drop("rows", "kept", "lists", "facts", "distinct", "found", "open", "more")
     release(spark)
     return out

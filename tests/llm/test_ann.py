@@ -48,6 +48,56 @@ def test_recall(spark, monkeypatch):
     assert all(scores.get((q, v), s) == pytest.approx(s, abs=0) for q, r in got.items() for v, s in r)
 
 
+def noted(monkeypatch):
+    """What calibration chose: (ratio, most lists a sampled query reads, lists)."""
+    seen, old = [], ann.calibrated
+
+    def calibrated(vectors, lists, asked, graph, dim, k):
+        out = old(vectors, lists, asked, graph, dim, k)
+        seen.append((*out, len(graph.value.c)))
+        return out
+
+    monkeypatch.setattr(ann, "calibrated", calibrated)
+    return seen
+
+
+def test_recall_with_few_probes_of_many_lists(spark, monkeypatch):
+    """Clusters: a tenth of the lists at most is read, and 0.9 of the true neighbours are found."""
+    monkeypatch.setattr(ann, "LIST_SIZE", 16)
+    seen = noted(monkeypatch)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((150, 24))
+    x = centres[rng.integers(0, 150, 9000)] + 0.15 * rng.standard_normal((9000, 24))
+    rows = [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(x)]
+    got, want = found(spark.createDataFrame(rows, KIND)), exact(rows)
+    ratio, width, lists = seen[0]
+    assert lists == 512 and 10 * width <= lists, (ratio, width)
+    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_exact(spark, monkeypatch):
+    """The second pass misses nothing, whatever the first one reads."""
+    monkeypatch.setattr(ann, "LIST_SIZE", 30)
+    monkeypatch.setattr(ann, "calibrated", lambda *a: (1.0, 1))
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1500, 12)) * rng.uniform(0.5, 2, (1500, 1))
+    rows = [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(x)]
+    out = {}
+    for r in sorted(ann.search(spark.createDataFrame(rows, KIND), F.col("vec_id") % 20 == 0, exact=True).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert out == exact(rows)
+
+
+def test_doubles_are_not_rounded(spark):
+    rows = [(i, [1.0 + 1e-9 * i, 0.5]) for i in range(40)] + [(60, [1e39, 0.0]), (80, [1e-60, 1e-61])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    first = {r["query_id"]: (r["vec_id"], r["score"]) for r in got if r["rank"] == 1}
+    assert first == {0: (60, 1e39), 20: (60, 1e39 * (1.0 + 1e-9 * 20)), 60: (39, 1e39 * (1.0 + 1e-9 * 39)), 80: (60, 1e39 * 1e-60)}
+    second = [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 0][1:6]
+    assert second == [39, 38, 37, 36, 35]
+
+
 def test_empty(spark):
     assert ann.search(spark.createDataFrame([], KIND), F.col("vec_id") % 20 == 0).count() == 0
 
