@@ -148,3 +148,15 @@ def error_kind(detail: Column) -> Column:
 
 def error_message(kind: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in ERROR_MESSAGES.items() for x in kv])[kind]
+
+
+def href(url: Column) -> Column:
+    """An http address as a browser spells it: scheme and host in lower case, no default port, at least the root's slash."""
+    bare = F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    scheme = F.lower(F.regexp_extract(bare, "^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1))
+    authority = F.regexp_extract(bare, "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
+    user = F.regexp_extract(authority, "^(.*@)", 1)
+    port = F.when(scheme == "http", F.lit(":(80)?$")).when(scheme == "https", F.lit(":(443)?$")).otherwise(F.lit(":$"))
+    host = F.regexp_replace(F.lower(F.regexp_extract(authority, "([^@]*)$", 1)), port, F.lit(""))
+    rest = F.regexp_extract(bare, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(.*)$", 1)
+    return F.concat(scheme, F.lit("://"), user, host, F.when(rest.startswith("/"), F.lit("")).otherwise(F.lit("/")), rest)

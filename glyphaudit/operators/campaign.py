@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphaudit.dims import GROUPS, groups_table
-from glyphaudit.functions.scalars import percent
+from glyphaudit.functions.scalars import href, percent
+from glyphaudit.functions.scripts import trimmed
 from glyphaudit.operators.engine import rank
 from glyphaudit.operators.pages import severity_of
 
@@ -113,13 +114,33 @@ def measured(sites: DataFrame, detected: DataFrame) -> DataFrame:
     return scanned(sites).agg(F.count("*").alias("n_scanned")).crossJoin(label_mismatches(sites, detected).agg(F.count("*").alias("n_mismatched"))).withColumn("n_measured", F.greatest(F.lit(0).cast("long"), F.col("n_scanned") - F.col("n_mismatched")))
 
 
+FLAGSHIP = "cursive-script-letter-spacing"
+
+
 def caveats(sites: DataFrame, findings: DataFrame) -> DataFrame:
-    """How much of the script-aware elements the two largest rules hold, and how many are of high confidence."""
-    issues = script_aware_issues(sites, findings).select("rule_id", "confidence", "n_elements")
-    place = F.row_number().over(Window.orderBy(F.desc("n_elements"), "rule_id"))  # a row for each rule
+    """One row of what must be said beside the numbers.
+
+    What the flagship check found (null where it found nothing), the two most widespread checks
+    with their share of all elements (null where there are not two), and elements of high confidence.
+    """
+    issues = script_aware_issues(sites, findings).select("rule_id", "confidence", "n_sites", "n_elements")
+    place = F.row_number().over(Window.orderBy(F.desc("n_sites"), F.desc("n_elements"), "rule_id"))  # a row for each rule
     out = issues.withColumn("place", place)
-    sums = out.agg(F.sum(F.when(F.col("place") <= 2, F.col("n_elements"))).alias("top_two"), F.sum("n_elements").alias("total"), F.coalesce(F.sum(F.when(F.col("confidence") == "high", F.col("n_elements"))), F.lit(0)).alias("high_confidence"))
-    return sums.withColumn("top_two_percent", percent(F.coalesce("top_two", F.lit(0)), F.coalesce("total", F.lit(0))))
+    at = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
+    flagship = lambda c: F.max(F.when(F.col("rule_id") == FLAGSHIP, F.col(c)))
+    sums = out.agg(
+        flagship("n_sites").alias("flagship_sites"),
+        flagship("n_elements").alias("flagship_elements"),
+        at(1, "rule_id").alias("first_rule"),
+        at(1, "confidence").alias("first_confidence"),
+        at(2, "rule_id").alias("second_rule"),
+        at(2, "confidence").alias("second_confidence"),
+        F.sum(F.when(F.col("place") <= 2, F.col("n_elements"))).alias("_two"),
+        F.coalesce(F.sum("n_elements"), F.lit(0)).alias("total"),
+        F.coalesce(F.sum(F.when(F.col("confidence") == "high", F.col("n_elements"))), F.lit(0)).alias("high_confidence"),
+    )
+    both = F.col("second_rule").isNotNull() & (F.col("total") > 0)
+    return sums.withColumns({"top_two": F.when(both, F.col("_two")), "top_two_percent": F.when(both, percent(F.col("_two"), F.col("total")))}).drop("_two")
 
 
 def count_by_group(targets: DataFrame) -> DataFrame:
@@ -129,14 +150,19 @@ def count_by_group(targets: DataFrame) -> DataFrame:
 
 
 def target_errors(targets: DataFrame) -> DataFrame:
-    """``list_ord, problem`` for every target that can't be used."""
-    href = F.lower(F.regexp_replace("url", "/$", ""))
-    again = F.count("*").over(Window.partitionBy(href)) > 1
+    """``list_ord, problem`` for every target that can't be used; an address that was listed before is named at its repeat."""
+    address = href(F.col("url"))
+    again = F.row_number().over(Window.partitionBy(address).orderBy("list_ord")) > 1
+    readable = F.coalesce(F.col("url").rlike(r"^[\x00-\x20]*[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#\s]+"), F.lit(False))
+    web = F.lower(trimmed(F.col("url"))).rlike("^https?://")
+    note = F.col("note_fine") if "note_fine" in targets.columns else F.lit(True)
     checks = [
-        (F.col("url").isNull() | ~F.col("url").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#\s]+"), "the address can't be read"),
-        (~F.col("url").rlike("^(?i)https?://"), "the address is neither http nor https"),
-        (again, "the address is listed twice"),
+        (F.coalesce(trimmed(F.col("url")), F.lit("")) == "", "an address is needed"),
+        ((trimmed(F.col("url")) != "") & ~readable, "the address can't be read"),
+        (readable & ~web, "the address is neither http nor https"),
+        (readable & web & again, "the address is listed twice"),
         (~F.coalesce(F.col("script").isin(*GROUPS), F.lit(False)), "the group isn't known"),
+        (~note, "the note is not text"),
     ]
     found = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(p)) for c, p in checks])
     return targets.withColumn("problems", F.filter(found, lambda p: p.isNotNull())).select("list_ord", F.explode("problems").alias("problem")).orderBy("list_ord", "problem")

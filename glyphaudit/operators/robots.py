@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphaudit.functions.scalars import url_path
-from glyphaudit.functions.scripts import trimmed
+from glyphaudit.functions.scripts import trimmed, utf16_length
 
-MOST_CHARACTERS = 512_000
+#: UTF-16 units that are read of a file.
+MOST_UNITS = 512_000
 REASONS = {
     "robots-allows": "The robots file allows the page.",
     "no-robots-file": "The site has no robots file.",
@@ -17,9 +18,22 @@ REASONS = {
 }
 
 
+def truncated(body: Column) -> Column:
+    """Whether a file is longer than what is read of it."""
+    return F.coalesce(utf16_length(body) > MOST_UNITS, F.lit(False))
+
+
+def _read(body: Column) -> Column:
+    """The first units of a file; a pair that the limit cuts goes whole."""
+    units = F.encode(body, "UTF-16BE")
+    last = F.hex(F.substring(units, 2 * MOST_UNITS - 1, 1))
+    n = F.when(last.between("D8", "DB"), F.lit(2 * MOST_UNITS - 2)).otherwise(F.lit(2 * MOST_UNITS))
+    return F.when(truncated(body), F.decode(F.substring(units, F.lit(1), n), "UTF-16BE")).otherwise(body)
+
+
 def lines(files: DataFrame) -> DataFrame:
     """``url, line_ord, field, value`` of the lines with a colon, comments cut off; files are read up to a limit."""
-    body = F.substring("body", 1, MOST_CHARACTERS)
+    body = _read(F.col("body"))
     split = files.select("url", F.posexplode(F.split(body, r"\r\n|\r|\n")).alias("line_ord", "line"))
     bare = split.withColumn("line", trimmed(F.regexp_replace("line", "#.*$", ""))).where(F.col("line").contains(":"))
     return bare.select("url", "line_ord", F.lower(trimmed(F.substring_index("line", ":", 1))).alias("field"), trimmed(F.regexp_replace("line", "^[^:]*:", "")).alias("value"))

@@ -7,16 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphaudit.dims import GROUPS, LANGUAGES, SCRIPTS, SUBTAGS, where
 from glyphaudit.functions import scalars
 from glyphaudit.functions import scripts as S
-from glyphaudit.operators import campaign, engine, pages, robots
+from glyphaudit.operators import campaign, engine, pages, records, robots
 from glyphaudit.operators import rules as R
 from glyphaudit.operators.engine import Filters
 from glyphaudit.plans import synth
 from glyphaudit.sources import html
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+# What the SQL knows of scripts and languages: written out here, so that a wrong entry in the engine's tables shows.
+
+
+def _table(text: str) -> dict[str, list[str]]:
+    """``keys = values; ...`` as a value list for each key."""
+    pairs = (part.split("=") for part in text.replace("\n", " ").split(";"))
+    return {k: v.split() for keys, v in pairs for k in keys.split()}
+
+
+CURSIVE, RTL = "arabic mongolian nko syriac".split(), "arabic hebrew nko syriac thaana".split()
+CASELESS = "arabic devanagari han hangul hebrew kana khmer lao mongolian nko syriac thaana thai".split()
+MARKED = "arabic devanagari hebrew khmer lao mongolian nko syriac thaana thai".split()
+SEGMENTED_MARKED, SEGMENTED_PLAIN = "khmer lao thai".split(), "han kana".split()
+KNOWN = [*CASELESS, "latin", "cyrillic", "greek"]
+HEIGHTS = {1.5: "latin arabic hebrew devanagari han kana hangul cyrillic greek syriac nko thaana".split(), 1.6: "thai lao khmer".split()}
+LABELLED = {"arabic": "Arabic", "hebrew": "Hebrew", "syriac": "Syriac", "nko": "N'Ko", "thaana": "Thaana"}
+LANGUAGES = _table("""ar fa ur ps ckb sd ug ku = arabic; he yi = hebrew; hi mr ne sa bho kok = devanagari; th = thai; lo = lao; km = khmer; zh = han;
+ja = han kana latin; ko = hangul han; vi en fr de es pt id tr = latin; ru uk bg mk = cyrillic; sr = cyrillic latin; el = greek; dv = thaana""")
+SUBTAGS = _table("""latn = latin; arab = arabic; hebr = hebrew; syrc = syriac; thaa = thaana; nkoo = nko; deva = devanagari; thai = thai; laoo = lao; khmr = khmer;
+mong = mongolian; hani hans hant = han; hira kana hrkt = kana; jpan = han kana; hang = hangul; kore = hangul han; cyrl = cyrillic; grek = greek""")
+GROUPS = {"arabic": ["arabic"], "persian/urdu": ["arabic"], "hebrew": ["hebrew"], "thai": ["thai"], "devanagari": ["devanagari"], "vietnamese": ["latin"], "cjk": ["han", "kana", "hangul"]}
+CONTROL_TAGS, CODE_TAGS = "BUTTON INPUT OPTION SELECT TEXTAREA".split(), "CODE KBD PRE SAMP".split()
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -134,10 +156,10 @@ def _in(names: list[str]) -> str:
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
-_HEIGHT = "CASE " + " ".join(f"WHEN dominant IN {_in(where(lambda s, h=h: s.min_line_height == h))} THEN {h}" for h in sorted({s.min_line_height for s in SCRIPTS if s.min_line_height})) + " END"
+_HEIGHT = "CASE " + " ".join(f"WHEN dominant IN {_in(names)} THEN {h}" for h, names in HEIGHTS.items()) + " END"
 
 
-@query(_ALL + f" SELECT dominant AS script, dominant IN {_in(R.CURSIVE)} AS is_cursive, dominant IN {_in(R.RTL)} AS is_rtl, {_HEIGHT}::DOUBLE AS min_line_height, count(*) AS n FROM analysed WHERE dominant IN {_in(R.KNOWN)} GROUP BY ALL")
+@query(_ALL + f" SELECT dominant AS script, dominant IN {_in(CURSIVE)} AS is_cursive, dominant IN {_in(RTL)} AS is_rtl, {_HEIGHT}::DOUBLE AS min_line_height, count(*) AS n FROM analysed WHERE dominant IN {_in(KNOWN)} GROUP BY ALL")
 def script_props_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphaudit.dims import scripts_table
 
@@ -156,21 +178,21 @@ _BIDI = """SELECT DISTINCT page_id, node_ord FROM (
   first_value(CASE WHEN script NOT IN ('common', 'latin') THEN script END IGNORE NULLS) OVER (PARTITION BY page_id, node_ord ORDER BY run_ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after,
   lag(script) OVER w AS s0, lag(text) OVER w AS t0, lead(script) OVER w AS s1, lead(text) OVER w AS t1 FROM runs WINDOW w AS (PARTITION BY page_id, node_ord ORDER BY run_ord))
  WHERE (script = 'latin' OR (script = 'common' AND regexp_matches(text, '[0-9]'))) AND n >= 2 AND before IN {rtl} AND after IN {rtl}
- AND (regexp_matches(text, '{neutral}') OR (s0 = 'common' AND regexp_matches(t0, '{neutral}')) OR (s1 = 'common' AND regexp_matches(t1, '{neutral}')))""".format(rtl=_in(R.RTL), neutral='[.,:;!?()"\'\'\\[\\]{}]')
+ AND (regexp_matches(text, '{neutral}') OR (s0 = 'common' AND regexp_matches(t0, '{neutral}')) OR (s1 = 'common' AND regexp_matches(t1, '{neutral}')))""".format(rtl=_in(RTL), neutral='[.,:;!?()"\'\'\\[\\]{}]')
 _VIETNAMESE = "regexp_matches(text, '[Ạ-ỹăâêôơưđĂÂÊÔƠƯĐ]')"
 #: Condition of each check on ``analysed``.
 CONDITIONS = {
-    "cursive-script-letter-spacing": f"dominant IN {_in(R.CURSIVE)} AND abs({_PX.format('letter_spacing')}) >= 0.01 AND cnt >= 2",
-    "insufficient-line-height-for-script": f"{_RATIO} < ({_HEIGHT}) AND tag_name NOT IN {_in(R.CONTROL_TAGS)} AND client_height >= 32",
-    "missing-script-font-coverage": f"dominant IN {_in(where(lambda s: s.name != 'latin'))} AND fallback AND cnt >= 2",
-    "case-transform-on-caseless-script": f"dominant IN {_in(R.CASELESS)} AND lower(trim(text_transform)) IN ('uppercase', 'lowercase', 'capitalize') AND latin::DOUBLE / lettered < 0.2",
-    "missing-dir-attribute": f"dominant IN {_in(R.RTL)} AND cnt >= 15 AND own_dir IS NULL AND inherited_dir IS NULL",
-    "lang-script-mismatch": f"dominant IN {_in(R.KNOWN)} AND tag_name NOT IN {_in(R.CODE_TAGS)} AND NOT has_code AND ({_EXPECTED})[1] <> '' AND NOT list_contains({_EXPECTED}, dominant) AND cnt >= 20 AND cnt::DOUBLE / lettered >= 0.8",
+    "cursive-script-letter-spacing": f"dominant IN {_in(CURSIVE)} AND abs({_PX.format('letter_spacing')}) >= 0.01 AND cnt >= 2",
+    "insufficient-line-height-for-script": f"{_RATIO} < ({_HEIGHT}) AND tag_name NOT IN {_in(CONTROL_TAGS)} AND client_height >= 32",
+    "missing-script-font-coverage": f"dominant IN {_in([n for n in KNOWN if n != 'latin'])} AND fallback AND cnt >= 2",
+    "case-transform-on-caseless-script": f"dominant IN {_in(CASELESS)} AND lower(trim(text_transform)) IN ('uppercase', 'lowercase', 'capitalize') AND latin::DOUBLE / lettered < 0.2",
+    "missing-dir-attribute": f"dominant IN {_in(RTL)} AND cnt >= 15 AND own_dir IS NULL AND inherited_dir IS NULL",
+    "lang-script-mismatch": f"dominant IN {_in(KNOWN)} AND tag_name NOT IN {_in(CODE_TAGS)} AND NOT has_code AND ({_EXPECTED})[1] <> '' AND NOT list_contains({_EXPECTED}, dominant) AND cnt >= 20 AND cnt::DOUBLE / lettered >= 0.8",
     "physical-css-in-bidi-context": "computed_direction = 'rtl' AND lower(trim(text_align)) IN ('left', 'right')",
-    "unisolated-bidi-run": f"dominant IN {_in(R.RTL)} AND NOT has_bdi AND (page_id, node_ord) IN ({_BIDI})",
+    "unisolated-bidi-run": f"dominant IN {_in(RTL)} AND NOT has_bdi AND (page_id, node_ord) IN ({_BIDI})",
     "unmirrored-directional-icon": "computed_direction = 'rtl' AND (regexp_matches(text, '[←→‹›«»⟵⟶⇐⇒◀▶◄►]') OR regexp_matches(class_name, '(?i)(arrow|chevron|caret|angle)[-_](left|right)')) AND css_transform NOT IN ('matrix(-1, 0, 0, 1, 0, 0)', 'matrix(0.7, 0.7, -0.7, 0.7, 0, 0)') AND NOT has_transformed",
-    "unsafe-word-break-for-script": f"((dominant IN {_in(R.CURSIVE)} AND (word_break = 'break-all' OR hyphens = 'auto')) OR (dominant IN {_in(R.SEGMENTED_MARKED)} AND word_break = 'break-all') OR (dominant IN {_in(R.SEGMENTED_PLAIN)} AND hyphens = 'auto')) AND cnt >= 2",
-    "clipped-stacked-marks": f"dominant IN {_in(R.KNOWN)} AND (dominant IN {_in(R.MARKED)} OR (dominant = 'latin' AND {_VIETNAMESE}) OR regexp_matches(text, '\\p{{Mn}}')) AND lower(trim(overflow_y)) IN ('hidden', 'clip') AND clip = 'auto' AND over > 1",
+    "unsafe-word-break-for-script": f"((dominant IN {_in(CURSIVE)} AND (word_break = 'break-all' OR hyphens = 'auto')) OR (dominant IN {_in(SEGMENTED_MARKED)} AND word_break = 'break-all') OR (dominant IN {_in(SEGMENTED_PLAIN)} AND hyphens = 'auto')) AND cnt >= 2",
+    "clipped-stacked-marks": f"dominant IN {_in(KNOWN)} AND (dominant IN {_in(MARKED)} OR (dominant = 'latin' AND {_VIETNAMESE}) OR regexp_matches(text, '\\p{{Mn}}')) AND lower(trim(overflow_y)) IN ('hidden', 'clip') AND clip = 'auto' AND over > 1",
 }
 _SEVERITY = {r.id: f"'{r.severity}'" for r in R.RULES} | {"missing-dir-attribute": "CASE WHEN computed_direction = 'rtl' THEN 'moderate' ELSE 'serious' END"}
 _WCAG = {"insufficient-line-height-for-script": f"CASE WHEN {_RATIO} < 1.5 THEN '1.4.8' END"}
@@ -200,6 +222,26 @@ def findings_all_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.ordered(engine.findings(synth.nodes(spark, sf_dir))).select(_COLUMNS)
 
 
+_SNIP = "trim(regexp_replace(text, '[\\s\\x{A0}]+', ' ', 'g'))"
+_SAID = {
+    "missing-dir-attribute": ("Right-to-left text without a declared direction", "CASE dominant " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in LABELLED.items()) + " END || ' text has no dir attribute on or above it.'", "Punctuation and numbers land on the wrong side.", 'Put dir="rtl" on the element or the page.'),
+    "cursive-script-letter-spacing": ("Letter spacing on joined letters", "'Letters of ' || CASE dominant " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in LABELLED.items()) + " END || ' text are set ' || CASE letter_spacing WHEN '0.01px' THEN '0.01' WHEN '-1.5px' THEN '-1.5' ELSE '2' END || 'px apart.'", "Joined letters come apart or collide, and words stop being words.", "Apply letter-spacing to scripts with separate letters only."),
+    "physical-css-in-bidi-context": ("Physical alignment in right-to-left context", "'text-align is ' || lower(trim(text_align)) || ' in right-to-left context.'", None, "Use start or end."),
+}
+
+
+def _said(rule: str) -> str:
+    title, wrong, why, fix = _SAID[rule]
+    reason = f"'{why}'" if why else "CASE WHEN lower(trim(text_align)) = 'left' THEN 'Lines start at the far edge.' ELSE 'It looks right now, and stays there when the direction changes.' END"
+    return f"SELECT page_id, node_ord, '{rule}' AS rule_id, '{title}' AS title, CASE WHEN length({_SNIP}) > 60 THEN substr({_SNIP}, 1, 60) || '…' ELSE {_SNIP} END AS snippet, {wrong} AS what_is_wrong, {reason} AS why_it_matters, '{fix}' AS how_to_fix, 'script_aware' AS source FROM tagged WHERE coalesce({CONDITIONS[rule]}, false)"
+
+
+@query(_ALL + f", tagged AS ({_TAGGED}) " + " UNION ALL ".join(_said(r) for r in _SAID))
+def finding_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = engine.findings(synth.nodes(spark, sf_dir), Filters(rules=tuple(_SAID)))
+    return out.select("page_id", "node_ord", "rule_id", "title", "snippet", "what_is_wrong", "why_it_matters", "how_to_fix", "source")
+
+
 _FILTERS = {
     "findings_filtered_severity": (Filters(severity="serious"), "severity IN ('critical', 'serious')"),
     "findings_only_rules": (Filters(rules=("missing-dir-attribute", "clipped-stacked-marks")), "rule_id IN ('missing-dir-attribute', 'clipped-stacked-marks')"),
@@ -291,8 +333,8 @@ def _ours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tally = pages.script_tally(synth.nodes(spark, sf_dir))
-    return tally.selectExpr(f"{synth.site_of()} AS list_ord", "script", "n_nodes").groupBy("list_ord", "script").agg(F.sum("n_nodes").alias("n"))
+    nodes = synth.nodes(spark, sf_dir).withColumn("list_ord", F.expr(_WRITTEN))
+    return pages.script_tally(nodes, "list_ord").withColumnRenamed("n_nodes", "n")
 
 
 @query(_STD + ", every AS (SELECT unnest(['scanned', 'disallowed', 'skipped', 'failed']) AS status) SELECT status, count(list_ord) AS n_sites FROM every LEFT JOIN sites USING (status) GROUP BY status")
@@ -329,8 +371,10 @@ def campaign_by_detected_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return campaign.by_detected_script(synth.sites(spark), _ours(spark, sf_dir))
 
 
+#: Sites are written in one script each, beside what common nodes they have, so some aren't written in that of their group.
+_WRITTEN = "CAST((doc_id * 7 + node_ord) % 10 * 3 + doc_id % 3 AS INT)"
 _MISMATCH = _ALL + "," + synth.SQL_SITES + f""",
-detected AS (SELECT {_SITE} AS list_ord, dominant AS script, count(*) AS n FROM analysed GROUP BY ALL),
+detected AS (SELECT {_WRITTEN} AS list_ord, dominant AS script, count(*) AS n FROM analysed GROUP BY ALL),
 expected AS (SELECT * FROM (VALUES {", ".join(f"('{g}', '{s}')" for g, v in GROUPS.items() for s in v)}) AS e(target_group, script)),
 met AS (SELECT DISTINCT list_ord FROM detected JOIN sites USING (list_ord) JOIN expected USING (target_group, script)),
 names AS (SELECT list_ord, string_agg(script, ',' ORDER BY n DESC, script) AS detected FROM detected WHERE script <> 'common' GROUP BY list_ord),
@@ -347,7 +391,12 @@ def campaign_measured_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return campaign.measured(synth.sites(spark), _detected(spark, sf_dir))
 
 
-@query(_CAMPAIGN + ", k AS (SELECT rule_id, any_value(confidence) AS confidence, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, rule_id) AS p FROM own GROUP BY rule_id) SELECT sum(n) FILTER (p <= 2)::BIGINT AS top_two, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (confidence = 'high'), 0)::BIGINT AS high_confidence, floor(sum(n) FILTER (p <= 2)::DOUBLE / sum(n) * 1000 + 0.5) / 10 AS top_two_percent FROM k")
+@query(
+    _CAMPAIGN + """, k AS (SELECT rule_id, any_value(confidence) AS confidence, count(*) AS n, count(DISTINCT url) AS m, row_number() OVER (ORDER BY count(DISTINCT url) DESC, count(*) DESC, rule_id) AS p FROM own GROUP BY rule_id)
+SELECT max(m) FILTER (rule_id = 'cursive-script-letter-spacing') AS flagship_sites, max(n) FILTER (rule_id = 'cursive-script-letter-spacing') AS flagship_elements,
+ max(rule_id) FILTER (p = 1) AS first_rule, max(confidence) FILTER (p = 1) AS first_confidence, max(rule_id) FILTER (p = 2) AS second_rule, max(confidence) FILTER (p = 2) AS second_confidence,
+ sum(n) FILTER (p <= 2)::BIGINT AS top_two, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (confidence = 'high'), 0)::BIGINT AS high_confidence, floor(sum(n) FILTER (p <= 2)::DOUBLE / sum(n) * 1000 + 0.5) / 10 AS top_two_percent FROM k"""
+)
 def campaign_caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return campaign.caveats(synth.sites(spark), _ours(spark, sf_dir))
 
@@ -361,9 +410,9 @@ _TARGETS = "SELECT CAST(s_suppkey AS INT) AS list_ord, CASE s_suppkey % 6 WHEN 0
 
 
 @query(
-    f"""WITH t AS ({_TARGETS}), c AS (SELECT *, count(*) OVER (PARTITION BY url) AS n FROM t)
-SELECT list_ord, 'the address can''t be read' AS problem FROM c WHERE url = 'nonsense' UNION ALL SELECT list_ord, 'the address is neither http nor https' FROM c WHERE url NOT LIKE 'http%' UNION ALL
-SELECT list_ord, 'the address is listed twice' FROM c WHERE n > 1 UNION ALL SELECT list_ord, 'the group isn''t known' FROM c WHERE script = 'klingon'"""
+    f"""WITH t AS ({_TARGETS}), c AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY list_ord) AS n FROM t)
+SELECT list_ord, 'the address can''t be read' AS problem FROM c WHERE url = 'nonsense' UNION ALL SELECT list_ord, 'the address is neither http nor https' FROM c WHERE url LIKE 'ftp%' UNION ALL
+SELECT list_ord, 'the address is listed twice' FROM c WHERE n > 1 AND url LIKE 'http%' UNION ALL SELECT list_ord, 'the group isn''t known' FROM c WHERE script = 'klingon'"""
 )
 def target_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = synth.table(spark, sf_dir, "supplier")
@@ -391,6 +440,34 @@ def robots_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.decisions(fetched)
 
 
+_SPELT = "CASE s_suppkey % 8 WHEN 0 THEN 'HTTPS://User@Same.Example:443' WHEN 1 THEN 'https://same.example/A' WHEN 2 THEN 'https://same.example/a/' WHEN 3 THEN 'http://Same.example:80?q=A' WHEN 4 THEN 'http://same.example:8080#F' WHEN 5 THEN ' https://same.example/a ' WHEN 6 THEN 'https://SAME.EXAMPLE' ELSE 'https://same.example/' END"
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN 'https://User@same.example/' WHEN 1 THEN 'https://same.example/A' WHEN 2 THEN 'https://same.example/a/' WHEN 3 THEN 'http://same.example/?q=A' WHEN 4 THEN 'http://same.example:8080/#F' WHEN 5 THEN 'https://same.example/a' ELSE 'https://same.example/' END AS href FROM supplier")
+def target_hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.table(spark, sf_dir, "supplier").select("s_suppkey", scalars.href(F.expr(_SPELT)).alias("href"))
+
+
+@query(
+    f"""WITH t AS (SELECT s_suppkey AS k, {_URL} AS url, {_STATUS} AS st FROM supplier),
+r AS (SELECT *, CASE WHEN st = 404 THEN 'no-robots-file' WHEN coalesce(st, 0) <> 200 THEN 'robots-unreachable' WHEN CASE WHEN k % 3 = 0 THEN k % 6 = 3 ELSE k % 6 = 1 END THEN 'robots-disallows' ELSE 'ok' END AS w FROM t),
+s AS (SELECT *, CASE WHEN w = 'robots-disallows' THEN 'disallowed' WHEN w = 'robots-unreachable' THEN 'skipped' WHEN k % 5 = 4 OR k % 10 = 3 THEN 'failed' ELSE 'scanned' END AS status FROM r)
+SELECT CAST(k AS INT) AS list_ord, url, 'thai' AS target_group, status,
+ CASE WHEN status = 'disallowed' THEN 'The robots file does not allow the page.' WHEN status = 'skipped' THEN 'The robots file could not be read.' WHEN status = 'failed' AND k % 5 = 4 THEN 'The scan did not finish within 60000 ms and was given up on.' WHEN status = 'failed' THEN 'It took too long.' END AS reason,
+ CASE WHEN status = 'skipped' AND st IS NOT NULL THEN 'HTTP status ' || st WHEN status = 'skipped' THEN 'no answer' WHEN status = 'failed' AND k % 5 <> 4 THEN 'Timeout 1ms' END AS detail,
+ CASE WHEN status = 'scanned' THEN k % 4 END::BIGINT AS passes, CASE WHEN status = 'scanned' THEN CASE WHEN k % 2 = 0 THEN 2 ELSE 0 END END::INT AS n_standard FROM s"""
+)
+def campaign_site_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = synth.table(spark, sf_dir, "supplier")
+    fetched = t.selectExpr(f"{_URL} AS url", f"CAST({_STATUS} AS INT) AS http_status", f"{_BODY} AS body", f"CASE WHEN {_STATUS} IS NULL THEN 'no answer' END AS error")
+    listed = t.selectExpr("CAST(s_suppkey AS INT) AS list_ord", f"{_URL} AS url", "'thai' AS script", "CAST(NULL AS STRING) AS note")
+    scans = t.where("s_suppkey % 5 <> 4").selectExpr("CAST(s_suppkey AS STRING) AS page_id", f"{_URL} AS url", f"{_URL} AS final_url", "'2024-01-01T00:00:00Z' AS captured_at", "CAST(1000 + s_suppkey AS BIGINT) AS duration_ms", "CASE WHEN s_suppkey % 10 = 3 THEN named_struct('kind', 'timeout', 'message', 'It took too long.', 'detail', 'Timeout 1ms') END AS error", "CAST(s_suppkey % 4 AS BIGINT) AS passes")
+    standard = t.where("s_suppkey % 2 = 0").selectExpr("CAST(s_suppkey AS STRING) AS page_id", "explode(array(0, 1)) AS ord", "'x' AS id", "'serious' AS impact", "'h' AS help", "array('n') AS nodes")
+    none = spark.createDataFrame([], "page_id string, node_ord int, rule_id string, title string, severity string, confidence string, script string, n_nodes long, samples array<string>")
+    out = records.site_records(listed, robots.decisions(fetched), fetched, scans, standard, none, none, none)
+    return out.select("list_ord", "url", "target_group", "status", "reason", "detail", "passes", F.when(F.col("standard").isNotNull(), F.size("standard")).alias("n_standard"))
+
+
 _DETAIL = "concat('net::', CASE p_partkey % 18 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (c, _) in enumerate(scalars.ERROR_KINDS)) + " WHEN 16 THEN 'Timeout 20000ms exceeded ERR_CERT_X' ELSE 'other' END)"
 
 

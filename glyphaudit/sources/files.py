@@ -25,10 +25,26 @@ def third_party(spark: SparkSession, path: str) -> DataFrame:
 
 
 def targets(spark: SparkSession, path: str) -> DataFrame:
-    """A target list: a JSON array of objects; a byte-order mark is passed over. Entries are numbered in their order."""
+    """``list_ord, url, script, note, note_fine`` of a target list, ``{"targets": [{"url", "script", "note"}, ...]}``.
+
+    A byte-order mark is passed over. A file of another shape, or without a target, is refused.
+    Members of another type than text are null; ``campaign.target_errors`` says what is wrong.
+    """
     text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"^\x{FEFF}", "").alias("value"))
-    rows = text.select(F.posexplode(F.from_json("value", "array<struct<url string, script string, note string>>")).alias("list_ord", "t"))
-    return rows.select("list_ord", "t.url", "t.script", "t.note")
+    parsed = text.select(F.try_parse_json("value").alias("v"))
+    listed = F.try_variant_get("v", "$.targets", "array<variant>")
+    refused = lambda why: F.raise_error(F.lit(why)).cast("array<variant>")
+    fine = (
+        F.when(F.col("v").isNull(), refused("the targets file is not valid JSON"))
+        .when(listed.isNull(), refused('the targets file must have a "targets" array'))
+        .when(F.size(listed) == 0, refused("the targets file lists no targets"))
+        .otherwise(listed)
+    )
+    rows = parsed.select(fine.alias("t")).select(F.posexplode("t").alias("list_ord", "t"))
+    kind = lambda name: F.schema_of_variant(F.try_variant_get("t", f"$.{name}", "variant"))
+    text_of = lambda name: F.when(kind(name) == "STRING", F.try_variant_get("t", f"$.{name}", "string"))
+    note = text_of("note")
+    return rows.select("list_ord", text_of("url").alias("url"), text_of("script").alias("script"), F.nullif(note, F.lit("")).alias("note"), (F.coalesce(kind("note"), F.lit("STRING")) == "STRING").alias("note_fine"))
 
 
 def newest(spark: SparkSession, folder: str) -> str | None:

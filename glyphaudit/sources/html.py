@@ -18,6 +18,19 @@ MOST_NODES, MOST_TEXT = 3000, 500
 SILENT = {"SCRIPT", "STYLE", "NOSCRIPT", "TEMPLATE"}
 VOID = {"AREA", "BASE", "BR", "COL", "EMBED", "HR", "IMG", "INPUT", "LINK", "META", "SOURCE", "TRACK", "WBR"}
 CODE = {"CODE", "PRE", "KBD", "SAMP"}
+# What an opening tag closes, and where the search for it ends.
+_CELL = {"TD", "TH"}
+_ROWS = {"THEAD", "TBODY", "TFOOT"}
+CLOSES = {
+    "LI": ({"LI"}, {"UL", "OL", "MENU"}),
+    **dict.fromkeys(("DT", "DD"), ({"DT", "DD"}, {"DL"})),
+    **dict.fromkeys(("OPTION", "OPTGROUP"), ({"OPTION"}, {"SELECT", "DATALIST"})),
+    **dict.fromkeys(_CELL, (_CELL, {"TR", "TABLE"})),
+    "TR": ({"TR"} | _CELL, _ROWS | {"TABLE"}),
+    **dict.fromkeys(_ROWS, (_ROWS | {"TR"} | _CELL, {"TABLE"})),
+}
+ENDS_PARAGRAPH = set("ADDRESS ARTICLE ASIDE BLOCKQUOTE DETAILS DIV DL FIELDSET FIGCAPTION FIGURE FOOTER FORM H1 H2 H3 H4 H5 H6 HEADER HGROUP HR LI DD DT MAIN MENU NAV OL P PRE SECTION SUMMARY TABLE UL".split())
+_SCOPE = {"BUTTON", "CAPTION", "HTML", "OBJECT", "TABLE", "TD", "TH"}
 _HIDDEN = re.compile(r"(display\s*:\s*none|visibility\s*:\s*(hidden|collapse))", re.I)
 _TRANSFORM = re.compile(r"(?:^|;)\s*transform\s*:\s*([^;]+)", re.I)
 NODES = "page_id string, node_ord int, selector string, text string, own_lang string, inherited_lang string, own_dir string, inherited_dir string, ancestor_has_dir_rtl boolean, class_names array<string>, tag_name string, has_bdi_ancestor boolean, has_code_ancestor boolean, has_transformed_ancestor boolean, document_lang string, document_dir string, truncated boolean, capture_mode string"
@@ -67,7 +80,21 @@ class TextNodes(HTMLParser):
         self.rows: list[tuple[_Element, str]] = []
         self.truncated = False
 
+    def _close(self, names: set[str], scope: set[str]) -> None:
+        """Ends the open elements of these names, up to one that bounds them."""
+        e, last = self.at, None
+        while e is not None and e.tag not in scope:
+            if e.tag in names:
+                last = e
+            e = e.parent
+        if last is not None:
+            self.at = last.parent
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag.upper() in ENDS_PARAGRAPH:
+            self._close({"P"}, _SCOPE)
+        if tag.upper() in CLOSES:
+            self._close(*CLOSES[tag.upper()])
         e = _Element(tag.upper(), {k: ("" if v is None else v) for k, v in reversed(attrs)}, self.at)
         self.root = self.root or e
         if e.tag not in VOID:
