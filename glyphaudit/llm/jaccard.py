@@ -10,8 +10,10 @@ links has a common n-gram among the first ``n - ceil(2 t n / (1 + t)) + 1`` of i
 index part), the longer one among the first ``n - ceil(t n) + 1`` (its probe part), and the
 first one they share leaves both enough n-grams to reach the overlap that their sizes ask for.
 The join takes index entries on one side and probe entries on the other and keeps the pairs
-that pass this bound, and another: every n-gram flips one of 384 bits of its set, so two sets
-differ in at least as many n-grams as their bits differ. An n-gram that many documents have is split by set size: a probe entry
+that pass this bound, and another: every n-gram flips one of 384 bits of its set (4096 for long
+sets, looked at once a pair is known), so two sets differ in at least as many n-grams as their
+bits differ. A match is passed over if the entry before it, in both sets, is of one n-gram as
+well: it is not the first that they share. An n-gram that many documents have is split by set size: a probe entry
 goes only to the size bands in which a partner can pass, so copies of about one size with many
 edits of their own, which share all common n-grams but can't link, never meet.
 
@@ -58,8 +60,8 @@ COUNT_CHUNK = 2_000_000
 HASHES, KEYED, AGREE = 8, 2, 5
 #: Ids of texts to read again are broadcast up to this many rows (about 32 bytes each).
 BROADCAST_ROWS = 200_000
-#: Longs of a set's parity bits.
-ODD = 6
+#: Longs of a set's parity bits, and of those that sets of more than so many n-grams have besides.
+ODD, WIDE, LONG = 6, 64, 400
 _TOP = np.uint64(1 << 63)
 #: N-gram hashes are mixed already, so odd factors give independent orders.
 _MULTIPLIERS = (np.arange(1, 2 * HASHES, 2, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -94,10 +96,10 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def parity(grams: np.ndarray) -> np.ndarray:
+def parity(grams: np.ndarray, longs: int = ODD) -> np.ndarray:
     """Bits that the n-grams of a set flip, as signed longs."""
-    at = ((grams * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(32)).astype(np.int64) % (64 * ODD)
-    return np.packbits((np.bincount(at, minlength=64 * ODD) & 1).astype(np.uint8)).view("<i8")
+    at = ((grams * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(32)).astype(np.int64) % (64 * longs)
+    return np.packbits((np.bincount(at, minlength=64 * longs) & 1).astype(np.uint8)).view("<i8")
 
 
 def set_hash(grams: np.ndarray) -> tuple[int, int]:
@@ -146,13 +148,13 @@ def common_grams(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _sets(rows: DataFrame, size: int, percent: int, common) -> DataFrame:
-    """``doc_id, part, cid, alt, n, share, prefix, keys, odd``: a set's hashes, size, share of common n-grams, probe part, min-hashes and parity bits; arrays are empty for a set that the task has met."""
+    """``doc_id, part, cid, alt, n, share, prefix, keys, odd, wide``: a set's hashes, size, share of common n-grams, probe part, min-hashes and parity bits; arrays are empty for a set that the task has met."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingles(size), set()
         none = np.zeros(0, np.int64)
         for part in slices(batches, 4 << 20):
-            cid, alt, n, prefix, keys, share, odd = [], [], [], [], [], [], []
+            cid, alt, n, prefix, keys, share, odd, wide = [], [], [], [], [], [], [], []
             for text in part.column("text").to_pylist():
                 grams = shingles.of(text)
                 both = set_hash(grams) if len(grams) else (0, 0)
@@ -167,12 +169,13 @@ def _sets(rows: DataFrame, size: int, percent: int, common) -> DataFrame:
                 prefix.append(key[: prefix_length(len(key), percent)] if new else none)
                 keys.append(np.array([(grams * m).min() for m in _MULTIPLIERS], np.uint64).view(np.int64) if new else none)
                 odd.append(parity(grams) if new else none)
+                wide.append(parity(grams, WIDE) if new and len(grams) > LONG else none)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("part"), pa.array(cid, pa.int64()), pa.array(alt, pa.int64()), pa.array(n, pa.int64()), pa.array(share, pa.float64()), _lists(prefix), _lists(keys), _lists(odd)],
-                ["doc_id", "part", "cid", "alt", "n", "share", "prefix", "keys", "odd"],
+                [part.column("doc_id"), part.column("part"), pa.array(cid, pa.int64()), pa.array(alt, pa.int64()), pa.array(n, pa.int64()), pa.array(share, pa.float64()), _lists(prefix), _lists(keys), _lists(odd), _lists(wide)],
+                ["doc_id", "part", "cid", "alt", "n", "share", "prefix", "keys", "odd", "wide"],
             )
 
-    return rows.mapInArrow(work, "doc_id long, part long, cid long, alt long, n long, share double, prefix array<long>, keys array<long>, odd array<long>")
+    return rows.mapInArrow(work, "doc_id long, part long, cid long, alt long, n long, share double, prefix array<long>, keys array<long>, odd array<long>, wide array<long>")
 
 
 def _told_apart(sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -250,9 +253,18 @@ def _chained(classes: DataFrame, salts: int, percent: int) -> DataFrame:
     return near.select(*_pair("cid", "c0", "n", "n0")).distinct()
 
 
+def _unlike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of pairs of long sets that the wider parity bits rule out."""
+    ends = classes.where(F.size("wide") > 0).select("cid", "wide")
+    met = pairs.join(ends.select(F.col("cid").alias("a"), F.col("wide").alias("x")), "a").join(ends.select(F.col("cid").alias("b"), F.col("wide").alias("y")), "b")
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, d: acc + d)
+    total = F.col("na") + F.col("nb")
+    return met.where((100 + percent) * (total - differ) < 2 * percent * total).select("a", "b")
+
+
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs that may link by what their probe parts share: up to the lesser of both parts' ends, that is the whole overlap."""
-    ends = classes.select("cid", "prefix").join(_ends(pairs), "cid", "left_semi")
+    ends = classes.select("cid", "prefix").join(_small(_ends(pairs)), "cid", "left_semi")
     met = pairs.join(ends.select(F.col("cid").alias("a"), F.col("prefix").alias("x")), "a").join(ends.select(F.col("cid").alias("b"), F.col("prefix").alias("y")), "b")
     rest = F.when(F.element_at("x", -1) <= F.element_at("y", -1), F.col("na") - F.size("x")).otherwise(F.col("nb") - F.size("y"))
     return met.where((100 + percent) * (F.size(F.array_intersect("x", "y")) + rest) >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
@@ -262,33 +274,41 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Ids for a broadcast up to BROADCAST_ROWS of them, for a shuffle beyond."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _entries(classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """``gram, at, cid, n, root, odd, leading, low, high``: probe entries of n-grams found in several components.
+    """``gram, at, cid, n, root, odd, leading, low, high, before``: probe entries of n-grams found in several components.
 
     ``leading`` marks index entries; low and high are the least and largest size of a shorter
-    partner whose first common n-gram can be this one.
+    partner whose first common n-gram can be this one; before is the n-gram of the set's entry before.
     """
     leading = (100 + percent) * (F.col("n") - F.col("at")) >= 2 * percent * F.col("n")
     low, high = F.expr(f"({percent} * n + 99) div 100"), F.expr(f"least(n, ({100 + percent} * (n - at)) div {percent} - n)")
     each = classes.select("cid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "gram"))
     # Most n-grams are in one class: they go first, by a count that tasks add up before they send it.
-    several = each.groupBy("gram").agg(F.count("*").alias("k"), F.max(leading).alias("any")).where("k > 1 AND any").select("gram")
+    marks = F.sum(F.when(leading, F.lit((1 << 32) + 1)).otherwise(F.lit(1)))  # index entries above, all below
+    several = each.groupBy("gram").agg(marks.alias("k")).where(f"k >= {1 << 32} AND k % {1 << 32} > 1").select("gram")
     each = each.join(several, "gram", "left_semi").join(roots.withColumnRenamed("node", "cid"), "cid")
     mixed = each.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gram")
     each = each.join(mixed, "gram", "left_semi").join(classes.select("cid", "odd"), "cid")
     each = each.select("gram", "at", "cid", F.col("n").cast("long").alias("n"), "root", "odd")
-    return each.select("*", leading.alias("leading"), low.alias("low"), high.alias("high")).where("leading OR low <= high")
+    each = each.select("*", leading.alias("leading"), low.alias("low"), high.alias("high")).where("leading OR low <= high")
+    return each.withColumn("before", F.lag("gram").over(Window.partitionBy("cid").orderBy("at")))
 
 
 def proposed(entries: DataFrame, percent: int) -> DataFrame:
     """``a, b, na, nb``: pairs of different components that an n-gram's index and probe entries allow."""
     band = lambda x: F.when(F.col("gram") >= 0, F.floor(F.log(x.cast("double")) * BANDS)).otherwise(F.lit(0)).cast("int")
-    left = entries.where("leading").select("gram", band(F.col("n")).alias("band"), F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("i"), F.col("root").alias("rx"), F.col("odd").alias("ox"))
-    right = entries.where("low <= high").select("gram", F.explode(F.sequence(band(F.col("low")), band(F.col("high")))).alias("band"), F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("at").alias("j"), F.col("root").alias("ry"), F.col("odd").alias("oy"))
+    left = entries.where("leading").select("gram", band(F.col("n")).alias("band"), F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("i"), F.col("root").alias("rx"), F.col("odd").alias("ox"), F.col("before").alias("bx"))
+    right = entries.where("low <= high").select("gram", F.explode(F.sequence(band(F.col("low")), band(F.col("high")))).alias("band"), F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("at").alias("j"), F.col("root").alias("ry"), F.col("odd").alias("oy"), F.col("before").alias("by"))
     shorter = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     enough = (100 + percent) * F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j")) >= percent * (F.col("nx") + F.col("ny"))
     l, r = left.alias("l"), right.alias("r")
-    on = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.band") == F.col("r.band")) & shorter & (F.col("rx") != F.col("ry")) & enough & _near_enough("ox", "oy", "nx", "ny", percent)
+    first = F.coalesce(F.col("bx") != F.col("by"), F.lit(True))
+    on = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.band") == F.col("r.band")) & shorter & (F.col("rx") != F.col("ry")) & first & enough & _near_enough("ox", "oy", "nx", "ny", percent)
     return l.join(r, on).select(*_pair("x", "y", "nx", "ny")).distinct()
 
 
@@ -329,7 +349,12 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     entries = scratch.put(_entries(keyed, roots, percent), "entries")
     release(spark)
     pairs = scratch.put(proposed(entries, percent), "proposed")
-    found = linked(scratch.put(_possible(pairs, keyed, percent), "possible"), "rest")
+    scratch.drop("entries")
+    release(spark)
+    pairs = pairs.join(scratch.put(_unlike(pairs, keyed, percent), "unlike"), ["a", "b"], "left_anti")
+    pairs = scratch.put(_possible(pairs, keyed, percent), "possible")
+    release(spark)
+    found = linked(pairs, "rest")
     if found.limit(1).count():
         roots = _rooted(keyed, components(links.union(found)), scratch, "roots")
 
@@ -340,7 +365,7 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     out = sets.where("n > 0").select("doc_id", "part", "n", "cid").join(named, "cid").select("doc_id", "part", F.col("n").alias("n_shingles"), "component", "component_id")
     empty = sets.where("n = 0").select("doc_id", "part", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     out = scratch.put(out.union(empty), "out")
-    scratch.drop("sets", "keyed", "chained", "entries", "proposed", "possible", "links_chains", "links_rest", "roots_chains", "roots")
+    scratch.drop("sets", "keyed", "chained", "proposed", "unlike", "possible", "links_chains", "links_rest", "roots_chains", "roots")
     release(spark)
     return out
 

@@ -35,7 +35,7 @@ WINDOW = 20
 #: A task sends what it has hashed whenever it holds so many windows.
 CHUNK_WINDOWS = 2_500_000
 #: A bucket gets the hashes of about so many input bytes, so it fits a task's memory many times.
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 4 << 20
 #: Bits by which a chunk is dealt out at once; where buckets need more, packed rows are dealt out again.
 FAN_BITS = 15
 #: What stands for a null doc_id in arrays; its part is negative, those of all other rows aren't.
@@ -137,16 +137,29 @@ def _from_planes(data: bytes, kind: str, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * wide).reshape(wide, n).T).view(kind).reshape(n)
 
 
+def _changes(docs: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Where another document begins."""
+    return np.r_[True, (docs[1:] != docs[:-1]) | (parts[1:] != parts[:-1])][: len(docs)]
+
+
 def _pack(docs: np.ndarray, parts: np.ndarray, starts: np.ndarray) -> bytes:
-    steps = np.diff(docs, prepend=np.int64(0))
-    body = _planes(steps) + _planes(np.ascontiguousarray(parts)) + _planes(starts.astype("<u4"))
+    """Steps from one doc_id to the next, parts, and steps between starts within a document."""
+    starts = starts.astype(np.uint32)
+    gaps = np.where(_changes(docs, parts), starts, starts - np.r_[np.uint32(0), starts[:-1]][: len(starts)])
+    body = _planes(np.diff(docs, prepend=np.int64(0))) + _planes(np.ascontiguousarray(parts)) + _planes(gaps.astype("<u4"))
     return np.uint32(len(docs)).tobytes() + zstandard.ZstdCompressor(level=1).compress(body)
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = int(np.frombuffer(data, np.uint32, 1)[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
     body = zstandard.ZstdDecompressor().decompress(data[4:])
-    return np.cumsum(_from_planes(body[: 8 * n], "<i8", n)), _from_planes(body[8 * n : 16 * n], "<i8", n), _from_planes(body[16 * n :], "<u4", n)
+    docs, parts, gaps = np.cumsum(_from_planes(body[: 8 * n], "<i8", n)), _from_planes(body[8 * n : 16 * n], "<i8", n), _from_planes(body[16 * n :], "<u4", n)
+    new = _changes(docs, parts)
+    total = np.cumsum(gaps, dtype=np.uint32)
+    first = np.flatnonzero(new)
+    return docs, parts, total - (total[first] - gaps[first])[np.cumsum(new) - 1]
 
 
 def repeated(docs: np.ndarray, parts: np.ndarray, starts: np.ndarray, hashes: np.ndarray, seconds: np.ndarray, even_first: bool) -> tuple[np.ndarray, np.ndarray]:

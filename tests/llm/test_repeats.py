@@ -69,6 +69,15 @@ def test_null_and_least_ids_are_two_documents(docs_of):
             assert out == {None: a, -(1 << 63): b, 5: "z"}
 
 
+def test_places_are_packed_without_loss():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 500):
+        docs, parts, starts = rng.integers(-9, 9, n), rng.integers(0, 2, n), rng.integers(0, 1 << 32, n).astype(np.uint32)
+        for order in (np.arange(n), np.lexsort((starts, parts, docs))):
+            got = repeats._unpack(repeats._pack(docs[order], parts[order], starts[order]))
+            assert all((g == w[order]).all() for g, w in zip(got, (docs, parts, starts), strict=True))
+
+
 def test_equality_takes_both_hashes():
     """Windows whose first hashes agree by chance are told apart by the second."""
     docs, none = np.array([1, 2, 3]), np.zeros(3, np.int64)
