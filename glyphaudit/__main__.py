@@ -1,6 +1,9 @@
-"""Command line: ``python -m glyphaudit scan <pages or nodes> | rules``.
+"""Command line: ``python -m glyphaudit scan <pages or nodes> | campaign <targets> | rules``.
 
-Exit codes of a scan: 0 nothing found, 1 findings, 2 it failed, 3 wrong usage.
+Exit codes: 0 nothing found, 1 findings, 2 it failed or no site was scanned, 3 wrong usage or an unusable target list.
+
+A campaign reads what was captured before, Parquet tables in one folder: ``robots`` (url,
+http_status, body, error), ``pages``, ``nodes`` and ``standard`` as in ``schema``; ``pages`` may have ``passes``.
 """
 
 from __future__ import annotations
@@ -23,10 +26,63 @@ def parser() -> argparse.ArgumentParser:
     scan.add_argument("--scripts", nargs="*", choices=[s for s in LABELS if s not in OUTCOMES])
     scan.add_argument("--severity", choices=SEVERITIES)
     scan.add_argument("--out", help="folder for the findings, as Parquet")
+    run = sub.add_parser("campaign", help="records and aggregate of the sites on a target list")
+    run.add_argument("targets")
+    run.add_argument("--captured", required=True, help="folder of captured tables")
+    run.add_argument("--out", required=True, help="folder for the campaign's document")
+    run.add_argument("--limit", type=int, help="only the first targets of the list")
+    run.add_argument("--day", help="of the document's name; today if not given")
     sub.add_parser("rules", help="list the checks")
     return p
 
 
+def campaign_command(a: argparse.Namespace) -> int:
+    from datetime import date
+
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    from glyphaudit.functions.scripts import analysed
+    from glyphaudit.operators import campaign, engine, pages, records, robots
+    from glyphaudit.session import session
+    from glyphaudit.sources import files
+
+    spark = session()
+    try:
+        listed = files.targets(spark, a.targets)
+        problems = campaign.target_errors(listed).collect()
+    except PySparkException as e:
+        print(e, file=sys.stderr)
+        return 3
+    if problems:
+        for r in problems:
+            print(f"target {r['list_ord'] + 1}: {r['problem']}", file=sys.stderr)
+        return 3
+    if a.limit is not None and a.limit < 1:
+        print("--limit must be 1 or more", file=sys.stderr)
+        return 3
+    available = listed.count()
+    chosen = listed.where(F.col("list_ord") < a.limit) if a.limit is not None else listed
+    try:
+        read = lambda name: spark.read.parquet(f"{a.captured}/{name}")
+        scans = read("pages")
+        if "passes" not in scans.columns:
+            scans = scans.withColumn("passes", F.lit(0).cast("long"))
+        nodes, fetched = analysed(read("nodes")), read("robots")
+        sites = records.site_records(chosen, robots.decisions(fetched), fetched, scans, read("standard"), engine.findings(nodes), pages.script_tally(nodes), pages.unsupported(nodes))
+        # One document of as many records as targets are listed.
+        files.write_text(spark, f"{a.out}/campaign-{a.day or date.today().isoformat()}.json", records.document(sites, a.targets, available).first()["json"] + "\n")
+        totals = records.aggregate(sites).first().asDict(recursive=True)
+    except Exception as e:
+        print(e, file=sys.stderr)
+        return 2
+    outcomes = {o["status"]: o["n_sites"] for o in totals["outcomes"]}
+    found = {x["layer"]: x["n_elements"] for x in totals["layers"]}
+    print(" · ".join(f"{n} {s}" for s, n in outcomes.items()), file=sys.stderr)
+    print(f"third-party checks reported {found['standard']}, ours {found['script_aware']}; percentages are of {totals['percentages_are_out_of']} scanned", file=sys.stderr)
+    return 2 if not outcomes["scanned"] else int(sum(found.values()) > 0)
+
+
 def main(argv: list[str] | None = None) -> int:
     try:
         a = parser().parse_args(argv)
@@ -35,6 +91,8 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "rules":
         print(report.rules_text())
         return 0
+    if a.command == "campaign":
+        return campaign_command(a)
     from glyphaudit.functions.scripts import analysed
     from glyphaudit.operators import engine, pages
     from glyphaudit.session import session

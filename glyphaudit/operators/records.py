@@ -21,10 +21,16 @@ def _label(script: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])[script]
 
 
+def _in_order(pairs: Column) -> Column:
+    """Values ``v`` of an array of ``struct<at, v>`` by ``at`` alone."""
+    placed = F.array_sort(pairs, lambda x, y: F.when(x["at"] < y["at"], F.lit(-1)).when(x["at"] > y["at"], F.lit(1)).otherwise(F.lit(0)))
+    return F.transform(placed, lambda x: x["v"])
+
+
 def _nested(rows: DataFrame, by: str, order: list[Column], value: Column, name: str) -> DataFrame:
     """``by, <name>``: a group's values as one array, in order. A group is what one page or one site has."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)]).alias("at"), value.alias("v"))))
-    return rows.groupBy(by).agg(F.transform(pairs, lambda x: x["v"]).alias(name))
+    pairs = F.collect_list(F.struct(F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)]).alias("at"), value.alias("v")))
+    return rows.groupBy(by).agg(_in_order(pairs).alias(name))
 
 
 def site_records(targets: DataFrame, decisions: DataFrame, fetched: DataFrame, scans: DataFrame, standard: DataFrame, findings: DataFrame, tally: DataFrame, unsupported: DataFrame, timeout_ms: int = SITE_TIMEOUT_MS) -> DataFrame:
@@ -73,7 +79,7 @@ def _list(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """One row with the whole of a small table, a struct for each rule, script, group or site."""
     at = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)])
     packed = rows.select(at.alias("at"), F.struct(*rows.columns).alias("v"))
-    return packed.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(name))
+    return packed.agg(_in_order(F.collect_list(F.struct("at", "v"))).alias(name))
 
 
 def aggregate(sites: DataFrame) -> DataFrame:

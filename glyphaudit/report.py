@@ -60,6 +60,66 @@ def metrics_block(standard: DataFrame, script_aware: DataFrame, outcomes: DataFr
     return "\n\n".join([BEGIN, *parts, END])
 
 
+def caveats_text(row: dict) -> list[tuple[str, str]]:
+    """Headings and bodies of what stands beside a campaign's numbers, from ``campaign.caveats``."""
+    out = []
+    if row["flagship_elements"] is not None:
+        out.append(("Spacing between joined letters was rare.", f"Letter spacing on joined letters was found on {plural(row['flagship_elements'], 'element')} of {plural(row['flagship_sites'], 'site')}. Rare isn't harmless where it happens."))
+    if row["top_two"] is not None:
+        first, second = (f"{row[k + '_rule']} ({row[k + '_confidence'] or 'unrated'})" for k in ("first", "second"))
+        out.append(("Most of the volume isn't certain.", f"The two most widespread checks, {first} and {second}, hold {row['top_two']} of {row['total']} elements, {row['top_two_percent']}%. {plural(row['high_confidence'], 'element')} came from checks of high confidence. A large total isn't a large number of confirmed defects."))
+    out.append(("The layers are counted in different units.", "Third-party checks count elements, ours count text nodes. A ratio of the two says nothing, and none is given."))
+    return out
+
+
+def page_report_text(model: dict, width: int = 92) -> str:
+    """A page's report model as text: both layers apart, then scripts and what could not be judged."""
+    s, a = model["standard"], model["script_aware"]
+    out = [model["url"] or "", "", f"Third-party checks: {plural(s['n_rules'], 'rule')}, {plural(s['n_elements'], 'element')}"]
+    out += [f"  {(g['impact'] or 'ungraded').upper()}  {g['id']}  {g['help']}  ({plural(g['n_elements'], 'element')})" for g in s["groups"]]
+    out += ["", f"Script-aware checks: {plural(a['n_rules'], 'rule')}, {plural(a['n_elements'], 'element')}"]
+    for g in a["groups"]:
+        out.append(f"  {g['severity'].upper()}  {g['rule_id']}  {g['title']}  ({plural(g['n_elements'], 'element')}; {', '.join(g['scripts'])})")
+        out += textwrap.wrap(g["limitations"], width, initial_indent="    ", subsequent_indent="    ")
+    if a["has_heuristic_findings"]:
+        out.append("  Heuristic findings are inferences and can be wrong.")
+    out += ["", "Scripts: " + ", ".join(f"{x['label']} {x['count']}" for x in model["scripts_detected"])]
+    if model["unsupported"]:
+        out.append(f"{plural(model['unsupported']['node_count'], 'text node')} in no supported script weren't checked: " + " | ".join(model["unsupported"]["samples"]))
+    return "\n".join(out)
+
+
+def campaign_html(aggregate: dict, caveats: list[tuple[str, str]], title: str = "Campaign") -> str:
+    """A campaign's page: outcomes, both layers' issues apart, groups, sites that aren't in their group's script, caveats."""
+
+    def table(rows: list[dict], columns: dict[str, str]) -> str:
+        head = "".join(f"<th>{html.escape(name)}</th>" for name in columns.values())
+        body = "".join("<tr>" + "".join(f"<td>{html.escape(', '.join(r[c]) if isinstance(r[c], list) else str(r[c]))}</td>" for c in columns) + "</tr>" for r in rows)
+        return f"<table><tr>{head}</tr>{body}</table>"
+
+    issues = {"rule_id": "Check", "severity": "Severity", "n_sites": "Sites", "percent_of_sites": "% of sites", "n_elements": "Elements"}
+    parts = [
+        f"<p>{aggregate['targets']} listed; percentages are of the {aggregate['percentages_are_out_of']} scanned.</p>",
+        "<h2>Outcomes</h2>" + table(aggregate["outcomes"], {"status": "Outcome", "n_sites": "Sites"}),
+        "<h2>Third-party checks</h2>" + table(aggregate["issues_standard"], issues),
+        "<h2>Script-aware checks</h2>" + table(aggregate["issues_script_aware"], issues),
+        "<h2>Groups</h2>" + table(aggregate["by_group"], {"target_group": "Group", "listed": "Listed", "scanned": "Scanned", "standard_elements": "Third-party elements", "script_aware_elements": "Script-aware elements"}),
+        "<h2>Not in their group's script</h2>" + table(aggregate["label_mismatches"], {"url": "Site", "target_group": "Listed as", "detected": "Written in"}),
+        "<h2>What these numbers don't say</h2>" + "".join(f"<h3>{html.escape(h)}</h3><p>{html.escape(b)}</p>" for h, b in caveats),
+    ]
+    return f'<!doctype html><html lang="en"><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{"".join(parts)}</html>'
+
+
+def notices(unrecognised: list[str], unsupported: dict | None, withheld: tuple[int, int] | None) -> list[str]:
+    """What is said beside a report and is no part of it."""
+    out = [f"no check is called {name}" for name in unrecognised]
+    if unsupported:
+        out.append(f"{plural(unsupported['n_nodes'], 'text node')} in no supported script weren't checked: " + " | ".join(unsupported["samples"]))
+    if withheld and sum(withheld):
+        out.append(f"filters withheld {plural(withheld[0], 'third-party finding')} and {withheld[1]} of ours")
+    return out
+
+
 def splice(readme: str, block: str) -> str:
     """Puts the block where the markers are; refuses a text without both in order."""
     a, b = readme.find(BEGIN), readme.find(END)

@@ -57,3 +57,14 @@ def newest(spark: SparkSession, folder: str) -> str | None:
 
 def save(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     rows.write.mode("overwrite").format(fmt).save(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small text file, in whatever store the path names."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()

@@ -1,6 +1,10 @@
 import json
 
-from glyphaudit.operators import campaign, robots
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from glyphaudit.operators import campaign, records, robots
 from glyphaudit.sources import files, html
 
 PAGE = """<html lang="ar" dir="rtl"><head><title>t</title><style>p{}</style></head><body id="b"><p>one</p><p hidden>no</p>
@@ -22,6 +26,23 @@ def test_limits():
     assert html.nodes_of("p", None) == []
 
 
+def test_end_tags_that_html_leaves_out():
+    rows = html.nodes_of("p", "<body><p>one<p>two<div>three</div><ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>x<td>y<tr><td>z</table><dl><dt>t<dd>u<dt>v</dl><select><option>k<option>l</select>")
+    paths = {r[3]: r[2].removeprefix("body:nth-of-type(1) > ") for r in rows}
+    n = lambda *parts: " > ".join(f"{t}:nth-of-type({k})" for t, k in parts)
+    assert paths["two"] == n(("p", 2)) and paths["three"] == n(("div", 1))
+    assert paths["b"] == n(("ul", 1), ("li", 2)) and paths["c"] == n(("ul", 1), ("li", 2), ("ul", 1), ("li", 1)) and paths["d"] == n(("ul", 1), ("li", 3))
+    assert paths["y"] == n(("table", 1), ("tr", 1), ("td", 2)) and paths["z"] == n(("table", 1), ("tr", 2), ("td", 1))
+    assert paths["u"] == n(("dl", 1), ("dd", 1)) and paths["v"] == n(("dl", 1), ("dt", 2)) and paths["l"] == n(("select", 1), ("option", 2))
+
+
+def test_robots_files_are_read_up_to_a_limit(spark, monkeypatch):
+    monkeypatch.setattr(robots, "MOST_UNITS", 20)
+    rows = [("a", "User-agent: *\nDisall"), ("b", "User-agent: *\n" + "😀" * 3), ("c", "User-agent: *\nx" + "😀" * 3)]
+    got = {r["u"]: (r["t"], r["b"]) for r in spark.createDataFrame(rows, "u string, b string").select("u", robots.truncated(F.col("b")).alias("t"), robots._read(F.col("b")).alias("b")).collect()}
+    assert got == {"a": (False, rows[0][1]), "b": (False, rows[1][1]), "c": (True, "User-agent: *\nx😀😀")}
+
+
 def test_robots(spark):
     body = "Disallow: /early\nUser-agent: *\nDisallow: /a\nAllow: /a/b$\nCrawl-delay: x\nCrawl-delay: 4\n\nUser-agent: Mine\nUser-agent: other # c\nDisallow: /m*z\nUser-agent: *\nDisallow: /"
     rows = [(f"https://h{i}.example{p}", s, b, None) for i, (p, s, b) in enumerate([("/a/b", 200, body), ("/a/bc", 200, body), ("/early", 200, body), ("/x", 404, None), ("/x", 500, ""), ("/x", None, None), ("/q", 200, "")])]
@@ -35,12 +56,19 @@ def test_robots(spark):
 
 
 def test_targets(spark, tmp_path):
-    path = tmp_path / "t.json"
-    path.write_text("﻿" + json.dumps([{"url": "https://a.example/", "script": "thai"}, {"url": "https://A.example", "script": "thai"}, {"url": "x", "script": "y"}]))
-    t = files.targets(spark, str(path))
-    assert t.count() == 3
+    def read(value, mark=""):
+        path = tmp_path / "t.json"
+        path.write_text(mark + (value if isinstance(value, str) else json.dumps(value)), encoding="utf-8")
+        return files.targets(spark, str(path))
+
+    listed = [{"url": "https://a.example/", "script": "thai", "note": "news"}, {"url": "https://A.example", "script": "thai"}, {"url": "x", "script": "y"}, {"url": 5, "script": "thai", "note": 7}, {"url": "https://a.example/A", "script": "thai"}, {"url": "https://a.example/a", "script": "cjk", "note": ""}, {"url": "ftp://a.example", "script": "cjk"}]
+    t = read({"targets": listed}, "\ufeff")
+    assert [(r["list_ord"], r["url"], r["note"]) for r in t.orderBy("list_ord").collect()][:2] == [(0, "https://a.example/", "news"), (1, "https://A.example", None)]
     problems = {(r["list_ord"], r["problem"]) for r in campaign.target_errors(t).collect()}
-    assert (0, "the address is listed twice") in problems and (2, "the group isn't known") in problems
+    assert problems == {(1, "the address is listed twice"), (2, "the address can't be read"), (2, "the group isn't known"), (3, "an address is needed"), (3, "the note is not text"), (6, "the address is neither http nor https")}
+    for wrong, why in ((listed, "array"), ({"targets": []}, "no targets"), ("{", "not valid JSON"), ({"targets": {}}, "array")):
+        with pytest.raises(PySparkException, match=why):
+            read(wrong).collect()
 
 
 def test_nested_sites(spark):
@@ -58,4 +86,19 @@ def test_nested_sites(spark):
     assert [(r["url"], r["detected"]) for r in campaign.label_mismatches(sites, seen).collect()] == [("u1", ["greek", "latin"])]
     assert campaign.measured(sites, seen).first()["n_measured"] == 1
     assert {r["status"]: r["n_sites"] for r in campaign.outcomes(sites).collect()} == {"scanned": 2, "disallowed": 0, "skipped": 0, "failed": 1}
-    assert campaign.caveats(sites, own).first()["top_two_percent"] == 100.0
+    own_only = campaign.caveats(sites, own).first()
+    assert own_only["top_two"] is None and own_only["first_rule"] == "r" and own_only["flagship_sites"] is None and own_only["total"] == own_only["high_confidence"] == 2
+
+
+def test_the_two_largest_are_the_most_widespread(spark):
+    """Rules are ranked by sites before elements."""
+    sites = spark.createDataFrame([(i, f"u{i}", "thai", "scanned") for i in range(3)], "list_ord int, url string, target_group string, status string")
+    rows = [(i, i, "wide", "W", "minor", "high", "thai") for i in range(3)] + [(0, 10 + i, "deep", "D", "minor", "medium", "thai") for i in range(9)] + [(i, 20 + i, "cursive-script-letter-spacing", "C", "critical", "high", "arabic") for i in range(2)]
+    got = campaign.caveats(sites, spark.createDataFrame(rows, "list_ord int, pos int, rule_id string, title string, severity string, confidence string, script string")).first()
+    assert (got["first_rule"], got["second_rule"], got["top_two"], got["total"], got["flagship_sites"], got["high_confidence"]) == ("wide", "cursive-script-letter-spacing", 5, 14, 2, 5)
+
+
+def test_selectors_in_frames_are_joined(spark):
+    values = ['"#a"', '["#a", ".b"]', '[["#host", ".in"], "#c", ""]', "5", "null", "[]"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", records.flat_target(F.parse_json("v")).alias("t"))
+    assert [r["t"] for r in df.orderBy("i").collect()] == ["#a", "#a .b", "#host .in #c", "", "", ""]
