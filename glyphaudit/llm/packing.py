@@ -4,10 +4,11 @@ Every document's tokens are hashed into a vector, which is projected to a few di
 Hilbert index of the projected point is the sort key. Spark range-sorts the documents by it,
 with ties in doc_id order, and every range is cut into full sequences, so documents close on
 the curve share a sequence. What is left at the end of a range is cut at powers of two, which
-need no padding. A document held by a hot key is split over ranges by its doc_id.
+need no padding. Documents under one key are split over ranges by doc_id, and those equal in both by the place that
+they were written at.
 
 Null texts count as empty, and an empty text has the separator alone. Null doc_ids, repeated
-rows and extra columns are allowed; every row is packed once. An empty table gives no rows.
+rows and extra columns, under any name, are allowed; every row is packed once, very long texts are packed whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -100,15 +101,18 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
         table = projection(len(bpe.offsets) - 1)
         end = np.array([SEPARATOR], bpe.dtype).tobytes()
         squeeze = zstandard.ZstdCompressor(level=1)
+        at = TaskContext.get().partitionId() << 40
         for part in slices(batches, 4 << 20):
             ids = [bpe.packed(t) + end for t in part.column("text").to_pylist()]
             counts = np.array([len(x) // len(end) for x in ids], np.int64)
             flat = np.frombuffer(b"".join(ids), bpe.dtype)
             packed = [squeeze.compress(x) for x in ids]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(curve_keys(flat, counts, table)), pa.array(packed, pa.binary())], ["doc_id", "curve_key", "packed"])
+            place = np.arange(at, at + len(ids), dtype=np.int64)
+            at += len(ids)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(curve_keys(flat, counts, table)), pa.array(place), pa.array(packed, pa.binary())], ["doc_id", "curve_key", "place", "packed"])
 
     n_ranges = max(1, -(-input_bytes(docs) // RANGE_BYTES))
-    keyed = scratch.put(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tokens, "doc_id long, curve_key long, packed binary"), "keyed")
+    keyed = scratch.put(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tokens, "doc_id long, curve_key long, place long, packed binary"), "keyed")
     width = 2 if n_ids(model.value) <= 1 << 16 else 4
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +171,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
         if out:
             yield flush()
 
-    ranged = keyed.repartitionByRange(int(n_ranges), "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id")
+    ranged = keyed.repartitionByRange(int(n_ranges), "curve_key", "doc_id", "place").sortWithinPartitions("curve_key", "doc_id", "place")
     return ranged.mapInArrow(cut, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long, curve_key long")
 
 

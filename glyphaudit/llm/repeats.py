@@ -152,8 +152,6 @@ def _pack(docs: np.ndarray, parts: np.ndarray, starts: np.ndarray) -> bytes:
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = int(np.frombuffer(data, np.uint32, 1)[0])
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
     body = zstandard.ZstdDecompressor().decompress(data[4:])
     docs, parts, gaps = np.cumsum(_from_planes(body[: 8 * n], "<i8", n)), _from_planes(body[8 * n : 16 * n], "<i8", n), _from_planes(body[16 * n :], "<u4", n)
     new = _changes(docs, parts)

@@ -5,7 +5,7 @@ draws ``-ln(u) / weight`` with ``u`` hashed from the document's key and the chil
 the least draw wins, so a child gets its weight's share. A draw depends on nothing but key,
 child and weight: when weights change, documents move only into or out of the subtrees whose
 weights changed. A further shard gets a region of its own, so it takes documents from all
-others and nothing else moves.
+others and nothing else moves. A weight of 0 drains a shard: nothing is placed there.
 
 The law held is ``key``: doc_id and the number of shards decide. A null doc_id is a key of its
 own, null texts have size 1 and the checksum of no bytes, repeated rows go to one shard, and
@@ -32,6 +32,8 @@ def tree(n_shards: int, weights: dict[int, float] | None = None, base: int = BAS
     if n_shards < 1:
         raise ValueError("at least one shard is needed")
     weight = {s: 1.0 for s in range(n_shards)} | (weights or {})
+    if min(weight.values()) < 0 or not any(weight[s] for s in range(n_shards)):
+        raise ValueError("weights can't be negative, nor all be 0")
     regions = -(-base // 4)
     return [(s // 4, s // 2, s, weight[s]) if s < base else (regions + s - base, -(-base // 2) + s - base, s, weight[s]) for s in range(n_shards)]
 
@@ -39,7 +41,7 @@ def tree(n_shards: int, weights: dict[int, float] | None = None, base: int = BAS
 def _children(leaves: list[Leaf], level: int, parent: int | None) -> dict[int, float]:
     out: dict[int, float] = {}
     for leaf in leaves:
-        if parent is None or leaf[level - 1] == parent:
+        if leaf[3] > 0 and (parent is None or leaf[level - 1] == parent):
             out[leaf[level]] = out.get(leaf[level], 0.0) + leaf[3]
     return out
 
@@ -87,7 +89,7 @@ def shard(docs: DataFrame, n_shards: int = BASE, weights: dict[int, float] | Non
         F.lit("key").alias("law"),
         place(key, tree(n_shards, weights)).alias("shard"),
         place(key, tree(n_shards + 1, weights)).alias("grown_shard"),
-        F.pmod(F.conv(F.substring(F.md5(F.concat(key, F.lit("|bucket")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int").alias("bucket"),
+        F.pmod(F.conv(F.substring(F.md5(F.concat(key, F.lit("|bucket|"), F.crc32(data).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int").alias("bucket"),
     )
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # At most n_shards * buckets rows, whatever the input: safe to broadcast.
@@ -120,8 +122,8 @@ def sql(n_shards: int = BASE, buckets: int = BUCKETS) -> str:
     return f"""
 WITH crc AS (SELECT {table} AS t),
 d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, coalesce(text, '') AS x FROM documents),
-r AS (SELECT doc_id, (strlen(x) + 1)::BIGINT AS size,
+r AS (SELECT doc_id, k, (strlen(x) + 1)::BIGINT AS size,
   xor(list_reduce(list_transform(range(strlen(x)), lambda i: ('0x' || substr(hex(encode(x)), 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32,
-  'key' AS law, ({_sql_place(tree(n_shards))})::INT AS shard, ({_sql_place(tree(n_shards + 1))})::INT AS grown_shard,
-  (('0x' || substr(md5(k || '|bucket'), 1, 8))::BIGINT % {buckets})::INT AS bucket FROM d, crc)
-SELECT doc_id, size, text_crc32, law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard, bucket FROM r"""
+  'key' AS law, ({_sql_place(tree(n_shards))})::INT AS shard, ({_sql_place(tree(n_shards + 1))})::INT AS grown_shard FROM d, crc),
+b AS (SELECT *, (('0x' || substr(md5(k || '|bucket|' || text_crc32), 1, 8))::BIGINT % {buckets})::INT AS bucket FROM r)
+SELECT doc_id, size, text_crc32, law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard, bucket FROM b"""
