@@ -27,3 +27,29 @@ def test_weights_confine_movement(spark):
     rows = spark.range(4000).select(sharding.place(key, a).alias("a"), sharding.place(key, b).alias("b")).collect()
     moved = [r for r in rows if r["a"] != r["b"]]
     assert moved and all(r["b"] // 4 == 1 for r in moved)
+
+
+def test_weight_zero_drains_a_shard(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    key = F.col("id").cast("string")
+    a, b = sharding.tree(8), sharding.tree(8, {5: 0.0, 4: 0.0})
+    rows = spark.range(3000).select(sharding.place(key, a).alias("a"), sharding.place(key, b).alias("b")).collect()
+    assert {r["b"] for r in rows} == {0, 1, 2, 3, 6, 7}
+    # The rack that lost its weight sends its documents away; the other region only gains.
+    assert all(r["b"] == r["a"] for r in rows if r["a"] < 4)
+    for wrong in ({s: 0.0 for s in range(8)}, {1: -1.0}):
+        with pytest.raises(ValueError):
+            sharding.tree(8, wrong)
+
+
+def test_like_sql(docs_of, same_as_sql):
+    texts = [(i % 50, f"text {i} ä" * (i % 4)) for i in range(300)] + [(None, None), (None, "x"), (None, "x"), (-5, ""), (1 << 62, "y" * 3000)]
+    same_as_sql(sharding.shard(docs_of(texts)), sharding.sql(), texts)
+
+
+def test_rows_without_an_id_are_dealt_over_all_buckets(docs_of):
+    rows = sharding.shard(docs_of([(None, f"t {i}") for i in range(400)])).collect()
+    assert len({r["shard"] for r in rows}) == 1 and len({r["bucket"] for r in rows}) > 200
+    assert sorted(r["slot"] for r in rows) == list(range(400))
