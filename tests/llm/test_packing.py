@@ -3,8 +3,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from tokenizers import Tokenizer
 
-from glyphaudit.llm import bpe, packing
+from glyphaudit.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -19,14 +20,16 @@ def test_hilbert_is_a_continuous_bijection():
 
 
 def check(pieces, texts):
-    own = bpe.WordBpe(bpe.read_model(PATH))
+    own = Tokenizer.from_file(PATH)
+    own.no_truncation()
+    own.no_padding()
     by_doc, by_sequence = {}, {}
     for p in pieces:
         by_doc.setdefault(p["doc_id"], []).append(p)
         by_sequence.setdefault(p["sequence_id"], []).append(p)
     assert len(by_doc) == len(texts)
     for i, text in texts.items():
-        ids = [*own.encode(text), packing.SEPARATOR]
+        ids = [*own.encode(text or "", add_special_tokens=False).ids, packing.SEPARATOR]
         at = 0
         for p in sorted(by_doc[i], key=lambda p: p["start"]):
             part = np.array(ids[at : at + p["length"]], "<u4").tobytes()
@@ -39,6 +42,9 @@ def check(pieces, texts):
             assert p["offset"] == at
             at += p["length"]
         assert at == packing.LENGTH or at & (at - 1) == 0
+    # Sequences at a power of two need no padding and no other length occurs, so none is padded.
+    filled = sum(p["length"] for p in pieces)
+    assert sum(sum(p["length"] for p in x) == packing.LENGTH for x in by_sequence.values()) >= filled // packing.LENGTH - 1
 
 
 def test_pieces(docs_of):
@@ -47,5 +53,16 @@ def test_pieces(docs_of):
     check(pieces, dict(enumerate(texts)))
 
 
+def test_rows_equal_in_key_and_id_are_split(docs_of, monkeypatch):
+    """One text under no doc_id in all rows still fills several ranges."""
+    monkeypatch.setattr(packing, "RANGE_BYTES", 2000)
+    pieces = packing.digest(packing.pack(docs_of([(None, "the same text " * 50)] * 300), PATH)).collect()
+    assert sum(p["start"] == 0 for p in pieces) == 300
+    ranges = {}
+    for p in pieces:
+        ranges[p["sequence_id"] >> 40] = ranges.get(p["sequence_id"] >> 40, 0) + p["length"]
+    assert len(ranges) > 3 and max(ranges.values()) < 0.6 * sum(ranges.values())
+
+
 def test_empty(docs_of):
     assert packing.pack(docs_of([]), PATH).count() == 0
