@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--captured", required=True, help="folder of captured tables")
     run.add_argument("--out", required=True, help="folder for the campaign's document")
     run.add_argument("--limit", type=int, help="only the first targets of the list")
+    run.add_argument("--html", action="store_true", help="write the campaign's page as well")
     run.add_argument("--day", help="of the document's name; today if not given")
     sub.add_parser("rules", help="list the checks")
     return p
@@ -73,6 +74,9 @@ def campaign_command(a: argparse.Namespace) -> int:
         # One document of as many records as targets are listed.
         files.write_text(spark, f"{a.out}/campaign-{a.day or date.today().isoformat()}.json", records.document(sites, a.targets, available).first()["json"] + "\n")
         totals = records.aggregate(sites).first().asDict(recursive=True)
+        if a.html:
+            beside = campaign.caveats(sites, campaign.script_aware_rows(sites)).first().asDict()
+            files.write_text(spark, f"{a.out}/index.html", report.campaign_html(totals, report.caveats_text(beside)))
     except Exception as e:
         print(e, file=sys.stderr)
         return 2

@@ -64,6 +64,18 @@ def font_stack(family: Column) -> Column:
     return F.filter(names, lambda x: x != "")
 
 
+def font_probe(family: Column, declared: Column, baseline: Column, widths: Column) -> Column:
+    """``struct<declaredStack, renderedFamily, fallbackSuspected>`` from measured widths of a text.
+
+    ``declared`` is its width in the declared fonts, ``baseline`` in a family that doesn't exist,
+    ``widths`` an array with that in each family of the list alone. A fallback is suspected where
+    declared fonts make no difference; the first family that does is the one rendered.
+    """
+    stack = font_stack(family)
+    first = F.filter(F.arrays_zip(stack.alias("name"), widths.alias("width")), lambda x: x["width"] != baseline)
+    return F.struct(stack.alias("declaredStack"), F.get(first, F.lit(0))["name"].alias("renderedFamily"), (declared == baseline).alias("fallbackSuspected"))
+
+
 def escape_html(text: Column) -> Column:
     out = F.replace(text, F.lit("&"), F.lit("&amp;"))
     for a, b in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):

@@ -181,3 +181,28 @@ def page_models(scans: DataFrame, standard: DataFrame, findings: DataFrame, tall
 def page_json(models: DataFrame) -> DataFrame:
     """``page_id, json``: a page's report, what is absent left out."""
     return models.select("page_id", F.to_json(F.struct(*[c for c in models.columns if c != "page_id"])).alias("json"))
+
+
+# What an outcome is called in tables.
+OUTCOMES = {"scanned": "scanned", "disallowed": "disallowed by robots.txt", "skipped": "skipped", "failed": "failed"}
+
+
+def count_rows(counts: DataFrame) -> DataFrame:
+    """``page_id, row_ord, name, n`` from severity counts: the severities, what wasn't graded if there is any, the total."""
+    cells = [F.struct(F.lit(i).alias("row_ord"), F.lit(s).alias("name"), F.col(s).alias("n")) for i, s in enumerate(SEVERITIES)]
+    k = len(SEVERITIES)
+    cells += [F.struct(F.lit(k).alias("row_ord"), F.lit("not graded").alias("name"), F.col("ungraded").alias("n")), F.struct(F.lit(k + 1).alias("row_ord"), F.lit("total").alias("name"), F.col("total").alias("n"))]
+    return counts.select("page_id", F.inline(F.array(*cells))).where((F.col("name") != "not graded") | (F.col("n") > 0))
+
+
+def issue_rows(issues: DataFrame, n_scanned: int) -> DataFrame:
+    """``rule_id, sites, percent, n_elements, grade`` as a campaign's table shows them."""
+    grade = F.concat_ws(" · ", "severity", *(["confidence"] if "confidence" in issues.columns else []))
+    return issues.select("rule_id", F.concat(F.col("n_sites").cast("string"), F.lit(f" of {n_scanned}")).alias("sites"), F.concat(F.regexp_replace(F.col("percent_of_sites").cast("string"), r"\.0$", ""), F.lit("%")).alias("percent"), "n_elements", grade.alias("grade"))
+
+
+def site_rows(sites: DataFrame) -> DataFrame:
+    """``list_ord, url, target_group, outcome, standard, script_aware``: findings of each layer, a dash for sites that weren't scanned."""
+    names = F.create_map(*[F.lit(x) for kv in OUTCOMES.items() for x in kv])
+    shown = lambda c: F.when(F.col("status") == "scanned", F.coalesce(F.size(c), F.lit(0)).cast("string")).otherwise(F.lit("—"))
+    return sites.select("list_ord", "url", "target_group", F.coalesce(names[F.col("status")], "status").alias("outcome"), shown("standard").alias("standard"), shown("script_aware").alias("script_aware"))

@@ -110,6 +110,24 @@ def campaign_html(aggregate: dict, caveats: list[tuple[str, str]], title: str =
     return f'<!doctype html><html lang="en"><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{"".join(parts)}</html>'
 
 
+def page_report_html(model: dict, direction: str = "ltr") -> str:
+    """A page's report model as one file: counts and groups of each layer apart, scripts, what could not be judged."""
+    e = lambda x: html.escape(str(x))
+
+    def counts(section: dict, caption: str) -> str:
+        rows = "".join(f"<tr><th>{e('not graded' if k == 'ungraded' else k)}</th><td>{n}</td></tr>" for k, n in section["counts"].items() if k != "ungraded" or n)
+        return f"<table><caption>{e(caption)}</caption>{rows}</table>"
+
+    s, a = model["standard"], model["script_aware"]
+    theirs = "".join(f"<li><b>{e(g['impact'] or 'not graded')}</b> {e(g['id'])}: {e(g['help'])} ({g['n_elements']})</li>" for g in s["groups"])
+    ours = "".join(f"<li><b>{e(g['severity'])}</b> {e(g['title'])} ({g['n_elements']}; {e(', '.join(g['scripts']))})<p>{e(g['limitations'])}</p></li>" for g in a["groups"])
+    scripts = "".join(f"<tr><th>{e(x['label'])}</th><td>{x['count']}</td></tr>" for x in model["scripts_detected"])
+    strange = model["unsupported"]
+    note = f"<p>{plural(strange['node_count'], 'text node')} in no supported script weren't checked: <bdi>{e(' | '.join(strange['samples']))}</bdi></p>" if strange else ""
+    body = f"<h1>{e(model['url'])}</h1><h2>Third-party checks</h2>{counts(s, 'By severity')}<ul>{theirs}</ul><h2>Script-aware checks</h2>{counts(a, 'By severity')}<ul>{ours}</ul><h2>Scripts</h2><table>{scripts}</table>{note}"
+    return f'<!doctype html><html lang="en" dir="{direction}"><meta charset="utf-8"><title>{e(model["url"])}</title>{body}</html>'
+
+
 def notices(unrecognised: list[str], unsupported: dict | None, withheld: tuple[int, int] | None) -> list[str]:
     """What is said beside a report and is no part of it."""
     out = [f"no check is called {name}" for name in unrecognised]

@@ -5,7 +5,7 @@ import pytest
 from glyphaudit import report
 from glyphaudit.__main__ import main
 from glyphaudit.functions.scripts import analysed
-from glyphaudit.operators import engine, pages, records, robots
+from glyphaudit.operators import campaign, engine, pages, records, robots
 from glyphaudit.schema import NODES
 
 ARABIC = "مرحبا بالعالم كيف الحال"
@@ -54,6 +54,9 @@ def test_records_and_document(spark, tables):
     assert [i["rule_id"] for i in a["issues_standard"]] == ["c", "a", "b"] and a["label_mismatches"] == []
     assert {x["layer"]: x["n_elements"] for x in a["layers"]} == {"standard": 6, "script_aware": 2}
     assert [(g["target_group"], g["listed"], g["script_aware_elements"]) for g in a["by_group"]] == [("arabic", 1, 2), ("thai", 4, 0)]
+    assert [(r["outcome"], r["standard"], r["script_aware"]) for r in records.site_rows(sites).orderBy("list_ord").collect()] == [("scanned", "3", "2"), ("failed", "—", "—"), ("disallowed by robots.txt", "—", "—"), ("skipped", "—", "—"), ("failed", "—", "—")]
+    shown = records.issue_rows(campaign.script_aware_issues(sites, campaign.script_aware_rows(sites)), 1).orderBy("rule_id").first()
+    assert tuple(shown) == ("cursive-script-letter-spacing", "1 of 1", "100%", 1, "critical · high")
     whole = json.loads(records.document(sites, "list.json", 9).first()["json"])
     assert whole["target_list"] == {"path": "list.json", "available": 9, "attempted": 5} and len(whole["sites"]) == 5
     caveats = report.caveats_text(dict(flagship_sites=1, flagship_elements=1, first_rule="a", first_confidence="high", second_rule="b", second_confidence=None, top_two=2, total=2, top_two_percent=100.0, high_confidence=1))
@@ -73,6 +76,10 @@ def test_page_models(tables):
     assert ours["by_script"] == [{"script": "arabic", "label": "Arabic", "count": 2}] and ours["n_elements"] == 2 and not ours["has_heuristic_findings"]
     assert [x["script"] for x in one["scripts_detected"]] == ["arabic", "latin", "unknown"] and one["unsupported"]["node_count"] == 1
     assert two["standard"]["groups"] == [] and two["script_aware"]["counts"]["total"] == 0 and two["error"]["kind"] == "timeout" and two["unsupported"] is None
+    assert "<caption>By severity</caption>" in report.page_report_html(one, "rtl") and "not graded" in report.page_report_html(one)
+    rows = records.count_rows(pages.severity_counts(standard, "impact")).orderBy("row_ord").collect()
+    assert [(r["name"], r["n"]) for r in rows] == [("critical", 1), ("serious", 0), ("moderate", 0), ("minor", 1), ("not graded", 1), ("total", 3)]
+    assert [r["name"] for r in records.count_rows(pages.severity_counts(findings)).orderBy("row_ord").collect()] == ["critical", "serious", "moderate", "minor", "total"]
     text = report.page_report_text(one)
     assert "UNGRADED  c  Help c  (3 elements)" in text and "in no supported script" in text
     parsed = {r["page_id"]: json.loads(r["json"]) for r in records.page_json(models).collect()}
@@ -95,7 +102,8 @@ def test_campaign_command(spark, tmp_path, capsys):
     whole = json.loads((tmp_path / "out" / "campaign-2024-01-02.json").read_text())
     assert whole["target_list"]["attempted"] == 5 and [s["status"] for s in whole["sites"]].count("failed") == 2
     assert "1 scanned" in capsys.readouterr().err
-    assert run("--limit", "1") == 1 and json.loads((tmp_path / "out" / "campaign-2024-01-02.json").read_text())["target_list"] == {"path": str(listed), "available": 5, "attempted": 1}
+    assert run("--limit", "1", "--html") == 1 and "What these numbers don&#x27;t say" in (tmp_path / "out" / "index.html").read_text().replace("'", "&#x27;")
+    assert json.loads((tmp_path / "out" / "campaign-2024-01-02.json").read_text())["target_list"] == {"path": str(listed), "available": 5, "attempted": 1}
     listed.write_text(json.dumps({"targets": [{"url": SITES[2], "script": "arabic"}]}))
     assert run() == 2
     listed.write_text(json.dumps([{"url": SITES[2], "script": "arabic"}]))

@@ -70,6 +70,13 @@ def test_graphemes_like_another_library(spark):
     assert got == [len(regex.findall(r"\X", t)) for t in texts]
 
 
+def test_font_probe(spark):
+    rows = [("A, 'B', serif", 5.0, 4.0, [4.0, 5.0, 6.0]), ("A", 4.0, 4.0, [4.0])]
+    df = spark.createDataFrame(rows, "f string, d double, b double, w array<double>")
+    got = [r["p"] for r in df.select(scalars.font_probe(F.col("f"), F.col("d"), F.col("b"), F.col("w")).alias("p")).collect()]
+    assert [tuple(p) for p in got] == [(["A", "B", "serif"], "B", False), (["A"], None, True)]
+
+
 def test_scalars(spark):
     def one(c):
         return spark.range(1).select(c.alias("x")).first()["x"]
