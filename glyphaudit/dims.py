@@ -22,28 +22,24 @@ class Script:
     source: str = "wcag-1.4.12"
 
 
-def _script(name: str, flags: str = "", label: str = "", height: float | None = 1.5, source: str = "wcag-1.4.12") -> Script:
-    return Script(name, label or name.capitalize(), "c" in flags, "u" not in flags, "r" in flags, "m" in flags, "s" in flags, height, source)
-
-
-# Fixed values. Flags: c cursive, u has upper case, r right to left, m stacked marks, s words need segmentation.
+# The writing systems and what they need.
 SCRIPTS = [
-    _script("latin", "u"),
-    _script("arabic", "crm"),
-    _script("hebrew", "rm"),
-    _script("devanagari", "m"),
-    _script("thai", "ms", height=1.6, source="estimate"),
-    _script("lao", "ms", height=1.6, source="estimate"),
-    _script("khmer", "ms", height=1.6, source="estimate"),
-    _script("han", "s", "Han"),
-    _script("kana", "s", "Kana"),
-    _script("hangul", "", "Hangul"),
-    _script("cyrillic", "u"),
-    _script("greek", "u"),
-    _script("syriac", "crm"),
-    _script("nko", "crm", "N'Ko"),
-    _script("thaana", "rm"),
-    _script("mongolian", "cm", height=None),
+    Script("latin", "Latin", caseless=False),
+    Script("arabic", "Arabic", cursive=True, rtl=True, stacked_marks=True),
+    Script("hebrew", "Hebrew", rtl=True, stacked_marks=True),
+    Script("devanagari", "Devanagari", stacked_marks=True),
+    Script("thai", "Thai", stacked_marks=True, segmented=True, min_line_height=1.6, source="estimate"),
+    Script("lao", "Lao", stacked_marks=True, segmented=True, min_line_height=1.6, source="estimate"),
+    Script("khmer", "Khmer", stacked_marks=True, segmented=True, min_line_height=1.6, source="estimate"),
+    Script("han", "Han", segmented=True),
+    Script("kana", "Kana", segmented=True),
+    Script("hangul", "Hangul"),
+    Script("cyrillic", "Cyrillic", caseless=False),
+    Script("greek", "Greek", caseless=False),
+    Script("syriac", "Syriac", cursive=True, rtl=True, stacked_marks=True),
+    Script("nko", "N'Ko", cursive=True, rtl=True, stacked_marks=True),
+    Script("thaana", "Thaana", rtl=True, stacked_marks=True),
+    Script("mongolian", "Mongolian", cursive=True, stacked_marks=True, min_line_height=None),
 ]
 #: Outcomes that are no writing system.
 OUTCOMES = ("common", "unknown")
