@@ -97,22 +97,28 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if a.command == "campaign":
         return campaign_command(a)
+    from pyspark.sql import functions as F
+
     from glyphaudit.functions.scripts import analysed
     from glyphaudit.operators import engine, pages
     from glyphaudit.session import session
     from glyphaudit.sources import files, html
 
     spark = session()
-    for name in engine.unrecognised(spark, [*(a.rules or []), *(a.disable or [])]):
-        print(f"no check is called {name}", file=sys.stderr)
+    strangers = engine.unrecognised(spark, [*(a.rules or []), *(a.disable or [])])
     filters = engine.Filters(*(tuple(x) if x is not None else None for x in (a.rules, a.disable, a.scripts)), a.severity)
     try:
         nodes = html.as_snapshot(html.text_nodes(spark.read.parquet(a.path))) if a.html else files.snapshots(spark, a.path)
-        found = engine.findings(analysed(nodes), filters)
+        checked = analysed(nodes)
+        found = engine.findings(checked, filters)
         if a.out:
             files.save(found, a.out)
             found = spark.read.parquet(a.out)
         print(report.page_text(pages.script_aware_section(found), pages.top_per_rule(found)))
+        strange = pages.unsupported(checked).agg(F.sum("n_nodes").alias("n_nodes"), F.min_by("samples", "page_id").alias("samples")).first()  # one row
+        withheld = engine.withheld(checked, filters).agg(F.coalesce(F.sum("withheld"), F.lit(0)).alias("n")).first()["n"] if filters.any() else 0
+        for line in report.notices(strangers, strange.asDict() if strange["n_nodes"] else None, (0, withheld)):
+            print(line, file=sys.stderr)
         return 1 if found.limit(1).count() else 0
     except Exception as e:
         print(e, file=sys.stderr)

@@ -110,3 +110,14 @@ def test_campaign_command(spark, tmp_path, capsys):
     assert run() == 3
     listed.write_text(json.dumps({"targets": [{"url": SITES[2], "script": "klingon"}]}))
     assert run() == 3 and "the group isn't known" in capsys.readouterr().err
+
+
+def test_scan_command(spark, tmp_path, capsys):
+    captured(spark)[0].write.parquet(f"{tmp_path}/nodes")
+    assert main(["scan", f"{tmp_path}/nodes"]) == 1
+    seen = capsys.readouterr()
+    assert "CRITICAL  cursive-script-letter-spacing  (1 element)" in seen.out and "1 text node in no supported script" in seen.err
+    assert main(["scan", f"{tmp_path}/nodes", "--rules", "missing-dir-attribute", "nope"]) == 0
+    seen = capsys.readouterr()
+    assert "no check is called nope" in seen.err and "and 2 of ours" in seen.err
+    assert main(["scan", f"{tmp_path}/none"]) == 2
