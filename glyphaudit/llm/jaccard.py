@@ -20,7 +20,8 @@ edits of their own, which share all common n-grams but can't link, never meet.
 Equal sets form one class and are compared once. Before the fragments propose anything, classes
 that agree in two min-hashes are counted against the member that holds most common n-grams, the
 hub, if most of their other min-hashes agree as well; that joins groups of near copies with about
-one pair a member, and only pairs of different components are proposed after it. Nothing is capped: a pair
+one pair a member, and only pairs of different components are proposed after it. Of these, one
+for each class is counted first, and the others only if their ends are still apart. Nothing is capped: a pair
 within one component needs no count, as only components are asked for.
 
 Null and empty texts have an empty set and link with nothing. Texts with fewer words than a
@@ -279,6 +280,19 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+def _foremost(pairs: DataFrame) -> DataFrame:
+    """For each class its pair with the least partner, on either side."""
+    of_a = pairs.groupBy("a").agg(F.min(F.struct("b", "na", "nb")).alias("p")).select("a", "p.b", "p.na", "p.nb")
+    of_b = pairs.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("p")).select("p.a", "b", "p.na", "p.nb")
+    return of_a.union(of_b).distinct()
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    met = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+    return met.where("x <> y").select("a", "b", "na", "nb")
+
+
 def _entries(classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """``gram, at, cid, n, root, odd, leading, low, high, before``: probe entries of n-grams found in several components.
 
@@ -354,9 +368,15 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     pairs = pairs.join(scratch.put(_unlike(pairs, keyed, percent), "unlike"), ["a", "b"], "left_anti")
     pairs = scratch.put(_possible(pairs, keyed, percent), "possible")
     release(spark)
-    found = linked(pairs, "rest")
-    if found.limit(1).count():
-        roots = _rooted(keyed, components(links.union(found)), scratch, "roots")
+    # A pair for each class first: what these join needs no further pair.
+    first = scratch.put(_foremost(pairs), "foremost")
+    if first.limit(1).count():
+        links = links.union(linked(first, "foremost"))
+        roots = _rooted(keyed, components(links), scratch, "roots_foremost")
+        pairs = scratch.put(_between(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), roots), "between")
+        if pairs.limit(1).count():
+            links = links.union(linked(pairs, "rest"))
+            roots = _rooted(keyed, components(links), scratch, "roots")
 
     classes = sets.groupBy("cid").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -365,7 +385,7 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     out = sets.where("n > 0").select("doc_id", "part", "n", "cid").join(named, "cid").select("doc_id", "part", F.col("n").alias("n_shingles"), "component", "component_id")
     empty = sets.where("n = 0").select("doc_id", "part", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     out = scratch.put(out.union(empty), "out")
-    scratch.drop("sets", "keyed", "chained", "proposed", "unlike", "possible", "links_chains", "links_rest", "roots_chains", "roots")
+    scratch.drop("sets", "keyed", "chained", "proposed", "unlike", "possible", "foremost", "between", "links_chains", "links_foremost", "links_rest", "roots_chains", "roots_foremost", "roots")
     release(spark)
     return out
 
