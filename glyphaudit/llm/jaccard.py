@@ -365,7 +365,7 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     pairs = scratch.put(proposed(entries, percent), "proposed")
     scratch.drop("entries")
     release(spark)
-    pairs = pairs.join(scratch.put(_unlike(pairs, keyed, percent), "unlike"), ["a", "b"], "left_anti")
+    pairs = scratch.put(pairs.join(scratch.put(_unlike(pairs, keyed, percent), "unlike"), ["a", "b"], "left_anti"), "likely")
     pairs = scratch.put(_possible(pairs, keyed, percent), "possible")
     release(spark)
     # A pair for each class first: what these join needs no further pair.
@@ -385,7 +385,7 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     out = sets.where("n > 0").select("doc_id", "part", "n", "cid").join(named, "cid").select("doc_id", "part", F.col("n").alias("n_shingles"), "component", "component_id")
     empty = sets.where("n = 0").select("doc_id", "part", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     out = scratch.put(out.union(empty), "out")
-    scratch.drop("sets", "keyed", "chained", "proposed", "unlike", "possible", "foremost", "between", "links_chains", "links_foremost", "links_rest", "roots_chains", "roots_foremost", "roots")
+    scratch.drop("sets", "keyed", "chained", "proposed", "unlike", "likely", "possible", "foremost", "between", "links_chains", "links_foremost", "links_rest", "roots_chains", "roots_foremost", "roots")
     release(spark)
     return out
 
