@@ -1,4 +1,4 @@
-"""The ten operators' queries over the synthetic tables, with production parameters, and their SQL."""
+"""The operators' queries over the synthetic tables, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphaudit.llm import ann, bpe, jaccard, language, merkle, packing, repeats, sharding, suffixes, toxicity
+from glyphaudit.llm import ann, bpe, centroids, jaccard, language, lines, merkle, packing, phrases, repeats, sharding, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,5 +65,17 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.remove_passages(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_bigru": op1_bigru, "op2_packing": op2_packing, "op3_zstd_toxicity": op3_zstd_toxicity, "op4_hash_tree": op4_hash_tree, "op5_posting_lists": op5_posting_lists, "op6_jaccard": op6_jaccard, "op7_merkle": op7_merkle, "op8_bpe": op8_bpe, "op9_repeats": op9_repeats, "op10_suffixes": op10_suffixes}
-SQL = {"op4_hash_tree": sharding.sql(), "op7_merkle": merkle.sql()}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.drop_lines(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_bigru": op1_bigru, "op2_packing": op2_packing, "op3_zstd_toxicity": op3_zstd_toxicity, "op4_hash_tree": op4_hash_tree, "op5_posting_lists": op5_posting_lists, "op6_jaccard": op6_jaccard, "op7_merkle": op7_merkle, "op8_bpe": op8_bpe, "op9_repeats": op9_repeats, "op10_suffixes": op10_suffixes, "op11_centroids": op11_centroids, "op12_phrases": op12_phrases, "op13_lines": op13_lines}
+SQL = {"op4_hash_tree": sharding.sql(), "op7_merkle": merkle.sql(), "op11_centroids": centroids.sql(), "op12_phrases": phrases.sql(), "op13_lines": lines.sql()}

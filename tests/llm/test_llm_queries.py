@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
     "op9_repeats": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
     "op10_suffixes": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "removed_words": "string", "kept_sha256": "string", "text": "string"},
+    "op11_centroids": {"vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint", "centroid_sha256": "string"},
+    "op12_phrases": {"lang": "string", "rank": "bigint", "phrase": "string", "a": "bigint", "l": "bigint", "r": "bigint", "n": "bigint", "score": "bigint"},
+    "op13_lines": {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"},
 }
 WORDS = {"en": "the and with which that house river stone".split(), "de": "der und mit welche dass haus fluss stein".split()}
 
@@ -63,7 +66,10 @@ def test_query(spark, folder, name):
     if name == "op5_posting_lists":
         assert {r["query_id"] for r in rows} == {0, 20, 40, 60, 80} and all(1 <= r["rank"] <= 20 for r in rows)
         return
-    if name == "op2_packing":
+    if name in ("op11_centroids", "op12_phrases"):
+        # The folder's vectors have four components: none takes part. DuckDB's list slices are too slow for the long text: test_phrases has the SQL.
+        assert bool(rows) == (name == "op12_phrases")
+    elif name == "op2_packing":
         assert sum(r["start"] == 0 for r in rows) == len(docs) and all(r["length"] <= 2048 for r in rows)
     else:
         assert len(rows) == len(docs)
@@ -77,15 +83,16 @@ def test_query(spark, folder, name):
             assert texts[203] and next(r for r in rows if r["doc_id"] == 203)["lang_pred"] == "en"
         else:
             assert all(r["predicted"] == int(r["score"] >= 0.5) for r in rows)
-    if name in queries.SQL:
+    if name in queries.SQL and name != "op12_phrases":
         con = duckdb.connect()
         con.execute(f"CREATE VIEW documents AS SELECT doc_id, text FROM '{folder}/documents.parquet/*.parquet' WHERE doc_id IS NULL OR doc_id <> 203")
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
         want = con.sql(queries.SQL[name])
         names = sorted(want.columns)
         assert sorted(out.columns) == names
         # Slots and next texts change without the long text, which DuckDB's list functions are too slow for: compare what doesn't.
         own = [n for n in names if n not in ("slot", "near_next", "near_edited", "edited_sha256", "edited_fingerprint")]
-        got = sorted(tuple(str(r[n]) for n in own) for r in rows if r["doc_id"] != 203)
+        got = sorted(tuple(str(r[n]) for n in own) for r in rows if "doc_id" not in own or r["doc_id"] != 203)
         assert got == sorted(tuple(str(r[want.columns.index(n)]) for n in own) for r in want.fetchall())
 
 
