@@ -73,6 +73,25 @@ def layer_totals(sites: DataFrame, standard: DataFrame, findings: DataFrame) ->
     return s.crossJoin(p).unionByName(a.withColumn("n_passes", F.lit(0).cast("long")))  # one row each
 
 
+#: What ``measures`` counts by; the last is everything.
+MEASURES = ("rule_id", "script", "target_group", "all")
+
+
+def measures(sites: DataFrame, findings: DataFrame) -> DataFrame:
+    """``by, name, n_sites, n_elements, n_certain``: our findings by rule, by script, by group and over all, in one pass of grouping sets.
+
+    ``n_certain`` are those of high confidence; ``name`` is null over all.
+    """
+    keys = MEASURES[:-1]
+    rows = _of(sites, findings).select(*keys, "list_ord", "confidence")
+    counted = rows.groupingSets([[k] for k in keys] + [[]], *keys).agg(F.grouping_id().alias("left_out"), F.count_distinct("list_ord").alias("n_sites"), F.count("*").alias("n_elements"), F.count_if(F.col("confidence") == "high").alias("n_certain"))
+    # grouping_id has a bit for each key that a row doesn't go by, the first key's highest.
+    by = F.lit(MEASURES[-1])
+    for i, k in enumerate(keys):
+        by = F.when(F.col("left_out") == (2 ** len(keys) - 1) - 2 ** (len(keys) - 1 - i), F.lit(k)).otherwise(by)
+    return counted.select(by.alias("by"), F.coalesce(*keys).alias("name"), "n_sites", "n_elements", "n_certain")
+
+
 def by_detected_script(sites: DataFrame, findings: DataFrame) -> DataFrame:
     return _of(sites, findings).groupBy("script").agg(F.count_distinct("url").alias("n_sites"), F.count("*").alias("n_findings")).orderBy(F.desc("n_findings"), "script")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from glyphaudit.dims import SEVERITIES
@@ -86,6 +86,25 @@ def withheld(nodes: DataFrame, filters: Filters) -> DataFrame:
     return findings(nodes).groupBy("page_id").agg(F.count_if(ok).alias("shown"), (F.count("*") - F.count_if(ok)).alias("withheld"))
 
 
+def wanted(filters: Filters) -> Column:
+    """Condition on rows of all checks' findings: what the filters keep."""
+    allowed = [r.id for r in wanted_rules(filters)]
+    if not allowed:
+        return F.lit(False)
+    chosen = F.col("rule_id").isin(*allowed) if filters.rules is not None or filters.disabled is not None else F.lit(True)
+    return F.coalesce(chosen & kept(filters), F.lit(False))
+
+
+def counted(found: DataFrame, filters: Filters) -> tuple[DataFrame, Observation]:
+    """Findings of all checks with ``kept``, and what an observation counts as they pass: ``shown`` and ``withheld``.
+
+    The counts come with the first action on the rows, without a pass of their own.
+    """
+    seen = Observation("findings")
+    rows = found.withColumn("kept", wanted(filters))
+    return rows.observe(seen, F.count_if("kept").alias("shown"), F.count_if(~F.col("kept")).alias("withheld")), seen
+
+
 def unrecognised(spark: SparkSession, ids: Iterable[str]) -> list[str]:
     """Requested ids that no rule has, in their order, repeats included."""
     known = {r.id for r in RULES}

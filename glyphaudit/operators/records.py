@@ -1,4 +1,4 @@
-"""Site records of a campaign, the campaign's document, and the report model of a page, as nested rows."""
+"""Site records of a campaign and the aggregate of its document, as nested rows."""
 
 from __future__ import annotations
 
@@ -8,10 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphaudit.dims import LABELS, SEVERITIES
-from glyphaudit.operators import campaign, pages
-from glyphaudit.operators.engine import rank
+from glyphaudit.operators import campaign
 from glyphaudit.operators.robots import REASONS
-from glyphaudit.operators.rules import rules_table
 
 REPORT_VERSION, CAMPAIGN_VERSION = 1, 1
 SITE_TIMEOUT_MS = 60_000
@@ -53,7 +51,7 @@ def site_records(targets: DataFrame, decisions: DataFrame, fetched: DataFrame, s
     refused, failed = ~F.coalesce("allowed", F.lit(False)), F.col("error").isNotNull()
     status = F.when(refused & (F.col("_reason") == "robots-disallows"), F.lit("disallowed")).when(refused, F.lit("skipped")).when(F.col("page_id").isNull() | failed, F.lit("failed")).otherwise(F.lit("scanned"))
     why = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])[F.coalesce("_reason", F.lit("robots-unreachable"))]
-    late = F.lit(f"The scan did not finish within {timeout_ms} ms and was given up on.")
+    late = F.lit(f"no result came in {timeout_ms} ms, so the site was left")
     rows = rows.withColumn("status", status)
     own = F.col("status") == "scanned"
     empty = {"standard": "array<struct<id:string,help:string,impact:string,n_nodes:int>>", "script_aware": "array<struct<rule_id:string,title:string,severity:string,confidence:string,script:string>>"}
@@ -72,6 +70,7 @@ def site_records(targets: DataFrame, decisions: DataFrame, fetched: DataFrame, s
         F.when(own, F.coalesce("passes", F.lit(0)).cast("long")).alias("passes"),
         F.when(own, F.col("scripts_detected")).alias("scripts_detected"),
         F.when(own, F.col("unsupported")).alias("unsupported"),
+        (~refused & F.col("page_id").isNull()).alias("gave_up"),
     ).orderBy("list_ord")
 
 
@@ -82,8 +81,15 @@ def _list(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     return packed.agg(_in_order(F.collect_list(F.struct("at", "v"))).alias(name))
 
 
+def _one(row: DataFrame, name: str) -> DataFrame:
+    return row.select(F.struct(*row.columns).alias(name))
+
+
 def aggregate(sites: DataFrame) -> DataFrame:
-    """One row, from site records: all that a campaign's document says beside the records. Layers are never added up."""
+    """One row, from site records: all that a campaign's manifest says beside the run. Layers are never added up.
+
+    Lists hold a row for each rule, script or group; what grows with the sites is only counted.
+    """
     standard, ours, detected = campaign.standard_rows(sites), campaign.script_aware_rows(sites), campaign.detected_rows(sites)
     ranked = lambda rows: [-F.col("n_sites"), -F.col("n_elements"), F.col("rule_id")]
     s, a = campaign.standard_issues(sites, standard), campaign.script_aware_issues(sites, ours)
@@ -97,20 +103,13 @@ def aggregate(sites: DataFrame) -> DataFrame:
         _list(a.withColumn("source", F.lit("script_aware")), ranked(a), "issues_script_aware"),
         _list(groups, [F.array_position(F.array(*[F.lit(g) for g in campaign.GROUPS]), F.col("target_group"))], "by_group"),
         _list(campaign.by_detected_script(sites, ours).withColumn("label", _label(F.col("script"))), [-F.col("n_findings"), F.col("script")], "by_detected_script"),
-        _list(campaign.label_mismatches(sites, detected), [F.col("list_ord")], "label_mismatches"),
+        _list(campaign.measures(sites, ours), [F.array_position(F.array(*[F.lit(x) for x in campaign.MEASURES]), F.col("by")), -F.col("n_elements"), F.col("name")], "measures"),
+        _one(campaign.measured(sites, detected), "measured"),
+        _one(campaign.caveats(sites, ours), "caveats"),
     ]
     return reduce(lambda x, y: x.crossJoin(y), parts)  # one row each
 
 
-def document(sites: DataFrame, path: str, available: int) -> DataFrame:
-    """``json``: the campaign's document, one row: records, the target list's path and sizes, the aggregate."""
-    records = _list(sites, [F.col("list_ord")], "sites")
-    whole = records.crossJoin(aggregate(sites))  # one row each
-    listed = F.struct(F.lit(path).alias("path"), F.lit(available).alias("available"), F.col("targets").alias("attempted"))
-    names = [c for c in whole.columns if c != "sites"]
-    return whole.select(F.to_json(F.struct(F.lit(CAMPAIGN_VERSION).alias("campaign_version"), "sites", listed.alias("target_list"), F.struct(*names).alias("aggregate"))).alias("json"))
-
-
 def flat_target(target: Column) -> Column:
     """A third-party selector as text: nested arrays (frames, shadow roots) joined by a space, empty parts left out, anything else empty.
 
@@ -128,61 +127,6 @@ def flat_target(target: Column) -> Column:
     return F.coalesce(F.when(F.schema_of_variant(target) == "STRING", text), joined, F.lit(""))
 
 
-def _counts(rows: DataFrame, grade: str, name: str) -> DataFrame:
-    counted = pages.severity_counts(rows, grade)
-    return counted.select("page_id", F.struct(*[c for c in counted.columns if c != "page_id"]).alias(name))
-
-
-def page_models(scans: DataFrame, standard: DataFrame, findings: DataFrame, tally: DataFrame, unsupported: DataFrame) -> DataFrame:
-    """A report model for each page: both layers with counts and groups, scripts found, text that could not be judged.
-
-    Third-party findings are passed on as they are, only their order changes. Ours are grouped by
-    rule, worst first; a rule that the registry doesn't know is described by its first finding.
-    """
-    worst = F.coalesce(rank(F.col("impact")), F.lit(len(SEVERITIES)))
-    theirs = _nested(standard, "page_id", [worst, F.col("id")], F.struct("id", "impact", "help", F.size("nodes").cast("long").alias("n_elements")), "standard_groups")
-    known = F.broadcast(rules_table(findings.sparkSession).select("rule_id", F.col("rule_ord")))
-    section = pages.script_aware_section(findings).join(known, "rule_id", "left")
-    groups = _nested(section, "page_id", [rank(F.col("severity")), F.col("rule_id")], F.struct("rule_id", "title", "severity", "confidence", "limitations", "wcag_ref", "scripts", "n_elements"), "script_aware_groups")
-    by_script = findings.groupBy("page_id", "script").agg(F.count("*").alias("n"))
-    scripts = _nested(by_script, "page_id", [-F.col("n"), F.col("script")], F.struct("script", _label(F.col("script")).alias("label"), F.col("n").alias("count")), "by_script")
-    seen = _nested(tally.where("n_nodes > 0"), "page_id", [-F.col("n_nodes"), F.col("script")], F.struct("script", _label(F.col("script")).alias("label"), F.col("n_nodes").alias("count")), "scripts_detected")
-    strange = unsupported.select("page_id", F.struct(F.col("n_nodes").alias("node_count"), "samples").alias("unsupported"))
-    out = scans.select("page_id", "url", "final_url", F.col("captured_at").alias("scanned_at"), "duration_ms", "error", "passes")
-    for table in (theirs, groups, scripts, seen, strange, _counts(standard, "impact", "standard_counts"), _counts(findings, "severity", "script_aware_counts")):
-        out = out.join(table, "page_id", "left")
-    none = F.struct(*[F.lit(0).cast("long").alias(c) for c in (*SEVERITIES, "ungraded", "total")])
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    total = F.aggregate("standard_groups", F.lit(0).cast("long"), lambda acc, g: acc + g["n_elements"])
-    listed = lambda c, kind: F.coalesce(F.col(c), F.array().cast(out.schema[c].dataType)).alias(kind)
-    return out.select(
-        "page_id",
-        F.lit(REPORT_VERSION).alias("report_version"),
-        "url",
-        "final_url",
-        "scanned_at",
-        "duration_ms",
-        F.struct(F.lit("standard").alias("source"), F.greatest(size("standard_groups"), F.lit(0)).alias("n_rules"), F.coalesce(total, F.lit(0)).alias("n_elements"), F.coalesce("passes", F.lit(0)).alias("passes"), F.coalesce("standard_counts", none).alias("counts"), listed("standard_groups", "groups")).alias("standard"),
-        F.struct(
-            F.lit("script_aware").alias("source"),
-            F.greatest(size("script_aware_groups"), F.lit(0)).alias("n_rules"),
-            F.coalesce("script_aware_counts.total", F.lit(0)).alias("n_elements"),
-            F.coalesce("script_aware_counts", none).alias("counts"),
-            listed("by_script", "by_script"),
-            listed("script_aware_groups", "groups"),
-            F.coalesce(F.exists("script_aware_groups", lambda g: g["confidence"] == "heuristic"), F.lit(False)).alias("has_heuristic_findings"),
-        ).alias("script_aware"),
-        listed("scripts_detected", "scripts_detected"),
-        "unsupported",
-        "error",
-    )
-
-
-def page_json(models: DataFrame) -> DataFrame:
-    """``page_id, json``: a page's report, what is absent left out."""
-    return models.select("page_id", F.to_json(F.struct(*[c for c in models.columns if c != "page_id"])).alias("json"))
-
-
 # What an outcome is called in tables.
 OUTCOMES = {"scanned": "scanned", "disallowed": "disallowed by robots.txt", "skipped": "skipped", "failed": "failed"}
 

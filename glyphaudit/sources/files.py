@@ -24,6 +24,11 @@ def third_party(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(parsed.alias("v"), F.parse_json("value").alias("raw")).select(F.col("v.pageId").alias("page_id"), "v.ord", "v.id", "v.impact", "v.help", "v.description", F.col("v.helpUrl").alias("help_url"), "v.tags", "v.nodes", "raw")
 
 
+def no_third_party(spark: SparkSession) -> DataFrame:
+    """The table of third-party findings where none were captured."""
+    return spark.createDataFrame([], schema.STANDARD + ", raw variant")
+
+
 def targets(spark: SparkSession, path: str) -> DataFrame:
     """``list_ord, url, script, note, note_fine`` of a target list, ``{"targets": [{"url", "script", "note"}, ...]}``.
 
@@ -47,18 +52,26 @@ def targets(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("list_ord", text_of("url").alias("url"), text_of("script").alias("script"), F.nullif(note, F.lit("")).alias("note"), (F.coalesce(kind("note"), F.lit("STRING")) == "STRING").alias("note_fine"))
 
 
-def newest(spark: SparkSession, folder: str) -> str | None:
-    """The last campaign file by name."""
+def newest(spark: SparkSession, folder: str) -> str:
+    """The last stored campaign by name; a folder without a manifest isn't one."""
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    pattern = jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/campaign-*.json")
+    pattern = jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/campaign-*/manifest/_SUCCESS")
     found = pattern.getFileSystem(jsc.hadoopConfiguration()).globStatus(pattern)
-    return max((str(f.getPath().toString()) for f in found), default=None) if found else None
+    names = [str(f.getPath().getParent().getParent().toString()) for f in found or ()]
+    if not names:
+        raise ValueError(f"no campaign is stored in {folder}")
+    return max(names)
 
 
 def save(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     rows.write.mode("overwrite").format(fmt).save(path)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """One small text file."""
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small text file, in whatever store the path names."""
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from glyphaudit.plans import catalogue
+from glyphaudit.plans import catalogue, reports
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -25,9 +25,12 @@ def rows(frame):
     return sorted(map(repr, frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.SQL))
+QUERIES, SQL = catalogue.QUERIES | reports.QUERIES, catalogue.SQL | reports.SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, db, name):
-    ours, theirs = catalogue.QUERIES[name](spark, DATA).toPandas(), db.sql(catalogue.SQL[name]).df()
+    ours, theirs = QUERIES[name](spark, DATA).toPandas(), db.sql(SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours.astype({c: theirs[c].dtype for c in ours.columns if theirs[c].dtype.kind in "if"})) == rows(theirs)
 

@@ -13,11 +13,3 @@ def test_splice():
     assert report.splice(f"a{report.BEGIN}old{report.END}b", "new") == "anewb"
     with pytest.raises(ValueError):
         report.splice(f"{report.END}{report.BEGIN}", "new")
-
-
-def test_reports(spark):
-    a = spark.createDataFrame([("p", "r", "Title <x>", "minor", ["arabic"], 7)], "page_id string, rule_id string, title string, severity string, scripts array<string>, n_elements long")
-    top = spark.createDataFrame([("r", "#x", "It is wrong.", 2)], "rule_id string, selector string, what_is_wrong string, more long")
-    text = report.page_text(a, top)
-    assert "MINOR  r  (7 elements)" in text and "and 2 more" in text
-    assert "&lt;x&gt;" in report.page_html("t", a, "rtl") and '"source": "script_aware"' in report.page_json(a.limit(0), a, a)
