@@ -6,6 +6,7 @@ import ctypes
 import gc
 import sys
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -106,7 +107,13 @@ def slices(batches: Iterable[pa.RecordBatch], most_bytes: int, column: str = "te
     trim()
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished queries now instead of at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession, rounds: int = 1, wait: float = 0.0) -> None:
+    """Lets Spark delete the shuffle files of finished queries now instead of at some later collection.
+
+    What the first round frees may hold more, and files go some time after what named them: large
+    shuffles are worth a second round and a wait.
+    """
+    for _ in range(rounds):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)

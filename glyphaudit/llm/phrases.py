@@ -77,9 +77,9 @@ def mine(docs: DataFrame, max_n: int = 3, least: int = 10, share: int = 50, top:
     frequent = words.where(F.col("f") >= least).withColumn("words", F.lit(1))
     # A length at a time, so that the disk holds the shuffle of one.
     for n in range(2, max_n + 1):
-        release(spark)
+        release(spark, rounds=3, wait=1.0)
         frequent = frequent.unionByName(scratch.put(counts(docs, n).where(F.col("f") >= least), f"grams{n}").withColumn("words", F.lit(n)))
-    release(spark)
+    release(spark, rounds=3, wait=1.0)
     longer = frequent.where("words > 2").select("lang", "f", F.explode(F.array(F.expr("substring_index(phrase, ' ', words - 1)"), F.expr("substring_index(phrase, ' ', 1 - words)"))).alias("phrase"))
     longest = longer.groupBy("lang", "phrase").agg(F.max("f").alias("f"))
     kept = scored(frequent, max_n).alias("c").join(longest.alias("e"), (F.col("c.lang") == F.col("e.lang")) & (F.col("c.phrase") == F.col("e.phrase")) & (F.col("e.f") * 100 >= F.col("c.a") * share), "left_anti")
