@@ -1,8 +1,9 @@
 """Writing systems of text, as columns: graphemes, runs, census, dominant script.
 
 Text without combining marks, format characters or letters of several scripts is cut into runs
-by one regular expression. Other text is cut into grapheme clusters first; letters of several
-scripts take the script before them, and only texts that have such a letter are folded.
+by a table of code point ranges, in one Arrow pass (``ranges``). Other text is cut into grapheme
+clusters first, by built-in functions; letters of several scripts take the script before them, and
+only texts that have such a letter are folded.
 """
 
 from __future__ import annotations
@@ -61,11 +62,7 @@ _LINKED = [
 _EXT = r"[\p{Mn}\x{200D}]"
 GRAPHEME = "(?:" + "|".join(f"[{c}]{_EXT}*{v}{_EXT}*(?=[{c}])" for c, v in _LINKED) + r")*\X"
 #: Text with any of these is cut into grapheme clusters; in other text each code point is one, as far as letters go.
-_CLUSTERED = rf"[\p{{M}}\p{{Cf}}\x{{E33}}\x{{EB3}}\x{{1100}}-\x{{11FF}}\x{{A960}}-\x{{A97F}}\x{{D7B0}}-\x{{D7FB}}\x{{FF9E}}\x{{FF9F}}\x{{1F3FB}}-\x{{1F3FF}}{_AMBIGUOUS_SET}]"
-_RUN = "|".join([f"[^{_ANY_LETTER}]+"] + [f"{c}+" for c in CLASSES.values()] + [rf"[{_ANY_LETTER}&&[^{''.join(c for c in CLASSES.values())}]]+"])
-_ASCII, _ASCII_RUN = r"^[\x{0}-\x{7F}]*$", "[A-Za-z]+|[^A-Za-z]+"
-#: First and last code points of ranges that lie in one class whole; runs that begin there need no pattern.
-PLAIN = [(0x0, 0x40, "common"), (0x41, 0x5A, "latin"), (0x5B, 0x60, "common"), (0x61, 0x7A, "latin"), (0x7B, 0x7F, "common"), (0xD8, 0xF6, "latin"), (0x100, 0x17F, "latin"), (0x1EA0, 0x1EF9, "latin"), (0x620, 0x63F, "arabic"), (0x641, 0x64A, "arabic"), (0x5D0, 0x5EA, "hebrew"), (0x904, 0x939, "devanagari"), (0xE01, 0xE30, "thai"), (0x1780, 0x17B3, "khmer"), (0x4E00, 0x9FA5, "han"), (0x3041, 0x3096, "kana"), (0x30A1, 0x30FA, "kana"), (0xAC00, 0xD7A3, "hangul"), (0x410, 0x44F, "cyrillic"), (0x3B1, 0x3C9, "greek")]
+CLUSTERED = rf"[\p{{M}}\p{{Cf}}\x{{E33}}\x{{EB3}}\x{{1100}}-\x{{11FF}}\x{{A960}}-\x{{A97F}}\x{{D7B0}}-\x{{D7FB}}\x{{FF9E}}\x{{FF9F}}\x{{1F3FB}}-\x{{1F3FF}}{_AMBIGUOUS_SET}]"
 
 
 def _extract(text: Column, pattern: str) -> Column:
@@ -109,27 +106,6 @@ def utf16_length(text: Column) -> Column:
     return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
 
 
-def script_of_run(run: Column) -> Column:
-    """The script of a run that ``_RUN`` gives: by its first code point where that lies in a plain range."""
-    first = F.ascii(run)
-    out = F.lit("unknown")
-    for name in reversed(_NAMES):
-        out = F.when(run.rlike(f"^{CLASSES[name]}"), F.lit(name)).otherwise(out)
-    out = F.when(run.rlike(f"^[^{_ANY_LETTER}]"), F.lit("common")).otherwise(out)
-    low, high = [x for x in PLAIN if x[1] < 0x80], [x for x in PLAIN if x[1] >= 0x80]
-    for x, y, name in reversed(high):
-        out = F.when(first.between(x, y), F.lit(name)).otherwise(out)
-    letter = F.lit(False)
-    for x, y, name in low:
-        letter = letter | first.between(x, y) if name == "latin" else letter
-    return F.when(first < 0x80, F.when(letter, F.lit("latin")).otherwise(F.lit("common"))).otherwise(out)
-
-
-def _fast_runs(text: Column) -> Column:
-    parts = F.when(text.rlike(_ASCII), _extract(text, _ASCII_RUN)).otherwise(_extract(text, _RUN))
-    return F.transform(parts, lambda r: F.struct(script_of_run(r).alias("script"), r.alias("text"), F.length(r).alias("n")))
-
-
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with columns that are computed once a row however often they are used.
 
@@ -139,11 +115,10 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def with_runs(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``script_runs array<struct<script, text, n>>``: maximal runs of one script with their clusters; joined they are the text."""
+def _slow(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``_runs`` of texts that the Arrow pass leaves out, cut into clusters first."""
     t = F.col(text)
-    none = F.array().cast("array<struct<script:string,text:string,n:int>>")
-    df = once(df, _clusters=F.when(t.rlike(_CLUSTERED), graphemes(t)))
+    df = once(df, _clusters=F.when(t.isNotNull() & F.col("_dominant").isNull(), graphemes(t)))
     df = once(df, _scripts=F.when(F.col("_clusters").isNotNull(), _classified(F.col("_clusters"), t)))
     change = lambda i: (i == 0) | (F.get("_scripts", i) != F.get("_scripts", i - 1))
     df = once(df, _starts=F.when(F.size("_scripts") > 0, F.filter(F.sequence(F.lit(0), F.size("_scripts") - 1), change)))
@@ -152,8 +127,25 @@ def with_runs(df: DataFrame, text: str = "text") -> DataFrame:
         n = F.coalesce(F.get("_starts", k + 1), F.size("_scripts")) - start
         return F.struct(F.get("_scripts", start).alias("script"), F.array_join(F.slice("_clusters", start + 1, n), "").alias("text"), n.alias("n"))
 
-    runs = F.when(F.coalesce(t, F.lit("")) == "", none).when(F.col("_clusters").isNotNull(), F.transform("_starts", run)).otherwise(_fast_runs(t))
-    return once(df, script_runs=runs).drop("_clusters", "_scripts", "_starts")
+    return once(df, _runs=F.when(F.col("_clusters").isNotNull(), F.transform("_starts", run))).drop("_clusters", "_scripts", "_starts")
+
+
+def _with_analysis(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``_plain_runs, _plain_census, _dominant``, what one Arrow pass finds, and ``_runs`` where these are null."""
+    from glyphaudit.functions import ranges
+
+    found = df.withColumn("_found", ranges.analysis(F.col(text), df.sparkSession))
+    flat = found.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_found.runs").alias("_plain_runs"), F.col("_found.census").alias("_plain_census"), F.col("_found.dominant").alias("_dominant"))
+    return _slow(flat, text)
+
+
+_NONE = "array<struct<script:string,text:string,n:int>>"
+
+
+def with_runs(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``script_runs array<struct<script, text, n>>``: maximal runs of one script with their clusters; joined they are the text."""
+    runs = F.coalesce("_plain_runs", "_runs", F.array().cast(_NONE))
+    return _with_analysis(df, text).withColumn("script_runs", runs).drop("_plain_runs", "_plain_census", "_dominant", "_runs")
 
 
 _BLOCK = 32
@@ -234,7 +226,13 @@ def analysed(df: DataFrame, text: str = "text") -> DataFrame:
     kinds = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, T.StructType)}
     names = {(c, f): f"_{i}_{j}" for i, (c, kind) in enumerate(kinds.items()) for j, f in enumerate(kind.names)}
     flat = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in kinds], *[F.col(f"`{c}`").getField(f).alias(n) for (c, f), n in names.items()])
-    runs = once(with_runs(flat, text), is_vietnamese_profile=is_vietnamese(F.col(text)), census=census(F.col("script_runs")))
+    found = _with_analysis(flat, text)
+    counted = once(found, _census=F.when(F.col("_runs").isNotNull(), census(F.col("_runs"))))
+    columns = {
+        "script_runs": F.coalesce("_plain_runs", "_runs", F.array().cast(_NONE)),
+        "is_vietnamese_profile": is_vietnamese(F.col(text)),
+        "census": F.coalesce("_plain_census", "_census", F.array().cast("array<struct<script:string,n:bigint>>")),
+        "dominant_script": F.coalesce("_dominant", F.when(F.col("_census").isNotNull(), dominant(F.col("_census"))), F.lit("common")),
+    }
     whole = {c: F.struct(*[F.col(names[c, f]).alias(f) for f in kind.names]).alias(c) for c, kind in kinds.items()}
-    added = ["script_runs", "is_vietnamese_profile", "census", "dominant_script"]
-    return once(runs, dominant_script=dominant(F.col("census"))).select(*[whole.get(c, F.col(f"`{c}`")) for c in df.columns], *added)
+    return counted.select(*[whole.get(c, F.col(f"`{c}`")) for c in df.columns], *[v.alias(k) for k, v in columns.items()])

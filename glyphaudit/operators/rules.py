@@ -154,9 +154,10 @@ def _declared_lang() -> Column:
 
 
 def _lang_fires() -> Column:
-    expected = expected_scripts(_declared_lang())
+    # What is cheap comes first, and the lookup is evaluated once for what is left.
+    other = F.exists(F.array(expected_scripts(_declared_lang())), lambda e: (F.size(e) > 0) & ~F.array_contains(e, _dominant()))
     code = _c("tag_name").isin(*CODE_TAGS) | _c("has_code_ancestor")
-    return _sure(_dominant().isin(*KNOWN) & ~code & (F.size(expected) > 0) & ~F.array_contains(expected, _dominant()) & (_count() >= 20) & (_share() >= 0.8))
+    return _sure(F.when((_count() >= 20) & (_share() >= 0.8) & _dominant().isin(*KNOWN) & ~code, other))
 
 
 def _bidi_run() -> Column:
@@ -199,7 +200,7 @@ def _icon_evidence() -> Column:
 
 
 def _icon_fires() -> Column:
-    return _sure((_c("computed_direction") == "rtl") & _icon_evidence().isNotNull() & ~reverses_or_turns(_c("css.transform")) & ~_c("has_transformed_ancestor"))
+    return _sure((_c("computed_direction") == "rtl") & _c("css.transform").isNotNull() & _icon_evidence().isNotNull() & ~reverses_or_turns(_c("css.transform")) & ~_c("has_transformed_ancestor"))
 
 
 def _clip_fires() -> Column:

@@ -13,7 +13,6 @@ from glyphaudit.operators import campaign, engine, pages, records, robots
 from glyphaudit.operators import rules as R
 from glyphaudit.operators.engine import Filters
 from glyphaudit.plans import synth
-from glyphaudit.sources import html
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,8 +73,9 @@ dom AS (SELECT {key}, arg_max(script, n * 10000000 - first) AS dominant, max(n)
 
 _DOCS = "WITH docs AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents)," + _analysis("docs", "doc_id")
 _NODES = "WITH " + synth.SQL_NODES + "," + _analysis("nodes", "page_id, node_ord")
-_ALL = _NODES + """,
+_ANALYSED = """,
 analysed AS (SELECT n.*, coalesce(d.dominant, 'common') AS dominant, coalesce(d.cnt, 0) AS cnt, coalesce(d.lettered, 0) AS lettered, coalesce(d.latin, 0) AS latin FROM nodes n LEFT JOIN dom d USING (page_id, node_ord))"""
+_ALL = _NODES + _ANALYSED
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +202,12 @@ def _one(rule: R.Rule) -> str:
     return f"SELECT page_id, node_ord, '{rule.id}' AS rule_id, {_SEVERITY[rule.id]} AS severity, '{rule.confidence}' AS confidence, dominant AS script, selector, {_WCAG.get(rule.id, 'NULL')}::VARCHAR AS wcag_ref FROM tagged WHERE coalesce({CONDITIONS[rule.id]}, false)"
 
 
-_FOUND = _ALL + f", tagged AS ({_TAGGED}), found AS (" + " UNION ALL ".join(_one(r) for r in R.RULES) + ")"
+def found_sql(nodes: str) -> str:
+    """``WITH`` CTEs up to ``found``, all checks' findings, after CTEs that give ``nodes``."""
+    return nodes + "," + _analysis("nodes", "page_id, node_ord") + _ANALYSED + f", tagged AS ({_TAGGED}), found AS (" + " UNION ALL ".join(_one(r) for r in R.RULES) + ")"
+
+
+_FOUND = found_sql("WITH " + synth.SQL_NODES)
 _COLUMNS = ["page_id", "node_ord", "rule_id", "severity", "confidence", "script", "selector", "wcag_ref"]
 _RANKED = "CASE severity WHEN 'critical' THEN 0 WHEN 'serious' THEN 1 WHEN 'moderate' THEN 2 ELSE 3 END"
 
@@ -482,19 +487,5 @@ def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.table(spark, sf_dir, "pages").select("url", scalars.robots_url(u).alias("robots_url"), scalars.delay_after(u, F.lit(1500), F.lit(None).cast("double")).alias("delay_ms"))
 
 
-def _static(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.text_nodes(synth.table(spark, sf_dir, "pages"))
-
-
-@query()
-def page_text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _static(spark, sf_dir).select("page_id", "node_ord", "selector", "text", "inherited_lang", "tag_name", "truncated", "capture_mode")
-
-
-@query()
-def page_findings_static(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.findings(S.analysed(html.as_snapshot(_static(spark, sf_dir)))).select(_COLUMNS)
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return script_tally_by_lang(spark, sf_dir)

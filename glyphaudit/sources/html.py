@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_NODES, MOST_TEXT = 3000, 500
@@ -36,26 +36,47 @@ _TRANSFORM = re.compile(r"(?:^|;)\s*transform\s*:\s*([^;]+)", re.I)
 NODES = "page_id string, node_ord int, selector string, text string, own_lang string, inherited_lang string, own_dir string, inherited_dir string, ancestor_has_dir_rtl boolean, class_names array<string>, tag_name string, has_bdi_ancestor boolean, has_code_ancestor boolean, has_transformed_ancestor boolean, document_lang string, document_dir string, truncated boolean, capture_mode string"
 
 
+#: White space of any kind at both ends of a text.
+BLANK_ENDS = r"^[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$"
+_BLANKS = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def anchor(name: str) -> str:
+    """The selector of an id: letters, digits, ``-``, ``_`` and all beyond ASCII as they are, other characters escaped."""
+    out = []
+    for i, c in enumerate(name):
+        if c == "\0":
+            out.append("\ufffd")
+        elif c < " " or c == "\x7f" or (c.isdigit() and c < "\x80" and (i == 0 or (i == 1 and name[0] == "-"))):
+            out.append(f"\\{ord(c):x} ")
+        elif (c.isalnum() or c in "-_" or c >= "\x80") and name != "-":
+            out.append(c)
+        else:
+            out.append("\\" + c)
+    return "#" + "".join(out)
+
+
 class _Element:
-    __slots__ = ("attrs", "children", "hidden", "nth", "parent", "tag")
+    __slots__ = ("attrs", "children", "hidden", "nth", "ord", "own_hidden", "parent", "siblings", "tag")
 
-    def __init__(self, tag: str, attrs: dict, parent: _Element | None):
+    def __init__(self, tag: str, attrs: dict, parent: _Element | None, tops: dict[str, int]):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: dict[str, int] = {}
-        self.nth = 1
-        if parent is not None:
-            self.nth = parent.children[tag] = parent.children.get(tag, 0) + 1
-        own = "hidden" in attrs or bool(_HIDDEN.search(attrs.get("style") or ""))
-        self.hidden = own or (parent is not None and parent.hidden)
+        #: Elements by tag beside this one; ``tops`` counts those that stand in none.
+        self.siblings = tops if parent is None else parent.children
+        self.nth = self.siblings[tag] = self.siblings.get(tag, 0) + 1
+        self.own_hidden = "hidden" in attrs or bool(_HIDDEN.search(attrs.get("style") or ""))
+        self.hidden = self.own_hidden or (parent is not None and parent.hidden)
 
     def path(self) -> str:
-        """From the nearest element with an id, or from the root."""
+        """From the nearest element with an id, or from the root; numbered where siblings have the same tag."""
         parts, e = [], self
         while e is not None:
             if e.attrs.get("id"):
-                parts.append("#" + e.attrs["id"])
+                parts.append(anchor(e.attrs["id"]))
                 break
-            parts.append("html" if e.tag == "HTML" else f"{e.tag.lower()}:nth-of-type({e.nth})")
+            alone = e.siblings[e.tag] == 1 or (e.parent is None and e.tag == "HTML")
+            parts.append(e.tag.lower() if alone else f"{e.tag.lower()}:nth-of-type({e.nth})")
             e = e.parent
         return " > ".join(reversed(parts))
 
@@ -77,6 +98,7 @@ class TextNodes(HTMLParser):
         self.most_nodes, self.most_text = most_nodes, most_text
         self.at: _Element | None = None
         self.root: _Element | None = None
+        self.tops: dict[str, int] = {}
         self.rows: list[tuple[_Element, str]] = []
         self.truncated = False
 
@@ -95,11 +117,15 @@ class TextNodes(HTMLParser):
             self._close({"P"}, _SCOPE)
         if tag.upper() in CLOSES:
             self._close(*CLOSES[tag.upper()])
-        e = _Element(tag.upper(), {k: ("" if v is None else v) for k, v in reversed(attrs)}, self.at)
+        e = _Element(tag.upper(), {k: ("" if v is None else v) for k, v in reversed(attrs)}, self.at, self.tops)
         self.root = self.root or e
+        self.opened(e)
         if e.tag not in VOID:
             self.at = e
 
+    def opened(self, e: _Element) -> None:
+        """Called for every element as it begins."""
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         before = self.at
         self.handle_starttag(tag, attrs)
@@ -118,14 +144,30 @@ class TextNodes(HTMLParser):
         if len(self.rows) >= self.most_nodes:
             self.truncated = True
             return
-        if data.strip() and self.at.tag not in SILENT and self.at.tag not in ("HEAD", "TITLE") and not self.at.hidden:
-            self.rows.append((self.at, data))
+        text = data.strip(_BLANKS)
+        if text and self.at.tag not in SILENT and self.at.tag not in ("HEAD", "TITLE") and not self.at.hidden:
+            self.rows.append((self.at, text))
+
+
+def turned(e: _Element) -> bool:
+    """Whether an element's own style has a transform."""
+    m = _TRANSFORM.search(e.attrs.get("style") or "")
+    return bool(m) and m[1].strip().lower() != "none"
 
 
 def _utf16_cut(text: str, most: int) -> str:
     return text if len(text) * 2 <= most else text.encode("utf-16-le", "surrogatepass")[: 2 * most].decode("utf-16-le", "ignore")
 
 
+def utf16_cut(text: str, most: int) -> Column:
+    """The first UTF-16 units of a text column, as ``_utf16_cut``."""
+    units = F.encode(text, "UTF-16LE")
+    # Half a pair at the end goes as well.
+    halved = F.hex(F.substring(units, 2 * most, 1)).between("D8", "DB")
+    cut = F.substring(units, F.lit(1), F.when(halved, F.lit(2 * most - 2)).otherwise(F.lit(2 * most)))
+    return F.when(F.octet_length(units) <= 2 * most, F.col(text)).otherwise(F.decode(cut, "UTF-16LE"))
+
+
 def nodes_of(page_id: str, html: str | None, most_nodes: int = MOST_NODES, most_text: int = MOST_TEXT) -> list[tuple]:
     parser = TextNodes(most_nodes, most_text)
     parser.feed(html or "")
@@ -134,10 +176,9 @@ def nodes_of(page_id: str, html: str | None, most_nodes: int = MOST_NODES, most_
     out = []
     for i, (e, text) in enumerate(parser.rows):
         line = [e, *e.above()]
-        turned = any((m := _TRANSFORM.search(x.attrs.get("style") or "")) and m[1].strip().lower() != "none" for x in line[1:])
         out.append(
             (page_id, i, e.path(), _utf16_cut(text, most_text), e.attrs.get("lang"), e.nearest("lang"), e.attrs.get("dir"), e.nearest("dir"), any((x.attrs.get("dir") or "").lower() == "rtl" for x in line),
-             (e.attrs.get("class") or "").split(), e.tag, any(x.tag == "BDI" for x in line), any(x.tag in CODE for x in line), turned, root.get("lang"), root.get("dir"), parser.truncated, "static")
+             (e.attrs.get("class") or "").split(), e.tag, any(x.tag == "BDI" for x in line), any(x.tag in CODE for x in line), any(map(turned, line[1:])), root.get("lang"), root.get("dir"), parser.truncated, "static")
         )
     return out
 

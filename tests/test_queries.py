@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from glyphaudit.plans import catalogue, reports
+from glyphaudit.plans import catalogue, reports, static
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -25,7 +25,7 @@ def rows(frame):
     return sorted(map(repr, frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None)))
 
 
-QUERIES, SQL = catalogue.QUERIES | reports.QUERIES, catalogue.SQL | reports.SQL
+QUERIES, SQL = catalogue.QUERIES | reports.QUERIES | static.QUERIES, catalogue.SQL | reports.SQL | static.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -35,10 +35,9 @@ def test_query(spark, db, name):
     assert rows(ours.astype({c: theirs[c].dtype for c in ours.columns if theirs[c].dtype.kind in "if"})) == rows(theirs)
 
 
-def test_static_pages(spark):
-    out = catalogue.page_text_nodes(spark, DATA)
-    assert out.count() > 0 and out.where("capture_mode <> 'static'").count() == 0
-    assert catalogue.page_findings_static(spark, DATA).count() == 0
+def test_static_pages_have_findings(spark):
+    found = static.page_findings_static(spark, DATA).groupBy("rule_id").count().collect()
+    assert {"missing-dir-attribute", "lang-script-mismatch"} <= {r["rule_id"] for r in found}
 
 
 def test_entry_has_rows(spark):

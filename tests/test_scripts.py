@@ -1,9 +1,12 @@
+import itertools
+
+import pyarrow as pa
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from glyphaudit.functions import scalars
+from glyphaudit.functions import ranges, scalars
 from glyphaudit.functions import scripts as S
 
 CASES = {
@@ -34,17 +37,49 @@ def test_dominant_and_runs(spark):
         assert "".join(r["text"] for r in got[i]["script_runs"]) == text
 
 
-def test_plain_ranges_agree_with_the_patterns(spark):
-    """Every code point of a plain range is of the class that the patterns give it."""
-    df = spark.createDataFrame(S.PLAIN, "low int, high int, name string")
-    df = df.select("name", F.explode(F.sequence("low", "high")).alias("cp")).where("cp < 19968 OR cp % 7 = 0")
-    letter = F.regexp_extract(F.decode(F.unhex(F.lpad(F.hex("cp"), 8, "0")), "UTF-32"), S.LETTER, 0)
-    assert df.where(S.script_of_letter(letter) != F.col("name")).count() == 0
-    edges = "".join(chr(c) for low, high, _ in S.PLAIN for c in (low, high, high + 1) if c > 0)
-    got = runs(spark, [edges, "a\u2019b", "\u00aa\u00d7"])
-    assert "".join(r["text"] for r in got[0]["script_runs"]) == edges
-    assert [r["script"] for r in got[1]["script_runs"]] == ["latin", "common", "latin"]
-    assert [r["script"] for r in got[2]["script_runs"]] == ["latin", "common"]
+def test_range_table(spark):
+    """Ranges ascend without gaps but for surrogates, and give what the character classes do."""
+    rows = ranges.table(spark)
+    assert rows[0][0] == 0 and rows[-1][1] == 0x10FFFF and 200 < len(rows) < 3000
+    assert all(b[0] == (0xE000 if a[1] == 0xD7FF else a[1] + 1) and a[1] >= a[0] for a, b in zip(rows, rows[1:], strict=False))
+    of = lambda c: next(r[2] for r in rows if r[0] <= ord(c) <= r[1])
+    assert [of(c) for c in "aéÿ×µ1مहญ日あ한гαܐߊހᠠক\U0001e030\U00010ec2"] == ["latin", "latin", "latin", "common", "unknown", "common", "arabic", "devanagari", "thai", "han", "kana", "hangul", "cyrillic", "greek", "syriac", "nko", "thaana", "mongolian", "unknown", "cyrillic", "arabic"]
+    assert ranges.table(spark) is rows
+
+
+LETTERS = "ab Éß12-.\u2019\u00aa\u00d7مرבثहिन日のカ한гαܐߊހᠠকঅ\U00020000\U0001e030😀𐰀\n"
+
+
+@settings(max_examples=2, deadline=None)
+@given(st.lists(st.text(alphabet=LETTERS, max_size=30), min_size=80, max_size=80))
+def test_the_table_finds_what_the_classes_find(spark, texts):
+    """Runs of the Arrow pass equal those of clusters that are asked one by one."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(3)
+    t = F.col("text")
+    asked = df.select("i", S._classified(S.graphemes(t), t).alias("s"), S.graphemes(t).alias("g"), t.rlike(S.CLUSTERED).alias("k"))
+    want = {}
+    for r in asked.collect():
+        want[r["i"]] = [(k, "".join(g for _, g in v), len(v)) for k, v in ((k, list(v)) for k, v in itertools.groupby(zip(r["s"], r["g"], strict=True), key=lambda x: x[0]))]
+    for r in S.analysed(df).collect():
+        own = [(x["script"], x["text"], x["n"]) for x in r["script_runs"]]
+        assert own == want[r["i"]], texts[r["i"]]
+        counts = {}
+        for script, _, n in own:
+            if script != "common":
+                counts[script] = counts.get(script, 0) + n
+        assert [(c["script"], c["n"]) for c in r["census"]] == list(counts.items())
+        assert r["dominant_script"] == max(counts, key=counts.get, default="common")
+
+
+def test_batches(spark):
+    """Slices, nulls, empty texts and batches without any text."""
+    table = tuple(ranges.table(spark))
+    texts = pa.array(["", None, "ab é", "مر", "e\u0301", "", "x1"])
+    want = [([], [], "common"), ([], [], "common"), ([("latin", "ab", 2), ("common", " ", 1), ("latin", "é", 1)], [("latin", 3)], "latin"), ([("arabic", "مر", 2)], [("arabic", 2)], "arabic"), None, ([], [], "common"), ([("latin", "x", 1), ("common", "1", 1)], [("latin", 1)], "latin")]
+    shape = lambda v: v and ([tuple(r.values()) for r in v["runs"]], [tuple(c.values()) for c in v["census"]], v["dominant"])
+    assert [shape(v) for v in ranges.runs_of(texts, table).to_pylist()] == want
+    assert [shape(v) for v in ranges.runs_of(texts.slice(2, 3), table).to_pylist()] == want[2:5]
+    assert ranges.runs_of(pa.array([], pa.string()), table).to_pylist() == [] and len(ranges.runs_of(pa.array([None, None], pa.string()), table)) == 2
 
 
 def test_null_text(spark):

@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from glyphaudit.operators import campaign, records, robots
-from glyphaudit.sources import files, html
+from glyphaudit.sources import files, html, markup
 
 PAGE = """<html lang="ar" dir="rtl"><head><title>t</title><style>p{}</style></head><body id="b"><p>one</p><p hidden>no</p>
 <div lang=""><p lang="en" class="a b">two <bdi>three</bdi></p></div><pre>four</pre><script>x</script><p style="display: none">no</p></body></html>"""
@@ -28,12 +28,47 @@ def test_limits():
 
 def test_end_tags_that_html_leaves_out():
     rows = html.nodes_of("p", "<body><p>one<p>two<div>three</div><ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>x<td>y<tr><td>z</table><dl><dt>t<dd>u<dt>v</dl><select><option>k<option>l</select>")
-    paths = {r[3]: r[2].removeprefix("body:nth-of-type(1) > ") for r in rows}
-    n = lambda *parts: " > ".join(f"{t}:nth-of-type({k})" for t, k in parts)
-    assert paths["two"] == n(("p", 2)) and paths["three"] == n(("div", 1))
-    assert paths["b"] == n(("ul", 1), ("li", 2)) and paths["c"] == n(("ul", 1), ("li", 2), ("ul", 1), ("li", 1)) and paths["d"] == n(("ul", 1), ("li", 3))
-    assert paths["y"] == n(("table", 1), ("tr", 1), ("td", 2)) and paths["z"] == n(("table", 1), ("tr", 2), ("td", 1))
-    assert paths["u"] == n(("dl", 1), ("dd", 1)) and paths["v"] == n(("dl", 1), ("dt", 2)) and paths["l"] == n(("select", 1), ("option", 2))
+    paths = {r[3]: r[2].removeprefix("body > ") for r in rows}
+    n = lambda *parts: " > ".join(f"{t}:nth-of-type({k})" if k else t for t, k in parts)
+    assert paths["two"] == n(("p", 2)) and paths["three"] == "div"
+    assert paths["b"] == n(("ul", 0), ("li", 2)) and paths["c"] == n(("ul", 0), ("li", 2), ("ul", 0), ("li", 0)) and paths["d"] == n(("ul", 0), ("li", 3))
+    assert paths["y"] == n(("table", 0), ("tr", 1), ("td", 2)) and paths["z"] == n(("table", 0), ("tr", 2), ("td", 0))
+    assert paths["u"] == "dl > dd" and paths["v"] == n(("dl", 0), ("dt", 2)) and paths["l"] == n(("select", 0), ("option", 2))
+
+
+def test_ids_in_selectors():
+    names = ["a b", "1x", "-2", "-", "é.b", "x\x01"]
+    assert [html.anchor(n) for n in names] == ["#a\\ b", "#\\31 x", "#-\\32 ", "#\\-", "#é\\.b", "#x\\1 "]
+    assert html.nodes_of("p", '<html><body><div id="a b"><p>x</p><p>y</p></div></body></html>')[1][2] == "#a\\ b > p:nth-of-type(2)"
+
+
+ODD = [
+    PAGE,
+    "<body><p>one<p>two<div>three</div><ul><li>a<li>b<ul><li>c</ul><li>d</ul><br><i></i>after",
+    '<html lang="fr"><body dir="RTL"><div lang=" "><code><bdi style="transform: scale(2)"><b dir="">x<span style="transform:none">y</span></b></bdi></code>&nbsp;</div><!-- c --><p>a &amp; b<br>c</p></html>tail',
+    '<html><head><title>t</title></head><body hidden><p>no</p></body></html>',
+    "no tags", "", None, "<p>" + "😀" * 400 + "</p>", "<div>" * 60 + "deep", "<p>a</p>" * 12,
+    '<section id="s"><p id="1">x</p><h1 class=" k  l ">z</h1><p>y</p></section><pre>q</pre>',
+]
+
+
+def test_ancestry_equals_the_parsers_stack(spark):
+    """The recursive query over the parent-pointer table finds what the parser's own stack does."""
+    pages = spark.createDataFrame(list(enumerate(ODD)), "page_id int, html string")
+    ours = html.text_nodes(pages, most_nodes=10)
+    theirs = markup.text_rows(markup.markup(pages), most_nodes=10).select(ours.columns)
+    key = lambda df: sorted(str(r.asDict()) for r in df.collect())
+    assert key(theirs) == key(ours) and ours.where("truncated").count() == 10
+
+
+def test_markup_in_sql(spark):
+    """The table function is called laterally, beside other columns of the page."""
+    markup.register(spark)
+    spark.createDataFrame([("u", "<ul><li lang=en>a<li>b</ul>")], "url string, html string").createOrReplaceTempView("given_pages")
+    rows = spark.sql("SELECT url, m.tag, m.parent, m.lang, m.text FROM given_pages, LATERAL page_markup(html) m ORDER BY m.ord").collect()
+    assert [tuple(r) for r in rows] == [("u", "UL", None, None, None), ("u", "LI", 0, "en", None), ("u", None, 1, None, "a"), ("u", "LI", 0, None, None), ("u", None, 3, None, "b")]
+    with pytest.raises(Exception, match="RECURSION_LEVEL"):
+        markup.ancestry(markup.markup(spark.createDataFrame([(1, "<div>" * 9)], "page_id int, html string")), deepest=3).collect()
 
 
 def test_robots_files_are_read_up_to_a_limit(spark, monkeypatch):
