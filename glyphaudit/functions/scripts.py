@@ -109,10 +109,13 @@ def utf16_length(text: Column) -> Column:
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with columns that are computed once a row however often they are used.
 
-    A generator over one struct keeps the optimizer from copying an expensive expression into
-    every expression, or every lambda, that refers to it.
+    They are computed in a projection, as generated code. A generator that only passes them on keeps
+    the optimizer from copying an expensive expression into every expression, or every lambda, that
+    refers to it; inside the generator itself they would be interpreted.
     """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    own = {n: f"_once_{n}" for n in columns}
+    made = df.select("*", *[c.alias(own[n]) for n, c in columns.items()])
+    return made.select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(F.struct(*[F.col(own[n]).alias(n) for n in columns]))))
 
 
 def _slow(df: DataFrame, text: str) -> DataFrame:
@@ -209,11 +212,21 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{_SPACE}]+|[{_SPACE}]+$", "")
 
 
+def flattened(text: Column) -> Column:
+    """White space collapsed, none at the ends."""
+    return trimmed(F.regexp_replace(text, f"[{_SPACE}]+", " "))
+
+
+def shortened(flat: Column, most: int = 60) -> Column:
+    """The first clusters of a flattened text, with an ellipsis if there are more. Only texts that have clusters of several code points are cut into them."""
+    plain = F.concat(F.substring(flat, 1, most), F.lit("…"))
+    cut = F.concat(F.array_join(F.slice(graphemes(flat), 1, most), ""), F.lit("…"))
+    return F.when(F.length(flat) <= most, flat).when(~flat.rlike(CLUSTERED), plain).when(grapheme_count(flat) <= most, flat).otherwise(cut)
+
+
 def snippet(text: Column, most: int = 60) -> Column:
     """White space collapsed, then the first clusters, with an ellipsis if there are more."""
-    flat = trimmed(F.regexp_replace(text, f"[{_SPACE}]+", " "))
-    cut = F.concat(F.array_join(F.slice(graphemes(flat), 1, most), ""), F.lit("…"))
-    return F.when(F.length(flat) <= most, flat).when(grapheme_count(flat) <= most, flat).otherwise(cut)
+    return shortened(flattened(text), most)
 
 
 def analysed(df: DataFrame, text: str = "text") -> DataFrame:

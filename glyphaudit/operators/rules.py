@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from glyphaudit.dims import LABELS, SCRIPTS, where
 from glyphaudit.functions.scalars import expected_scripts, pixel_length, reverses_or_turns, rounded, visually_hidden
-from glyphaudit.functions.scripts import count_of, once, share_of, snippet, trimmed
+from glyphaudit.functions.scripts import count_of, flattened, once, share_of, shortened, trimmed
 
 RTL = where(lambda s: s.rtl)
 CURSIVE = where(lambda s: s.cursive)
@@ -345,9 +345,13 @@ def found_by(nodes: DataFrame, rules: list[Rule]) -> DataFrame:
 
     Conditions are evaluated once a node; snippets and messages only where one holds.
     """
-    fired = F.filter(F.array(*[F.when(r.fires(), F.lit(i)) for i, r in enumerate(rules)]), lambda k: k.isNotNull())
-    hit = once(measured(nodes), _fired=fired).where(F.size("_fired") > 0)
-    each = once(hit, _snippet=snippet(F.col("text"))).withColumn("_rule", F.explode("_fired"))
+    # A bit for each check: a list of them would take the conditions out of generated code.
+    fired = F.lit(0)
+    for i, r in enumerate(rules):
+        fired = fired + F.when(r.fires(), F.lit(1 << i)).otherwise(F.lit(0))
+    hit = once(measured(nodes), _fired=fired).where("_fired > 0")
+    own = F.filter(F.array(*[F.lit(i) for i in range(len(rules))]), lambda k: F.getbit("_fired", k) == 1)
+    each = once(once(hit, _flat=flattened(F.col("text"))), _snippet=shortened(F.col("_flat"))).withColumn("_rule", F.explode(own))
 
     def of(value: Callable[[Rule], Column]) -> Column:
         out = F.lit(None).cast("string")

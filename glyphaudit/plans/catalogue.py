@@ -194,17 +194,21 @@ CONDITIONS = {
     "unsafe-word-break-for-script": f"((dominant IN {_in(CURSIVE)} AND (word_break = 'break-all' OR hyphens = 'auto')) OR (dominant IN {_in(SEGMENTED_MARKED)} AND word_break = 'break-all') OR (dominant IN {_in(SEGMENTED_PLAIN)} AND hyphens = 'auto')) AND cnt >= 2",
     "clipped-stacked-marks": f"dominant IN {_in(KNOWN)} AND (dominant IN {_in(MARKED)} OR (dominant = 'latin' AND {_VIETNAMESE}) OR regexp_matches(text, '\\p{{Mn}}')) AND lower(trim(overflow_y)) IN ('hidden', 'clip') AND clip = 'auto' AND over > 1",
 }
-_SEVERITY = {r.id: f"'{r.severity}'" for r in R.RULES} | {"missing-dir-attribute": "CASE WHEN computed_direction = 'rtl' THEN 'moderate' ELSE 'serious' END"}
+# Severity and confidence of each check, as the SQL knows them.
+_GRADES = _table("""cursive-script-letter-spacing = critical high; insufficient-line-height-for-script = moderate heuristic; missing-script-font-coverage = serious heuristic;
+case-transform-on-caseless-script = minor high; missing-dir-attribute = serious medium; lang-script-mismatch = serious medium; physical-css-in-bidi-context = moderate medium;
+unisolated-bidi-run = moderate heuristic; unmirrored-directional-icon = minor heuristic; unsafe-word-break-for-script = moderate medium; clipped-stacked-marks = moderate heuristic""")
+_SEVERITY = {k: f"'{v[0]}'" for k, v in _GRADES.items()} | {"missing-dir-attribute": "CASE WHEN computed_direction = 'rtl' THEN 'moderate' ELSE 'serious' END"}
 _WCAG = {"insufficient-line-height-for-script": f"CASE WHEN {_RATIO} < 1.5 THEN '1.4.8' END"}
 
 
-def _one(rule: R.Rule) -> str:
-    return f"SELECT page_id, node_ord, '{rule.id}' AS rule_id, {_SEVERITY[rule.id]} AS severity, '{rule.confidence}' AS confidence, dominant AS script, selector, {_WCAG.get(rule.id, 'NULL')}::VARCHAR AS wcag_ref FROM tagged WHERE coalesce({CONDITIONS[rule.id]}, false)"
+def _one(rule: str) -> str:
+    return f"SELECT page_id, node_ord, '{rule}' AS rule_id, {_SEVERITY[rule]} AS severity, '{_GRADES[rule][1]}' AS confidence, dominant AS script, selector, {_WCAG.get(rule, 'NULL')}::VARCHAR AS wcag_ref FROM tagged WHERE coalesce({CONDITIONS[rule]}, false)"
 
 
 def found_sql(nodes: str) -> str:
     """``WITH`` CTEs up to ``found``, all checks' findings, after CTEs that give ``nodes``."""
-    return nodes + "," + _analysis("nodes", "page_id, node_ord") + _ANALYSED + f", tagged AS ({_TAGGED}), found AS (" + " UNION ALL ".join(_one(r) for r in R.RULES) + ")"
+    return nodes + "," + _analysis("nodes", "page_id, node_ord") + _ANALYSED + f", tagged AS ({_TAGGED}), found AS (" + " UNION ALL ".join(map(_one, CONDITIONS)) + ")"
 
 
 _FOUND = found_sql("WITH " + synth.SQL_NODES)
@@ -215,7 +219,7 @@ _RANKED = "CASE severity WHEN 'critical' THEN 0 WHEN 'serious' THEN 1 WHEN 'mode
 def _add_rule(rule: R.Rule) -> None:
     name = "rule_" + rule.id.replace("-", "_")
     QUERIES[name] = lambda spark, sf_dir: engine.findings(synth.nodes(spark, sf_dir), Filters(rules=(rule.id,))).select(_COLUMNS)
-    SQL[name] = _ALL + f", tagged AS ({_TAGGED}) " + _one(rule)
+    SQL[name] = _ALL + f", tagged AS ({_TAGGED}) " + _one(rule.id)
 
 
 for _rule in R.RULES:
@@ -344,22 +348,22 @@ def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_STD + ", every AS (SELECT unnest(['scanned', 'disallowed', 'skipped', 'failed']) AS status) SELECT status, count(list_ord) AS n_sites FROM every LEFT JOIN sites USING (status) GROUP BY status")
 def campaign_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaign.outcomes(synth.sites(spark))
+    return campaign.outcomes(synth.sites(spark, sf_dir))
 
 
 @query(_CAMPAIGN + f" SELECT id AS rule_id, arg_min(help, list_ord::BIGINT * 10000000000 + pos) AS title, arg_min(coalesce(impact, 'ungraded'), list_ord::BIGINT * 10000000000 + pos) AS severity, count(DISTINCT url) AS n_sites, sum(n_nodes)::BIGINT AS n_elements, {_PERCENT} FROM std GROUP BY id")
 def campaign_issues_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaign.standard_issues(synth.sites(spark), synth.standard(spark, sf_dir))
+    return campaign.standard_issues(synth.sites(spark, sf_dir), synth.standard(spark, sf_dir))
 
 
 @query(_CAMPAIGN + f" SELECT rule_id, ['critical', 'serious', 'moderate', 'minor'][min({_RANKED}) + 1] AS severity, any_value(confidence) AS confidence, count(DISTINCT url) AS n_sites, count(*) AS n_elements, {_PERCENT} FROM own GROUP BY rule_id")
 def campaign_issues_script_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaign.script_aware_issues(synth.sites(spark), _ours(spark, sf_dir)).drop("title")
+    return campaign.script_aware_issues(synth.sites(spark, sf_dir), _ours(spark, sf_dir)).drop("title")
 
 
 @query(_CAMPAIGN + " SELECT 'standard' AS layer, count(DISTINCT url) AS n_sites, count(DISTINCT id) AS n_rules, sum(n_nodes)::BIGINT AS n_elements, (SELECT sum(passes)::BIGINT FROM ok) AS n_passes FROM std UNION ALL SELECT 'script_aware', count(DISTINCT url), count(DISTINCT rule_id), count(*), 0 FROM own")
 def campaign_layer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaign.layer_totals(synth.sites(spark), synth.standard(spark, sf_dir), _ours(spark, sf_dir))
+    return campaign.layer_totals(synth.sites(spark, sf_dir), synth.standard(spark, sf_dir), _ours(spark, sf_dir))
 
 
 @query(
@@ -368,12 +372,12 @@ SELECT list_contains([""" + ", ".join(f"'{g}'" for g in GROUPS) + """], target_g
 FROM sites LEFT JOIN s USING (list_ord) LEFT JOIN a USING (list_ord) GROUP BY target_group"""
 )
 def campaign_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaign.by_group(synth.sites(spark), synth.standard(spark, sf_dir), _ours(spark, sf_dir)).withColumn("known", F.lit(True))
+    return campaign.by_group(synth.sites(spark, sf_dir), synth.standard(spark, sf_dir), _ours(spark, sf_dir)).withColumn("known", F.lit(True))
 
 
 @query(_CAMPAIGN + " SELECT script, count(DISTINCT url) AS n_sites, count(*) AS n_findings FROM own GROUP BY script")
 def campaign_by_detected_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaign.by_detected_script(synth.sites(spark), _ours(spark, sf_dir))
+    return campaign.by_detected_script(synth.sites(spark, sf_dir), _ours(spark, sf_dir))
 
 
 #: Sites are written in one script each, beside what common nodes they have, so some aren't written in that of their group.
@@ -388,12 +392,12 @@ wrong AS (SELECT list_ord, url, target_group, coalesce(detected, '') AS detected
 
 @query(_MISMATCH + " SELECT * FROM wrong")
 def campaign_label_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaign.label_mismatches(synth.sites(spark), _detected(spark, sf_dir)).withColumn("detected", F.array_join("detected", ","))
+    return campaign.label_mismatches(synth.sites(spark, sf_dir), _detected(spark, sf_dir)).withColumn("detected", F.array_join("detected", ","))
 
 
 @query(_MISMATCH + " SELECT count(*) AS n_scanned, (SELECT count(*) FROM wrong) AS n_mismatched, count(*) - (SELECT count(*) FROM wrong) AS n_measured FROM sites WHERE status = 'scanned'")
 def campaign_measured_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaign.measured(synth.sites(spark), _detected(spark, sf_dir))
+    return campaign.measured(synth.sites(spark, sf_dir), _detected(spark, sf_dir))
 
 
 @query(
@@ -403,12 +407,12 @@ SELECT max(m) FILTER (rule_id = 'cursive-script-letter-spacing') AS flagship_sit
  sum(n) FILTER (p <= 2)::BIGINT AS top_two, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (confidence = 'high'), 0)::BIGINT AS high_confidence, floor(sum(n) FILTER (p <= 2)::DOUBLE / sum(n) * 1000 + 0.5) / 10 AS top_two_percent FROM k"""
 )
 def campaign_caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaign.caveats(synth.sites(spark), _ours(spark, sf_dir))
+    return campaign.caveats(synth.sites(spark, sf_dir), _ours(spark, sf_dir))
 
 
 @query(_STD + ", every AS (SELECT unnest([" + ", ".join(f"'{g}'" for g in GROUPS) + "]) AS target_group) SELECT target_group, count(list_ord) AS n_targets FROM every LEFT JOIN sites USING (target_group) GROUP BY target_group")
 def targets_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaign.count_by_group(synth.sites(spark).withColumnRenamed("target_group", "script"))
+    return campaign.count_by_group(synth.sites(spark, sf_dir).withColumnRenamed("target_group", "script"))
 
 
 _TARGETS = "SELECT CAST(s_suppkey AS INT) AS list_ord, CASE s_suppkey % 6 WHEN 0 THEN 'ftp://a.example/' WHEN 1 THEN 'nonsense' WHEN 2 THEN 'https://same.example/' ELSE concat('https://s', s_suppkey, '.example/x') END AS url, CASE s_suppkey % 5 WHEN 0 THEN 'klingon' ELSE 'thai' END AS script FROM supplier"
@@ -458,7 +462,7 @@ def target_hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, CASE WHEN st = 404 THEN 'no-robots-file' WHEN coalesce(st, 0) <> 200 THEN 'robots-unreachable' WHEN CASE WHEN k % 3 = 0 THEN k % 6 = 3 ELSE k % 6 = 1 END THEN 'robots-disallows' ELSE 'ok' END AS w FROM t),
 s AS (SELECT *, CASE WHEN w = 'robots-disallows' THEN 'disallowed' WHEN w = 'robots-unreachable' THEN 'skipped' WHEN k % 5 = 4 OR k % 10 = 3 THEN 'failed' ELSE 'scanned' END AS status FROM r)
 SELECT CAST(k AS INT) AS list_ord, url, 'thai' AS target_group, status,
- CASE WHEN status = 'disallowed' THEN 'The robots file does not allow the page.' WHEN status = 'skipped' THEN 'The robots file could not be read.' WHEN status = 'failed' AND k % 5 = 4 THEN 'The scan did not finish within 60000 ms and was given up on.' WHEN status = 'failed' THEN 'It took too long.' END AS reason,
+ CASE WHEN status = 'disallowed' THEN 'The robots file does not allow the page.' WHEN status = 'skipped' THEN 'The robots file could not be read.' WHEN status = 'failed' AND k % 5 = 4 THEN 'no result came in 60000 ms, so the site was left' WHEN status = 'failed' THEN 'It took too long.' END AS reason,
  CASE WHEN status = 'skipped' AND st IS NOT NULL THEN 'HTTP status ' || st WHEN status = 'skipped' THEN 'no answer' WHEN status = 'failed' AND k % 5 <> 4 THEN 'Timeout 1ms' END AS detail,
  CASE WHEN status = 'scanned' THEN k % 4 END::BIGINT AS passes, CASE WHEN status = 'scanned' THEN CASE WHEN k % 2 = 0 THEN 2 ELSE 0 END END::INT AS n_standard FROM s"""
 )
@@ -473,10 +477,14 @@ def campaign_site_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("list_ord", "url", "target_group", "status", "reason", "detail", "passes", F.when(F.col("standard").isNotNull(), F.size("standard")).alias("n_standard"))
 
 
-_DETAIL = "concat('net::', CASE p_partkey % 18 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (c, _) in enumerate(scalars.ERROR_KINDS)) + " WHEN 16 THEN 'Timeout 20000ms exceeded ERR_CERT_X' ELSE 'other' END)"
+# Codes in the order in which they are looked for, as the SQL knows them.
+_ERRORS = _table("""ERR_NAME_NOT_RESOLVED ERR_NAME_RESOLUTION_FAILED = dns-failure; ERR_CONNECTION_TIMED_OUT ERR_CONNECTION_REFUSED ERR_CONNECTION_RESET ERR_CONNECTION_CLOSED ERR_CONNECTION_FAILED = unreachable-host;
+ERR_ADDRESS_UNREACHABLE ERR_SOCKET_NOT_CONNECTED = unreachable-host; ERR_EMPTY_RESPONSE = empty-body; ERR_TOO_MANY_REDIRECTS = redirect-loop; ERR_SSL_PROTOCOL_ERROR ERR_CERT_ ERR_SSL_ = invalid-ssl;
+ERR_UNSAFE_PORT = blocked-port; ERR_TIMED_OUT = timeout""")
+_DETAIL = "concat('net::', CASE p_partkey % 18 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_ERRORS)) + " WHEN 16 THEN 'Timeout 20000ms exceeded ERR_CERT_X' ELSE 'other' END)"
 
 
-@query(f"WITH t AS (SELECT {_DETAIL} AS detail FROM part) SELECT CASE WHEN contains(detail, 'Timeout') THEN 'timeout' " + " ".join(f"WHEN contains(detail, '{c}') THEN '{k}'" for c, k in scalars.ERROR_KINDS) + " ELSE 'unknown' END AS kind, count(*) AS n FROM t GROUP BY 1")
+@query(f"WITH t AS (SELECT {_DETAIL} AS detail FROM part) SELECT CASE WHEN contains(detail, 'Timeout') THEN 'timeout' " + " ".join(f"WHEN contains(detail, '{c}') THEN '{k}'" for c, (k,) in _ERRORS.items()) + " ELSE 'unknown' END AS kind, count(*) AS n FROM t GROUP BY 1")
 def scan_error_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.table(spark, sf_dir, "part").selectExpr(f"{_DETAIL} AS detail").groupBy(scalars.error_kind(F.col("detail")).alias("kind")).agg(F.count("*").alias("n"))
 

@@ -114,6 +114,7 @@ SITE_COLUMNS = {
     "status": "CASE list_ord % 10 WHEN 7 THEN 'disallowed' WHEN 8 THEN 'skipped' WHEN 9 THEN 'failed' ELSE 'scanned' END",
     "passes": "CAST(list_ord * 3 + 10 AS BIGINT)",
 }
+#: Sites that have pages.
 N_SITES = 30
 STANDARD_COLUMNS = {
     "list_ord": f"CAST(event_id % {N_SITES} AS INT)",
@@ -124,12 +125,13 @@ STANDARD_COLUMNS = {
     "n_nodes": "CAST(1 + event_id % 3 AS INT)",
 }
 SQL_SITES = f"""
-sites AS (SELECT list_ord, {", ".join(f"{v} AS {k}" for k, v in SITE_COLUMNS.items())} FROM (SELECT unnest(range({N_SITES}))::INT AS list_ord)),
+sites AS (SELECT list_ord, {", ".join(f"{v} AS {k}" for k, v in SITE_COLUMNS.items())} FROM (SELECT CAST(c_custkey AS INT) AS list_ord FROM customer)),
 standard AS (SELECT {", ".join(f"{v} AS {k}" for k, v in STANDARD_COLUMNS.items())} FROM events)"""
 
 
-def sites(spark: SparkSession) -> DataFrame:
-    return spark.range(N_SITES).selectExpr("CAST(id AS INT) AS list_ord").selectExpr("list_ord", *[f"{v} AS {k}" for k, v in SITE_COLUMNS.items()])
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A site for each customer; pages and third-party findings fall to the first of them."""
+    return table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS INT) AS list_ord").selectExpr("list_ord", *[f"{v} AS {k}" for k, v in SITE_COLUMNS.items()])
 
 
 def standard(spark: SparkSession, sf_dir: str) -> DataFrame:
