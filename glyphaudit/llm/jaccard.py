@@ -10,8 +10,8 @@ links has a common n-gram among the first ``n - ceil(2 t n / (1 + t)) + 1`` of i
 index part), the longer one among the first ``n - ceil(t n) + 1`` (its probe part), and the
 first one they share leaves both enough n-grams to reach the overlap that their sizes ask for.
 The join takes index entries on one side and probe entries on the other and keeps the pairs
-that pass this bound, and another: every n-gram flips one of 384 bits of its set (4096 for long
-sets, looked at once a pair is known), so two sets differ in at least as many n-grams as their
+that pass this bound, and another: every n-gram flips one of 384 bits of its set (of 2048 besides for
+long sets, which entries of common n-grams carry), so two sets differ in at least as many n-grams as their
 bits differ. A match is passed over if the entry before it, in both sets, is of one n-gram as
 well: it is not the first that they share. An n-gram that many documents have is split by set size: a probe entry
 goes only to the size bands in which a partner can pass, so copies of about one size with many
@@ -20,7 +20,11 @@ edits of their own, which share all common n-grams but can't link, never meet.
 Equal sets form one class and are compared once. Before the fragments propose anything, classes
 that agree in two min-hashes are counted against the member that holds most common n-grams, the
 hub, if most of their other min-hashes agree as well; that joins groups of near copies with about
-one pair a member, and only pairs of different components are proposed after it. Of these, one
+one pair a member, and only pairs of different components are proposed after it. Where an n-gram has many
+members of different components, a share of its pairs by their hash is proposed and counted first, then a share that is
+larger by ``STEP``, in the end all. Pairs that link and are still apart once a share ``1/R`` has been
+joined number about ``R`` a class at most, so a family whose members have edits of their own doesn't put out
+the square of its size. Of the last pairs, one
 for each class is counted first, and the others only if their ends are still apart. Nothing is capped: a pair
 within one component needs no count, as only components are asked for.
 
@@ -62,7 +66,9 @@ HASHES, KEYED, AGREE = 8, 2, 5
 #: Ids of texts to read again are broadcast up to this many rows (about 32 bytes each).
 BROADCAST_ROWS = 200_000
 #: Longs of a set's parity bits, and of those that sets of more than so many n-grams have besides.
-ODD, WIDE, LONG = 6, 64, 400
+ODD, WIDE, LONG = 6, 32, 200
+#: An n-gram with more members of several components than this has shares of its pairs counted first, each this many times the one before.
+CROWD, STEP = 64, 16
 _TOP = np.uint64(1 << 63)
 #: N-gram hashes are mixed already, so odd factors give independent orders.
 _MULTIPLIERS = (np.arange(1, 2 * HASHES, 2, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -223,11 +229,16 @@ def _pair(x: str, y: str, nx: str, ny: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(first, F.col(nx)).otherwise(F.col(ny)).alias("na"), F.when(first, F.col(ny)).otherwise(F.col(nx)).alias("nb")]
 
 
-def _near_enough(x: str, y: str, nx: str, ny: str, percent: int) -> Column:
-    """Whether sizes and parity bits leave room for the overlap that the sizes ask for."""
-    differ = sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(1, ODD)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+def _bits_allow(x: str, y: str, nx: str, ny: str, longs: int, percent: int) -> Column:
+    """Whether parity bits leave room for the overlap that the sizes ask for."""
+    differ = sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(1, longs)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
     total = F.col(nx) + F.col(ny)
-    return (100 * F.least(F.col(nx), F.col(ny)) >= percent * F.greatest(F.col(nx), F.col(ny))) & ((100 + percent) * (total - differ) >= 2 * percent * total)
+    return (100 + percent) * (total - differ) >= 2 * percent * total
+
+
+def _near_enough(x: str, y: str, nx: str, ny: str, percent: int) -> Column:
+    """Whether sizes and the shorter parity bits leave room for the overlap that the sizes ask for."""
+    return (100 * F.least(F.col(nx), F.col(ny)) >= percent * F.greatest(F.col(nx), F.col(ny))) & _bits_allow(x, y, nx, ny, ODD, percent)
 
 
 def _chained(classes: DataFrame, salts: int, percent: int) -> DataFrame:
@@ -258,9 +269,7 @@ def _unlike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """``a, b`` of pairs of long sets that the wider parity bits rule out."""
     ends = classes.where(F.size("wide") > 0).select("cid", "wide")
     met = pairs.join(ends.select(F.col("cid").alias("a"), F.col("wide").alias("x")), "a").join(ends.select(F.col("cid").alias("b"), F.col("wide").alias("y")), "b")
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, d: acc + d)
-    total = F.col("na") + F.col("nb")
-    return met.where((100 + percent) * (total - differ) < 2 * percent * total).select("a", "b")
+    return met.where(~_bits_allow("x", "y", "na", "nb", WIDE, percent)).select("a", "b")
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -294,9 +303,9 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _entries(classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """``gram, at, cid, n, root, odd, leading, low, high, before``: probe entries of n-grams found in several components.
+    """``gram, at, cid, n, root, odd, wide, leading, low, high, before``: probe entries of n-grams found in several components.
 
-    ``leading`` marks index entries; low and high are the least and largest size of a shorter
+    wide is there for common n-grams only. ``leading`` marks index entries; low and high are the least and largest size of a shorter
     partner whose first common n-gram can be this one; before is the n-gram of the set's entry before.
     """
     leading = (100 + percent) * (F.col("n") - F.col("at")) >= 2 * percent * F.col("n")
@@ -307,22 +316,33 @@ def _entries(classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     several = each.groupBy("gram").agg(marks.alias("k")).where(f"k >= {1 << 32} AND k % {1 << 32} > 1").select("gram")
     each = each.join(several, "gram", "left_semi").join(roots.withColumnRenamed("node", "cid"), "cid")
     mixed = each.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gram")
-    each = each.join(mixed, "gram", "left_semi").join(classes.select("cid", "odd"), "cid")
-    each = each.select("gram", "at", "cid", F.col("n").cast("long").alias("n"), "root", "odd")
+    each = each.join(mixed, "gram", "left_semi").join(classes.select("cid", "odd", "wide"), "cid")
+    wide = F.when((F.col("gram") >= 0) & (F.size("wide") > 0), F.col("wide"))
+    each = each.select("gram", "at", "cid", F.col("n").cast("long").alias("n"), "root", "odd", wide.alias("wide"))
     each = each.select("*", leading.alias("leading"), low.alias("low"), high.alias("high")).where("leading OR low <= high")
     return each.withColumn("before", F.lag("gram").over(Window.partitionBy("cid").orderBy("at")))
 
 
-def proposed(entries: DataFrame, percent: int) -> DataFrame:
-    """``a, b, na, nb``: pairs of different components that an n-gram's index and probe entries allow."""
+def _apart(entries: DataFrame, roots: DataFrame, crowd: int = 1) -> DataFrame:
+    """``entries`` under new roots, of n-grams with more than ``crowd`` entries, still of several components."""
+    now = entries.drop("root").join(roots.withColumnRenamed("node", "cid"), "cid").select(entries.columns)
+    held = now.groupBy("gram").agg(F.count("*").alias("k"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    return now.join(held.where((F.col("r0") != F.col("r1")) & (F.col("k") > crowd)).select("gram"), "gram", "left_semi")
+
+
+def proposed(entries: DataFrame, percent: int, share: int = 1) -> DataFrame:
+    """``a, b, na, nb``: pairs of different components that an n-gram's index and probe entries allow; of these one in ``share``, by the pair's hash."""
     band = lambda x: F.when(F.col("gram") >= 0, F.floor(F.log(x.cast("double")) * BANDS)).otherwise(F.lit(0)).cast("int")
-    left = entries.where("leading").select("gram", band(F.col("n")).alias("band"), F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("i"), F.col("root").alias("rx"), F.col("odd").alias("ox"), F.col("before").alias("bx"))
-    right = entries.where("low <= high").select("gram", F.explode(F.sequence(band(F.col("low")), band(F.col("high")))).alias("band"), F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("at").alias("j"), F.col("root").alias("ry"), F.col("odd").alias("oy"), F.col("before").alias("by"))
+    left = entries.where("leading").select("gram", band(F.col("n")).alias("band"), F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("i"), F.col("root").alias("rx"), F.col("odd").alias("ox"), F.col("wide").alias("wx"), F.col("before").alias("bx"))
+    right = entries.where("low <= high").select("gram", F.explode(F.sequence(band(F.col("low")), band(F.col("high")))).alias("band"), F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("at").alias("j"), F.col("root").alias("ry"), F.col("odd").alias("oy"), F.col("wide").alias("wy"), F.col("before").alias("by"))
     shorter = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     enough = (100 + percent) * F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j")) >= percent * (F.col("nx") + F.col("ny"))
     l, r = left.alias("l"), right.alias("r")
     first = F.coalesce(F.col("bx") != F.col("by"), F.lit(True))
-    on = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.band") == F.col("r.band")) & shorter & (F.col("rx") != F.col("ry")) & first & enough & _near_enough("ox", "oy", "nx", "ny", percent)
+    on = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.band") == F.col("r.band")) & shorter & (F.col("rx") != F.col("ry")) & first & enough
+    if share > 1:
+        on = on & (F.pmod(F.xxhash64(F.least("x", "y"), F.greatest("x", "y")), F.lit(share)) == 0)
+    on = on & _near_enough("ox", "oy", "nx", "ny", percent) & F.coalesce(_bits_allow("wx", "wy", "nx", "ny", WIDE, percent), F.lit(True))
     return l.join(r, on).select(*_pair("x", "y", "nx", "ny")).distinct()
 
 
@@ -362,8 +382,24 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     roots = _rooted(keyed, components(links), scratch, "roots_chains")
     entries = scratch.put(_entries(keyed, roots, percent), "entries")
     release(spark)
+    # Shares of the pairs of crowded n-grams first: what these join needs no further pair.
+    crowd = entries.groupBy("gram").count().agg(F.max("count")).first()[0] or 0
+    share, joined = 1, False
+    while crowd > CROWD * share:
+        share *= STEP
+    while share > 1:
+        some = scratch.put(proposed(_apart(entries, roots, CROWD * share // STEP), percent, share), f"some{share}")
+        if some.limit(1).count():
+            links, joined = links.union(linked(some, f"some{share}")), True
+            roots = _rooted(keyed, components(links), scratch, f"roots_some{share}")
+        scratch.drop(f"some{share}")
+        release(spark)
+        share //= STEP
+    if joined:
+        entries = scratch.put(_apart(entries, roots), "entries_apart")
+        scratch.drop("entries")
     pairs = scratch.put(proposed(entries, percent), "proposed")
-    scratch.drop("entries")
+    scratch.drop("entries", "entries_apart")
     release(spark)
     pairs = scratch.put(pairs.join(scratch.put(_unlike(pairs, keyed, percent), "unlike"), ["a", "b"], "left_anti"), "likely")
     pairs = scratch.put(_possible(pairs, keyed, percent), "possible")

@@ -92,13 +92,40 @@ def test_fragments_propose_every_pair(docs_of, monkeypatch, chains):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(texts, 4, 85)
 
 
+@pytest.mark.parametrize("edits", [2, 5])
+def test_pairs_of_a_family_follow_its_size(docs_of, monkeypatch, edits):
+    """Copies of one text, each with edits of its own, and no text in their middle: pairs that are put out stay near the number of members."""
+    counts = {}
+    put = jaccard.Scratch.put
+
+    def counted(self, df, name, *more):
+        out = put(self, df, name, *more)
+        if name == "proposed" or name.startswith("some"):
+            counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard.Scratch, "put", counted)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    texts = []
+    for i in range(240):
+        words = list(base)
+        for k in rng.sample(range(len(base)), edits):
+            words[k] = f"x{i}_{k}"
+        texts.append((i, " ".join(words)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_groups(docs_of(texts)).collect()}
+    assert got == brute(texts, 4, 85)
+    assert sum(counts.values()) <= 6 * len(texts), counts
+
+
 def test_parity_bits_never_differ_in_more_than_the_sets_do():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 900).astype(np.uint64)
     for _ in range(200):
         a, b = (np.unique(rng.choice(pool, rng.integers(1, 700))) for _ in range(2))
-        bits = sum(int(x).bit_count() for x in (jaccard.parity(a) ^ jaccard.parity(b)).view(np.uint64))
-        assert bits <= len(np.setxor1d(a, b))
+        for longs in (jaccard.ODD, jaccard.WIDE):
+            bits = sum(int(x).bit_count() for x in (jaccard.parity(a, longs) ^ jaccard.parity(b, longs)).view(np.uint64))
+            assert bits <= len(np.setxor1d(a, b))
 
 
 def test_sets_that_meet_in_one_hash_are_told_apart(spark):
