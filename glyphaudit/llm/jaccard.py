@@ -21,7 +21,7 @@ Equal sets form one class and are compared once. Before the fragments propose an
 that agree in two min-hashes are counted against the member that holds most common n-grams, the
 hub, if most of their other min-hashes agree as well; that joins groups of near copies with about
 one pair a member, and only pairs of different components are proposed after it. Where an n-gram has many
-members of different components, a share of its pairs by their hash is proposed and counted first, then a share that is
+members of different components, a share of its pairs by hashes of both ends is proposed and counted first, then a share that is
 larger by ``STEP``, in the end all. Pairs that link and are still apart once a share ``1/R`` has been
 joined number about ``R`` a class at most, so a family whose members have edits of their own doesn't put out
 the square of its size. Of the last pairs, one
@@ -331,7 +331,7 @@ def _apart(entries: DataFrame, roots: DataFrame, crowd: int = 1) -> DataFrame:
 
 
 def proposed(entries: DataFrame, percent: int, share: int = 1) -> DataFrame:
-    """``a, b, na, nb``: pairs of different components that an n-gram's index and probe entries allow; of these one in ``share``, by the pair's hash."""
+    """``a, b, na, nb``: pairs of different components that an n-gram's index and probe entries allow; of these one in ``share``, by hashes of both ends."""
     band = lambda x: F.when(F.col("gram") >= 0, F.floor(F.log(x.cast("double")) * BANDS)).otherwise(F.lit(0)).cast("int")
     left = entries.where("leading").select("gram", band(F.col("n")).alias("band"), F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("i"), F.col("root").alias("rx"), F.col("odd").alias("ox"), F.col("wide").alias("wx"), F.col("before").alias("bx"))
     right = entries.where("low <= high").select("gram", F.explode(F.sequence(band(F.col("low")), band(F.col("high")))).alias("band"), F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("at").alias("j"), F.col("root").alias("ry"), F.col("odd").alias("oy"), F.col("wide").alias("wy"), F.col("before").alias("by"))
@@ -340,8 +340,9 @@ def proposed(entries: DataFrame, percent: int, share: int = 1) -> DataFrame:
     l, r = left.alias("l"), right.alias("r")
     first = F.coalesce(F.col("bx") != F.col("by"), F.lit(True))
     on = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.band") == F.col("r.band")) & shorter & (F.col("rx") != F.col("ry")) & first & enough
-    if share > 1:
-        on = on & (F.pmod(F.xxhash64(F.least("x", "y"), F.greatest("x", "y")), F.lit(share)) == 0)
+    if share > 1:  # by two hashes, so that a share's members meet in cells of their own
+        l, r = left.withColumn("cell", F.pmod(F.xxhash64("x", F.lit(1)), F.lit(share))).alias("l"), right.withColumn("cell", F.pmod(F.xxhash64("y", F.lit(2)), F.lit(share))).alias("r")
+        on = on & (F.col("l.cell") == F.col("r.cell"))
     on = on & _near_enough("ox", "oy", "nx", "ny", percent) & F.coalesce(_bits_allow("wx", "wy", "nx", "ny", WIDE, percent), F.lit(True))
     return l.join(r, on).select(*_pair("x", "y", "nx", "ny")).distinct()
 
