@@ -1,4 +1,7 @@
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +113,31 @@ def test_graph_finds_the_nearest():
     best = ((q[:, None] - c[None]) ** 2).sum(2).argmin(1)
     assert (ids[:, 0] == best).mean() >= 0.95 and (np.diff(dist, axis=1) >= -1e-4).all()
     assert all(len(set(row)) == len(row) for row in ids.tolist())
+
+
+def test_a_query_goes_once_to_a_group_of_lists():
+    """Spread evenly, a query reads most lists; it isn't put out once a list, and a wide beam misses none."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((512, 16)).astype(np.float32)
+    graph = SimpleNamespace(value=ann.CentroidGraph(ann.balanced_centroids(ann.filled(x, 8.0), 256)))
+    starts, cells = ann._gathered(np.r_[np.full(255, 100), 4500], 2000)
+    assert len(starts) == 14 and cells.tolist() == [1] * 13 + [3] and starts[-1] == 255
+    q = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(x[:50].tolist(), pa.list_(pa.float32()))], ["vec_id", "embedding"])
+    near = graph.value.all(ann.aimed(x[:50].astype(float)))
+    ratio = float(np.quantile(near / near.min(1)[:, None], 0.6))
+    reads = near <= ratio * near.min(1)[:, None] + 1e-6
+    sent = pa.Table.from_batches(ann._probing(graph, 16, ratio, 100, starts, cells)(iter([q]))).to_pylist()
+    assert reads.mean() > 0.5
+    assert len(sent) == len({(r["vec_id"], r["group"], r["cell"]) for r in sent}) <= 50 * 16
+    for i, group in zip(*np.nonzero(np.logical_or.reduceat(reads, starts, axis=1)), strict=True):
+        assert sum(r["vec_id"] == i and r["group"] == group for r in sent) == cells[group]
+
+
+def test_what_single_precision_cannot_tell_apart():
+    """Pairs that differ in the tenth digit only are compared in double precision."""
+    rng = np.random.default_rng(7)
+    v = np.ones((3000, 8)) + 1e-9 * rng.standard_normal((3000, 8))
+    q = v[:40]
+    a, b = ann._candidates(q, v, ann._unit(q), ann._unit(v), 5)
+    best = np.argsort(-(q @ v.T), axis=1)[:, :5]
+    assert all(set(best[i]) <= set(b[a == i]) for i in range(40))
