@@ -137,3 +137,10 @@ def test_selectors_in_frames_are_joined(spark):
     values = ['"#a"', '["#a", ".b"]', '[["#host", ".in"], "#c", ""]', "5", "null", "[]"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", records.flat_target(F.parse_json("v")).alias("t"))
     assert [r["t"] for r in df.orderBy("i").collect()] == ["#a", "#a .b", "#host .in #c", "", "", ""]
+
+
+def test_a_reference_without_semicolon(spark):
+    """As in browsers, ``&amp`` before a tag is decoded; both ways see the same text."""
+    pages = spark.createDataFrame([(1, "<html><body><h1>des&&amp</h1><p>a &ampb &amp; &am</p></body></html>")], "page_id int, html string")
+    for rows in (html.text_nodes(pages), markup.text_rows(markup.markup(pages))):
+        assert [r["text"] for r in rows.orderBy("node_ord").collect()] == ["des&&", "a &b & &am"]
