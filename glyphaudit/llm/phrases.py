@@ -28,25 +28,22 @@ _COUNT, _MILLION = "decimal(15,0)", "decimal(7,0)"
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """``lang, words`` for each piece that has words."""
+    """``lang, words`` for each piece. Generators are outer ones, for which no filter is inferred that would cut each text once more."""
     flat = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase + ENDS + "\t", string.ascii_lowercase + "\n" * len(ENDS) + " ")
-    cut = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(flat, "\n")).alias("piece"))
-    words = cut.where("piece <> ''").select("lang", F.filter(F.split("piece", " "), lambda w: w != "").alias("words"))
-    return words.where(F.size("words") > 0)
+    cut = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.explode_outer(F.split(flat, "\n")).alias("piece"))
+    return cut.where("piece <> ''").select("lang", F.array_remove(F.split("piece", " "), "").alias("words"))
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """The n-grams of a word list, joined by blanks; null after the last."""
-    out = words
-    for i in range(1, n):
-        out = F.zip_with(out, F.slice(words, F.lit(i + 1), F.greatest(F.size(words) - i, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return out
+def ngrams(pieces: DataFrame, n: int) -> DataFrame:
+    """``lang, phrase``: the n-grams of word lists, joined by blanks. Without functions of a lambda, all is generated code."""
+    placed = pieces.select("lang", "words", F.posexplode_outer("words").alias("at", "first")).where(F.col("at") + n <= F.size("words"))
+    rest = [c for i in range(1, n) for c in (F.lit(" "), F.get("words", F.col("at") + i))]
+    return placed.select("lang", F.concat("first", *rest).alias("phrase"))
 
 
 def counts(docs: DataFrame, n: int) -> DataFrame:
     """``lang, phrase, f`` of all n-grams. Every task adds up its own before rows move."""
-    rows = pieces(docs).where(F.size("words") >= n).select("lang", F.explode(ngrams(F.col("words"), n)).alias("phrase")).where("phrase IS NOT NULL")
-    return rows.groupBy("lang", "phrase").agg(F.count("*").alias("f"))
+    return ngrams(pieces(docs), n).groupBy("lang", "phrase").agg(F.count("*").alias("f"))
 
 
 def _cut(phrase: Column, k: int) -> tuple[Column, Column]:

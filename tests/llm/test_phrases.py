@@ -70,3 +70,9 @@ def test_sql_and_empty(spark):
     con.register("documents", pa.table({"doc_id": list(range(len(rows))), "text": pa.array([t for _, t in rows]), "lang": pa.array([x for x, _ in rows])}))
     assert sorted(con.sql(phrases.sql()).fetchall()) == brute(rows)
     assert phrases.mine(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_rows_are_generated_code(spark):
+    """No function of a lambda, which is interpreted row by row, and each text is cut once."""
+    plan = phrases.counts(frame(spark, corpus(1)), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("split(translate(") == 1 and "array_remove(split(" in plan and plan.count("array_remove(") == 1
