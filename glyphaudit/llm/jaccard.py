@@ -38,6 +38,7 @@ is split.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ from pyspark.sql import functions as F
 
 from glyphaudit.llm.common import Scratch, release, slices
 from glyphaudit.llm.graph import components
-from glyphaudit.llm.repeats import Rolling, WordHashes, identified, ids_repeat, mix, restored
+from glyphaudit.llm.repeats import Rolling, identified, ids_repeat, mix, restored
 
 SHINGLE = 4
 #: Pairs link when 100 * intersection >= PERCENT * union.
@@ -61,6 +62,8 @@ COMMON_SHARE, COMMON_LEAST, MOST_COMMON = 1e-4, 16, 2_000_000
 BANDS = 50
 #: Shingles whose counts a task keeps before it reports the repeated ones.
 COUNT_CHUNK = 2_000_000
+#: Bytes of text whose words a task hashes together, and words that it does so at a time.
+SLICE, WORDS_AT_ONCE = 1 << 18, 1 << 18
 #: Min-hashes of a set, how many make a key under which classes are grouped, and how many of them a pair has in common.
 HASHES, KEYED, AGREE = 8, 2, 5
 #: Ids of texts to read again are broadcast up to this many rows (about 32 bytes each).
@@ -70,32 +73,67 @@ ODD, WIDE, LONG = 6, 32, 200
 #: An n-gram with more members of several components than this has shares of its pairs counted first, each this many times the one before.
 CROWD, STEP = 64, 16
 _TOP = np.uint64(1 << 63)
+#: Masks that leave the first 0 to 8 bytes of a number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: N-gram hashes are mixed already, so odd factors give independent orders.
 _MULTIPLIERS = (np.arange(1, 2 * HASHES, 2, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words ``[^\\x20\\x09-\\x0D]+`` of lower-cased bytes begin, and their 64-bit hashes.
+
+    Words up to 16 bytes are read as two numbers, with their length, all at once; longer ones are hashed one by one.
+    """
+    data = b"\n" + data + b"\n"
+    raw = np.frombuffer(data, np.uint8)
+    gap = (raw == 0x20) | ((raw - np.uint8(0x09)) <= 4)
+    edges = np.flatnonzero(gap[1:] != gap[:-1])  # a word's first byte less one, its last byte, and so on
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(data) + 8, "<u8", data + bytes(15), strides=(1,))  # the 8 bytes from each place on
+    out = np.empty(len(starts), np.uint64)
+    for at in range(0, len(starts), WORDS_AT_ONCE):
+        begin, n = starts[at : at + WORDS_AT_ONCE] + 1, sizes[at : at + WORDS_AT_ONCE]
+        h = mix((eight[begin] & _FIRST[np.minimum(n, 8)]) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        more = np.flatnonzero(n > 8)
+        h[more] ^= mix((eight[begin[more] + 8] & _FIRST[np.minimum(n[more] - 8, 8)]) + np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        for k in np.flatnonzero(n > 16).tolist():
+            h[k] = xxhash.xxh3_64_intdigest(data[begin[k] : begin[k] + n[k]])
+        out[at : at + len(h)] = mix(h + np.uint64(1))
+    return starts, out
+
+
 class Shingles:
     """Sorted distinct shingle hashes of texts."""
 
     def __init__(self, size: int):
-        self.size, self.words, self.rolling = size, WordHashes(), Rolling()
+        self.size, self.rolling = size, Rolling()
+
+    def each(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Of every text; the words of all are hashed together."""
+        raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        starts, h = word_hashes(b"\n".join(raw).lower())
+        places = np.cumsum([0, *(len(x) + 1 for x in raw)])
+        edges = np.searchsorted(starts, places).tolist()
+        windows = self.rolling.windows(h, self.size)
+        for begin, end in itertools.pairwise(edges):
+            if 0 < end - begin < self.size:
+                yield mix(self.rolling.windows(h[begin:end], end - begin) + np.uint64(end - begin))
+            else:
+                grams = np.sort(windows[begin : max(begin, end - self.size + 1)])
+                new = grams[1:] != grams[:-1]
+                yield grams if new.all() else grams[np.r_[True, new]]
 
     def of(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        h = self.words.of(words)
-        if 0 < len(h) < self.size:
-            return mix(self.rolling.windows(h, len(h)) + np.uint64(len(h)))
-        return np.unique(self.rolling.windows(h, self.size))
+        return next(self.each([text]))
 
 
 def ordered(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Keys in the global order, as sorted signed integers; ``common`` is sorted."""
-    last = np.zeros(len(grams), bool)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-        last = common[at] == grams
-    keys = (grams >> np.uint64(1)) | np.where(last, _TOP, np.uint64(0))
-    return np.sort((keys ^ _TOP).view(np.int64))
+    """Keys in the global order, as sorted signed integers; ``grams`` and ``common`` are sorted."""
+    keys = grams >> np.uint64(1)
+    if not len(common):
+        return (keys ^ _TOP).view(np.int64)
+    last = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
+    return np.concatenate([keys[~last] ^ _TOP, keys[last]]).view(np.int64)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -139,10 +177,10 @@ def common_grams(docs: DataFrame, size: int) -> np.ndarray:
             many = counts >= max(4, int(len(held) * COMMON_SHARE))
             return pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], ["gram", "n"])
 
-        for part in slices(batches, 4 << 20):
-            for text in part.column("text").to_pylist():
-                held.append(shingles.of(text))
-                total += len(held[-1])
+        for part in slices(batches, SLICE):
+            for grams in shingles.each(part.column("text").to_pylist()):
+                held.append(grams)
+                total += len(grams)
                 if total >= COUNT_CHUNK:
                     yield report()
                     held, total = [], 0
@@ -160,10 +198,9 @@ def _sets(rows: DataFrame, size: int, percent: int, common) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingles(size), set()
         none = np.zeros(0, np.int64)
-        for part in slices(batches, 4 << 20):
+        for part in slices(batches, SLICE):
             cid, alt, n, prefix, keys, share, odd, wide = [], [], [], [], [], [], [], []
-            for text in part.column("text").to_pylist():
-                grams = shingles.of(text)
+            for grams in shingles.each(part.column("text").to_pylist()):
                 both = set_hash(grams) if len(grams) else (0, 0)
                 cid.append(both[0])
                 alt.append(both[1])
@@ -172,9 +209,9 @@ def _sets(rows: DataFrame, size: int, percent: int, common) -> DataFrame:
                 if len(seen) < 500_000:
                     seen.add(both)
                 key = ordered(grams, common.value) if new else none
-                share.append(float((key >= 0).mean()) if new else 0.0)  # keys of common n-grams aren't negative
+                share.append(1.0 - float(np.searchsorted(key, 0)) / len(key) if new else 0.0)  # keys of common n-grams aren't negative
                 prefix.append(key[: prefix_length(len(key), percent)] if new else none)
-                keys.append(np.array([(grams * m).min() for m in _MULTIPLIERS], np.uint64).view(np.int64) if new else none)
+                keys.append((_MULTIPLIERS[:, None] * grams).min(axis=1).view(np.int64) if new else none)
                 odd.append(parity(grams) if new else none)
                 wide.append(parity(grams, WIDE) if new and len(grams) > LONG else none)
             yield pa.RecordBatch.from_arrays(
@@ -201,10 +238,10 @@ def _segments(rows: DataFrame, size: int, common) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
-        for part in slices(batches, 2 << 20):
+        for part in slices(batches, SLICE):
             cids, fragments, grams = [], [], []
-            for cid, text in zip(part.column("cid").to_pylist(), part.column("text").to_pylist(), strict=True):
-                keys = ordered(shingles.of(text), common.value)
+            for cid, own_grams in zip(part.column("cid").to_pylist(), shingles.each(part.column("text").to_pylist()), strict=True):
+                keys = ordered(own_grams, common.value)
                 own = fragment_of(keys)
                 edges = np.searchsorted(own, np.arange(FRAGMENTS + 1))
                 for f in np.flatnonzero(np.diff(edges)):

@@ -156,3 +156,23 @@ def test_prefixes_of_similar_sets_meet():
     for n in range(1, 300):
         p = jaccard.prefix_length(n, 85)
         assert 1 <= p <= n and p == n - int(np.ceil(n * 85 / 100)) + 1
+
+
+def test_words_are_hashed_together(monkeypatch):
+    """Short words cost no call each; sets are those of the words, whatever stands beside a text."""
+    long, calls = "y" * 17, []
+    hashed = jaccard.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(jaccard.xxhash, "xxh3_64_intdigest", lambda x: calls.append(x) or hashed(x))
+    texts = [None, "", " \n", "a", "A b", "a b c a b c a b", "a\0 b c d", "a\0\0 b c d", "é\x1c\x85\u3000 z\x0bc\td", f"{'x' * 8} {'x' * 9} {'x' * 15} {'x' * 16} {long} {long}z", " ".join(f"{i:x}" for i in range(3000))]
+    sets = [jaccard.Shingles(4).of(t) for t in texts]
+    assert set(calls) == {long.encode(), f"{long}z".encode()}
+    assert all(np.array_equal(a, b) for a, b in zip(sets, jaccard.Shingles(4).each(texts), strict=True))
+    own = {}
+    for text, grams in zip(texts, sets, strict=True):
+        words = text.encode().lower().split() if text else []
+        want = {tuple(words)} if 0 < len(words) < 4 else {tuple(words[i : i + 4]) for i in range(len(words) - 3)}
+        assert len(want) == len(grams) == len(set(grams.tolist()))
+        own |= {frozenset(want): frozenset(grams.tolist())}
+    assert len(set(own.values())) == len(own)
+    starts, _ = jaccard.word_hashes(b"ab  c" + b" d" * (jaccard.WORDS_AT_ONCE + 1))
+    assert starts[:3].tolist() == [0, 4, 6] and len(starts) == jaccard.WORDS_AT_ONCE + 3
