@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphaudit.llm.bpe import loaded, n_ids, read_model
-from glyphaudit.llm.common import Scratch, input_bytes, slices
+from glyphaudit.llm.common import Scratch, input_bytes, slices, trim
 
 LENGTH = 2048
 #: The id after each document.
@@ -102,7 +102,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
         end = np.array([SEPARATOR], bpe.dtype).tobytes()
         squeeze = zstandard.ZstdCompressor(level=1)
         at = TaskContext.get().partitionId() << 40
-        for part in slices(batches, 4 << 20):
+        for part in slices(batches, 1 << 20):
             ids = [bpe.packed(t) + end for t in part.column("text").to_pylist()]
             counts = np.array([len(x) // len(end) for x in ids], np.int64)
             flat = np.frombuffer(b"".join(ids), bpe.dtype)
@@ -170,6 +170,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
             close(take(1 << (filled.bit_length() - 1)))
         if out:
             yield flush()
+        trim()
 
     ranged = keyed.repartitionByRange(int(n_ranges), "curve_key", "doc_id", "place").sortWithinPartitions("curve_key", "doc_id", "place")
     return ranged.mapInArrow(cut, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long, curve_key long")

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from glyphaudit.llm import packing
+from glyphaudit.llm import common, packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -66,3 +66,14 @@ def test_rows_equal_in_key_and_id_are_split(docs_of, monkeypatch):
 
 def test_empty(docs_of):
     assert packing.pack(docs_of([]), PATH).count() == 0
+
+
+def test_finished_tasks_give_back_arrow_memory(monkeypatch):
+    released = []
+
+    class Pool:
+        def release_unused(self):
+            released.append(True)
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    assert list(common.slices([], 1)) == [] and released
