@@ -39,7 +39,7 @@ is split.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -295,8 +295,7 @@ def _chained(classes: DataFrame, salts: int, percent: int) -> DataFrame:
     rows = each.withColumns({"hub": F.max(member).over(own), "last": F.lag(member).over(own.orderBy("n", "cid"))})
     heads = rows.where("hub.cid = cid").withColumn("top", F.max("hub").over(whole)).select("key", "turn", "salt", "top")
     rows = rows.join(heads, ["key", "turn", "salt"])
-    to = lambda other: rows.select("cid", "n", "keys", "odd", F.col(other).alias("hub"))
-    near = to("hub").union(to("last")).union(to("top")).where("cid <> hub.cid")
+    near = rows.select("cid", "n", "keys", "odd", F.explode(F.array("hub", "last", "top")).alias("hub")).where("cid <> hub.cid")
     agree = F.aggregate(F.arrays_zip(F.col("keys").alias("x"), F.col("hub.keys").alias("y")), F.lit(0), lambda acc, z: acc + (z["x"] == z["y"]).cast("int"))
     near = near.where((agree >= AGREE) & _near_enough("odd", "hub.odd", "n", "hub.n", percent)).select("cid", "n", F.col("hub.cid").alias("c0"), F.col("hub.n").alias("n0"))
     return near.select(*_pair("cid", "c0", "n", "n0")).distinct()
@@ -323,7 +322,11 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _small(rows: DataFrame) -> DataFrame:
     """Ids for a broadcast up to BROADCAST_ROWS of them, for a shuffle beyond."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return _sent(rows.count())(rows)
+
+
+def _sent(n: int) -> Callable[[DataFrame], DataFrame]:
+    return F.broadcast if n <= BROADCAST_ROWS else lambda rows: rows
 
 
 def _foremost(pairs: DataFrame) -> DataFrame:
@@ -340,31 +343,35 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _entries(classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """``gram, at, cid, n, root, odd, wide, leading, low, high, before``: probe entries of n-grams found in several components.
+    """``gram, at, cid, n, root, odd, wide, leading, low, high, before``: probe entries of n-grams that entries of several components may meet in.
 
     wide is there for common n-grams only. ``leading`` marks index entries; low and high are the least and largest size of a shorter
     partner whose first common n-gram can be this one; before is the n-gram of the set's entry before.
     """
     leading = (100 + percent) * (F.col("n") - F.col("at")) >= 2 * percent * F.col("n")
-    low, high = F.expr(f"({percent} * n + 99) div 100"), F.expr(f"least(n, ({100 + percent} * (n - at)) div {percent} - n)")
-    each = classes.select("cid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "gram"))
-    # Most n-grams are in one class: they go first, by a count that tasks add up before they send it.
-    marks = F.sum(F.when(leading, F.lit((1 << 32) + 1)).otherwise(F.lit(1)))  # index entries above, all below
-    several = each.groupBy("gram").agg(marks.alias("k")).where(f"k >= {1 << 32} AND k % {1 << 32} > 1").select("gram")
-    each = each.join(several, "gram", "left_semi").join(roots.withColumnRenamed("node", "cid"), "cid")
-    mixed = each.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gram")
-    each = each.join(mixed, "gram", "left_semi").join(classes.select("cid", "odd", "wide"), "cid")
+    low, most = F.expr(f"({percent} * n + 99) div 100"), F.expr(f"({100 + percent} * (n - at)) div {percent} - n")
+    high = F.least("n", most)
+    moved = _small(roots.where("node <> root").select(F.col("node").alias("cid"), "root"))
+    each = classes.select("cid", F.col("n").cast("int").alias("n"), "prefix").join(moved, "cid", "left")
+    each = each.select("cid", "n", F.coalesce("root", "cid").alias("root"), F.posexplode("prefix").alias("at", "gram"))
+    # Most n-grams are in one class. Of two entries the sizes, and the largest partner that each may have, tell whether they can meet.
+    met, own = Window.partitionBy("gram"), F.col("n").cast("long") * (1 << 32) + most
+    each = each.select("*", F.min("root").over(met).alias("r0"), F.max("root").over(met).alias("r1"), F.max(leading).over(met).alias("led"), F.count("*").over(met).alias("k"), F.min(own).over(met).alias("p"), F.max(own).over(met).alias("q"))
+    can = f"p % {1 << 32} >= q div {1 << 32} AND q % {1 << 32} >= p div {1 << 32} AND 100 * (p div {1 << 32}) >= {percent} * (q div {1 << 32})"
+    each = each.where(f"r0 <> r1 AND led AND (k > 2 OR ({can}))").select("gram", "at", "cid", "n", "root")
+    each = each.join(classes.select("cid", "odd", "wide"), "cid")
     wide = F.when((F.col("gram") >= 0) & (F.size("wide") > 0), F.col("wide"))
     each = each.select("gram", "at", "cid", F.col("n").cast("long").alias("n"), "root", "odd", wide.alias("wide"))
     each = each.select("*", leading.alias("leading"), low.alias("low"), high.alias("high")).where("leading OR low <= high")
     return each.withColumn("before", F.lag("gram").over(Window.partitionBy("cid").orderBy("at")))
 
 
-def _apart(entries: DataFrame, roots: DataFrame, crowd: int = 1) -> DataFrame:
-    """``entries`` under new roots, of n-grams with more than ``crowd`` entries, still of several components."""
-    now = entries.drop("root").join(roots.withColumnRenamed("node", "cid"), "cid").select(entries.columns)
-    held = now.groupBy("gram").agg(F.count("*").alias("k"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    return now.join(held.where((F.col("r0") != F.col("r1")) & (F.col("k") > crowd)).select("gram"), "gram", "left_semi")
+def _apart(entries: DataFrame, roots: DataFrame, sent: Callable[[DataFrame], DataFrame], crowd: int = 1) -> DataFrame:
+    """``entries`` under new roots, of n-grams with more than ``crowd`` entries, still of several components; ``sent`` may broadcast n-grams."""
+    ids = entries.select("gram", "cid").join(roots.withColumnRenamed("node", "cid"), "cid")
+    held = ids.groupBy("gram").agg(F.count("*").alias("k"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    held = sent(held.where((F.col("r0") != F.col("r1")) & (F.col("k") > crowd)).select("gram"))
+    return entries.drop("root").join(held, "gram", "left_semi").join(roots.withColumnRenamed("node", "cid"), "cid").select(entries.columns)
 
 
 def proposed(entries: DataFrame, percent: int, share: int = 1) -> DataFrame:
@@ -417,27 +424,31 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
     salts = max(16, keyed.count() // 50_000)
     links = linked(scratch.put(_chained(keyed, salts, percent), "chained"), "chains")
-    roots = _rooted(keyed, components(links), scratch, "roots_chains")
+    roots = _rooted(keyed.select(F.col("cid").alias("node"), F.col("cid").alias("root")), links, scratch, "roots_chains")
     entries = scratch.put(_entries(keyed, roots, percent), "entries")
     release(spark)
     # Shares of the pairs of crowded n-grams first: what these join needs no further pair.
-    crowd = entries.groupBy("gram").count().agg(F.max("count")).first()[0] or 0
+    crowds = scratch.put(entries.groupBy("gram").count().where(F.col("count") > CROWD), "crowds")
+    crowd, n = crowds.agg(F.max("count"), F.count("*")).first()
+    sent = _sent(n)
     share, joined = 1, False
-    while crowd > CROWD * share:
+    while (crowd or 0) > CROWD * share:
         share *= STEP
+    if share > 1:
+        few = sent(crowds.select("gram"))
+        crowded, rest = scratch.put(entries.join(few, "gram", "left_semi"), "crowded"), entries.join(few, "gram", "left_anti")
     while share > 1:
-        some = scratch.put(proposed(_apart(entries, roots, CROWD * share // STEP), percent, share), f"some{share}")
+        some = scratch.put(proposed(_apart(crowded, roots, sent, CROWD * share // STEP), percent, share), f"some{share}")
         if some.limit(1).count():
-            links, joined = links.union(linked(some, f"some{share}")), True
-            roots = _rooted(keyed, components(links), scratch, f"roots_some{share}")
+            joined, roots = True, _rooted(roots, linked(some, f"some{share}"), scratch, f"roots_some{share}")
         scratch.drop(f"some{share}")
         release(spark)
         share //= STEP
+    pairs = proposed(entries, percent)
     if joined:
-        entries = scratch.put(_apart(entries, roots), "entries_apart")
-        scratch.drop("entries")
-    pairs = scratch.put(proposed(entries, percent), "proposed")
-    scratch.drop("entries", "entries_apart")
+        pairs = _between(proposed(rest.union(scratch.put(_apart(crowded, roots, sent), "crowded_apart")), percent), roots)
+    pairs = scratch.put(pairs, "proposed")
+    scratch.drop("entries", "crowded", "crowded_apart")
     release(spark)
     pairs = scratch.put(pairs.join(scratch.put(_unlike(pairs, keyed, percent), "unlike"), ["a", "b"], "left_anti"), "likely")
     pairs = scratch.put(_possible(pairs, keyed, percent), "possible")
@@ -445,12 +456,10 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     # A pair for each class first: what these join needs no further pair.
     first = scratch.put(_foremost(pairs), "foremost")
     if first.limit(1).count():
-        links = links.union(linked(first, "foremost"))
-        roots = _rooted(keyed, components(links), scratch, "roots_foremost")
+        roots = _rooted(roots, linked(first, "foremost"), scratch, "roots_foremost")
         pairs = scratch.put(_between(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), roots), "between")
         if pairs.limit(1).count():
-            links = links.union(linked(pairs, "rest"))
-            roots = _rooted(keyed, components(links), scratch, "roots")
+            roots = _rooted(roots, linked(pairs, "rest"), scratch, "roots")
 
     classes = sets.groupBy("cid").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -482,6 +491,11 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     return restored(out, docs.columns)
 
 
-def _rooted(keyed: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    nodes = keyed.select(F.col("cid").alias("node")).join(found, "node", "left")
-    return scratch.put(nodes.select("node", F.coalesce("root", "node").alias("root")), name)
+def _rooted(roots: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``node, root`` after ``links`` as well: only components that they join are looked at."""
+    sent = _sent(links.count())
+    ends = roots.select(F.col("node").alias("a"), F.col("root").alias("x")).join(sent(links), "a").select("x", "b")
+    ends = roots.select(F.col("node").alias("b"), F.col("root").alias("y")).join(sent(ends), "b")
+    found = sent(components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    joined = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("_r")), "root", "left")
+    return scratch.put(joined.select("node", F.coalesce("_r", "root").alias("root")), name)

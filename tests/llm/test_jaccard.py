@@ -176,3 +176,28 @@ def test_words_are_hashed_together(monkeypatch):
     assert len(set(own.values())) == len(own)
     starts, _ = jaccard.word_hashes(b"ab  c" + b" d" * (jaccard.WORDS_AT_ONCE + 1))
     assert starts[:3].tolist() == [0, 4, 6] and len(starts) == jaccard.WORDS_AT_ONCE + 3
+
+
+def test_entries_of_one_component_or_of_sizes_that_cannot_meet_are_not_kept(spark):
+    """Two classes under an n-gram, which their sizes or places keep apart, or which are joined already, put nothing out."""
+    none = [0] * jaccard.ODD
+    sets = [(1, 100, [-9, -7]), (2, 120, [-9, -8]), (3, 100, [-6]), (4, 110, [-6]), (5, 100, [-5]), (6, 100, [-5]), (7, 100, [-4 - k for k in range(0, -12, -1)]), (8, 100, [-4 - k for k in range(0, -12, -1)])]
+    classes = spark.createDataFrame([(c, n, p, none, []) for c, n, p in sets], "cid long, n long, prefix array<long>, odd array<long>, wide array<long>")
+    roots = spark.createDataFrame([(c, 5 if c == 6 else c) for c, _, _ in sets], "node long, root long")
+    kept = {(r["gram"], r["cid"], r["at"]) for r in jaccard._entries(classes, roots, 85).collect()}
+    # Of 100 n-grams the first 9 are index entries: equal sizes can't first meet at a later place.
+    assert kept == {(-6, 3, 0), (-6, 4, 0)} | {(-4 + k, c, k) for k in range(9) for c in (7, 8)}
+
+
+def test_stars_are_components_at_once(spark, monkeypatch):
+    """Edges that lead to the least node already are turned no more; new links are looked at between components only."""
+    names, put = [], jaccard.Scratch.put
+    monkeypatch.setattr(jaccard.Scratch, "put", lambda self, df, name, *more: names.append(name) or put(self, df, name, *more))
+    links = spark.createDataFrame([(1, k) for k in range(2, 9)] + [(21, 20)], "a long, b long")
+    found = {r["node"]: r["root"] for r in jaccard.components(links).collect()}
+    assert found == {k: 1 for k in range(1, 9)} | {20: 20, 21: 20} and names == ["0"]
+    roots = spark.createDataFrame([(k, 1 if k < 9 else k) for k in range(1, 12)], "node long, root long")
+    more = spark.createDataFrame([(3, 10), (8, 10), (4, 5)], "a long, b long")
+    out = jaccard._rooted(roots, more, jaccard.Scratch(spark, "test"), "roots")
+    assert {r["node"]: r["root"] for r in out.collect()} == {k: 1 for k in range(1, 9)} | {9: 9, 10: 1, 11: 11}
+    assert names == ["0", "0", "roots"]
