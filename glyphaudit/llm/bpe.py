@@ -1,7 +1,7 @@
 """Operator 8: exact byte-pair encoding by backtracking, and decoding by an offset table.
 
 The vocabulary file is one of the public tokenizers' JSON files with word ends. An Aho-Corasick
-automaton over all tokens gives the longest token at each position of a piece. Going left to
+automaton over all tokens of two characters and more gives the longest token at each position of a piece; where it has none, the character's own is the longest. Going left to
 right, the longest token is taken that is compatible with the token before it; a pair is
 compatible when merging the two tokens' characters together would leave the boundary between
 them. Without any, the encoder steps back. Tokens never have to be merged pair by pair, and the
@@ -68,8 +68,10 @@ class WordBpe:
 
         keys = {name[: -len(self.suffix)] + _END if name.endswith(self.suffix) else name: i for name, i in vocab.items()}
         self._automaton = ahocorasick.Automaton()
+        self._single = {c: keys.get(c, -1) for c in [*self._symbol, _END]}
         for key, i in keys.items():
-            self._automaton.add_word(key, (i, len(key)))
+            if len(key) > 1:
+                self._automaton.add_word(key, (i, len(key) - 1))
         self._automaton.make_automaton()
         self._length = [0] * size
         self._shorter = [-1] * size
@@ -134,63 +136,78 @@ class WordBpe:
             known = self._compatible[pair] = self._keeps(left, right)
         return known
 
-    def _piece(self, piece: str) -> list[int]:
-        """Tokens of one piece, the pre-tokenizer's unit."""
+    def _symbols(self, piece: str) -> str:
         if piece.isascii() and piece.isprintable():
-            symbols = piece + _END
-        else:
-            symbols = "".join(map(self._symbol.__getitem__, piece.encode("utf-8", "surrogatepass"))) + _END
-        n, length, shorter, pairs = len(symbols), self._length, self._shorter, self._compatible.get
-        longest = [-1] * (n + 1)
-        for end, (i, size) in self._automaton.iter(symbols):
-            longest[end + 1 - size] = i
-        out: list[int] = []
+            return piece
+        return "".join(map(self._symbol.__getitem__, piece.encode("utf-8", "surrogatepass")))
+
+    def _tokens(self, pieces: list[str]) -> Iterator[list[int]]:
+        """Tokens of each piece, the pre-tokenizer's unit; the automaton reads all in one go, as no token goes on after a word's end."""
+        symbols = _END.join([*map(self._symbols, pieces), ""])
+        length, shorter, pairs, compatible = self._length, self._shorter, self._compatible.get, self.compatible
+        longest = [*map(self._single.__getitem__, symbols), -1]
+        for end, (i, back) in self._automaton.iter(symbols):
+            longest[end - back] = i
         dead: set[int] = set()
-        at, token, before = 0, longest[0], -1
-        while at < n:
-            while token >= 0:
-                to = at + length[token]
-                if to not in dead:
+        at = 0
+        for piece in pieces:
+            out: list[int] = []
+            n, token, before = symbols.index(_END, at) + 1, longest[at], -1
+            while at < n:
+                while token >= 0:
+                    to = at + length[token]
                     if before < 0:
-                        break
-                    fits = pairs(before << 32 | token)
-                    if self.compatible(before, token) if fits is None else fits:
-                        break
-                token = shorter[token]
-            if token >= 0:
-                out.append(token)
-                at, before = to, token
-                token = longest[at]
-            else:
-                if not out:
-                    raise ValueError(f"no tokens for {piece!r}")
-                dead.add(at)
-                token = out.pop()
-                before = out[-1] if out else -1
-                at -= length[token]
-        return out
+                        if to not in dead:
+                            break
+                    else:
+                        fits = pairs(before << 32 | token)
+                        if (compatible(before, token) if fits is None else fits) and to not in dead:
+                            break
+                    token = shorter[token]
+                if token >= 0:
+                    out.append(token)
+                    at, before = to, token
+                    token = longest[at]
+                else:
+                    if not out:
+                        raise ValueError(f"no tokens for {piece!r}")
+                    dead.add(at)
+                    token = out.pop()
+                    before = out[-1] if out else -1
+                    at -= length[token]
+            yield out
+
+    def _cut(self, word: str) -> list[str]:
+        if word.isalpha():
+            return [word]
+        if word[:-1].isalpha() and word[-1] in ".,!?;:":
+            return [word[:-1], word[-1]]
+        return self._pieces.findall(word)
 
-    def word(self, word: str) -> bytes:
-        """Packed tokens of a normalised run of characters without white space."""
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Packed tokens of normalised runs of characters without white space."""
         known = self._words
-        if word.isalpha():
-            pieces = [word]
-        elif word[:-1].isalpha() and word[-1] in ".,!?;:":
-            pieces = [word[:-1], word[-1]]
-        else:
-            pieces = self._pieces.findall(word)
         if len(known) >= self.cache_words:
             known.clear()
-        out = b""
-        for piece in pieces:
-            ids = known.get(piece)  # a piece taken as a word is the same piece
-            if ids is None:
-                ids = array(self.code, self._piece(piece)).tobytes()
-                if len(piece) <= 64:
-                    known[piece] = ids
-            out += ids
-        if len(word) <= 64:
-            known[word] = out
+        cut = list(map(self._cut, words))
+        new = list({p: None for pieces in cut for p in pieces if p not in known})  # a piece taken as a word is the same piece
+        code, fresh = self.code, {}
+        for piece, ids in zip(new, self._tokens(new), strict=True):
+            fresh[piece] = array(code, ids).tobytes()
+        known.update(fresh)
+        out = []
+        for word, pieces in zip(words, cut, strict=True):
+            if len(pieces) == 1:
+                out.append(known[pieces[0]])
+            else:
+                known[word] = ids = b"".join(map(known.__getitem__, pieces))
+                out.append(ids)
+        for x in fresh:
+            if len(x) > 64:
+                del known[x]
+        for x in words:
+            if len(x) > 64:
+                known.pop(x, None)
         return out
 
     def _plain(self, text: str) -> bytes:
@@ -202,10 +219,9 @@ class WordBpe:
         words = _SPACE.split(text) if _ODD_SPACE.search(text) else text.split()
         found = list(map(self._words.get, words))
         if None in found:
-            at, word = -1, self.word
-            for _ in range(found.count(None)):
-                at = found.index(None, at + 1)
-                found[at] = word(words[at])
+            missing = [k for k, ids in enumerate(found) if ids is None]
+            for k, ids in zip(missing, self._learn([words[k] for k in missing]), strict=True):
+                found[k] = ids
         return b"".join(found)
 
     def packed(self, text: str | None) -> bytes:

@@ -40,3 +40,11 @@ def test_frame(docs_of, tools):
     assert [r["ids"] for r in out if r["doc_id"] is None] == [tools[0].encode("the")]
     assert all(r["ids"] == [] and r["decoded"] == "" for r in out if r["doc_id"] == len(EDGES))
     assert bpe.encode_documents(docs_of([]), PATH).count() == 0
+
+
+def test_single_characters_are_not_matched():
+    """The automaton reports no token of one character: these are looked up, and every piece costs a match less a character."""
+    own = bpe.WordBpe(bpe.read_model(PATH))
+    matches = list(own._automaton.iter("unquestionably" + bpe._END))
+    assert matches and all(back > 0 for _, (_, back) in matches)
+    assert len(own._single) == 257 and own._single["q"] >= 0

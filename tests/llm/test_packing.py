@@ -77,3 +77,18 @@ def test_finished_tasks_give_back_arrow_memory(monkeypatch):
 
     monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
     assert list(common.slices([], 1)) == [] and released
+
+
+def test_a_document_s_key_does_not_depend_on_its_neighbours():
+    """Sums of projected tokens are a document's own, whatever comes before it; a document without tokens has the key of zero."""
+    table = packing.projection(50_000)
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 50_000, n) for n in (3, 0, 700, 1, 0, 0, 90)]
+    counts = np.array([len(d) for d in docs])
+    keys = packing.curve_keys(np.concatenate(docs), counts, table)
+    for d, key in zip(docs, keys, strict=True):
+        assert packing.curve_keys(d, np.array([len(d)]), table)[0] == key
+    mean = np.array([table[d].sum(axis=0, dtype=np.float64) / max(len(d), 1) for d in docs])
+    unit = (np.arctan(4.0 * mean) / np.pi + 0.5) * (1 << packing.BITS)
+    near = packing.hilbert(np.minimum(unit.astype(np.int64), (1 << packing.BITS) - 1))
+    assert (near == keys).sum() >= 5
