@@ -2,10 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphaudit.dims import SEVERITIES
-from glyphaudit.functions.scripts import analysed
+from glyphaudit.functions.scripts import analysed, dominant, is_vietnamese, snippet, with_snippet
 from glyphaudit.operators import engine, pages
 from glyphaudit.operators.engine import Filters
-from glyphaudit.operators.rules import RULES
+from glyphaudit.operators.rules import RULES, signs_by_runs
 from glyphaudit.schema import NODES
 
 ARABIC = "مرحبا بالعالم كيف الحال"
@@ -151,3 +151,34 @@ def test_sections(nodes):
     assert pages.has_heuristic(rows).first()["has_heuristic_findings"]
     tally = pages.tally_list(pages.script_tally(nodes)).collect()
     assert [r["n_nodes"] for r in tally] == sorted((r["n_nodes"] for r in tally), reverse=True)
+
+
+def test_a_check_looks_at_no_text_that_it_cannot_concern(spark):
+    """Conditions on the node go below the analysis, and runs of texts aren't made where no check reads them."""
+    nodes = analysed(spark.createDataFrame([PLAIN], NODES))
+    plan = engine.findings(nodes, Filters(rules=("missing-script-font-coverage",)))._jdf.queryExecution().executedPlan().toString()
+    assert "signs_by_ranges" in plan and "analysis_by_ranges" not in plan
+    assert "fallbackSuspected" in plan[plan.index("signs_by_ranges") :].split("Filter", 1)[1]
+    assert "analysis_by_ranges" not in engine.findings(nodes)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_signs_are_those_of_runs(spark):
+    """What the Arrow pass says of a text is what its runs and census say, for texts with and without clusters of several code points."""
+    import random
+
+    draw = random.Random(5)
+    parts = ["مرحبا", "שלום", "abc", "a", "é", "ă", "→", "«", " ", "12", "(", ")", ".", ", ", "漢字", "กขค", "আমি", "\n", "\U0001f600", "ܐܒ", "é", "नमस्ते"]
+    texts = [None, "", " ", *["".join(draw.choices(parts[:-2] if i % 4 else parts, k=draw.randint(1, 14))) for i in range(1200)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(3)
+    got = analysed(df).select("*", F.struct(*[v.alias(k) for k, v in signs_by_runs(F.col("text"), F.col("script_runs"), F.col("census"), dominant(F.col("census"))).items()]).alias("want"), dominant(F.col("census")).alias("d"), is_vietnamese(F.col("text")).alias("v")).collect()
+    assert sum(r["want"]["bidi_run"] is not None for r in got) > 10
+    for r in got:
+        assert (r["signs"], r["dominant_script"], r["is_vietnamese_profile"]) == (r["want"], r["d"], r["v"]), r["text"]
+
+
+def test_snippets_by_a_beginning(spark):
+    """The same as of whole texts, at the lengths where a beginning is no longer enough."""
+    long = ["a" * 61, " " * 200 + "b" * 80, ("x" + " " * 9) * 40, "é" * 70, "a" * 60 + "́" * 120 + "b", "a" * 61 + " " * 120, "c" * 59 + " " * 300, "c" * 59 + " " * 300 + "d", "\U0001f1e6\U0001f1e7" * 50, " \t\n" * 90, "", None, "k " * 300]
+    df = with_snippet(spark.createDataFrame([(t,) for t in long], "text string"), "s").select("text", "s", snippet(F.col("text")).alias("w"))
+    for r in df.collect():
+        assert r["s"] == r["w"], r["text"]
