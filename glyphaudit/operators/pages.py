@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphaudit.dims import LABELS, SEVERITIES
-from glyphaudit.functions.scripts import trimmed
+from glyphaudit.functions.scripts import SAMPLE_LENGTH, SAMPLES, trimmed
 from glyphaudit.operators.engine import rank
 from glyphaudit.operators.rules import rules_table
 
-SAMPLES, SAMPLE_LENGTH = 5, 40
-
 
 def severity_of(r: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), r + 1)
@@ -33,10 +31,18 @@ def unsupported(nodes: DataFrame) -> DataFrame:
 
     Samples are aggregated as their first place first, so no task gathers a page's texts.
     """
+    if "signs" in nodes.columns:
+        return unsupported_of(nodes.select("page_id", "node_ord", F.col("signs.unknown").alias("unknown")))
     runs = F.filter("script_runs", lambda r: r["script"] == "unknown")
-    own = nodes.select("page_id", "node_ord", F.posexplode(runs).alias("run_ord", "run"))
+    texts = F.transform(runs, lambda r: F.substring(trimmed(r["text"]), 1, SAMPLE_LENGTH))
+    return unsupported_of(nodes.select("page_id", "node_ord", F.when(F.size(runs) > 0, texts).alias("unknown")))
+
+
+def unsupported_of(nodes: DataFrame) -> DataFrame:
+    """The same from ``page_id, node_ord, unknown``: a node's samples in order, null without such text."""
+    own = nodes.where("unknown IS NOT NULL").select("page_id", "node_ord", F.posexplode_outer("unknown").alias("run_ord", "sample"))
     counts = own.groupBy("page_id").agg(F.count_distinct("node_ord").alias("n_nodes"))
-    samples = own.withColumn("sample", F.substring(trimmed(F.col("run.text")), 1, SAMPLE_LENGTH)).where("sample <> ''")
+    samples = own.where("sample <> ''")
     first = samples.groupBy("page_id", "sample").agg(F.min(F.struct("node_ord", "run_ord")).alias("at"))
     best = first.groupBy("page_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "sample"))), 1, SAMPLES).alias("s"))
     return counts.join(best, "page_id", "left").select("page_id", "n_nodes", F.coalesce(F.transform("s", lambda x: x["sample"]), F.array().cast("array<string>")).alias("samples"))

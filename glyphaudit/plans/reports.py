@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphaudit.functions.scripts import analysed
-from glyphaudit.operators import campaign, documents, engine, page_reports, pages, records
+from glyphaudit.operators import campaign, documents, page_reports, records
 from glyphaudit.operators.engine import Filters
 from glyphaudit.plans import catalogue as C
 from glyphaudit.plans import synth
@@ -98,13 +98,19 @@ FROM scans CROSS JOIN zero LEFT JOIN std USING (page_id) LEFT JOIN our_counts US
 @query(_SQL_REPORTS)
 def page_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON of every page's report, taken apart again field by field."""
-    checked = analysed(synth.raw_nodes(spark, sf_dir))
+    from glyphaudit.llm.common import Scratch
+
+    # Nodes are looked at once: what the parts of a report take from them is written, and read by each.
+    facts = Scratch(spark, "reports").put(page_reports.facts(analysed(synth.raw_nodes(spark, sf_dir)), _ASKED), "facts")
     raw = synth.table(spark, sf_dir, "events").selectExpr(*[f"{v} AS {k}" for k, v in _OBJECTS.items()])
     standard = raw.select("page_id", "ord", "id", "impact", F.from_json("t", "nodes array<struct<html string>>")["nodes"].alias("nodes"), F.parse_json("t").alias("raw"))
     scans = synth.table(spark, sf_dir, "documents").selectExpr(*[f"{v} AS {k}" for k, v in _SCANS.items()])
     scans = scans.withColumn("error", F.when(F.col("doc_id") % 50 == 3, F.struct(F.lit("timeout").alias("kind"), F.lit("It took too long.").alias("message"), F.lit(None).cast("string").alias("detail"))))
-    whole = page_reports.page_json(page_reports.page_reports(scans, standard, engine.findings(checked), pages.script_tally(checked), pages.unsupported(checked), _ASKED))
-    part = lambda path: F.get_json_object("json", f"$.{path}")
+    whole = page_reports.page_json(page_reports.page_reports(scans, standard, *page_reports.parts(facts), _ASKED))
+    # Parsed once; a field read as a string is its JSON.
+    kinds = "url string, finalUrl string, scannedAt string, durationMs string, summary string, standard struct<findings: string>, scriptAware struct<findings: string, rules: string>, unsupportedScript string, filters string, error string"
+    whole = whole.select("page_id", F.from_json("json", kinds).alias("r"))
+    part = lambda path: F.col(f"r.{path}")
     return whole.select(
         "page_id", part("url").alias("url"), part("finalUrl").alias("final_url"), part("scannedAt").alias("scanned_at"), part("durationMs").cast("long").alias("duration_ms"), part("summary").alias("summary"), part("standard.findings").alias("standard_findings"),
         part("scriptAware.findings").alias("script_aware_findings"), part("scriptAware.rules").alias("rules"), part("unsupportedScript").alias("unsupported"), part("filters").alias("filters"), part("error").alias("error"),

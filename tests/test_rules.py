@@ -1,11 +1,14 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from glyphaudit.dims import SEVERITIES
 from glyphaudit.functions.scripts import analysed, dominant, is_vietnamese, snippet, with_snippet
-from glyphaudit.operators import engine, pages
+from glyphaudit.operators import engine, page_reports, pages
 from glyphaudit.operators.engine import Filters
 from glyphaudit.operators.rules import RULES, signs_by_runs
+from glyphaudit.plans import reports
 from glyphaudit.schema import NODES
 
 ARABIC = "مرحبا بالعالم كيف الحال"
@@ -182,3 +185,22 @@ def test_snippets_by_a_beginning(spark):
     df = with_snippet(spark.createDataFrame([(t,) for t in long], "text string"), "s").select("text", "s", snippet(F.col("text")).alias("w"))
     for r in df.collect():
         assert r["s"] == r["w"], r["text"]
+
+
+def test_facts_are_made_once_and_give_all_parts_of_reports(spark, nodes):
+    """One pass over nodes, however many parts of a report read it; the parts are those made from nodes one by one."""
+    filters = Filters(severity="serious")
+    made = page_reports.facts(analysed(spark.createDataFrame([PLAIN], NODES)), filters)
+    assert made._jdf.queryExecution().executedPlan().toString().count("signs_by_ranges(") == 1
+    two = nodes.union(nodes.withColumn("page_id", F.lit("q")).withColumn("text", F.lit("আমি b")).withColumn("signs", F.col("signs").withField("unknown", F.array(F.lit("আমি")))))
+    found, tally, strange = page_reports.parts(page_reports.facts(two, filters).cache())
+    assert sorted(found.where(engine.wanted(filters)).collect()) == sorted(engine.findings(two, filters).collect())
+    assert sorted(found.select("page_id", "node_ord", "rule_id").collect()) == sorted(engine.findings(two).select("page_id", "node_ord", "rule_id").collect())
+    assert sorted(tally.collect()) == sorted(pages.script_tally(two).collect())
+    assert strange.collect() == pages.unsupported(two).collect() and strange.count() == 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_report_documents_analyse_no_text_twice(spark):
+    plan = reports.page_report_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "by_ranges" not in plan
