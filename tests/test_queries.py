@@ -51,3 +51,15 @@ def test_plan_reads_only_what_it_needs(spark, capsys):
     catalogue.vietnamese_profile_by_lang(spark, DATA).explain("formatted")
     plan = capsys.readouterr().out
     assert "ReadSchema: struct<text:string,lang:string>" in plan and "BatchEvalPython" not in plan
+
+
+@pytest.mark.parametrize("name", ["page_text_nodes"])
+def test_references_without_a_semicolon(spark, tmp_path, name):
+    """The SQL keeps ``&amp`` as it is written, and so does the query; its letters count for the checks (17 and 3 are 20)."""
+    html = ["<html><head></head><body><article><h1>abcdefghijklmnopq &&amp</h1><p>a &amp; b &copy</p><p>&#38 x &amp1; &notit;</p></article></body></html>", "<html><body><article><h1>x &amp;amp</h1></article></body></html>"]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, 'u', ?)", list(enumerate(html, 1)))
+    con.sql(f"COPY pages TO '{tmp_path}/pages.parquet' (FORMAT parquet)")
+    ours = static.QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert len(ours) and rows(ours.astype({"page_id": str})) == rows(con.sql(static.SQL[name]).df())
