@@ -53,7 +53,7 @@ def test_plan_reads_only_what_it_needs(spark, capsys):
     assert "ReadSchema: struct<text:string,lang:string>" in plan and "BatchEvalPython" not in plan
 
 
-@pytest.mark.parametrize("name", ["page_text_nodes", "page_findings_static"])
+@pytest.mark.parametrize("name", ["page_text_nodes", "page_findings_static", "page_text_ancestry"])
 def test_references_without_a_semicolon(spark, tmp_path, name):
     """The SQL keeps ``&amp`` as it is written, and so does the query; its letters count for the checks (17 and 3 are 20)."""
     html = ["<html><head></head><body><article><h1>abcdefghijklmnopq &&amp</h1><p>a &amp; b &copy</p><p>&#38 x &amp1; &notit;</p></article></body></html>", "<html><body><article><h1>x &amp;amp</h1></article></body></html>"]
